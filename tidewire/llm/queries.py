@@ -5,19 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup
+from . import decontaminate, neardup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word windows of ``benchmark`` in ``documents``, by winnowing; a digest of the items found."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` on two-word shingles at similarity 0.8."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
 }
 
