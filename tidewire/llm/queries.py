@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup
+from . import decontaminate, media, neardup, shards, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,27 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written as deduplicated WARC archives, read back, revisits resolved."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` in sixteen shards of near-equal bytes."""
+    return shards.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as 8-bit media in a deduplicated chunk store, read back and described."""
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_warc": op8_warc,
+    "op9_sharding": op9_sharding,
+    "op10_media_columns": op10_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {}
