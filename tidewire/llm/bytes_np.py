@@ -80,19 +80,21 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of a sequence of 64-bit codes: the span's polynomial, shifted to its start, and mixed."""
-    with np.errstate(over="ignore"):
+class Spans:
+    """64-bit hashes of spans of a sequence of codes: a span's polynomial, shifted to its start, and mixed."""
+
+    _powers = (np.ones(1, U64), np.ones(1, U64))
+
+    def __init__(self, codes: np.ndarray):
         n = len(codes)
-        power = np.full(n + 1, _BASE, U64)
-        power[0] = 1
-        np.cumprod(power, out=power)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(codes * power[:n], out=total[1:])
-        inverse = np.full(n + 1, _INVERSE, U64)
-        inverse[0] = 1
-        np.cumprod(inverse, out=inverse)
-        return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
+        if len(Spans._powers[0]) <= n:
+            Spans._powers = tuple(np.cumprod(np.concatenate([np.ones(1, U64), np.full(max(n, 1 << 20), b, U64)])) for b in (_BASE, _INVERSE))
+        self.total = np.zeros(n + 1, U64)
+        np.cumsum(codes * Spans._powers[0][:n], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((self.total[ends] - self.total[starts]) * Spans._powers[1][starts] + (ends - starts).astype(U64))
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -114,7 +116,7 @@ def shingle_sets(column: pa.Array, k: int, is_word: np.ndarray = NOT_SPACE) -> I
     for i, j in pieces(offsets):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, first = words(part, at, lower)
-        h = span_hashes(codes[part], starts, ends)
+        h = Spans(codes[part])(starts, ends)
         for r in range(j - i):
             own = h[first[r] : first[r + 1]]
             yield np.unique(shingle_hashes(own, k)) if len(own) else own
