@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, neardup, quality, shards, toxicity, warc
+from . import decontaminate, licenses, media, neardup, quality, sentencepieces, shards, toxicity, warc, wordpieces
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,23 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of ``documents`` by a linear longest-match automaton."""
+    return wordpieces.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses whose notices ``documents`` hold, by banded windows and exact containment."""
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    best = F.round(F.coalesce(F.array_max("containments"), F.lit(0.0)), 6)
+    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), best.alias("best_containment"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` encoded to piece ids and decoded again; a digest of the ids."""
+    return sentencepieces.encoding_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` on two-word shingles at similarity 0.8."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
@@ -53,6 +70,9 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_token_counts": op3_token_counts,
+    "op4_license_scans": op4_license_scans,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
