@@ -58,8 +58,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int = TOP_K, block: int = 4096,
     """
     blocks = queries.select(F.struct(F.col("id"), F.col("embedding")).alias("q")).withColumn("_b", F.pmod(F.xxhash64("q.id"), F.lit(max(1, -(-queries.count() // block)))))
     packed = blocks.groupBy("_b").agg(F.collect_list("q").alias("qs"))
-    parts = base.select("id", "embedding").withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(64)))
-    batches = parts.groupBy("_p", F.floor(F.pmod(F.hash("id"), F.lit(16)))).agg(F.collect_list(F.struct("id", "embedding")).alias("bs"))
+    parts = base.select("id", "embedding").withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(max(8, -(-base.count() // block)))))
+    batches = parts.groupBy("_p").agg(F.collect_list(F.struct("id", "embedding")).alias("bs"))
     pairs = batches.crossJoin(packed).select("qs", "bs")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
