@@ -119,8 +119,9 @@ def test_conflicts(spark):
         ("Fire at the hospital", "Fire at the school", 0, True),
         ("Quiz: name the capital", "Name the capital", 0, True),
         ("Stocks close lower", "Shares rise at open", 30, True),
-        ("Explosion reported on Monday", "Explosion reported on Friday", 20, True),
-        ("Explosion reported on Monday", "Explosion reported on Friday", 10, False),
+        ("Explosion hits a depot on Monday", "Blast near the depot Friday night", 20, True),
+        ("Explosion hits a depot on Monday", "Blast near the depot Friday night", 10, False),
+        ("Explosion reported on Monday", "Explosion reported on Friday", 10, True),
         ("Minister resigns", "Minister steps down", 500, False),
     ]
     schema = "i int, title string, description string, url string, at_ms long, lat double, lon double, precise boolean"
