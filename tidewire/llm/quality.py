@@ -59,13 +59,17 @@ def encode(column: pa.Array) -> Iterator[np.ndarray]:
         row = np.repeat(np.arange(j - i), counts)
         passage = base[row] + (np.arange(len(starts)) - first[row]) // PASSAGE
         size = np.bincount(passage, minlength=total)[:, None]
-        # bytes from a word's start to the next one's belong to the word's passage
-        of_byte = np.repeat(passage, np.diff(np.append(starts, len(part))))
-        inside = part[starts[0] :]
+        # a word's bytes reach to the next word; a row's first one has what stands before it, its last one the rest
+        held = counts > 0
+        begin, stop = starts.copy(), np.append(starts[1:], len(part))
+        begin[first[:-1][held]], stop[first[1:][held] - 1] = at[:-1][held], at[1:][held]
+        of_byte = np.repeat(passage, stop - begin)
+        inside = part[np.repeat(held, np.diff(at))]
+        joined = np.diff(np.repeat(row, stop - begin)) == 0
         length = np.bincount(of_byte, minlength=total)[:, None]
         classes = np.bincount(of_byte * N_CLASSES + CLASSES[inside], minlength=total * N_CLASSES).reshape(total, -1) / length
         pair = (inside[:-1].astype(np.int64) * 31 + inside[1:].astype(np.int64) * 17) % PAIRS
-        pairs = np.bincount(of_byte[:-1] * PAIRS + pair, minlength=total * PAIRS).reshape(total, -1) / length
+        pairs = np.bincount((of_byte[:-1] * PAIRS + pair)[joined], minlength=total * PAIRS).reshape(total, -1) / length
         long = (ends - starts).astype(float)
         h = Spans(BYTE_CODES[part])(starts, ends)
         same = np.zeros(len(h))
@@ -164,10 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int =
     return fit(bags, rows["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, 0 to 1, higher for label 1; whole texts, null as empty."""
+def score(docs: DataFrame, model: Model | float, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """``docs`` with ``out_col``, 0 to 1, higher for label 1; whole texts, null as empty."""
     if isinstance(model, float):
-        return docs.withColumn("score", F.lit(model))
+        return docs.withColumn(out_col, F.lit(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,10 +182,10 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text") -> Data
                 if n > 4096:
                     out.append(model.scores(bags))
                     bags, n = [], 0
-            yield batch.append_column("score", pa.array(np.concatenate([*out, model.scores(bags)]), pa.float64()))
+            yield batch.append_column(out_col, pa.array(np.concatenate([*out, model.scores(bags)]), pa.float64()))
 
-    plain = docs.drop("score")
-    return plain.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*plain.dtypes, ("score", "double")]))
+    plain = docs.drop(out_col)
+    return plain.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*plain.dtypes, (out_col, "double")]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
