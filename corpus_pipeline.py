@@ -19,13 +19,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 for toxicity, by a model of the labels outside the held-out fold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, out_col="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more for quality, by a model of the labels outside the held-out fold."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("score >= 0.5").select(*docs.columns)
+    return quality.score(docs, model, out_col="_quality").where("_quality >= 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,18 +155,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5
     return Model(tokens, weights, mean, scale, nnpu(x[told[:, 0] == 1], x[told[:, 0] == 0], prior))
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, 0 to 1, higher for the toxic; whole texts, null as empty.  0 for all without a model."""
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """``docs`` with ``out_col``, 0 to 1, higher for the toxic; whole texts, null as empty.  0 for all without a model."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(out_col, F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = (summaries(batch.column(text_col), model.tokens, model.weights) - model.mean) / model.scale
-            yield batch.append_column("score", pa.array(sigmoid(np.hstack([s, np.ones((len(s), 1))]) @ model.coef), pa.float64()))
+            yield batch.append_column(out_col, pa.array(sigmoid(np.hstack([s, np.ones((len(s), 1))]) @ model.coef), pa.float64()))
 
-    plain = docs.drop("score")
-    return plain.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*plain.dtypes, ("score", "double")]))
+    plain = docs.drop(out_col)
+    return plain.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*plain.dtypes, (out_col, "double")]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
