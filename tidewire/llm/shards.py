@@ -18,8 +18,10 @@ from .common import Scratch
 BINS = 2048
 #: Ties on every dimension are cut by this last one, of which equal texts have equal values.
 TIE = "tie"
-#: A group of equal texts larger than a shard is cut by this one.
+#: A group of equal texts that would tilt a cut too far is cut by this one.
 ROW = "row_tie"
+#: Shares of a shard that a cut may be off its target so that equal values, or equal texts, stay together.
+VALUE_TILT, GROUP_TILT = 1e-3, 1e-2
 
 
 @dataclass
@@ -91,8 +93,8 @@ def _medians(points: DataFrame, nodes: list[Node], targets: dict[int, float], di
 def kd_tree(points: DataFrame, dims: list[str], shards: int) -> Node:
     """Grow the tree over ``points`` (size, the bigint ``dims``, tie, row_tie), none null, until each leaf is one shard.
 
-    A cut takes the median's value to the side that leaves the bytes nearer to their target.  If a whole group of
-    equal texts is larger than a leaf's target, it is cut by row.
+    A cut takes the median's value to the side that leaves the bytes nearer to their target.  Where a group of equal
+    texts would tilt that by more than a hundredth of a leaf, it is cut by row.
     """
     root = Node(F.lit(True), 0, shards)
     open_ = [root]
@@ -118,8 +120,9 @@ def kd_tree(points: DataFrame, dims: list[str], shards: int) -> Node:
                 k, target = pending.pop(i)
                 node, name = live[i], names[i]
                 tied = ties[i] & (F.col(name) == value)
-                # a mass at the median that is small beside a shard goes to one side; else it is cut by the next rule
-                if name == ROW or at <= grain * (1 if name == TIE else 1e-4):
+                # what lies at the median goes to one side if that tilts the cut little; else it is cut by the next rule
+                tilt = min(abs(below + at - target), abs(below - target))
+                if name == ROW or tilt <= grain * (GROUP_TILT if name == TIE else VALUE_TILT):
                     edge = value if abs(below + at - target) <= abs(below - target) else value - 1
                     node.cut.append((name, edge))
                 else:
@@ -165,7 +168,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 1.  The dimensions are the size, the lines and the
     words (both on a logarithmic scale) and the CRC-32 of the text, all of the text alone; so equal texts share a
-    shard, unless their group alone is larger than a shard, when it is cut.  ``slot`` numbers a shard's rows from 0.
+    shard, except for groups so large that a cut has to run through them to keep the sizes near equal.  ``slot`` numbers a shard's rows from 0.
     Repeated rows and null ids are kept; an empty table gives none.  Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "shards")
