@@ -6,7 +6,8 @@ buckets.  Candidates are confirmed on the full sets of 64-bit shingle hashes, so
 bands a pair at similarity 0.8 goes unseen once in 2e7.
 
 Work stays linear in the size of a bucket: equal sets become one node first, each node of a bucket then meets the
-bucket's smallest node, and only nodes that are not yet connected meet each other.
+bucket's smallest node, and only nodes that are not yet connected meet each other.  Parity sketches, compared inside
+the join, rule out pairs that cannot be linked, and no others, before any set is read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .components import connected_components
 
 U32 = np.uint32
 ROWS_PER_BAND = 4
+#: Bits of the sketch that rules out pairs which cannot be linked.
+PARITY_BITS = 4096
 
 
 def permute32(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -52,36 +55,46 @@ def circulant_signature(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bits that each element of a set flips once, as 64-bit numbers.
+
+    Two sets' sketches differ in no more bits than the sets have elements that only one of them holds.
+    """
+    at = (hashes >> np.uint64(20)).astype(np.int64) % PARITY_BITS
+    flipped = (np.bincount(at, minlength=PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(flipped).view(np.int64)
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, signature): the key is a 128-bit digest of the set, null for an empty set."""
+    """(doc_id, n_shingles, set_key, bands, parity): the key is a 128-bit digest of the set, null for an empty set."""
     size = bands * ROWS_PER_BAND
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, sigs = [], [], []
+            n, keys, sigs, parities = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(circulant_signature(s, size) if len(s) else np.zeros(size, U32))
+                parities.append(parity_sketch(s))
             sig = np.array(sigs, U32).reshape(-1, bands, ROWS_PER_BAND).astype(np.uint64)
             band = np.arange(bands, dtype=np.uint64)[None, :].repeat(len(n), 0)
             with np.errstate(over="ignore"):
                 for i in range(ROWS_PER_BAND):
                     band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i])
-            flat = pa.array(band.astype(np.int64).ravel(), pa.int64())
-            low = np.ascontiguousarray(sig.reshape(-1, size).astype(np.uint8))
+            parity = np.array(parities, np.int64).reshape(len(n), -1)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), pa.int64())) for x in (band.astype(np.int64), parity)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(n, pa.int64()),
                     pa.array(keys, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), flat),
-                    pa.array([x.tobytes() for x in low], pa.binary()),
+                    *lists,
                 ],
-                ["doc_id", "n_shingles", "set_key", "bands", "signature"],
+                ["doc_id", "n_shingles", "set_key", "bands", "parity"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, signature binary"
+    schema = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, parity array<bigint>"
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -116,16 +129,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _close(bands: int, percent: int):
-    """A filter on two rows x and y of equal coordinates and sizes, which a linked pair fails once in 1e7.
+def _close(percent: int):
+    """A filter on two rows x and y of sizes and parity sketches, which every linked pair passes.
 
-    Sizes must allow the similarity at all; of the coordinates' low bytes so many must agree as are 5.2 standard
-    deviations below the mean at that similarity.
+    100 i >= percent u, for sets of x and y elements with i in common, u in all and d in one alone, is the same as
+    d (100 + percent) <= (x + y) (100 - percent); the sketches differ in d bits at most.
     """
-    size, p = bands * ROWS_PER_BAND, percent / 100
-    least = int(size * p - 5.2 * (size * p * (1 - p)) ** 0.5)
-    same = F.expr(f"aggregate(sequence(1, {size}), 0, (s, i) -> s + if(substring(x_sig, i, 1) = substring(y_sig, i, 1), 1, 0))")
-    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (same >= least)
+    differ = F.expr(" + ".join(f"bit_count(x_sig[{i}] ^ y_sig[{i}])" for i in range(PARITY_BITS // 64)))
+    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (differ * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32) -> DataFrame:
@@ -145,17 +156,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.save(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     # one row for each different set, in full
     nodes = rows.join(classes.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
-    nodes = scratch.save(nodes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "signature"), "nodes")
+    nodes = scratch.save(nodes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "parity"), "nodes")
 
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     members = scratch.save(members.join(shared.drop("most"), "bucket"), "members")
 
     # first round: each node and the smallest node of its buckets that looks most alike
-    traits = nodes.select("node", "n", "signature")
-    x = traits.select(F.col("node").alias("a"), F.col("n").alias("x_n"), F.col("signature").alias("x_sig"))
-    y = traits.select(F.col("node").alias("b"), F.col("n").alias("y_n"), F.col("signature").alias("y_sig"))
-    close = _close(bands, percent)
+    traits = nodes.select("node", "n", "parity")
+    x = traits.select(F.col("node").alias("a"), F.col("n").alias("x_n"), F.col("parity").alias("x_sig"))
+    y = traits.select(F.col("node").alias("b"), F.col("n").alias("y_n"), F.col("parity").alias("y_sig"))
+    close = _close(percent)
     stars = members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(y, "b").join(x, "a").where(close).groupBy("b").agg(F.min("a").alias("a"))
     stars = scratch.save(stars, "stars")
@@ -175,8 +186,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     torn = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     open_ = labelled.join(torn, "bucket").join(nodes.withColumnRenamed("bands", "all_bands"), "node")
     open_ = scratch.save(open_, "open")
-    x = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("signature").alias("x_sig"), F.col("all_bands").alias("x_bands"))
-    y = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("signature").alias("y_sig"), F.col("all_bands").alias("y_bands"))
+    x = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("parity").alias("x_sig"), F.col("all_bands").alias("x_bands"))
+    y = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("parity").alias("y_sig"), F.col("all_bands").alias("y_bands"))
     first_shared = F.expr("filter(zip_with(x_bands, y_bands, (p, q) -> if(p = q, p, null)), p -> p is not null)[0]") == x["bucket"]
     rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("x_label") != F.col("y_label")) & close & first_shared)
     rest = scratch.save(rest.select("a", "b"), "rest")
