@@ -1,13 +1,14 @@
 """WARC archives: writing, reading, and revisit resolution.
 
 Headers alone, (record, payload digest), are shuffled to choose one original of each payload; the others become
-``revisit`` records without a body that refer to it.  Archives are plain WARC/1.1 files that Spark's text writer puts
-into the shared folder: a record's closing blank lines are the writer's line separator.
+``revisit`` records without a body that refer to it.  Archives are gzipped WARC/1.1 files that Spark's text writer
+puts into the shared folder: a record's closing blank lines are the writer's line separator.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sized
 
 CRLF = "\r\n"
 #: Ends a record.
@@ -54,12 +55,15 @@ def resolve(headers: DataFrame) -> DataFrame:
     return headers.select("page_id", "payload_digest").distinct().join(originals, "payload_digest")
 
 
-def as_records(pages: DataFrame, roles: DataFrame, date: str) -> DataFrame:
-    """One WARC record, as text, for each row of ``pages``: fresh headers, and the body where it is the original."""
-    own = roles.select(F.col("page_id").alias("r_page"), F.col("payload_digest").alias("r_digest"), "original")
+def as_records(pages: DataFrame, revisits: DataFrame, date: str) -> DataFrame:
+    """One WARC record, as text, for each row of ``pages``: fresh headers, and the body where it is an original.
+
+    ``revisits`` has the (page_id, payload_digest, original) of the others, each once.
+    """
+    own = revisits.select(F.col("page_id").alias("r_page"), F.col("payload_digest").alias("r_digest"), "original")
     # page ids may be null; digests never are
-    joined = pages.join(own, (F.col("payload_digest") == F.col("r_digest")) & F.col("page_id").eqNullSafe(F.col("r_page")))
-    revisit = ~F.col("page_id").eqNullSafe(F.col("original"))
+    joined = pages.join(own, (F.col("payload_digest") == F.col("r_digest")) & F.col("page_id").eqNullSafe(F.col("r_page")), "left")
+    revisit = F.col("r_digest").isNotNull()
     head = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.coalesce("html", F.lit(""))))
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]+", "")
@@ -80,10 +84,10 @@ def as_records(pages: DataFrame, roles: DataFrame, date: str) -> DataFrame:
     return joined.select(text.alias("record"))
 
 
-def write_archives(records: DataFrame, path: str, total_bytes: int) -> None:
-    """Write ``records`` as archives of about ``FILE_BYTES`` each."""
-    files = max(1, -(-total_bytes // FILE_BYTES))
-    records.repartition(files).write.option("lineSep", END).text(path)
+def write_archives(records: DataFrame, path: str, rows: int, total_bytes: int) -> None:
+    """Write ``records`` as compressed archives of about ``FILE_BYTES`` each, where they are: bodies are not shuffled."""
+    each = max(1, rows * FILE_BYTES // max(1, total_bytes))
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -128,7 +132,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                found = list(rows(raw.as_py()))
+                found = list(rows(gzip.decompress(raw.as_py())))
                 for i in range(0, len(found), 512):
                     columns = zip(*found[i : i + 512], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -157,10 +161,10 @@ def deduplicated(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
     heads = payload_headers(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
     scratch = Scratch(pages.sparkSession, "warc")
     slim = scratch.save(heads.select("page_id", "payload_bytes", "payload_digest"), "headers")
-    total = slim.agg(F.sum(F.col("payload_bytes") + 500)).first()[0] or 0
-    roles = scratch.save(resolve(slim), "roles")
-    write_archives(as_records(heads, roles, date), path, int(total))
-    scratch.drop("headers", "roles")
+    rows, total = slim.agg(F.count("*"), F.coalesce(F.sum(F.col("payload_bytes") + 500), F.lit(0))).first()
+    revisits = sized(scratch.save(resolve(slim).where(~F.col("page_id").eqNullSafe(F.col("original"))), "revisits"))
+    write_archives(as_records(heads, revisits, date), path, rows, int(total))
+    scratch.drop("headers", "revisits")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
