@@ -12,6 +12,13 @@ SLOT_MS = 900_000
 POLL_DIVISOR = {"fast": 1, "normal": 2, "slow": 4}
 POLL_ITEMS = {"fast": 15, "normal": 12, "slow": 8}
 POLL_AGE_MS = {"fast": 36 * HOUR_MS, "normal": 48 * HOUR_MS, "slow": 96 * HOUR_MS}
+FAST_FEEDS = [
+    "BBC World", "Al Jazeera", "SCMP", "CNA Asia", "The Hindu", "BBC Africa", "Africanews", "BBC Middle East", "Al Arabiya English",
+    "Times of Israel", "Middle East Eye", "USGS Earthquakes", "ISW Daily Updates", "ACLED", "NDTV India", "ABC Australia",
+    "Vanguard News", "Anadolu Agency", "Yonhap News", "Dawn Pakistan", "ANTARA News", "Premium Times Nigeria", "NJ.com", "Global News Canada",
+]
+SLOW_FEEDS = ["War on the Rocks", "Foreign Affairs", "CFR", "Chatham House", "ECFR", "The Diplomat", "Geopolitical Futures", "Bellingcat", "ICG CrisisWatch"]
+FAST_ACCOUNTS = ["IDF (X)", "OSINTtechnical (X)", "ELINT News (X)", "OSINTdefender (X)", "BRICSinfo (X)", "Breaking911 (X)"]
 SLOW_CATEGORIES = ["business", "technology", "science", "health"]
 COOLDOWN_MS = {"hour": HOUR_MS, "quarter_day": 6 * HOUR_MS, "two_hours": 2 * HOUR_MS, "half_hour": HOUR_MS // 2}
 FAILURES = ["rate_limited", "provider_error", "parse_error"]
@@ -69,8 +76,13 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(FNV_OFFSET).cast("bigint"), lambda h, c: step(h, c).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
 
 
-def poll_tier(category: Column, is_fast: Column, is_slow: Column) -> Column:
-    return F.when(is_fast | (category == "crisis"), "fast").when(is_slow | category.isin(SLOW_CATEGORIES), "slow").otherwise("normal")
+def poll_tier(name: Column, category: Column) -> Column:
+    """How often a feed is polled: by its name, else by its category."""
+    return F.when(name.isin(FAST_FEEDS) | (category == "crisis"), "fast").when(name.isin(SLOW_FEEDS) | category.isin(SLOW_CATEGORIES), "slow").otherwise("normal")
+
+
+def account_poll_tier(name: Column, platform: Column) -> Column:
+    return F.when((platform == "telegram") | name.isin(FAST_ACCOUNTS), "fast").otherwise("normal")
 
 
 def poll_due(tier: Column, key: Column, now_ms: int) -> Column:

@@ -246,10 +246,10 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 30) -> DataFram
     Labels are checkpointed each round, so lineage stays short and lost executors cost little.
     """
     spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewire-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
     for _ in range(rounds):

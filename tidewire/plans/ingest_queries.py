@@ -119,15 +119,12 @@ def capped_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.capped_counts(items, ingest.novelty_cap(items, limits))
 
 
-_EVENT = "|".join(text.EVENT_STEMS)
-_ENDS = "|".join(text.EVENT_ENDINGS)
-_QUIET = "|".join(text.NON_EVENTS)
-_EDIT = rf"(?:{'|'.join(text.EDITORIAL_TIMES)})\s+(?:{'|'.join(text.EDITORIAL)})|top headlines|today in (?:[a-z0-9]+\s+){{0,3}}history|most expensive homes sold"
+_SQL = {name: getattr(text, name).replace("'", "''") for name in ("EVENT_PATTERN", "NON_EVENT_PATTERN", "EDITORIAL_PATTERN")}
 GATE = rf"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Nature' WHEN 1 THEN 'Indian Express' ELSE source END AS source, 'https://a.example/' || (CASE WHEN doc_id % 8 = 1 THEN 'sports/' ELSE 'news/' END) || CAST(doc_id AS VARCHAR) AS url,
     (CASE WHEN doc_id % 7 = 0 THEN 'Daily briefing: ' WHEN doc_id % 7 = 1 THEN 'Best deals on ' WHEN doc_id % 7 = 2 THEN 'Best deals after the flood: ' ELSE '' END) || substr({TITLE}, 1, 20) AS title, substr(text, 1, CAST(doc_id % 200 AS INTEGER)) AS description FROM documents),
   e AS (SELECT *, trim(regexp_replace(description, '\s+', ' ', 'g')) AS summary, lower(regexp_replace(title || ' ' || description, '\s+', ' ', 'g')) AS t FROM d),
   j AS (SELECT doc_id, CASE WHEN source = 'Indian Express' AND contains(url, '/sports/') THEN 'irrelevant_section'
-    WHEN regexp_matches(lower(title), '(?:^|[^a-z0-9_])(?:{_EDIT})(?:[^a-z0-9_]|$)') OR (NOT regexp_matches(t, '(?:^|[^a-z0-9_])(?:{_EVENT})(?:{_ENDS})?(?:[^a-z0-9_]|$)') AND regexp_matches(t, '(?:^|[^a-z0-9_])(?:{_QUIET})(?:s)?(?:[^a-z0-9_]|$)')) THEN 'clearly_non_event'
+    WHEN regexp_matches(lower(title), '{_SQL['EDITORIAL_PATTERN']}') OR (NOT regexp_matches(t, '{_SQL['EVENT_PATTERN']}') AND regexp_matches(t, '{_SQL['NON_EVENT_PATTERN']}')) THEN 'clearly_non_event'
     WHEN source IN ('Nature', 'Indian Express') AND (length(summary) < 80 OR len(list_filter(string_split(summary, ' '), lambda x: x <> '')) < 12) THEN 'insubstantial_description' END AS reason FROM e)"""
 
 

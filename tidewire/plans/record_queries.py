@@ -163,7 +163,7 @@ def source_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Safe error codes and poll tiers."""
     i = F.col("doc_id")
     code = scores.error_code(F.when(i % 3 == 0, F.lit(503)), F.when(i % 3 == 1, F.lit("Request timed out")).otherwise(F.lit("?")))
-    tier = scores.poll_tier(F.when(F.col("lang") == "fr", "health").otherwise("world"), i % 2 == 0, F.lit(False))
+    tier = scores.poll_tier(F.when(i % 2 == 0, "SCMP").otherwise(F.col("source")), F.when(F.col("lang") == "fr", "health").otherwise("world"))
     return table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), tier.alias("tier"))
 
 
