@@ -37,7 +37,7 @@ def load(path: str = PIECE_MODEL) -> Vocabulary:
 class Memo(dict):
     """A memory of results by word, of bounded size: emptied when full."""
 
-    def __init__(self, make, most: int = 500_000):
+    def __init__(self, make, most: int = 300_000):
         super().__init__()
         self.make, self.most = make, most
 

@@ -55,22 +55,22 @@ def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, pos, unl): in how many positive and unlabelled documents of (y, text) a feature occurs; y is 1 or 0."""
 
+    def counts(seen: list[np.ndarray], labels: list[int]) -> pa.RecordBatch:
+        tokens, at = np.unique(np.concatenate(seen), return_inverse=True)
+        positive = np.repeat(np.array(labels, float), [len(t) for t in seen])
+        pos = np.bincount(at, positive, len(tokens)).astype(np.int64)
+        unl = np.bincount(at, 1 - positive, len(tokens)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(pos), pa.array(unl)], ["token", "pos", "unl"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = np.array(batch.column(0).to_pylist(), np.int64)
-            seen, done = [], 0
+            y = batch.column(0).to_pylist()
+            done = 0
+            # a run of texts of about a megabyte at a time, so that memory does not follow the batch
             for n, tokens, first in _features(batch.column(1)):
-                for r in range(n):
-                    own = np.unique(tokens[first[r] : first[r + 1]])
-                    seen.append((own, y[done + r]))
+                seen = [np.unique(tokens[first[r] : first[r + 1]]) for r in range(n)]
+                yield counts(seen, y[done : done + n])
                 done += n
-            if not seen:
-                continue
-            tokens, at = np.unique(np.concatenate([t for t, _ in seen]), return_inverse=True)
-            labels = np.repeat([v for _, v in seen], [len(t) for t, _ in seen]).astype(float)
-            pos = np.bincount(at, labels, len(tokens)).astype(np.int64)
-            unl = np.bincount(at, 1 - labels, len(tokens)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(pos), pa.array(unl)], ["token", "pos", "unl"])
 
     counted = docs.select("y", "text").mapInArrow(run, "token bigint, pos bigint, unl bigint")
     return counted.groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
