@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BINS = 2048
+BINS = 4096
 #: Ties on every dimension are cut by this last one, of which equal texts have equal values.
 TIE = "tie"
 #: A group of equal texts that would tilt a cut too far is cut by this one.
@@ -180,8 +180,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         (F.log2(F.octet_length(raw) + F.lit(1.0)) * 65536).cast("bigint").alias("log_size"),
         (F.log2(F.length(raw) - F.length(F.replace(raw, F.lit("\n"), F.lit(""))) + F.lit(1.0)) * 65536).cast("bigint").alias("log_lines"),
         (F.log2(F.length(raw) - F.length(F.replace(raw, F.lit(" "), F.lit(""))) + F.lit(1.0)) * 65536).cast("bigint").alias("log_words"),
-        F.shiftright(F.xxhash64(raw), 12).alias(TIE),
-        F.shiftright(F.xxhash64(F.col(id_col)), 12).alias(ROW),
+        F.shiftright(F.xxhash64(raw), 32).alias(TIE),
+        F.shiftright(F.xxhash64(F.col(id_col)), 32).alias(ROW),
     )
     points = scratch.save(points, "points")
     tree = kd_tree(points, ["log_size", "log_lines", "log_words", "text_crc32"], shards)
