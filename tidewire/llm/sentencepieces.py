@@ -23,6 +23,8 @@ from .pieces import PIECE_MODEL, SPACE, Memo, Vocabulary, load
 
 #: A character written as bytes costs so much more than the worst piece.
 PENALTY = 10.0
+#: Cuts of texts whose encodings a task remembers (under 1 kB each).
+REMEMBERED = 100_000
 
 
 class Encoder:
@@ -40,7 +42,6 @@ class Encoder:
         own = [t for t, o in zip(v.texts, v.ordinary, strict=True) if o]
         inner_space = any(re.search(f"[^{SPACE}]{SPACE}", t) for t in own)
         self.cut = None if inner_space or any("\n" in t for t in own) else re.compile(r" *[^ \n]+| +|\n")
-        self.memo = Memo(self._segment)
         self.bytes = [t.replace(SPACE, " ").encode() if o else b"" for t, o in zip(v.texts, v.ordinary, strict=True)]
         for b, i in enumerate(v.byte_ids):
             self.bytes[i] = bytes([b])
@@ -81,13 +82,17 @@ class Encoder:
                 out += [piece] if piece >= 0 else [self.vocabulary.byte_ids[b] for b in text[start].encode()]
         return tuple(out)
 
-    def encode(self, text: str) -> list[int]:
+    def memory(self) -> Memo:
+        """A memory for ``encode``, which is the caller's, so that it ends with the task and not with its worker."""
+        return Memo(self._segment, REMEMBERED)
+
+    def encode(self, text: str, memo: Memo | None = None) -> list[int]:
         """Ids of a text, to which a leading space is added; none for an empty text."""
         if not text:
             return []
         text = " " + text
         parts = self.cut.findall(text) if self.cut else [text]
-        return list(chain.from_iterable(map(self.memo.__getitem__, parts)))
+        return list(chain.from_iterable(map(memo.__getitem__ if memo is not None else self._segment, parts)))
 
     def decode(self, ids) -> str:
         """The exact text of ``encode``'s ids; other ids give what their bytes say, broken ones replaced."""
@@ -109,10 +114,11 @@ def encode_column(docs: DataFrame, text_col: str = "text", model: str = PIECE_MO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
+        memo = e.memory()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                lists = [np.array(e.encode(x.as_py() or ""), np.int32) for x in part.column(text_col)]
+                lists = [np.array(e.encode(x.as_py() or "", memo), np.int32) for x in part.column(text_col)]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists), pa.int32()))
                 yield part.append_column("token_ids", ids)
@@ -141,13 +147,14 @@ def encoding_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
+        memo = e.memory()
         is_byte = np.zeros(len(vocabulary.texts), bool)
         is_byte[list(vocabulary.byte_ids)] = True
         for batch in batches:
             out = []
             for x in batch.column(1):
                 text = x.as_py() or ""
-                listed = e.encode(text)
+                listed = e.encode(text, memo)
                 ids = np.array(listed, "<i4")
                 out.append((len(ids), int(is_byte[ids].sum()), hashlib.sha256(ids.tobytes()).hexdigest(), e.decode(listed) == text))
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
