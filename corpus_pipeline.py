@@ -48,12 +48,9 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8).
 
-    Rows that repeat an id stay together; a null id stays where no row with an id is linked with it.
+    Rows that repeat an id stay together; a row without an id goes only if one with an id is linked with it.
     """
-    groups = neardup.near_duplicates(docs, k=5, percent=80)
-    gone = groups.where("not kept").select("doc_id").distinct()
-    stays = docs.withColumn("_id", F.col("doc_id")).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return stays.select(*docs.columns)
+    return neardup.without_copies(docs, k=5, percent=80)
 
 
 @small_batches

@@ -55,6 +55,24 @@ def test_near_duplicates_on_edges(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_rows_without_an_id_are_linked_and_told_apart(spark):
+    import corpus_pipeline
+
+    words = [[f"{c}{i}" for i in range(80)] for c in "abcde"]
+    near = lambda w, at: " ".join([*w[:at], "other", *w[at + 1 :]])
+    texts = [" ".join(w) for w in words]
+    gone = [texts[0], near(words[1], 40), near(words[4], 40)]
+    stay = [texts[2], texts[3], near(words[3], 40), texts[3], None, None, ""]
+    # the last one's chain: 5 is linked with the row without an id, which alone links it with 6
+    last = [(5, near(words[4], 40).replace(" e20 ", " another ")), (6, texts[4])]
+    rows = [(1, texts[0]), (2, texts[1]), *[(None, t) for t in gone + stay], *last]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "").select("doc_id", "text").collect()]
+    kept = [(1, texts[0]), (2, texts[1]), last[0], *[(None, t) for t in stay]]
+    assert sorted(got, key=repr) == sorted(kept, key=repr)
+    found = neardup.near_duplicates(frame(spark, rows)).where("doc_id is null and n_shingles > 0").collect()
+    assert sorted((r["component_id"] or 0, r["kept"]) for r in found) == [(0, True)] * 4 + [(1, False), (2, False), (5, False)]
+
+
 def test_parity_sketch_bounds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):

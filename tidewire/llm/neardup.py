@@ -28,6 +28,8 @@ U32 = np.uint32
 ROWS_PER_BAND = 4
 #: Bits of the sketch that rules out pairs which cannot be linked.
 PARITY_BITS = 4096
+#: Nodes of sets that no row with an id has are numbered from here on, beyond all ids.
+BEYOND = "cast(9223372036854775808 as decimal(20,0))"
 
 
 def permute32(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -65,6 +67,11 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(flipped).view(np.int64)
 
 
+def set_digest(s: np.ndarray) -> bytes | None:
+    """A 128-bit digest of a set, none for an empty one."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands, parity): the key is a 128-bit digest of the set, null for an empty set."""
     size = bands * ROWS_PER_BAND
@@ -74,7 +81,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -> D
             n, keys, sigs, parities = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(set_digest(s))
                 sigs.append(circulant_signature(s, size) if len(s) else np.zeros(size, U32))
                 parities.append(parity_sketch(s))
             sig = np.array(sigs, U32).reshape(-1, bands, ROWS_PER_BAND).astype(np.uint64)
@@ -107,7 +114,19 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
             for i in range(0, len(sets), 256):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), pa.array(sets[i : i + 256], pa.binary())], ["node", "items"])
 
-    return docs.mapInArrow(run, "node bigint, items binary")
+    return docs.mapInArrow(run, f"node {docs.schema['node'].dataType.simpleString()}, items binary")
+
+
+def with_set_key(docs: DataFrame, text_col: str, k: int) -> DataFrame:
+    """``docs`` with the digest of each text's set as ``_set_key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([set_digest(s) for s in shingle_sets(batch.column(batch.num_columns - 1), k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keys], [*batch.schema.names[:-1], "_set_key"])
+
+    schema = docs.withColumn("_set_key", F.lit(None).cast("binary")).schema
+    return docs.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -126,7 +145,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "a_items", "b_items")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _close(percent: int):
@@ -146,17 +166,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if 100 * intersection >= percent * union.  ``component_id`` is the smallest id reachable,
     and ``kept`` is true on rows of that id.
 
-    Null or empty texts have no set and are linked with nothing.  A row whose id is null never names a component:
-    it gets the component of its text, or null (and is kept) if no row with an id is linked with it.  Repeated rows
+    Null or empty texts have no set and are linked with nothing.  A row whose id is null is linked like others, but
+    never names a component: its component is null (and it is kept) if no row with an id can be reached from it.  Repeated rows
     each return.  Ids are meant to be unique; where texts that differ share an id which is the smallest of both
     their sets, that id links them.  Other columns are ignored.  One text must fit a task's memory about 40 times.
     """
+    return grouped(docs, id_col, text_col, k, percent, bands).drop("set_key")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs`` but those whose id ``near_duplicates`` does not keep; rows that repeat an id stay together.
+
+    Rows whose id is null are told apart by their sets: each goes or stays as its own set does.
+    """
+    gone = grouped(docs, id_col, text_col, k, percent).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("set_key").alias("_gone_key"))
+    no_id = F.col(id_col).cast("bigint").isNull()
+    named = docs.where(~no_id).withColumn("_id", F.col(id_col).cast("bigint")).join(gone.where("_gone is not null").select("_gone").distinct(), F.col("_id") == F.col("_gone"), "left_anti")
+    nameless = with_set_key(docs.where(no_id), text_col, k).join(gone.where("_gone is null").select("_gone_key").distinct(), F.col("_set_key") == F.col("_gone_key"), "left_anti")
+    return named.select(*docs.columns).union(nameless.select(*docs.columns))
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32) -> DataFrame:
+    """``near_duplicates`` with the digest of each row's set as ``set_key``."""
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = scratch.save(sketch(docs, id_col, text_col, k, bands), "sketch")
-    classes = scratch.save(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
+    # a node for each different set: the smallest id, or a number beyond all ids where only rows without one have it
+    least = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    classes = scratch.save(least.withColumn("spare", F.when(F.col("least").isNull(), F.monotonically_increasing_id())), "classes")
+    nameless = classes.where("least is null").limit(1).count() > 0
+    node = F.coalesce(F.col("least").cast("decimal(20,0)"), F.expr(f"cast({BEYOND} + spare as decimal(20,0))")) if nameless else F.col("least")
+    classes = classes.select("set_key", "least", node.alias("node"))
     # one row for each different set, in full
-    nodes = rows.join(classes.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
-    nodes = scratch.save(nodes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "parity"), "nodes")
+    nodes = rows.join(classes.select(F.col("least").alias("doc_id"), "set_key", "node"), ["doc_id", "set_key"])
+    nodes = nodes.dropDuplicates(["doc_id"]).select("node", F.col("n_shingles").alias("n"), "bands", "parity")
+    if nameless:
+        spare = rows.where("doc_id is null").join(classes.where("least is null").select("set_key", "node"), "set_key")
+        nodes = nodes.union(spare.dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), "bands", "parity"))
+    nodes = scratch.save(nodes, "nodes")
 
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
@@ -171,11 +217,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.join(y, "b").join(x, "a").where(close).groupBy("b").agg(F.min("a").alias("a"))
     stars = scratch.save(stars, "stars")
 
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    wanted = sized(scratch.save(wanted, "wanted"))
+    wanted = sized(scratch.save(members.select("node").distinct(), "wanted"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
-    texts = texts.join(wanted, "doc_id", "left_semi")
-    sets = scratch.save(full_sets(texts.select("doc_id", "text"), k), "sets")
+    texts = texts.select(F.col("doc_id").cast(wanted.schema["node"].dataType).alias("node"), "text")
+    sets = full_sets(texts.join(wanted, "node", "left_semi").select("node", "text"), k)
+    if nameless:
+        keyed = with_set_key(texts.where("node is null").select("text"), "text", k).dropDuplicates(["_set_key"])
+        keyed = keyed.join(classes.where("least is null").select(F.col("set_key").alias("_set_key"), "node"), "_set_key")
+        sets = sets.union(full_sets(keyed.join(wanted, "node", "left_semi").select("node", "text"), k))
+    sets = scratch.save(sets, "sets")
 
     links = scratch.save(confirmed(stars, sets, percent), "links-1")
     labels = scratch.save(connected_components(links, scratch, "first"), "labels-1")
@@ -199,7 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = scratch.save(connected_components(lifted.union(links), scratch, "last"), "labels")
     scratch.drop("members", "stars", "wanted", "sets", "links-1", "links-2", "labels-1", "labelled", "open", "rest")
 
-    named = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    label = F.coalesce("component", "node")
+    label = F.when(label < F.expr(BEYOND), label).cast("bigint") if nameless else label
+    named = classes.join(final, "node", "left").select("set_key", label.alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "set_key").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
