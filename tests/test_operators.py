@@ -137,6 +137,16 @@ def test_fold_follows_arrival(spark):
     assert (got["title"], got["description"], got["tier"], got["reports"], got["best_tier"], got["latest_ms"]) == ("late", "a long description", 2, 3, 1, 7 * HOUR)
 
 
+def test_components_of_a_path_against_the_order(spark):
+    path = [0, *range(200, 0, -1)]
+    links = spark.createDataFrame([*zip(path, path[1:]), (301, 300), (300, 300)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in [*path, 300, 301, 302]], "id long")
+    got = {r["id"]: r["component"] for r in st.components(nodes, links).collect()}
+    assert got == dict.fromkeys(path, 0) | {300: 300, 301: 300, 302: 302}
+    with pytest.raises(RuntimeError):
+        st.components(nodes, links, rounds=2)
+
+
 def test_ambiguous_places_stay_unplaced(spark):
     rows = [(1, "Fire in Springfield"), (2, "Fire in Springfield, Illinois, United States"), (3, "German minister speaks"), (4, None), (5, "London's mayor")]
     got = {r["id"]: (r["name"], r["rule"]) for r in geocode.resolve(spark.createDataFrame(rows, "id int, text string"), geocode.seed(spark)).collect()}

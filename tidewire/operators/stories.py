@@ -241,23 +241,29 @@ def fold(reports: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, component): the smallest id that links (a, b) lead to, by label propagation with shortcuts.
+    """(id, component): the smallest id that links (a, b) lead to, by alternating large-star and small-star rounds.
 
-    Labels are checkpointed each round, so lineage stays short and lost executors cost little.
+    Rounds grow with the logarithm of the longest path; where ``rounds`` do not settle the labels, this raises.
+    Edges are checkpointed each round, so lineage stays short and lost executors cost little.
     """
     spark = nodes.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
+    edges = links.select("a", "b").where("a <> b").distinct().checkpoint()
+    before = None
     for _ in range(rounds):
-        near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        moved = labels.join(near, labels["id"] == near["a"], "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("c"))
-        jump = moved.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        after = moved.join(jump, "c").select("id", F.col("component").alias("old"), F.least("c", "cc").alias("component")).checkpoint()
-        if not after.where("old <> component").limit(1).count():
-            break
-        labels = after.drop("old")
-    return labels
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # large star: every larger neighbour goes to the smallest one
+        down = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # small star: every smaller neighbour, and the node itself, goes to the smallest
+        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        hung = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = hung.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct().checkpoint()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            return nodes.select("id").join(edges.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        before = now
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
