@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import geo
-from tidewire.operators import corroboration, feed, geocode, ingest
+from tidewire.operators import corroboration, feed, geocode, ingest, maintenance
 from tidewire.operators import stories as st
 
 HOUR = 3_600_000
@@ -147,6 +147,22 @@ def test_components_of_a_path_against_the_order(spark):
         st.components(nodes, links, rounds=2)
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_recluster_equals_one_by_one(spark, sign):
+    rng = random.Random(4)
+    links = {(0, 1), (1, 2), (2, 3)} | {tuple(sorted(rng.sample(range(10, 90), 2))) for _ in range(120)}
+    want = {}
+    for b in range(90):
+        free = [a for a, x in links if x == b and a not in want]
+        if free:
+            want[b] = min(free, key=lambda a: sign * a)
+    assert want[1] == 0 and 2 not in want and want[3] == 2
+    got = maintenance.recluster(spark.createDataFrame(sorted(links), "a long, b long"), F.col("a") * sign).collect()
+    assert {r["absorbed"]: r["by"] for r in got} == want and len(got) == len(want)
+    with pytest.raises(ValueError, match="circle"):
+        maintenance.recluster(spark.createDataFrame([(1, 2), (2, 1)], "a long, b long"), F.col("a"))
+
+
 def test_ambiguous_places_stay_unplaced(spark):
     rows = [(1, "Fire in Springfield"), (2, "Fire in Springfield, Illinois, United States"), (3, "German minister speaks"), (4, None), (5, "London's mayor")]
     got = {r["id"]: (r["name"], r["rule"]) for r in geocode.resolve(spark.createDataFrame(rows, "id int, text string"), geocode.seed(spark)).collect()}

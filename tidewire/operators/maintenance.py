@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from . import ingest
+from .stories import checkpoint_dir
 
 # Fixed values
 DUPLICATE_CHARS, DUPLICATE_GAP_MS = 32, 72 * scores.HOUR_MS
@@ -80,8 +81,21 @@ def image_backfill(stories: DataFrame, now_ms: int) -> DataFrame:
 def recluster(pairs: DataFrame, order: Column) -> DataFrame:
     """(absorbed, by): of linked pairs (a, b) each row goes to the first neighbour before it that is not absorbed itself.
 
-    ``order`` ranks a pair's keeper; a row that keeps others is never absorbed in the same run.
+    ``order`` ranks a pair's keeper; a row that keeps others is never absorbed in the same run.  Each round absorbs
+    the rows whose first neighbour left is settled and free, and takes absorbed rows out of the others' neighbours, so
+    rounds grow with the longest chain of rows that wait for each other.  Links that lead in a circle raise.
     """
-    best = Window.partitionBy("b").orderBy(order, "a")
-    chosen = pairs.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(F.col("b").alias("absorbed"), F.col("a").alias("by"))
-    return chosen.join(chosen.select(F.col("absorbed").alias("by")), "by", "left_anti").select("absorbed", "by")
+    checkpoint_dir(pairs.sparkSession)
+    waiting = pairs.select("a", "b", order.alias("_order")).where("a <> b").checkpoint()
+    done = []
+    while waiting.limit(1).count():
+        first = waiting.groupBy("b").agg(F.min(F.struct("_order", "a")).alias("_first")).select(F.col("b").alias("absorbed"), F.col("_first.a").alias("by"))
+        new = first.join(waiting.select(F.col("b").alias("by")).distinct(), "by", "left_anti").select("absorbed", "by").checkpoint()
+        if not new.limit(1).count():
+            raise ValueError("links lead in a circle")
+        gone = new.select("absorbed")
+        waiting = waiting.join(gone, F.col("b") == F.col("absorbed"), "left_anti").join(gone, F.col("a") == F.col("absorbed"), "left_anti").checkpoint()
+        done.append(new)
+        if len(done) == 16:
+            done = [reduce(DataFrame.union, done).checkpoint()]
+    return reduce(DataFrame.union, done) if done else waiting.select(F.col("b").alias("absorbed"), F.col("a").alias("by"))

@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text
@@ -240,17 +240,21 @@ def fold(reports: DataFrame) -> DataFrame:
     return reports.select("component", "seq", "title", "description", "tier", "at_ms", "identity").groupBy("component").applyInPandas(fold_component, schema)
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Set the folder of checkpoints where none is set."""
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
+
+
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
     """(id, component): the smallest id that links (a, b) lead to, by alternating large-star and small-star rounds.
 
     Rounds grow with the logarithm of the longest path; where ``rounds`` do not settle the labels, this raises.
     Edges are checkpointed each round, so lineage stays short and lost executors cost little.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
+    checkpoint_dir(nodes.sparkSession)
     edges = links.select("a", "b").where("a <> b").distinct().checkpoint()
     before = None
     for _ in range(rounds):
