@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import geo
 from tidewire.operators import corroboration, feed, geocode, ingest, maintenance
 from tidewire.operators import stories as st
+from tidewire.plans import story_queries
 
 HOUR = 3_600_000
 
@@ -131,6 +132,21 @@ def test_conflicts(spark):
     assert [got[i] for i in range(len(rows))] == [r[3] for r in rows]
 
 
+def test_conflict_candidates_equal_all_pairs(spark, sf_small):
+    rng = random.Random(6)
+    titles = ["Explosion reported on Monday", "Explosion reported on Friday", "Quiz", "quiz!", "Toll rises", "", None]
+    rows = [(f"{i:03}", rng.choice([rng.choice(titles), f"Title {i}"]), "", f"https://e/{i}", rng.randint(0, 200 * HOUR), rng.choice([None, rng.uniform(0, 1), 50.0]), rng.uniform(0, 1), False) for i in range(120)]
+    e = st.evidence(spark.createDataFrame(rows, "id string, title string, description string, url string, at_ms long, lat double, lon double, precise boolean"))
+    a, b = e.alias("a"), e.alias("b")
+    near = (geo.haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= 50) & (F.abs(F.col("a.at_ms") - F.col("b.at_ms")) <= 48 * HOUR)
+    same = ((F.col("a.fp") == F.col("b.fp")) & (F.col("a.fp") != "")) | (F.col("a.dated") & F.col("b.dated") & (F.col("a.template") == F.col("b.template")))
+    want = {tuple(r) for r in a.crossJoin(b).where((F.col("a.id") < F.col("b.id")) & (F.coalesce(near, F.lit(False)) | F.coalesce(same, F.lit(False)))).select("a.id", "b.id").collect()}
+    got = [tuple(r) for r in st.conflict_candidates(e).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+    found = story_queries.conflicting_pairs(spark, sf_small)
+    assert found.where("a_id >= '000000000400'").count() > 0 and {r["conflict"] for r in found.select("conflict").distinct().collect()} == {True, False}
+
+
 def test_fold_follows_arrival(spark):
     rows = [(1, 1, "first", "desc", 2, 0, "a"), (1, 2, "better", "", 1, 10, "b"), (1, 3, "again", "x", 1, 99, "b"), (1, 4, "late", "a long description", 2, 7 * HOUR, "c")]
     got = st.fold(spark.createDataFrame(rows, "component long, seq long, title string, description string, tier int, at_ms long, identity string")).first()

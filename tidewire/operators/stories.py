@@ -89,9 +89,11 @@ def expanded(candidates: DataFrame, eligible: Column) -> DataFrame:
     return rows.withColumn("_more", (page == TOP_K) & (hits == 0)).where((F.col("rank") <= TOP_K) | F.col("_more")).drop("_ok", "_more")
 
 
-def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+def within_km(left: DataFrame, right: DataFrame, km: float, ms: int | None = None) -> DataFrame:
     """Pairs of points (id, lat, lon) at most ``km`` apart, by an equi-join of grid cells.
 
+    With ``ms``, points also have at_ms, and pairs are at most that far apart in time, by buckets in the same join.
+
     A cell is ``km`` high, and as wide in degrees as that distance is at its row's edge nearer the pole.  The left
     side is given to its own and the eight cells around, over the antimeridian too, so each pair meets exactly once.
     """
@@ -105,13 +107,22 @@ def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     def column(lon: Column, r: Column) -> Column:
         return F.least(columns(r) - 1, F.floor((geo.wrap_lon(lon) + 180) / 360 * columns(r)).cast("bigint"))
 
-    a = left.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    at = lambda p: [] if ms is None else [F.col("at_ms").alias(f"{p}_ms")]
+    a = left.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), *at("a"))
     a = a.withColumn("row", F.explode(F.array(*[row(F.col("a_lat")) + d for d in (-1, 0, 1)])))
     home = column(F.col("a_lon"), F.col("row"))
     a = a.withColumn("col", F.explode(F.array_distinct(F.array(*[F.pmod(home + d, columns(F.col("row"))) for d in (-1, 0, 1)]))))
-    b = right.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).withColumn("row", row(F.col("b_lat")))
+    b = right.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), *at("b")).withColumn("row", row(F.col("b_lat")))
     b = b.withColumn("col", column(F.col("b_lon"), F.col("row")))
-    met = a.join(b, ["row", "col"]).withColumn("km", geo.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
+    keys = ["row", "col"]
+    if ms is not None:
+        keys.append("_t")
+        a = a.withColumn("_t", F.explode(F.array(*[F.floor(F.col("a_ms") / ms) + d for d in (-1, 0, 1)])))
+        b = b.withColumn("_t", F.floor(F.col("b_ms") / ms))
+    met = a.join(b, keys)
+    if ms is not None:
+        met = met.where(F.abs(F.col("a_ms") - F.col("b_ms")) <= ms)
+    met = met.withColumn("km", geo.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
     return met.where(F.col("km") <= km).select("a_id", "b_id", "km")
 
 
@@ -169,6 +180,20 @@ def conflicts(a: str, b: str) -> Column:
     return ~x("identity").eqNullSafe(y("identity")) & F.coalesce(any_, F.lit(False))
 
 
+def conflict_candidates(stories: DataFrame) -> DataFrame:
+    """(a_id, b_id), a_id < b_id: rows of ``evidence`` that may be one story.
+
+    Those are rows within 50 km and 48 hours of each other, of equal title fingerprints, or of equal templates where
+    both titles have a date.
+    """
+    placed = stories.where(geo.usable(F.col("lat"), F.col("lon")))
+    pairs = [within_km(placed, placed, MERGE_KM, HORIZON_MS).where("a_id < b_id").select("a_id", "b_id")]
+    for mark, rows in (("fp", stories.where("fp <> ''")), ("template", stories.where("dated and template <> ''"))):
+        a, b = (rows.select(F.col("id").alias(f"{p}_id"), mark) for p in "ab")
+        pairs.append(a.join(b, mark).where("a_id < b_id").select("a_id", "b_id"))
+    return reduce(DataFrame.union, pairs).distinct()
+
+
 def precise(stories: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """``precise``: finite coordinates within three kilometres of a city or landmark of the stated name, regions aside."""
     name = F.lower(F.trim(F.substring_index("location_name", ",", 1)))

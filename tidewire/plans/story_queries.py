@@ -116,12 +116,13 @@ def folded_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def conflicting_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2 V3 V4: pairs that contradict each other; the patterns use what DuckDB's lack, so rows only and tests."""
-    s = stories(spark, sf_dir).where("id < '000000000400'")
+    s = stories(spark, sf_dir)
     n = F.col("id").cast("int")
-    title = F.when(n % 5 == 0, "Quiz: name the city").when(n % 5 == 1, "Men's football final won by hosts").when(n % 5 == 2, "Women's tennis final won by hosts").when(n % 5 == 3, "Fire at the hospital").otherwise("Explosion at the warehouse on Monday")
-    s = s.withColumns({"title": title, "url": F.concat(F.lit("https://a.example/"), "id"), "at_ms": F.col("latest_ms"), "precise": F.col("lat").isNotNull(), "bucket": n % 40})
+    lead = F.when(n % 5 == 0, "Quiz: name the city").when(n % 5 == 1, "Men's football final won by hosts").when(n % 5 == 2, "Women's tennis final won by hosts").when(n % 5 == 3, "Fire at the hospital").otherwise("Explosion at the warehouse on Monday")
+    s = s.withColumns({"title": F.concat(lead, F.lit(" - "), "title"), "url": F.concat(F.lit("https://a.example/"), "id"), "at_ms": F.col("latest_ms"), "precise": F.col("lat").isNotNull()})
     e = st.evidence(s)
-    return e.alias("a").join(e.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), st.conflicts("a", "b").alias("conflict"))
+    met = st.conflict_candidates(e).join(e.alias("a"), F.col("a_id") == F.col("a.id")).join(e.alias("b"), F.col("b_id") == F.col("b.id"))
+    return met.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), st.conflicts("a", "b").alias("conflict"))
 
 
 DUPLICATES = f"""WITH {STORIES}, g AS (SELECT *, published_ms - lag(published_ms) OVER (PARTITION BY title, location_name ORDER BY published_ms, id) > 86400000 AS fresh FROM stories WHERE length(title) >= 20),
