@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few numbers each that a broadcast may hold (about 100 MB in memory).
@@ -13,9 +13,11 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or, on one machine alone, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidewire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,6 +55,41 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def lookup_join(rows: DataFrame, found: DataFrame, key: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined with ``found``, a written table in which each ``key`` stands once; no key makes a hot task.
+
+    Up to ``limit`` rows of ``found`` are broadcast.  Of a larger table only those are whose key a thousandth of the
+    rows or more have, which can be no more than a thousand; the others are joined by a shuffle.  ``how`` is inner,
+    left, left_semi or left_anti; rows without a key meet nothing.
+    """
+    if found.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(found), key, how)
+    scratch = Scratch(rows.sparkSession, "lookup")
+    keyed = rows.where(F.col(key).isNotNull())
+    many = max(1000, keyed.count() // 1000)
+    heavy = scratch.save(keyed.groupBy(key).count().where(F.col("count") > many).select(key), "heavy")
+    hot = scratch.save(found.join(F.broadcast(heavy), key, "left_semi"), "hot")
+    cold = keyed.join(F.broadcast(heavy), key, "left_anti").join(found, key, how)
+    out = keyed.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(hot), key, how).unionByName(cold)
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how in ("left", "left_anti") else out
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores behind it until no column of ``df`` is called so, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def crc_mod(id_col: str, mod: int):
     """The remainder of the CRC-32 of the id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod

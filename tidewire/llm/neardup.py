@@ -6,8 +6,9 @@ buckets.  Candidates are confirmed on the full sets of 64-bit shingle hashes, so
 bands a pair at similarity 0.8 goes unseen once in 2e7.
 
 Work stays linear in the size of a bucket: equal sets become one node first, each node of a bucket then meets the
-bucket's smallest node, and only nodes that are not yet connected meet each other.  Parity sketches, compared inside
-the join, rule out pairs that cannot be linked, and no others, before any set is read.
+bucket's smallest node, then a few drawn ones of other components, and only nodes that are not connected by then meet
+each other.  Parity sketches, compared inside the join, rule out pairs that cannot be linked, and no others, before any
+set is read.
 """
 
 from __future__ import annotations
@@ -17,17 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import mix64, shingle_sets
-from .common import Scratch, sized
+from .common import BROADCAST_ROWS, Scratch, column, lookup_join, sized, unused
 from .components import connected_components
 
 U32 = np.uint32
 ROWS_PER_BAND = 4
 #: Bits of the sketch that rules out pairs which cannot be linked.
 PARITY_BITS = 4096
+#: Nodes of a bucket, drawn by a hash, that its others meet before any two of them do.
+PIVOTS = 8
 #: Nodes of sets that no row with an id has are numbered from here on, beyond all ids.
 BEYOND = "cast(9223372036854775808 as decimal(20,0))"
 
@@ -72,14 +75,19 @@ def set_digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a text, as text_key and text_key2; a null text has them too."""
+    return F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit("second"), text).alias("text_key2")
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, parity): the key is a 128-bit digest of the set, null for an empty set."""
+    """(doc_id, text_key, text_key2, n_shingles, set_key, bands, parity): the set's key is a 128-bit digest, null for an empty one."""
     size = bands * ROWS_PER_BAND
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, sigs, parities = [], [], [], []
-            for s in shingle_sets(batch.column(1), k):
+            for s in shingle_sets(batch.column(3), k):
                 n.append(len(s))
                 keys.append(set_digest(s))
                 sigs.append(circulant_signature(s, size) if len(s) else np.zeros(size, U32))
@@ -93,16 +101,17 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -> D
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), pa.int64())) for x in (band.astype(np.int64), parity)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:3],
                     pa.array(n, pa.int64()),
                     pa.array(keys, pa.binary()),
                     *lists,
                 ],
-                ["doc_id", "n_shingles", "set_key", "bands", "parity"],
+                ["doc_id", "text_key", "text_key2", "n_shingles", "set_key", "bands", "parity"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, parity array<bigint>"
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id bigint, text_key bigint, text_key2 bigint, n_shingles bigint, set_key binary, bands array<bigint>, parity array<bigint>"
+    text = column(text_col).cast("string")
+    return docs.select(column(id_col).cast("bigint").alias("doc_id"), *text_keys(text), text.alias("text")).mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -159,6 +168,19 @@ def _close(percent: int):
     return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (differ * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent))
 
 
+def _labelled(members: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(bucket, node, label): the nodes of the buckets with their components so far."""
+    out = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    return scratch.save(out, name)
+
+
+def _lifted(labels: DataFrame, more: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Components of ``links``, labelled so far by ``labels``, and of ``more`` links between these components."""
+    ca, cb = (labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    lifted = more.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    return connected_components(lifted.union(links), scratch, name)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: the components of the links between word-shingle sets.
 
@@ -171,23 +193,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each return.  Ids are meant to be unique; where texts that differ share an id which is the smallest of both
     their sets, that id links them.  Other columns are ignored.  One text must fit a task's memory about 40 times.
     """
-    return grouped(docs, id_col, text_col, k, percent, bands).drop("set_key")
+    return grouped(docs, id_col, text_col, k, percent, bands).drop("text_key", "text_key2")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` but those whose id ``near_duplicates`` does not keep; rows that repeat an id stay together.
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns as they came, whatever their names.
 
-    Rows whose id is null are told apart by their sets: each goes or stays as its own set does.
+    A row goes if its own text is a copy: rows that share its id and hold another text, or have no id, are judged by
+    their own texts.  Rows that repeat both an id and a text stay together.
     """
-    gone = grouped(docs, id_col, text_col, k, percent).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("set_key").alias("_gone_key"))
-    no_id = F.col(id_col).cast("bigint").isNull()
-    named = docs.where(~no_id).withColumn("_id", F.col(id_col).cast("bigint")).join(gone.where("_gone is not null").select("_gone").distinct(), F.col("_id") == F.col("_gone"), "left_anti")
-    nameless = with_set_key(docs.where(no_id), text_col, k).join(gone.where("_gone is null").select("_gone_key").distinct(), F.col("_set_key") == F.col("_gone_key"), "left_anti")
-    return named.select(*docs.columns).union(nameless.select(*docs.columns))
+    scratch = Scratch(docs.sparkSession, "copies")
+    gone = grouped(docs, id_col, text_col, k, percent).where("not kept").select("doc_id", "text_key", "text_key2").distinct()
+    id_, key, key2, g_id, g_key, g_key2 = unused(docs, "_id", "_key", "_key2", "_gone_id", "_gone_key", "_gone_key2")
+    gone = sized(scratch.save(gone.toDF(g_id, g_key, g_key2), "gone"))
+    one, two = text_keys(column(text_col).cast("string"))
+    marked = docs.withColumns({id_: column(id_col).cast("bigint"), key: one, key2: two})
+    same = (F.col(key) == F.col(g_key)) & (F.col(key2) == F.col(g_key2)) & F.col(id_).eqNullSafe(F.col(g_id))
+    return marked.join(gone, same, "left_anti").drop(id_, key, key2)
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32) -> DataFrame:
-    """``near_duplicates`` with the digest of each row's set as ``set_key``."""
+    """``near_duplicates`` with each row's text_key and text_key2."""
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = scratch.save(sketch(docs, id_col, text_col, k, bands), "sketch")
     # a node for each different set: the smallest id, or a number beyond all ids where only rows without one have it
@@ -206,7 +232,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = scratch.save(members.join(shared.drop("most"), "bucket"), "members")
+    shared = scratch.save(shared.drop("most"), "shared")
+    members = scratch.save(lookup_join(members, shared, "bucket"), "members")
 
     # first round: each node and the smallest node of its buckets that looks most alike
     traits = nodes.select("node", "n", "parity")
@@ -218,7 +245,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     stars = scratch.save(stars, "stars")
 
     wanted = sized(scratch.save(members.select("node").distinct(), "wanted"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    texts = docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).cast("string").alias("text")).where("text <> ''")
     texts = texts.select(F.col("doc_id").cast(wanted.schema["node"].dataType).alias("node"), "text")
     sets = full_sets(texts.join(wanted, "node", "left_semi").select("node", "text"), k)
     if nameless:
@@ -230,28 +257,36 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     links = scratch.save(confirmed(stars, sets, percent), "links-1")
     labels = scratch.save(connected_components(links, scratch, "first"), "labels-1")
 
-    # second round: all pairs of a bucket that are close and not yet connected, each in the first bucket it shares
-    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-    labelled = scratch.save(labelled, "labelled")
-    torn = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    open_ = labelled.join(torn, "bucket").join(nodes.withColumnRenamed("bands", "all_bands"), "node")
+    # second round: nodes of buckets that are still torn meet a few nodes of the bucket, drawn by a hash
+    labelled = _labelled(members, labels, scratch, "labelled-1")
+    pivot = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("draw"), F.col("node").alias("a"), F.col("label").alias("a_label")))
+    ends = F.min("label").alias("low"), F.max("label").alias("high")
+    drawn = labelled.groupBy("bucket").agg(*ends, *[pivot(i).alias(f"p{i}") for i in range(PIVOTS)]).where("low < high")
+    drawn = scratch.save(drawn.select("bucket", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("drawn")), "drawn")
+    met = lookup_join(labelled, drawn, "bucket", limit=BROADCAST_ROWS // PIVOTS).select("node", "label", F.explode("drawn").alias("p")).where("p.a_label <> label")
+    met = met.select(F.col("p.a").alias("a"), F.col("node").alias("b"), F.col("p.a_label").alias("a_label")).distinct()
+    met = met.join(y, "b").join(x, "a").where(close).groupBy("b", "a_label").agg(F.min("a").alias("a"))
+    more = scratch.save(confirmed(scratch.save(met.select("a", "b"), "met"), sets, percent), "links-2")
+    labels = scratch.save(_lifted(labels, more, links, scratch, "second"), "labels-2")
+
+    # last round: the pairs of a bucket that are close and not connected by then, each in the first bucket it shares
+    labelled = _labelled(members, labels, scratch, "labelled-2")
+    torn = scratch.save(labelled.groupBy("bucket").agg(*ends).where("low < high").select("bucket"), "torn")
+    open_ = lookup_join(labelled, torn, "bucket").join(nodes.withColumnRenamed("bands", "all_bands"), "node")
     open_ = scratch.save(open_, "open")
     x = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("parity").alias("x_sig"), F.col("all_bands").alias("x_bands"))
     y = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("parity").alias("y_sig"), F.col("all_bands").alias("y_bands"))
     first_shared = F.expr("filter(zip_with(x_bands, y_bands, (p, q) -> if(p = q, p, null)), p -> p is not null)[0]") == x["bucket"]
     rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("x_label") != F.col("y_label")) & close & first_shared)
     rest = scratch.save(rest.select("a", "b"), "rest")
-    more = scratch.save(confirmed(rest, sets, percent), "links-2")
-    # links between components of the first round settle the rest
-    lift = labels.select(F.col("node"), F.col("component"))
-    lifted = more.join(lift.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(lift.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    lifted = lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    final = scratch.save(connected_components(lifted.union(links), scratch, "last"), "labels")
-    scratch.drop("members", "stars", "wanted", "sets", "links-1", "links-2", "labels-1", "labelled", "open", "rest")
+    last = scratch.save(confirmed(rest, sets, percent), "links-3")
+    final = scratch.save(_lifted(labels, last, links.union(more), scratch, "last"), "labels")
+    scratch.drop("shared", "members", "stars", "wanted", "sets", "links-1", "links-2", "links-3", "labels-1", "labels-2", "labelled-1", "labelled-2", "drawn", "met", "torn", "open", "rest", "nodes")
 
     label = F.coalesce("component", "node")
     label = F.when(label < F.expr(BEYOND), label).cast("bigint") if nameless else label
-    named = classes.join(final, "node", "left").select("set_key", label.alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = scratch.save(classes.join(final, "node", "left").select("set_key", label.alias("component")), "named")
+    scratch.drop("classes", "labels")
+    out = lookup_join(rows.drop("bands", "parity"), named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "set_key").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", "text_key2").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
