@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import BYTE_CODES
-from .common import Scratch, sized
+from .common import Scratch, column, lookup_join, sized
 
+#: Media whose owners, or whose features (about 300 bytes each), are broadcast; those of more are joined by a shuffle.
+OWNER_ROWS, FEATURE_ROWS = 1_000_000, 200_000
 #: Payloads are padded with zero bytes to a positive multiple of this.
 BLOCK = 64
 #: Bits of the gear hash that are zero at a cut: chunks of 2 KB beyond the least size, on average.
@@ -154,19 +156,22 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), a row
     for each row of ``docs``.  A null or empty text is one block of zero bytes.  Equal texts share one media file and
-    so all values; null and repeated ids are kept as they are, and other columns are not read.  The store stays in the
-    shared folder, for as long as that lives.
+    so all values; null and repeated ids are kept as they are, and other columns are not read.  Rows that repeat an id
+    and a text are stored once, too.  The store stays in the shared folder, for as long as that lives.  One text has to
+    fit a task a few times over.
     """
     scratch = Scratch(docs.sparkSession, "media")
-    keyed = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    text = column(text_col).cast("string")
+    keyed = docs.select(column(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
     rows = scratch.save(encode_column(keyed), "rows")
     # of rows with equal media one stores it; of equal chunks the first place of the smallest media stores it
     who = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("id"), "text_key")
     medias = rows.groupBy("media_key").agg(F.min(who).alias("owner"))
     owners = scratch.save(medias.select("media_key", "owner.id", "owner.text_key"), "owners")
     theirs = owners.select("media_key", F.col("id").alias("o_id"), F.col("text_key").alias("o_key"))
-    told = rows.select(who.alias("w"), "media_key").join(theirs, "media_key").select("w.id", "w.text_key", "o_id", "o_key")
-    copies = told.where("id <> o_id or text_key <> o_key").select("id", "text_key").distinct()
+    told = lookup_join(rows.select(who.alias("w"), "media_key"), theirs, "media_key", limit=OWNER_ROWS).select("w.id", "w.text_key", "o_id", "o_key")
+    told = scratch.save(told.groupBy("id", "text_key", F.expr("id <> o_id or text_key <> o_key").alias("skip")).agg((F.count("*") > 1).alias("many")), "told")
+    copies = told.where("skip").select("id", "text_key")
     lists = rows.select(who.alias("w"), "media_key", "chunks").select("w.id", "w.text_key", "media_key", "chunks").join(owners, ["id", "text_key", "media_key"], "left_semi")
     places = lists.dropDuplicates(["media_key"]).select("id", "text_key", F.posexplode("chunks").alias("place", "digest"))
     places = scratch.save(places, "places")
@@ -174,9 +179,15 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = places.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("uses")).where("uses > 1").select("digest", "first")
     again = places.withColumn("own", place).join(firsts, "digest").where("own <> first")
     refs = again.groupBy("id", "text_key").agg(F.collect_list("place").alias("refs"))
-    notes = copies.select("id", "text_key", F.lit(True).alias("skip"), F.lit(None).cast("array<int>").alias("refs")).unionByName(refs.withColumn("skip", F.lit(False)))
-    notes = sized(scratch.save(notes, "notes"))
+    # owners that repeat both id and text are stored once
+    repeats = told.where("many and not skip").select("id", "text_key", F.lit(False).alias("skip"), F.lit(True).alias("many"))
+    notes = copies.select("id", "text_key", F.lit(True).alias("skip"), F.lit(False).alias("many"), F.lit(None).cast("array<int>").alias("refs"))
+    own = refs.join(repeats.drop("skip"), ["id", "text_key"], "full").select("id", "text_key", F.lit(False).alias("skip"), F.coalesce("many", F.lit(False)).alias("many"), "refs")
+    notes = sized(scratch.save(notes.unionByName(own), "notes"))
     kept = keyed.withColumn("id", F.coalesce("id", F.lit(-(2**63)))).join(notes, ["id", "text_key"], "left").where("skip is null or not skip")
+    if told.where("many and not skip").limit(1).count():
+        single = F.coalesce("many", F.lit(False))
+        kept = kept.where(~single).unionByName(kept.where(single).dropDuplicates(["id", "text_key"]))
     store = scratch.save(store_chunks(kept.select("text", "refs")), "store")
 
     missing = "exists(chunks, c -> c.bytes is null)"
@@ -189,6 +200,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fetched = broken.where("c.bytes is null").select("media_key", "place", "c.digest").join(lent, "digest").select("media_key", "place", "bytes")
     joined = owned.unionByName(fetched).groupBy("media_key").agg(F.array_sort(F.collect_list(F.struct("place", "bytes"))).alias("p"))
     mended = joined.select("media_key", F.expr("transform(p, x -> x.bytes)").alias("parts"))
-    features = rebuild(whole).unionByName(rebuild(mended)).dropDuplicates(["media_key"])
-    out = rows.select(F.col("id").alias("doc_id"), "n_bytes", "media_key").join(features, "media_key")
+    features = scratch.save(rebuild(whole).unionByName(rebuild(mended)).dropDuplicates(["media_key"]), "features")
+    scratch.drop("owners", "told", "places", "notes", "lent", "lent-bytes")
+    out = lookup_join(rows.select(F.col("id").alias("doc_id"), "n_bytes", "media_key"), features, "media_key", limit=FEATURE_ROWS)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
