@@ -1,8 +1,9 @@
 """WARC archives: writing, reading, and revisit resolution.
 
 Headers alone, (record, payload digest), are shuffled to choose one original of each payload; the others become
-``revisit`` records without a body that refer to it.  Archives are gzipped WARC/1.1 files that Spark's text writer
-puts into the shared folder: a record's closing blank lines are the writer's line separator.
+``revisit`` records without a body that refer to it.  Archives are WARC/1.1 files in which each record is a gzip member
+of its own, so that readers can seek.  Spark's text writer puts them into the shared folder, which needs a separator:
+the last byte of a member, the highest one of its length, is zero, and that is the separator.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ import base64
 import gzip
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized
+from .common import Scratch, lookup_join, sized
 
 CRLF = "\r\n"
 #: Ends a record.
@@ -51,11 +53,12 @@ def record_id(page_id: Column, digest: Column) -> Column:
 
 def resolve(headers: DataFrame) -> DataFrame:
     """(page_id, payload_digest) with the digest's ``original``: the largest page_id that has this payload."""
-    originals = headers.groupBy("payload_digest").agg(F.max("page_id").alias("original"))
-    return headers.select("page_id", "payload_digest").distinct().join(originals, "payload_digest")
+    originals = headers.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    originals = Scratch(headers.sparkSession, "warc").save(originals, "originals")
+    return lookup_join(headers.select("page_id", "payload_digest").distinct(), originals, "payload_digest", limit=1_000_000)
 
 
-def as_records(pages: DataFrame, revisits: DataFrame, date: str) -> DataFrame:
+def as_records(pages: DataFrame, revisits: DataFrame, date: str | Column) -> DataFrame:
     """One WARC record, as text, for each row of ``pages``: fresh headers, and the body where it is an original.
 
     ``revisits`` has the (page_id, payload_digest, original) of the others, each once.
@@ -71,7 +74,7 @@ def as_records(pages: DataFrame, revisits: DataFrame, date: str) -> DataFrame:
         F.lit("WARC/1.1" + CRLF),
         head("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         head("WARC-Record-ID", record_id(F.col("page_id"), F.col("payload_digest"))),
-        head("WARC-Date", F.lit(date)),
+        head("WARC-Date", date if isinstance(date, Column) else F.lit(date)),
         head("WARC-Target-URI", uri),
         head("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
         F.when(F.col("page_id").isNotNull(), head("X-Page-ID", F.col("page_id").cast("string"))).otherwise(F.lit("")),
@@ -80,14 +83,41 @@ def as_records(pages: DataFrame, revisits: DataFrame, date: str) -> DataFrame:
         head("Content-Length", F.octet_length(block).cast("string")),
         F.lit(CRLF),
         block,
+        F.lit(END),
     )
     return joined.select(text.alias("record"))
 
 
+def members(records: DataFrame) -> DataFrame:
+    """Each record as a gzip member without its last byte, which is zero: that of lengths below 16 MiB.
+
+    A longer record, whose length may end otherwise, is followed by an empty member.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                made = [gzip.compress(x.as_buffer().to_pybytes(), 6, mtime=0) for x in batch.column(0).slice(i, 256)]
+                made = [(m if m[-1] == 0 else m + gzip.compress(b"", mtime=0))[:-1] for m in made]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
+
+    return records.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("record"))
+
+
 def write_archives(records: DataFrame, path: str, rows: int, total_bytes: int) -> None:
-    """Write ``records`` as compressed archives of about ``FILE_BYTES`` each, where they are: bodies are not shuffled."""
+    """Write ``records`` as archives of about ``FILE_BYTES`` each, where they are: bodies are not shuffled.
+
+    The driver then renames the finished files, part-*.txt, to part-*.warc.gz.
+    """
     each = max(1, rows * FILE_BYTES // max(1, total_bytes))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    members(records).write.option("lineSep", "\0").option("maxRecordsPerFile", each).text(path)
+    spark = records.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        found = status.getPath()
+        if found.getName().endswith(".txt"):
+            files.rename(found, spark._jvm.org.apache.hadoop.fs.Path(folder, found.getName().removesuffix(".txt") + ".warc.gz"))
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -137,27 +167,34 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     columns = zip(*found[i : i + 512], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").where("length(content) > 0")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content").where("length(content) > 0")
     # archives are read one at a time, so that a task holds one file and not a batch of them
     return files.mapInArrow(run, schema)
 
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Records as read, revisits with their original's page_id (``refers_to``) and payload size, by a join of headers."""
-    heads = records.drop("html")
-    originals = heads.where("record_type = 'response'").select(F.col("record_id").alias("o_id"), F.col("page_id").alias("o_page"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_digest").alias("o_digest"))
-    originals = originals.dropDuplicates(["o_id"])
-    joined = heads.join(originals, (F.col("refers_to_id") == F.col("o_id")) & (F.col("payload_digest") == F.col("o_digest")), "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "o_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("o_page")).alias("refers_to"), "url", "record_id")
+def resolve_revisits(heads: DataFrame) -> DataFrame:
+    """Headers as read, those of revisits with their original's page_id (``refers_to``) and payload size, by a join."""
+    common = ["page_id", "payload_digest", "record_type", "url", "record_id"]
+    originals = heads.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("payload_digest").alias("o_digest"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("o_bytes"))
+    revisits = heads.where("record_type = 'revisit'")
+    wanted = originals.join(revisits.select("refers_to_id").distinct(), "refers_to_id", "left_semi").dropDuplicates(["refers_to_id"])
+    wanted = Scratch(heads.sparkSession, "warc").save(wanted, "wanted")
+    met = lookup_join(revisits.drop("payload_bytes"), wanted, "refers_to_id", "left", limit=1_000_000)
+    right = F.col("payload_digest") == F.col("o_digest")
+    met = met.select(*common, F.when(right, F.col("o_bytes")).alias("payload_bytes"), F.when(right, F.col("refers_to")).alias("refers_to"))
+    own = heads.where("record_type <> 'revisit'").select(*common, "payload_bytes", F.lit(None).cast("bigint").alias("refers_to"))
+    return met.unionByName(own)
 
 
-def deduplicated(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
+def deduplicated(pages: DataFrame, path: str, date: str | None = None) -> None:
     """Write ``pages`` (page_id, url, html) to deduplicated archives below ``path``.
 
     Of rows with equal payloads, empty ones too, the one with the largest page_id is the response and the others are
     revisits of it; rows that repeat the largest id, and the payload, are all responses.  Null ids count as smallest
-    (all responses, if no other row has their payload).  A null html is an empty payload.
+    (all responses, if no other row has their payload).  A null html is an empty payload.  ``date``, in the form
+    2024-01-31T12:00:00Z, is that of all records; without one it is the time of the call.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     heads = payload_headers(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
     scratch = Scratch(pages.sparkSession, "warc")
     slim = scratch.save(heads.select("page_id", "payload_bytes", "payload_digest"), "headers")
@@ -167,11 +204,12 @@ def deduplicated(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
     scratch.drop("headers", "revisits")
 
 
-def archive_round_trip(pages: DataFrame) -> DataFrame:
+def archive_round_trip(pages: DataFrame, date: str | None = None) -> DataFrame:
     """Write ``pages`` as deduplicated archives in the shared folder, read them back and resolve the revisits.
 
     Returns (page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id) for each row.
     """
     scratch = Scratch(pages.sparkSession, "archive")
-    deduplicated(pages, scratch.path("warc"))
-    return resolve_revisits(read_archives(pages.sparkSession, scratch.path("warc")))
+    deduplicated(pages, scratch.path("warc"), date)
+    heads = scratch.save(read_archives(pages.sparkSession, scratch.path("warc")).drop("html"), "heads")
+    return resolve_revisits(heads).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")
