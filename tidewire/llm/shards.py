@@ -13,9 +13,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, column
 
 BINS = 4096
+#: Numbers that a row which stands for many equal ones is spread out to at a time.
+RUN = 4096
 #: Ties on every dimension are cut by this last one, of which equal texts have equal values.
 TIE = "tie"
 #: A group of equal texts that would tilt a cut too far is cut by this one.
@@ -74,7 +76,7 @@ def _medians(points: DataFrame, nodes: list[Node], targets: dict[int, float], di
             x = F.col(dims[i])
             inside = nodes[i].where & x.between(low[i], high[i])
             node = F.when(inside, F.lit(i)).otherwise(node)
-            b = F.when(inside, F.floor((x.cast("decimal(20,0)") - F.lit(low[i]).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")).otherwise(b)
+            b = F.when(inside, F.floor((x - low[i]) / width).cast("int")).otherwise(b)  # all dimensions span 33 bits at most
         sums = points.select(node.alias("node"), b.alias("bin"), "size").where("node is not null").groupBy("node", "bin").agg(F.sum("size").alias("s"))
         by: dict[int, list] = {}
         for r in sums.collect():  # at most BINS numbers a node
@@ -146,21 +148,44 @@ def shard_of(node: Node) -> Column:
     return F.when(_at_or_below(node.cut), shard_of(node.left)).otherwise(shard_of(node.right))
 
 
-def number_rows(df: DataFrame, shard: str, order: list[str], scratch: Scratch, rows_per_part: int = 2000) -> DataFrame:
+def number_rows(df: DataFrame, shard: str, scratch: Scratch, rows_per_part: int = 2000) -> DataFrame:
     """``df`` with ``slot``: 0, 1, .. within each shard, without gaps and without a task that holds a whole shard.
 
-    Rows are dealt to parts by a hash of ``order``; the driver adds up the parts' counts, and a row's number is its
-    part's start plus its rank there.
+    Rows that are equal in all columns are counted first, so that however many there are they are one row of a part.
+    Different rows are dealt to parts by a hash; the driver's plan adds up the parts' counts, and a group's numbers go
+    on from those of its part and of the groups before it there.  They are spread out in runs of ``RUN``.
     """
-    rows = df.count()
+    groups = scratch.save(df.groupBy(*df.columns).agg(F.count("*").alias("_n")), "groups")
+    rows, most = groups.agg(F.count("*"), F.max("_n")).first()
     parts = max(1, min(4096, rows // max(1, rows_per_part * 16)))
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = dealt.groupBy(shard, "_part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = scratch.save(counts.select(shard, "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")), "starts")
-    rank = F.row_number().over(Window.partitionBy(shard, "_part").orderBy(*order))
-    ranked = dealt.withColumn("_rank", rank)
-    return ranked.join(F.broadcast(starts), [shard, "_part"]).withColumn("slot", (F.col("_start") + F.col("_rank") - 1).cast("bigint")).drop("_part", "_rank", "_start")
+    dealt = groups.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int"))
+    counts = dealt.groupBy(shard, "_part").agg(F.sum("_n").alias("n"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = scratch.save(counts.select(shard, "_part", F.coalesce(F.sum("n").over(before(shard).orderBy("_part")), F.lit(0)).alias("_start")), "starts")
+    inner = F.coalesce(F.sum("_n").over(before(shard, "_part").orderBy(*df.columns)), F.lit(0))
+    placed = dealt.withColumn("_inner", inner).join(F.broadcast(starts), [shard, "_part"])
+    runs = placed.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(RUN).cast("bigint"))))
+    if (most or 0) > 16 * RUN:
+        runs = runs.repartition(F.col(shard), F.col("_run"))
+    each = runs.withColumn("_at", F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + (RUN - 1), F.col("_n") - 1))))
+    return each.select(*df.columns, (F.col("_start") + F.col("_inner") + F.col("_at")).cast("bigint").alias("slot"))
+
+
+def metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, log_size, log_lines, log_words, tie, row_tie) of each row, none null but doc_id."""
+    raw = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    log = lambda n: (F.log2(n + F.lit(1.0)) * 65536).cast("bigint")
+    without = lambda mark: F.length(raw) - F.length(F.replace(raw, F.lit(mark), F.lit("")))
+    return docs.select(
+        column(id_col).cast("bigint").alias("doc_id"),
+        (F.octet_length(raw) + 1).cast("bigint").alias("size"),
+        F.crc32(raw.cast("binary")).alias("text_crc32"),
+        log(F.octet_length(raw)).alias("log_size"),
+        log(without("\n")).alias("log_lines"),
+        log(without(" ")).alias("log_words"),
+        F.shiftright(F.xxhash64(raw), 32).alias(TIE),
+        F.shiftright(F.xxhash64(column(id_col)), 32).alias(ROW),
+    )
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,22 +194,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     A row's size is the UTF-8 bytes of its text (null: none) plus 1.  The dimensions are the size, the lines and the
     words (both on a logarithmic scale) and the CRC-32 of the text, all of the text alone; so equal texts share a
     shard, except for groups so large that a cut has to run through them to keep the sizes near equal.  ``slot`` numbers a shard's rows from 0.
-    Repeated rows and null ids are kept; an empty table gives none.  Other columns are not read.
+    Repeated rows and null ids are kept, each with a slot of its own; an empty table gives none.  Other columns are not
+    read, and a text is never held beside another.
     """
     scratch = Scratch(docs.sparkSession, "shards")
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    points = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        (F.octet_length(raw) + 1).cast("bigint").alias("size"),
-        F.crc32(raw.cast("binary")).alias("text_crc32"),
-        (F.log2(F.octet_length(raw) + F.lit(1.0)) * 65536).cast("bigint").alias("log_size"),
-        (F.log2(F.length(raw) - F.length(F.replace(raw, F.lit("\n"), F.lit(""))) + F.lit(1.0)) * 65536).cast("bigint").alias("log_lines"),
-        (F.log2(F.length(raw) - F.length(F.replace(raw, F.lit(" "), F.lit(""))) + F.lit(1.0)) * 65536).cast("bigint").alias("log_words"),
-        F.shiftright(F.xxhash64(raw), 32).alias(TIE),
-        F.shiftright(F.xxhash64(F.col(id_col)), 32).alias(ROW),
-    )
-    points = scratch.save(points, "points")
+    points = scratch.save(metadata(docs, id_col, text_col), "points")
     tree = kd_tree(points, ["log_size", "log_lines", "log_words", "text_crc32"], shards)
     placed = points.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard_of(tree).cast("int").alias("shard"), TIE)
-    out = number_rows(placed, "shard", ["doc_id", "text_crc32", TIE], scratch)
+    out = number_rows(placed, "shard", scratch)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
