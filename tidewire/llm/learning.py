@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +25,24 @@ def thin(df: DataFrame, id_col: str, rows: int, most: int, salt: int) -> DataFra
     return df if share >= 1 else df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(_SCALE)) < int(share * _SCALE))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, scratch: Scratch, name: str) -> tuple[DataFrame, dict[int, int]]:
-    """Documents (doc_id, text) with y, at most about ``most`` of each class, and the classes' counts in all labels."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, scratch: Scratch, name: str, classes: tuple[int, ...] = (0, 1)) -> tuple[DataFrame, dict[int, int]]:
+    """Documents (doc_id, text) with y, and the classes' counts in all labels.
+
+    Of each of ``classes`` at most about ``most`` different texts are taken, and so few that whole texts of about ``most_bytes``
+    are; ids that repeat in ``docs`` bring no more.  Rows are chosen by a hash, and none is cut.
+    """
     labels = scratch.save(labels, f"{name}-labels")
     counts = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = None
-    for y, n in counts.items():
-        part = thin(labels.where(F.col("y") == y), "doc_id", n, most, 7)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        chosen = labels
+    if not any(y in counts for y in classes):
+        return docs.join(labels, "doc_id").where("false"), counts
+    chosen = reduce(DataFrame.unionByName, [thin(labels.where(F.col("y") == y), "doc_id", n, most, 7) for y, n in counts.items() if y in classes])
     # about 2 x ``most`` pairs of numbers: a bounded broadcast
-    return docs.join(F.broadcast(chosen), "doc_id"), counts
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("y", "text").agg(F.min("doc_id").alias("doc_id"))
+    found = scratch.save(found.withColumn("_draw", F.xxhash64("text")), f"{name}-texts")
+    held = found.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+    share = {r["y"]: max(r["n"] / (1.2 * most), r["size"] / most_bytes) for r in held}
+    kept = [thin(part, "_draw", round(share[y] * 1000), 1000, 13) if share[y] > 1 else part for y in share for part in (found.where(F.col("y") == y),)]
+    return (reduce(DataFrame.unionByName, kept) if kept else found).drop("_draw"), counts
 
 
 class Adam:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bytes_np import BYTE_CODES, NOT_SPACE, Spans, pieces, text_bytes, words
 from .common import Scratch, crc_mod
@@ -139,28 +140,25 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 64
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3, held_out: int = 1, most: int = 2500, most_passages: int = 64) -> Model | float:
-    """Fit on at most about ``most`` documents of each class, outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3, held_out: int = 1, most: int = 2500, most_bytes: int = 24 << 20) -> Model | float:
+    """Fit on all passages of at most about ``most`` documents, or ``most_bytes`` of them, of each class.
 
-    Of a document of more than ``most_passages`` passages so many, evenly spaced, are taken in training alone.  With
-    labels of one class only, that class is returned instead of a model; with none, 1.
+    The documents are outside the held-out fold and taken whole.  With labels of one class only, that class is returned
+    instead of a model; with none, 1.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     docs = docs.select("doc_id", "text").where("text <> ''")
-    sample, counts = labelled_sample(docs, labels_of_fold(labels, label, mod, held_out).where("y in (0, 1)"), most, scratch, "fit")
+    sample, counts = labelled_sample(docs, labels_of_fold(labels, label, mod, held_out).where("y in (0, 1)"), most, most_bytes, scratch, "fit")
     if len(counts) < 2:
         return float(next(iter(counts), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for m in encode(batch.column(2)):
-                if len(m) > most_passages:
-                    m = m[np.linspace(0, len(m) - 1, most_passages).astype(int)]
-                made.append(m.astype(np.float32).tobytes())
+            made = [m.astype(np.float32).tobytes() for m in encode(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["doc_id", "y", "bag"])
 
     rows = sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y int, bag binary").toPandas()
+    scratch.drop("fit-labels", "fit-texts")
     if rows["y"].nunique() < 2:
         return float(max(counts, key=counts.get))
     rows = rows.drop_duplicates("bag").sort_values(["doc_id", "bag"])  # the same order in every run
@@ -169,9 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int =
 
 
 def score(docs: DataFrame, model: Model | float, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with ``out_col``, 0 to 1, higher for label 1; whole texts, null as empty."""
+    """``docs`` with ``out_col``, 0 to 1, higher for label 1; whole texts, null as empty.
+
+    Repeated rows each return, equal texts with equal scores, and all columns stay, whatever their names; one that is
+    called ``out_col`` is replaced.
+    """
     if isinstance(model, float):
-        return docs.withColumn(out_col, F.lit(model))
+        return docs.drop(out_col).withColumn(out_col, F.lit(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +187,7 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text", out_col
             yield batch.append_column(out_col, pa.array(np.concatenate([*out, model.scores(bags)]), pa.float64()))
 
     plain = docs.drop(out_col)
-    return plain.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*plain.dtypes, (out_col, "double")]))
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField(out_col, DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

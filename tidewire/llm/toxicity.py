@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bytes_np import BYTE_CODES, WORD_BYTES, Spans, ascii_lower, mix64, pieces, text_bytes, words
 from .common import Scratch, crc_mod
@@ -23,8 +24,9 @@ from .learning import Adam, labelled_sample, labels_of_fold, sigmoid, thin
 
 #: Bytes of the word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
-#: A feature needs so many positive documents and so large a log ratio to be kept, and no more than so many are.
-SUPPORT, RATIO, FEATURES = 5, 1.5, 50_000
+#: A feature needs so large a log ratio to be kept, and so many positive documents: ``LEAST``, or one of ``SHARE``, so
+#: that a document's features, on average, times ``SHARE`` bound how many there are.
+LEAST, SHARE, RATIO = 5, 2000, 1.5
 N_SUMMARY = 6
 
 
@@ -112,20 +114,20 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     return coef
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, held_out: int = 0, most: int = 12_000) -> Model | None:
-    """Fit on at most about ``most`` positives and twice as many unlabelled rows, all outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, held_out: int = 0, most: int = 12_000, most_bytes: int = 128 << 20) -> Model | None:
+    """Fit on at most about ``most`` positives, or ``most_bytes`` of them, and twice as many unlabelled rows.
 
-    The class prior is the share of positives among the fold's labels.  None if there are no positives.
+    All are whole texts outside the held-out fold.  The class prior is the share of positives among the fold's labels.  None if there are no positives.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     docs = docs.select("doc_id", "text").where("text <> ''")
-    sample, counts = labelled_sample(docs, labels_of_fold(labels, label, mod, held_out).where("y in (0, 1)"), most, scratch, "pu")
+    sample, counts = labelled_sample(docs, labels_of_fold(labels, label, mod, held_out).where("y in (0, 1)"), most, most_bytes, scratch, "pu", (1,))
     if not counts.get(1):
         return None
     prior = min(0.9, max(0.005, counts[1] / sum(counts.values())))
     open_ = docs.where(crc_mod("doc_id", mod) != held_out)
-    unlabelled = thin(open_, "doc_id", docs.count(), 2 * most, 11)
-    both = sample.where("y = 1").select("y", "text").unionByName(unlabelled.select(F.lit(0).alias("y"), "text"))
+    unlabelled = thin(open_.withColumn("_draw", F.xxhash64("doc_id", "text")), "_draw", docs.count(), 2 * most, 11)
+    both = sample.select("y", "text").unionByName(unlabelled.select(F.lit(0).alias("y"), "text"))
     both = scratch.save(both.dropDuplicates(["y", "text"]), "sample")
     size = {r["y"]: r["n"] for r in both.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_unl = size.get(1, 0), size.get(0, 0)
@@ -134,8 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5
     p, u = F.col("pos") / n_pos, F.col("unl") / n_unl
     negative = F.greatest((u - prior * p) / (1 - prior), F.lit(0.0))
     ratio = F.log((p + 0.5 / n_pos) / (negative + 2.0 / n_unl))
-    kept = token_counts(both).where(F.col("pos") >= SUPPORT).withColumn("w", ratio).where(F.col("w") >= RATIO)
-    rows = kept.orderBy(F.desc("w"), "token").limit(FEATURES).select("token", "w").toPandas()
+    support = max(LEAST, n_pos // SHARE)
+    rows = token_counts(both).where(F.col("pos") >= support).withColumn("w", ratio).where(F.col("w") >= RATIO).select("token", "w").toPandas()
     tokens, weights = rows["token"].to_numpy(np.int64).astype(np.uint64), rows["w"].to_numpy(float)
     order = np.argsort(tokens)
     tokens, weights = tokens[order], weights[order]
@@ -147,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5
 
     schema = "y int, " + ", ".join(f"f{i} double" for i in range(N_SUMMARY))
     told = both.select("y", "text").mapInArrow(run, schema).toPandas().to_numpy(float)
-    scratch.drop("sample", "pu-labels")
+    scratch.drop("sample", "pu-labels", "pu-texts")
     told = told[np.lexsort(told.T)]  # the same order in every run
     x = told[:, 1:]
     mean, scale = x.mean(0), x.std(0) + 1e-6
@@ -156,9 +158,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with ``out_col``, 0 to 1, higher for the toxic; whole texts, null as empty.  0 for all without a model."""
+    """``docs`` with ``out_col``, 0 to 1, higher for the toxic; whole texts, null as empty.  0 for all without a model.
+
+    Repeated rows each return, equal texts with equal scores, and all columns stay, whatever their names; one that is
+    called ``out_col`` is replaced.
+    """
     if model is None:
-        return docs.withColumn(out_col, F.lit(0.0))
+        return docs.drop(out_col).withColumn(out_col, F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +172,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col:
             yield batch.append_column(out_col, pa.array(sigmoid(np.hstack([s, np.ones((len(s), 1))]) @ model.coef), pa.float64()))
 
     plain = docs.drop(out_col)
-    return plain.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*plain.dtypes, (out_col, "double")]))
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField(out_col, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
