@@ -10,8 +10,8 @@ from ..operators import corroboration, ingest
 from .base import HOUR_MS, NOW_MS, STORIES, query, stories, table
 
 MS = "(epoch_us(ts) // 1000)"
-#: Fixed prose for queries over documents: the first line as a title.
-TITLE = "substr(split_part(text, chr(10), 1), 1, 120)"
+#: The first line of a document as a title.
+TITLE = f"trim(regexp_replace(substr(split_part(text, chr(10), 1), 1, {text.TITLE_CHARS}), '{text.SPACES}+', ' ', 'g'))"
 FP = r"trim(regexp_replace(regexp_replace(lower({}), '&(?:amp;)?', ' and ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 CANONICAL = r"""SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url FROM (
   SELECT page_id, lower(regexp_extract(url, '^(https?)://', 1)) AS scheme, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host,
@@ -22,7 +22,7 @@ IDENTITY_NAMES = ", ".join(f"'{n}'" for n in text.IDENTITY_TRACKING)
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.substring(F.substring_index("text", "\n", 1), 1, 120)
+    title = text.clean_title(F.substring_index("text", "\n", 1))
     return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", title.alias("title"))
 
 
@@ -119,12 +119,16 @@ def capped_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.capped_counts(items, ingest.novelty_cap(items, limits))
 
 
-_SQL = {name: getattr(text, name).replace("'", "''") for name in ("EVENT_PATTERN", "NON_EVENT_PATTERN", "EDITORIAL_PATTERN")}
+def _matches(column: str, *patterns: str) -> str:
+    """SQL for whether one of the patterns occurs; DuckDB's word edges are ASCII ones already."""
+    return "(" + " OR ".join(f"regexp_matches({column}, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + ")"
+
+
 GATE = rf"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Nature' WHEN 1 THEN 'Indian Express' ELSE source END AS source, 'https://a.example/' || (CASE WHEN doc_id % 8 = 1 THEN 'sports/' ELSE 'news/' END) || CAST(doc_id AS VARCHAR) AS url,
-    (CASE WHEN doc_id % 7 = 0 THEN 'Daily briefing: ' WHEN doc_id % 7 = 1 THEN 'Best deals on ' WHEN doc_id % 7 = 2 THEN 'Best deals after the flood: ' ELSE '' END) || substr({TITLE}, 1, 20) AS title, substr(text, 1, CAST(doc_id % 200 AS INTEGER)) AS description FROM documents),
-  e AS (SELECT *, trim(regexp_replace(description, '\s+', ' ', 'g')) AS summary, lower(regexp_replace(title || ' ' || description, '\s+', ' ', 'g')) AS t FROM d),
+    (CASE WHEN doc_id % 7 = 0 THEN 'Daily briefing: ' WHEN doc_id % 7 = 1 THEN 'Best deals on ' WHEN doc_id % 7 = 2 THEN 'Best deals after the flood: ' ELSE '' END) || {TITLE} AS title, text AS description FROM documents),
+  e AS (SELECT *, trim(regexp_replace(description, '{text.SPACES}+', ' ', 'g')) AS summary, regexp_replace(title || ' ' || description, '{text.SPACES}+', ' ', 'g') AS t FROM d),
   j AS (SELECT doc_id, CASE WHEN source = 'Indian Express' AND contains(url, '/sports/') THEN 'irrelevant_section'
-    WHEN regexp_matches(lower(title), '{_SQL['EDITORIAL_PATTERN']}') OR (NOT regexp_matches(t, '{_SQL['EVENT_PATTERN']}') AND regexp_matches(t, '{_SQL['NON_EVENT_PATTERN']}')) THEN 'clearly_non_event'
+    WHEN {_matches('title', *text.EDITORIAL_PATTERNS)} OR (NOT {_matches('t', text.EVENT_PATTERN)} AND {_matches('t', *text.NON_EVENT_PATTERNS)}) THEN 'clearly_non_event'
     WHEN source IN ('Nature', 'Indian Express') AND (length(summary) < 80 OR len(list_filter(string_split(summary, ' '), lambda x: x <> '')) < 12) THEN 'insubstantial_description' END AS reason FROM e)"""
 
 
@@ -135,8 +139,8 @@ def _gate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.when(i % 4 == 0, "Nature").when(i % 4 == 1, "Indian Express").otherwise(F.col("source")).alias("source"),
         F.concat(F.lit("https://a.example/"), F.when(i % 8 == 1, "sports/").otherwise("news/"), i.cast("string")).alias("url"),
-        F.concat(lead, F.substring("title", 1, 20)).alias("title"),
-        F.expr("substring(text, 1, cast(doc_id % 200 as int))").alias("description"),
+        F.concat(lead, "title").alias("title"),
+        F.col("text").alias("description"),
     )
 
 
@@ -295,13 +299,16 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"), text.page_image(F.col("html")).alias("image"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(" + TITLE + " || CASE WHEN doc_id % 3 = 0 THEN ' analysis' ELSE '' END || CASE WHEN doc_id % 6 = 0 THEN ' of an attack' ELSE '' END), '(?:^|[^a-z0-9_])(?:" + "|".join(text.LOW_SIGNAL) + ")(?:[^a-z0-9_]|$)') AND doc_id % 6 <> 0 AND doc_id % 2 = 1 AS expires FROM documents")
+EXPIRING = f"{TITLE} || CASE WHEN doc_id % 3 = 0 THEN ' analysis' ELSE '' END || CASE WHEN doc_id % 6 = 0 THEN ' of an attack' ELSE '' END || ' ' || text"
+
+
+@query(f"WITH d AS (SELECT doc_id, {EXPIRING} AS t FROM documents) SELECT doc_id, {_matches('t', text.LOW_SIGNAL_PATTERN)} AND NOT {_matches('t', text.EVENT_PATTERN)} AND doc_id % 2 = 1 AS expires FROM d")
 def low_signal_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Social items of the lowest tier that say little expire."""
     i = F.col("doc_id")
     title = F.concat(F.col("title"), F.when(i % 3 == 0, " analysis").otherwise(""), F.when(i % 6 == 0, " of an attack").otherwise(""))
     kind = F.when(i % 2 == 1, "social").otherwise("rss")
-    return _titles(spark, sf_dir).select("doc_id", text.low_signal(title, F.lit(""), kind, F.lit(3)).alias("expires"))
+    return _titles(spark, sf_dir).select("doc_id", text.low_signal(title, F.col("text"), kind, F.lit(3)).alias("expires"))
 
 
 @query("""SELECT user_id, first(event_id ORDER BY ts DESC, event_id DESC) AS event_id FROM events WHERE event_type = 'purchase' AND value > 5 GROUP BY user_id""")

@@ -72,7 +72,7 @@ TITLES = f"t AS (SELECT doc_id, {FP.format(TITLE)} AS fp FROM documents)"
 @query(f"WITH {TITLES} SELECT a.doc_id AS seq, b.doc_id AS story FROM t a JOIN t b ON a.fp = b.fp WHERE length(a.fp) >= 24 AND a.doc_id % 2 = 1 AND b.doc_id % 2 = 0")
 def exact_title_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming items and stories with equal titles."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.clean_title(F.substring_index("text", "\n", 1)).alias("title"))
     old = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "title", F.lit(NOW_MS).alias("published_ms"))
     return st.exact_candidates(d.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "seq"), old, NOW_MS)
 
@@ -151,7 +151,7 @@ def maintenance_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What cleaning changes or deletes; the fold over lines is beyond SQL, so rows only and tests."""
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
-    s = d.select(i.cast("string").alias("id"), "source", F.lit("https://a.example/x").alias("url"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("description"), F.lit(None).cast("array<string>").alias("sources"), (1 + i % 3).alias("tier"), F.lit(1).alias("independent"), F.lit(1.5).alias("impact"))
+    s = d.select(i.cast("string").alias("id"), "source", F.lit("https://a.example/x").alias("url"), text.clean_title(F.substring_index("text", "\n", 1)).alias("title"), F.col("text").alias("description"), F.lit(None).cast("array<string>").alias("sources"), (1 + i % 3).alias("tier"), F.lit(1).alias("independent"), F.lit(1.5).alias("impact"))
     return maintenance.clean_archive(s, ["src3"])
 
 
