@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import geo
-from tidewire.operators import corroboration, feed, geocode, ingest, maintenance
+from tidewire.operators import corroboration, feed, geocode, ingest, maintenance, resolution
 from tidewire.operators import stories as st
 from tidewire.plans import story_queries
 
@@ -124,14 +124,29 @@ def test_conflicts(spark):
         ("Explosion hits a depot on Monday", "Blast near the depot Friday night", 10, False),
         ("Explosion reported on Monday", "Explosion reported on Friday", 10, True),
         ("Minister resigns", "Minister steps down", 500, False),
+        ("Hosts win table tennis gold", "Hosts win tennis gold", 0, True),
+        ("France and Germany sign pact", "Spain and France sign a pact", 0, True),
+        ("France and Germany sign pact", "Germany agrees deal with France", 0, False),
+        ("Explosion near the depot. Names released Monday", "Explosion near the depot. It was hit Friday", 20, False),
+        ("Blast at a plant", "Refinery explosion was massive", 0, False),
+        ("Massive blast hits the old port", "Airport bombed", 0, False),
+        ("Blast hits the old port", "Airport attack, airport struck", 0, True),
     ]
     schema = "i int, title string, description string, url string, at_ms long, lat double, lon double, precise boolean"
     one = lambda side: spark.createDataFrame([(i, r[side], "", f"https://e/{side}/{i}", r[2] * HOUR * side + HOUR, 0.0, 0.0, False) for i, r in enumerate(rows)], schema)
-    a, b = st.evidence(one(0)).alias("a"), st.evidence(one(1)).alias("b")
+    judge = lambda df: st.evidence(st.named_countries(df.withColumn("id", F.col("i")), geocode.seed(spark)))
+    a, b = judge(one(0)).alias("a"), judge(one(1)).alias("b")
     got = {r["i"]: r["c"] for r in a.join(b, F.col("a.i") == F.col("b.i")).select("a.i", st.conflicts("a", "b").alias("c")).collect()}
     assert [got[i] for i in range(len(rows))] == [r[3] for r in rows]
 
 
+def test_equal_titles_at_named_places_far_apart_conflict(spark):
+    rows = [(1, "Fire in Paris", "", "https://e/1", 0, 48.9, 2.3, False, "Paris, France"), (2, "Fire in Paris", "near Paris", "https://e/2", 0, 33.7, -95.6, False, "Paris, Texas"), (3, "Fire in Paris", "", "https://e/3", 0, 33.7, -95.6, False, "Lamar (County)")]
+    e = st.evidence(spark.createDataFrame(rows, "id int, title string, description string, url string, at_ms long, lat double, lon double, precise boolean, location_name string"))
+    got = {tuple(r) for r in e.alias("a").crossJoin(e.alias("b")).where("a.id < b.id").select("a.id", "b.id", st.conflicts("a", "b")).collect()}
+    assert got == {(1, 2, True), (1, 3, False), (2, 3, False)}
+
+
 def test_conflict_candidates_equal_all_pairs(spark, sf_small):
     rng = random.Random(6)
     titles = ["Explosion reported on Monday", "Explosion reported on Friday", "Quiz", "quiz!", "Toll rises", "", None]
@@ -148,9 +163,92 @@ def test_conflict_candidates_equal_all_pairs(spark, sf_small):
 
 
 def test_fold_follows_arrival(spark):
-    rows = [(1, 1, "first", "desc", 2, 0, "a"), (1, 2, "better", "", 1, 10, "b"), (1, 3, "again", "x", 1, 99, "b"), (1, 4, "late", "a long description", 2, 7 * HOUR, "c")]
-    got = st.fold(spark.createDataFrame(rows, "component long, seq long, title string, description string, tier int, at_ms long, identity string")).first()
-    assert (got["title"], got["description"], got["tier"], got["reports"], got["best_tier"], got["latest_ms"]) == ("late", "a long description", 2, 3, 1, 7 * HOUR)
+    rng = random.Random(9)
+    rows, want = [], {}
+    for story in range(60):
+        for seq in range(rng.randint(1, 8)):
+            r = {"story": f"n{story:02}", "seq": seq, "repeated": seq > 0 and rng.random() < 0.2, "title": "t" * rng.randint(1, 9), "description": rng.choice(["", "d" * rng.randint(1, 9), None]), "url": f"u{seq}", "source": "s", "source_type": "rss"}
+            r |= {"tier": rng.randint(1, 3), "at_ms": rng.randint(0, 10) * HOUR, "lat": rng.choice([None, 1.0, 2.0]), "lon": 0.0, "location_name": None, "image_url": rng.choice([None, "i"]), "image_ms": None, "image_updated_ms": None, "description_tier": None, "description_ms": None}
+            r["latest_ms"] = r["at_ms"]
+            rows.append(r)
+            s = want.setdefault(r["story"], {"title": r["title"], "tier": r["tier"], "at": r["at_ms"], "desc": r["description"] or "", "dt": r["tier"], "da": r["at_ms"], "lat": r["lat"], "latest": r["at_ms"], "impact": r["tier"]})
+            if not seq:
+                continue
+            s["latest"] = max(s["latest"], r["at_ms"])
+            if r["repeated"]:
+                continue
+            old, desc = dict(s), r["description"] or ""
+            s["impact"] = min(old["tier"], r["tier"])
+            long, new_long = len(old["title"]) + len(old["desc"]), len(r["title"]) + len(desc)
+            if r["tier"] < old["tier"]:
+                wins = True
+            elif r["tier"] == old["tier"]:
+                wins = r["at_ms"] > old["at"] or (r["at_ms"] == old["at"] and new_long > long)
+            else:
+                wins = r["tier"] == old["tier"] + 1 and r["at_ms"] > old["at"] + 15 * 60_000
+            if wins:
+                s |= {"title": r["title"], "tier": r["tier"], "at": r["at_ms"], "lat": r["lat"]}
+            stale = r["at_ms"] > old["da"] + 6 * HOUR
+            if r["tier"] < old["dt"] or not old["desc"]:
+                wins = True
+            elif r["tier"] == old["dt"]:
+                wins = (stale and len(desc) >= 0.7 * len(old["desc"])) or len(desc) > len(old["desc"])
+            else:
+                wins = r["tier"] == old["dt"] + 1 and stale and len(desc) >= len(old["desc"])
+            if wins and desc:
+                s |= {"desc": desc, "dt": r["tier"], "da": r["at_ms"]}
+    frame = spark.createDataFrame([tuple(r[n] for n in resolution.names(resolution.FOLD_IN)) for r in rows], resolution.FOLD_IN).repartition(7)
+    got = {r["story"]: {"title": r["title"], "tier": r["tier"], "at": r["discovered_ms"], "desc": r["description"] or "", "dt": r["description_tier"], "da": r["description_ms"], "lat": r["lat"], "latest": r["published_ms"], "impact": r["impact_tier"]} for r in resolution.fold(frame, 99 * HOUR, batch=3).collect()}
+    assert got == want
+
+
+def test_rules_hold_for_columns_and_numbers_alike(spark):
+    rng = random.Random(2)
+    cases = [(rng.randint(1, 3), rng.randint(0, 9) * HOUR, rng.randint(0, 4), rng.randint(1, 3), rng.randint(0, 9) * HOUR, rng.randint(0, 4)) for _ in range(300)]
+    frame = spark.createDataFrame(cases, "a int, b long, c int, d int, e long, f int")
+    columns = [F.col(c) for c in "abcdef"]
+    for rule in (st.title_wins, st.description_wins):
+        assert [r["v"] for r in frame.select(rule(*columns).alias("v")).collect()] == [rule(*c) for c in cases]
+
+
+def report(seq, title, **own):
+    base = {"seq": seq, "title": title, "description": None, "url": f"https://site{seq}.example/a/{seq}", "source": f"S{seq}", "source_type": "rss", "tier": 2, "published_ms": 1000 * HOUR + seq, "lat": None, "lon": None, "location_name": None, "embedding": None, "image_url": None, "image_ms": None, "expires_ms": None}
+    return base | own
+
+
+def test_reports_resolve_into_stories(spark):
+    axis = lambda i: [1.0 if j == i else 0.0 for j in range(8)]
+    tilted = [0.9, *[0.0] * 6, (1 - 0.81) ** 0.5]
+    blank = {"discovered_ms": None, "description_tier": None, "description_ms": None, "image_updated_ms": None, "independent": 1, "sources": []}
+    stored = [
+        blank | report(0, "Flood reaches the old town centre", embedding=axis(5), expires_ms=5, lat=1.0, lon=1.0) | {"id": 11},
+        blank | report(0, "Harbour strike enters second week", embedding=axis(0), url="https://w.example/x") | {"id": 12},
+        blank | report(0, "Too old to be met by anything new", published_ms=900 * HOUR) | {"id": 13},
+        blank | report(0, "Women's football final won by hosts", embedding=axis(3)) | {"id": 14},
+    ]
+    incoming = [
+        report(1, "Flood reaches the old town centre!", tier=1),  # equal title; its better tier takes the pin away
+        report(2, "Dockers walk out again", embedding=tilted),  # near vector
+        report(3, "Too old to be met by anything new"),  # beyond the horizon, so new
+        report(4, "Men's football final won by hosts", embedding=axis(3)),  # near, but contradicts
+        report(5, "Other words of the men's football final", embedding=axis(3)),  # joins the one before
+        report(6, "Again, later", url="https://site3.example/a/3?utm_source=z"),  # the identity of 3
+        report(7, "Harbour strike enters second week", url="https://w.example/x", published_ms=1001 * HOUR),  # the stored one itself
+        report(8, "Nothing like it anywhere", expires_ms=7, embedding=axis(6)),
+    ]
+    frame = lambda rows, head, extra="": spark.createDataFrame([tuple(r[n] for n in resolution.names(head + resolution.REPORT)) + tuple(r[n] for n in extra and [x.split()[0] for x in ("discovered_ms bigint", "description_tier int", "description_ms bigint", "image_updated_ms bigint", "independent bigint", "sources x")]) for r in rows], head + resolution.REPORT + extra)
+    got = resolution.resolve_stories(frame(incoming, "seq bigint, "), frame(stored, "id bigint, ", ", " + resolution.STORED), geocode.seed(spark), 1001 * HOUR).collect()
+    by = {r["id"] or -r["first_seq"]: r for r in got}
+    assert set(by) == {11, 12, -3, -4, -8} and len(got) == 5
+    flood, strike, old, final, alone = (by[k] for k in (11, 12, -3, -4, -8))
+    assert (flood["title"], flood["tier"], flood["lat"], flood["event_count"], flood["independent"], flood["expires_ms"], flood["embedding"]) == ("Flood reaches the old town centre!", 1, None, 2, 1, 5, None)
+    assert [x["name"] for x in flood["sources"]] == ["S0"] and flood["impact"] == 2.5
+    assert (strike["title"], strike["event_count"], strike["independent"], strike["published_ms"]) == ("Dockers walk out again", 2, 2, 1001 * HOUR)
+    assert [x["url"] for x in strike["sources"]] == ["https://w.example/x"] and strike["impact"] == 1.5 + 3.0
+    assert old["event_count"] == 1 and old["published_ms"] == 1000 * HOUR + 6
+    assert final["event_count"] == 2 and final["title"] == "Other words of the men's football final"
+    assert (alone["expires_ms"], alone["embedding"], alone["sources"]) == (7, axis(6), [])
+    assert resolution.resolve_stories(frame(incoming, "seq bigint, ").limit(0), frame(stored, "id bigint, ", ", " + resolution.STORED), geocode.seed(spark), 1001 * HOUR).count() == 0
 
 
 def test_components_of_a_path_against_the_order(spark):

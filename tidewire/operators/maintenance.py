@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from . import ingest
-from .stories import checkpoint_dir
+from .shared import checkpoint_dir
 
 # Fixed values
 DUPLICATE_CHARS, DUPLICATE_GAP_MS = 32, 72 * scores.HOUR_MS

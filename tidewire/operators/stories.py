@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text
+from .shared import checkpoint_dir, sized
 
 # Fixed values
 STRICT, NEAR = 0.85, 0.60
@@ -22,14 +22,38 @@ STALE_MS, MUCH_NEWER_MS, LENGTH_SHARE = 6 * scores.HOUR_MS, 900_000, 0.7
 IMAGE_GAP_MS, IMAGE_COOLDOWN_MS = 12 * scores.HOUR_MS, 6 * scores.HOUR_MS
 CONFLICT_GAP_MS = 18 * scores.HOUR_MS
 BROAD_REGIONS = ["africa", "asia", "europe", "north america", "south america", "oceania", "antarctica", "middle east", "world", "global"]
-SPORTS = ["football|soccer", "volleyball", "basketball", "baseball", "cricket", "rugby", "tennis", "badminton", "hockey", "swimming", "archery", "fencing", "cycling", "wrestling"]
-COMPETITIONS = ["asian games", "olympics?(?: games)?", "world cup", "world championships?"]
-GENDERS = ["men(?:'s)?", "women(?:'s)?"]
-SITES = ["hospital|medical cent(?:er|re)", "school|kindergarten", "warehouse", "apartment|residential|homes?|houses?", "factory|plant|refinery", "airport|airfield", "port|harbou?r"]
-COMPETITION_WORDS = ["beat", "defeat", "win", "won", "match", "tournament", "competition", "final", "semifinal", "quarterfinal", "gold", "silver", "bronze", "medal", "championship", "champion", "victory", "victories"]
-INCIDENT_WORDS = ["fire", "blaze", "explosion", "blast", "strike", "missile", "earthquake", "shooting", "attack"]
-MARKET_WORDS, SESSION_WORDS = ["shares", "stocks", "kospi", "nikkei", "sensex", "wall street"], ["close", "open", "end", "finish", "slump", "gain", "surge", "rise", "fall", "rebound"]
-FOLLOW_WORDS = ["death toll", "toll rises", "toll rose", "aftermath", "survivor", "funeral", "investigation", "investigator", "investigate", "day after", "following", "previous", "earlier", "update"]
+SPORTS = [
+    r"\b(?:football|soccer)\b", r"\bvolleyball\b", r"\bbasketball\b",
+    r"\bbaseball\b", r"\bcricket\b", r"\brugby\b", r"(?<!table\s)\btennis\b",
+    r"\bbadminton\b", r"\bhockey\b", r"\bswimming\b", r"\barchery\b",
+    r"\bfencing\b", r"\bcycling\b", r"\bwrestling\b", r"\btable tennis\b",
+]
+COMPETITIONS = [r"\basian games\b", r"\bolympic(?:s| games)?\b", r"\bworld cup\b", r"\bworld championships?\b"]
+GENDERS = [r"\bmen(?:'s)?\b", r"\bwomen(?:'s)?\b"]
+TARGETS = [
+    r"\b(?:hospital|medical cent(?:er|re))\b", r"\b(?:school|kindergarten)\b",
+    r"\bwarehouse\b", r"\b(?:apartment|residential|homes?|houses?)\b",
+    r"\b(?:factory|plant|refinery)\b", r"\b(?:airport|airfield)\b",
+    r"\b(?:port|harbou?r)\b",
+]
+#: What makes a target the site of an incident: {} is the target.
+SITE_FORMS = [
+    r"{}\s+(?:(?:major|massive|chemical|industrial|deadly|fatal|missile|drone|rocket|bomb|gas)\s+){{0,2}}(?:fire|blaze|explosion|blast|attack|strike)\b",
+    r"\b(?:fire|blaze|explosion|blast|strike|attack)\b.{{0,35}}\b(?:at|in|on|hits?|strikes?|struck|targets?|targeted|damages?|destroys?)\s+[^,.;:]{{0,50}}{}",
+    r"{}\s+(?:(?:was|is)\s+)?(?:hit|struck|attacked|bombed|shelled|damaged|destroyed|burns|ablaze)\b",
+]
+INCIDENT = r"\b(?:fire|blaze|explosion|blast|strike|missile|earthquake|shooting|attack)\b"
+FOLLOW_UP = [
+    r"\b(?:death toll|toll (?:rises|rose)|aftermath|survivors?|funerals?|investigat(?:ion|ors?|es?)|days? after|following|previous|earlier|last week's|update)\b",
+    r"\b(?:dies|died|succumbs?|injured)\b.{0,100}\b(?:after|later|from (?:his|her|their|the) injuries)\b",
+]
+QUIZ = r"^(?:(?:daily|weekly)\s+)?(?:quiz|trivia|crossword)(?:\s*(?:[:|—-]|$)|\s+(?:on|about|time|answers?|clues?)\b)"
+COMPETITION_REPORT = r"\b(?:beats?|defeats?|wins?|won|match|tournament|competition|final|semifinal|quarterfinal|gold|silver|bronze|medal|champion(?:ship)?|victor(?:y|ies))\b"
+AGREEMENT_REPORT = r"\b(?:sign(?:s|ed)?|agree(?:s|d|ment)?|pact|deal|accord|treaty)\b"
+MARKET, SESSION = r"\b(?:shares|stocks|kospi|nikkei|sensex|wall street)\b", r"\b(?:close[sd]?|open[s]?|end[s]?|finish(?:es)?|slump[s]?|gain[s]?|surge[s]?|rise[s]?|fall[s]?|rebound[s]?)\b"
+LATER_REPORT = r"\b(?:names?|released|identified|announced|funerals?|investigat(?:ion|ors?|es?)|survivors?)\b"
+INCIDENT_TOLD = r"\b(?:fire|blaze|earthquake|attack|strike|shooting|explosion|blast|exploded|struck|hit|erupted|occurred|broke out)\b"
+# End of fixed values
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -49,26 +73,34 @@ def exact_candidates(incoming: DataFrame, recent: DataFrame, now_ms: int) -> Dat
     return marked(incoming).select("seq", "fp").join(stories, "fp").select("seq", "story")
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int = TOP_K, block: int = 4096, digits: int = 6) -> DataFrame:
+def knn(queries: DataFrame, base: DataFrame, k: int = TOP_K, block: int = 4096, digits: int = 6, earlier: bool = False) -> DataFrame:
     """(query_id, neighbour_id, similarity, rank): the ``k`` nearest rows of ``base`` for each row of ``queries``.
 
-    Both have (id, embedding).  Queries are dealt to blocks of a few thousand rows, each of which meets the base a
-    batch at a time as a matrix product; every task keeps the best ``k`` of its batches, and these partial lists are
-    merged by a window.  Nothing but the queries' blocks and the lists is shuffled, and no pair is ever a row.
+    Both have (id, embedding); rows without a vector are left out.  Rows are packed where they are, a batch a row, and
+    each batch of queries meets each of the base as a matrix product; every such pair keeps its best ``k``, and these
+    partial lists are merged by a window.  Nothing but the queries and the lists is shuffled, and no pair of vectors is
+    ever a row.  With ``earlier``, neighbours have smaller ids.
     """
-    blocks = queries.select(F.struct(F.col("id"), F.col("embedding")).alias("q")).withColumn("_b", F.pmod(F.xxhash64("q.id"), F.lit(max(1, -(-queries.count() // block)))))
-    packed = blocks.groupBy("_b").agg(F.collect_list("q").alias("qs"))
-    parts = base.select("id", "embedding").withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(max(8, -(-base.count() // block)))))
-    batches = parts.groupBy("_p").agg(F.collect_list(F.struct("id", "embedding")).alias("bs"))
-    pairs = batches.crossJoin(packed).select("qs", "bs")
+    kind = "ids binary, vectors binary"
+
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for i in range(0, frame.num_rows, block):
+                part = frame.slice(i, block)
+                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]), pa.array([vectors.tobytes()])], ["ids", "vectors"])
+
+    packed = lambda df: df.where("embedding is not null").select(F.col("id").cast("bigint"), "embedding").mapInArrow(pack, kind)
+    pairs = packed(base).toDF("b_ids", "b").crossJoin(packed(queries).toDF("q_ids", "q"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for qs, bs in zip(frame.column(0), frame.column(1), strict=True):
-                q_ids, b_ids = (np.array([x["id"].as_py() for x in s]) for s in (qs, bs))
-                q, b = (np.array([x["embedding"].as_py() for x in s], np.float64) for s in (qs, bs))
-                sims = np.round(q @ b.T, digits)
-                sims[q_ids[:, None] == b_ids[None, :]] = -np.inf
+            for b_raw, b, q_raw, q in zip(*frame.columns, strict=True):
+                b_ids, q_ids = (np.frombuffer(x.as_buffer(), np.int64) for x in (b_raw, q_raw))
+                bs, qs = (np.frombuffer(x.as_buffer(), np.float64).reshape(len(ids), -1) for x, ids in ((b, b_ids), (q, q_ids)))
+                sims = np.round(qs @ bs.T, digits)
+                hidden = q_ids[:, None] <= b_ids[None, :] if earlier else q_ids[:, None] == b_ids[None, :]
+                sims[hidden] = -np.inf
                 order = np.lexsort((np.broadcast_to(b_ids, sims.shape), -sims), axis=1)[:, :k]
                 rows, cols = np.repeat(np.arange(len(q_ids)), order.shape[1]), order.ravel()
                 keep = sims[rows, cols] > -np.inf
@@ -134,31 +166,63 @@ def within_time(left: DataFrame, right: DataFrame, keys: list[str], ms: int) ->
 
 
 def _bits(title: Column, patterns: list[str]) -> Column:
-    hit = lambda i, p: F.when(F.lower(title).rlike(f"(?:^|[^a-z0-9_])(?:{p})(?:[^a-z0-9_]|$)"), 1 << i).otherwise(0)
+    hit = lambda i, p: F.when(text.matches(title, p), 1 << i).otherwise(0)
     return reduce(lambda a, b: a.bitwiseOR(b), [hit(i, p) for i, p in enumerate(patterns)])
 
 
+def incident_days(whole: Column) -> Column:
+    """A bit for each weekday of sentences that tell of an incident itself, not of what was reported of it later."""
+    told = F.filter(F.split(whole, r"[.!?;]+"), lambda s: text.matches(s, INCIDENT_TOLD) & ~text.matches(s, LATER_REPORT))
+    return F.aggregate(told, F.lit(0), lambda bits, s: bits.bitwiseOR(_bits(s, [rf"\b{d}\b" for d in text.DAYS])))
+
+
+def named_countries(stories: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``stories`` with ``countries``: the codes of countries that titles of agreements name, by n-grams of four words."""
+    words = F.filter(F.split(text.without_accents(F.lower("title")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    deals = stories.where(text.matches(F.col("title"), AGREEMENT_REPORT)).select("id", words.alias("w"))
+    grams = deals.select("id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(4)))).where("at + n <= size(w) + 1")
+    grams = grams.select("id", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("key"))
+    known = gazetteer.where("type = 'country' and country is not null").select("key", "country").distinct()
+    found = grams.join(sized(known), "key").groupBy("id").agg(F.collect_set("country").alias("countries"))
+    return stories.join(found, "id", "left")
+
+
 def evidence(stories: DataFrame) -> DataFrame:
-    """``stories`` with what conflicts are judged by, found once per row: bit sets, flags and fingerprints of the title."""
+    """``stories`` with what conflicts are judged by, found once per row: bit sets, flags and fingerprints of the title.
+
+    Rows have (id, title, description, url, at_ms, lat, lon, precise) and may have location_name and the ``countries``
+    of ``named_countries``.
+    """
     t = F.col("title")
-    sites = [f"(?:{s})[^,.;:]*?(?:{'|'.join(INCIDENT_WORDS)})|(?:{'|'.join(INCIDENT_WORDS)})[^,.;:]{{0,50}}?(?:{s})" for s in SITES]
+    sites = ["|".join(form.format(target) for form in SITE_FORMS) for target in TARGETS]
     whole = F.concat_ws(". ", t, F.coalesce("description", F.lit("")))
+    if "countries" not in stories.columns:
+        stories = stories.withColumn("countries", F.lit(None).cast("array<string>"))
+    named = F.lit(False)
+    if "location_name" in stories.columns:
+        first = F.trim(F.substring_index("location_name", ",", 1))
+        escaped = F.regexp_replace(first, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+        edge = F.lit(text.EDGE)
+        form = F.concat(F.lit("(?i)"), edge, F.lit("(?:in|at|near)\\s+(?:the city of\\s+)?"), escaped, edge)
+        named = F.when(F.coalesce(first, F.lit("")) != "", F.regexp_like(whole, form)).otherwise(False)
     return stories.withColumns(
         {
             "identity": text.report_identity(F.col("url")),
             "fp": text.fingerprint(t),
             "template": text.template_fingerprint(t),
             "dated": text.has_date(t),
-            "quiz": F.lower(t).rlike(r"^(?:(?:daily|weekly)\s+)?(?:quiz|trivia|crossword)(?:\s*(?:[:|—-]|$)|\s+(?:on|about|time|answers?|clues?)(?:[^a-z]|$))"),
-            "contest": text.has_word(t, COMPETITION_WORDS, ["s"]),
+            "quiz": text.matches(t, QUIZ),
+            "contest": text.matches(t, COMPETITION_REPORT),
             "sports": _bits(t, SPORTS),
             "cups": _bits(t, COMPETITIONS),
             "genders": _bits(t, GENDERS),
-            "incident": text.has_word(t, INCIDENT_WORDS),
+            "incident": text.matches(t, INCIDENT),
             "sites": _bits(t, sites),
-            "market": text.has_word(t, MARKET_WORDS) & text.has_word(t, SESSION_WORDS, ["s", "d", "es"]),
-            "follow_up": text.has_word(whole, FOLLOW_WORDS, ["s"]),
-            "weekdays": _bits(whole, text.DAYS),
+            "market": text.matches(t, MARKET) & text.matches(t, SESSION),
+            "follow_up": text.matches(whole, *FOLLOW_UP),
+            "weekdays": incident_days(whole),
+            "deal": text.matches(t, AGREEMENT_REPORT),
+            "named": named,
         }
     )
 
@@ -167,17 +231,22 @@ def conflicts(a: str, b: str) -> Column:
     """Whether two rows of ``evidence`` contradict each other (columns a.x, b.x); what is absent is no contradiction."""
     x, y = (lambda c, p=p: F.col(f"{p}.{c}") for p in (a, b))
     apart = lambda c: (x(c) != 0) & (y(c) != 0) & (x(c).bitwiseAND(y(c)) == 0)
+    both_of = lambda c: x(c) & y(c)
     recurring = (x("fp") != y("fp")) & x("dated") & y("dated") & (F.length(x("template")) >= 12) & (x("template") == y("template"))
-    contest = x("contest") & y("contest") & ((x("sports") != 0) | (y("sports") != 0))
+    contest = both_of("contest") & ((x("sports") != 0) | (y("sports") != 0))
+    parties = both_of("deal") & (F.size(x("countries")) == 2) & (F.size(y("countries")) == 2) & (F.size(F.array_except(x("countries"), y("countries"))) > 0)
     gap = F.abs(x("at_ms") - y("at_ms"))
-    far = (x("precise") & y("precise")) & (geo.haversine_km(x("lat"), x("lon"), y("lat"), y("lon")) > MERGE_KM)
+    both, same = both_of("incident"), x("fp") == y("fp")
+    far = geo.haversine_km(x("lat"), x("lon"), y("lat"), y("lon")) > MERGE_KM
+    elsewhere = (same | both) & (both_of("precise") | (same & both_of("named"))) & far
     day = lambda c: F.floor(c / (24 * scores.HOUR_MS))
     single = lambda c: F.bit_count(c) == 1
-    session = (gap >= CONFLICT_GAP_MS) & x("market") & y("market") & (day(x("at_ms")) != day(y("at_ms")))
-    days = (gap > CONFLICT_GAP_MS) & x("incident") & y("incident") & ~x("follow_up") & ~y("follow_up") & single(x("weekdays")) & single(y("weekdays")) & apart("weekdays")
-    both = x("incident") & y("incident")
-    any_ = recurring | (x("quiz") != y("quiz")) | (contest & (apart("sports") | apart("cups") | apart("genders"))) | (both & apart("sites")) | (((x("fp") == y("fp")) | both) & far) | session | days
-    return ~x("identity").eqNullSafe(y("identity")) & F.coalesce(any_, F.lit(False))
+    session = (gap >= CONFLICT_GAP_MS) & both_of("market") & (day(x("at_ms")) != day(y("at_ms")))
+    days = (gap > CONFLICT_GAP_MS) & both & ~x("follow_up") & ~y("follow_up") & single(x("weekdays")) & single(y("weekdays")) & apart("weekdays")
+    # an unknown part is no contradiction, and hides none
+    parts = [recurring, x("quiz") != y("quiz"), contest & (apart("sports") | apart("cups") | apart("genders")), parties, both & apart("sites"), elsewhere, session, days]
+    any_ = reduce(lambda p, q: p | q, [F.coalesce(p, F.lit(False)) for p in parts])
+    return ~x("identity").eqNullSafe(y("identity")) & any_
 
 
 def conflict_candidates(stories: DataFrame) -> DataFrame:
@@ -195,10 +264,14 @@ def conflict_candidates(stories: DataFrame) -> DataFrame:
 
 
 def precise(stories: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """``precise``: finite coordinates within three kilometres of a city or landmark of the stated name, regions aside."""
-    name = F.lower(F.trim(F.substring_index("location_name", ",", 1)))
+    """``precise``: finite coordinates within three kilometres of a city or landmark of the stated name, regions aside.
+
+    The name counts whole, and up to its first comma.
+    """
+    bare = F.lower(F.trim("location_name"))
+    names = F.array_distinct(F.array(bare, F.trim(F.substring_index(bare, ",", 1))))
     places = gazetteer.where("type in ('city', 'landmark')").select("key", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
-    near = stories.withColumn("key", name).where(~name.isin(BROAD_REGIONS) & geo.usable(F.col("lat"), F.col("lon"))).join(F.broadcast(places), "key")
+    near = stories.where(geo.usable(F.col("lat"), F.col("lon"))).select("id", "lat", "lon", F.explode(names).alias("key")).where(~F.col("key").isin(BROAD_REGIONS)).join(sized(places), "key")
     ok = near.where(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon")) <= PRECISE_KM).select("id").distinct()
     return stories.join(ok.withColumn("_ok", F.lit(True)), "id", "left").withColumn("precise", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
@@ -208,69 +281,26 @@ def passes(similarity: Column, near: Column) -> Column:
     return (similarity >= STRICT) | ((similarity >= NEAR) & near)
 
 
-def title_wins(tier: Column, at: Column, length: Column, new_tier: Column, new_at: Column, new_length: Column) -> Column:
+# The rules below are made of comparisons alone, so they hold for columns and, in the fold, for plain numbers.
+
+
+def title_wins(tier, at, length, new_tier, new_at, new_length):
     """Whether an incoming title replaces a story's: better tier, newer of the same, or one worse and much newer."""
-    same = (new_at > at) | ((new_at == at) & (new_length > length))
-    return F.when(new_tier < tier, True).when(new_tier == tier, same).otherwise((new_tier == tier + 1) & (new_at > at + MUCH_NEWER_MS))
+    newer = (new_at > at) | ((new_at == at) & (new_length > length))
+    return (new_tier < tier) | ((new_tier == tier) & newer) | ((new_tier == tier + 1) & (new_at > at + MUCH_NEWER_MS))
 
 
-def description_wins(tier: Column, at: Column, length: Column, new_tier: Column, new_at: Column, new_length: Column) -> Column:
+def description_wins(tier, at, length, new_tier, new_at, new_length):
     """Whether an incoming description replaces a story's: better tier, or of the same one longer, or fresh enough."""
     stale = new_at > at + STALE_MS
     same = (stale & (new_length >= length * LENGTH_SHARE)) | (new_length > length)
-    wins = F.when((new_tier < tier) | (length == 0), True).when(new_tier == tier, same).otherwise((new_tier == tier + 1) & stale & (new_length >= length))
+    wins = (new_tier < tier) | (length == 0) | ((new_tier == tier) & same) | ((new_tier == tier + 1) & stale & (new_length >= length))
     return wins & (new_length > 0)
 
 
-def image_wins(image: Column, image_at: Column, updated: Column, new_at: Column, now: Column) -> Column:
-    """Whether a story may take a new picture: it has none, or the new one is 12 h newer and the last change 6 h old."""
-    fresh = (new_at >= image_at + IMAGE_GAP_MS) & (now >= F.coalesce(updated, image_at) + IMAGE_COOLDOWN_MS)
-    return F.when(F.trim(F.coalesce(image, F.lit(""))) == "", True).otherwise(fresh)
-
-
-def fold_component(reports: pd.DataFrame) -> pd.DataFrame:
-    """One component's reports folded into a story in order of arrival: content by the rules above, sources kept once.
-
-    A small helper for ``applyInPandas``: components are bounded by what evidence connects.
-    """
-    story: dict = {}
-    seen: set[str] = set()
-    count = 0
-    for r in reports.sort_values("seq").to_dict("records"):
-        new_len = len(r["title"]) + len(r["description"])
-        if not story:
-            story = {"component": r["component"], "title": r["title"], "description": r["description"], "tier": r["tier"], "title_ms": r["at_ms"], "description_tier": r["tier"], "description_ms": r["at_ms"], "latest_ms": r["at_ms"], "best_tier": r["tier"]}
-        elif r["identity"] not in seen:
-            old_len = len(story["title"]) + len(story["description"])
-            newer = r["at_ms"] > story["title_ms"] or (r["at_ms"] == story["title_ms"] and new_len > old_len)
-            if r["tier"] < story["tier"] or (r["tier"] == story["tier"] and newer) or (r["tier"] == story["tier"] + 1 and r["at_ms"] > story["title_ms"] + MUCH_NEWER_MS):
-                story |= {"title": r["title"], "tier": r["tier"], "title_ms": r["at_ms"]}
-            old, new, stale = len(story["description"]), len(r["description"]), r["at_ms"] > story["description_ms"] + STALE_MS
-            better = r["tier"] < story["description_tier"] or not old
-            same = r["tier"] == story["description_tier"] and ((stale and new >= old * LENGTH_SHARE) or new > old)
-            worse = r["tier"] == story["description_tier"] + 1 and stale and new >= old
-            if new and (better or same or worse):
-                story |= {"description": r["description"], "description_tier": r["tier"], "description_ms": r["at_ms"]}
-            story["best_tier"] = min(story["best_tier"], r["tier"])
-        story["latest_ms"] = max(story["latest_ms"], r["at_ms"])
-        if r["identity"] not in seen:
-            seen.add(r["identity"])
-            count += 1
-    return pd.DataFrame([story | {"reports": count}])[["component", "title", "description", "tier", "title_ms", "latest_ms", "best_tier", "reports"]]
-
-
-def fold(reports: DataFrame) -> DataFrame:
-    """A story for each component of (component, seq, title, description, tier, at_ms, identity), none of them null."""
-    schema = "component bigint, title string, description string, tier int, title_ms bigint, latest_ms bigint, best_tier int, reports bigint"
-    return reports.select("component", "seq", "title", "description", "tier", "at_ms", "identity").groupBy("component").applyInPandas(fold_component, schema)
-
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Set the folder of checkpoints where none is set."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
+def image_wins(lacking, image_at, updated, new_at, now):
+    """Whether a story may take a new picture: it lacks one, or the new one is 12 h newer and the last change 6 h old."""
+    return lacking | ((new_at >= image_at + IMAGE_GAP_MS) & (now >= updated + IMAGE_COOLDOWN_MS))
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:

@@ -88,8 +88,7 @@ def content_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, u, m = F.col("event_id"), F.col("user_id"), scores.epoch_ms(F.col("ts"))
     e = table(spark, sf_dir, "events").select(i.alias("id"), (1 + i % 3).alias("t1"), (1 + u % 3).alias("t2"), m.alias("m1"), (m + (i % 40) * 1000000 - 5000000).alias("m2"), (i % 90).alias("n1"), (u % 100).alias("n2"))
     c = [F.col(x) for x in ("t1", "m1", "n1", "t2", "m2", "n2")]
-    image = F.when(F.col("n1") != 0, "https://x/i.png")
-    return e.select("id", st.title_wins(*c).alias("title_wins"), st.description_wins(*c).alias("description_wins"), st.image_wins(image, F.col("m1"), F.lit(None).cast("bigint"), F.col("m2"), F.lit(NOW_MS)).alias("image_wins"))
+    return e.select("id", st.title_wins(*c).alias("title_wins"), st.description_wins(*c).alias("description_wins"), st.image_wins(F.col("n1") == 0, F.col("m1"), F.col("m1"), F.col("m2"), F.lit(NOW_MS)).alias("image_wins"))
 
 
 LINKS = "links AS (SELECT event_id AS a, event_id - user_id AS b FROM events WHERE event_id % 4 = 1 AND event_id >= user_id)"
