@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -295,3 +296,59 @@ def test_public_addresses(spark):
     cases = {"8.8.8.8": True, "10.1.1.1": False, "172.20.0.1": False, "172.32.0.1": True, "100.64.0.1": False, "203.0.113.9": False, "256.1.1.1": False, "x": False}
     rows = spark.createDataFrame(list(cases.items()), "ip string, want boolean").select("ip", "want", geo.public_ipv4(F.col("ip")).alias("got")).collect()
     assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+def test_addresses_of_version_6(spark):
+    cases = {"::1": False, "::": False, "fe80::1": False, "febf::1": False, "fec0::1": True, "[fd12:3456::1]": False, "ff02::fb": False, "2001:DB8::1": True, "1:2:3:4:5:6:7:8": True, "1:2:3:4:5:6:7": False, "1::2::3": False, "::ffff:8.8.8.8": True, "::ffff:10.0.0.1": False, "::8.8.4.4": True, "64:ff9b::1.2.3.4": True, "::ffff:256.1.1.1": False, "12345::": False, "1:2:3:4:5:6:7::": True, "fe80::1%eth0": False, "8.8.8.8": True, "": False}
+    rows = spark.createDataFrame(list(cases.items()), "ip string, want boolean").select("ip", "want", geo.public_address(F.col("ip")).alias("got")).collect()
+    assert {r["ip"]: r["got"] for r in rows} == cases
+
+
+def smooth(points, zoom, step=3.0, most=64):
+    """A Catmull-Rom curve in plain Python."""
+    clean = [p for i, p in enumerate(points) if i == 0 or p != points[i - 1]]
+    if len(clean) < 3:
+        return clean
+    edge = 85.0511287798066
+    world = []
+    for lon, lat in clean:
+        phi = math.radians(max(-edge, min(edge, lat)))
+        x = (lon + 180) / 360
+        while world and x - world[-1][0] > 0.5:
+            x -= 1
+        while world and x - world[-1][0] < -0.5:
+            x += 1
+        world.append((x, (1 - math.log(math.tan(phi) + 1 / math.cos(phi)) / math.pi) / 2))
+    out = []
+    for i in range(len(world) - 1):
+        a, b, c, d = (world[max(0, min(len(world) - 1, i + k))] for k in (-1, 0, 1, 2))
+        long = max(math.dist(b, c), (math.dist(a, b) + math.dist(b, c) + math.dist(c, d)) / 3) * 512 * 2**zoom
+        n = max(1, min(most, math.ceil(long / step)))
+        for k in range(n):
+            t = k / n
+            x, y = (((2 * q) + (r - p) * t + (2 * p - 5 * q + 4 * r - s) * t**2 + (3 * q - p - 3 * r + s) * t**3) / 2 for p, q, r, s in zip(a, b, c, d, strict=True))
+            out.append((x * 360 - 180, math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * min(1, max(0, y))))))))
+    lon, lat = clean[-1]
+    while lon - out[-1][0] > 180:
+        lon -= 360
+    while lon - out[-1][0] < -180:
+        lon += 360
+    return [*out, (lon, lat)]
+
+
+def test_smooth_lines_equal_plain_python(spark):
+    lines = [[(0, 0), (10, 10), (20, 0)], [(170, 10), (-175, 12), (-160, 5), (-160, 5), (-150, 80)], [(1, 1), (1, 1)], [(0, 89), (10, 89), (20, -89), (-170, 3)]]
+    for zoom in (0.0, 1.5):
+        for line in lines:
+            points = F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in line])
+            got = [(p["lon"], p["lat"]) for p in spark.range(1).select(geo.smooth_line(points, zoom).alias("v")).first()["v"]]
+            want = smooth([(float(x), float(y)) for x, y in line], zoom)
+            assert len(got) == len(want) and all(math.dist(a, b) < 1e-7 for a, b in zip(got, want, strict=True))
+
+
+def test_requests_in_text():
+    q = feed.parse({"minLat": "-10", "maxLat": "10", "minLng": "170", "maxLng": "190", "zoom": "4", "query": " x ", "sources": "x,news,x", "time_range": "1w", "limit": "0.5", "since": "2024-01-01", "credibility": "3,1"}, 7)
+    assert q == feed.FeedQuery(7, geo.BBox(-10, 10, 170, 190, 4), ("news", "x"), ("all",), "1w", 1704067200000, None, "x", 1, (1, 3), "hot", 1)
+    assert feed.gate(feed.parse({}, 7), "guest") is None and feed.gate(q, "pro") is None and feed.gate(q, "free") == "filters" and feed.gate(feed.parse({"time_range": "1w"}, 7), "free") == "range"
+    assert not feed.clusters_apply(3, geo.BBox(-90, 90, -180, 180)) and feed.clusters_apply(None, geo.BBox(0, 1, 0, 1)) and not feed.clusters_apply(3, geo.BBox(0, 1, 0, 1), True)
+    assert feed.AppliedLimit(None, 10, "guest", True).scope == "viewport"

@@ -129,3 +129,16 @@ def fixed_2dp(x: Column) -> Column:
 def width_bucket_of(width: Column, widths: list[int]) -> Column:
     """The smallest stored width that is wide enough, else the widest."""
     return F.coalesce(F.array_min(F.filter(F.array(*[F.lit(w) for w in widths]), lambda w: w >= width)), F.lit(max(widths)))
+
+
+def local_input(value: Column, zone: str) -> Column:
+    """An instant as a reader's local "yyyy-MM-ddTHH:mm"; text without a zone stays, and what can't be read is empty."""
+    zoned = value.rlike(r"(?i)(?:Z|[+-][0-9]{2}:[0-9]{2})$")
+    utc = F.to_utc_timestamp(F.try_to_timestamp(value), F.current_timezone())
+    shown = F.date_format(F.from_utc_timestamp(utc, zone), "yyyy-MM-dd'T'HH:mm")
+    return F.coalesce(F.when(F.coalesce(value, F.lit("")) == "", "").when(zoned, shown).otherwise(value), F.lit(""))
+
+
+def http_outcome(status: Column) -> Column:
+    """What an HTTP status says of an attempt: success, rate_limited (403 and 429) or provider_error."""
+    return F.when(status.between(200, 299) | (status == 304), "success").when(status.isin(403, 429), "rate_limited").otherwise("provider_error")

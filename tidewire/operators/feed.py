@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,13 @@ DAY_MS = 86_400_000
 # Ranges, row limits by tier and by zoom, and what each tier may ask for.
 RANGE_MS = {"1d": DAY_MS, "3d": 3 * DAY_MS, "1w": 7 * DAY_MS, "1m": 30 * DAY_MS}
 TIER_ROWS = {"guest": 10, "free": 50, "paid": 1000}
+ALL_SOURCES = ("news", "extra", "reddit", "x", "telegram")
+TIER_RIGHTS = {
+    "guest": {"ranges": ("1d",), "features": ()},
+    "free": {"ranges": ("1d",), "features": ("filters", "search")},
+    "pro": {"ranges": ("1d", "3d", "1w", "1m"), "features": ("filters", "search", "advanced")},
+    "analyst": {"ranges": ("1d", "3d", "1w", "1m", "custom"), "features": ("filters", "search", "advanced")},
+}
 ZOOM_ROWS = [(6.5, 250), (4.0, 500)]
 MAX_ROWS = 1000
 MAX_QUERY_CHARS = 160
@@ -25,7 +34,7 @@ class FeedQuery:
 
     now_ms: int
     bbox: geo.BBox | None = None
-    sources: tuple[str, ...] = ("news", "extra", "reddit", "x", "telegram")
+    sources: tuple[str, ...] = ALL_SOURCES
     categories: tuple[str, ...] = ()
     time_range: str = "all"
     since_ms: int | None = None
@@ -61,6 +70,86 @@ def effective_limit(requested: int | None, tier: str, zoom: float | None, search
     return min([asked, top, *caps])
 
 
+@dataclass(frozen=True)
+class AppliedLimit:
+    """What a reply says of its limit: the rows asked for and given, by tier, and whether more were there."""
+
+    requested: int | None
+    applied: int
+    tier: str
+    is_capped: bool
+    scope: str = "viewport"
+
+
+def clusters_apply(zoom: float | None, box: geo.BBox | None, force_raw: bool = False) -> bool:
+    """Whether a query is answered by clusters: far out, in a window that is not the world, unless single rows are asked for."""
+    return not force_raw and (zoom is None or zoom < 5) and box is not None and not box.is_global()
+
+
+def gate(q: FeedQuery, tier: str) -> str | None:
+    """What a tier may not ask for (filters, search, range), or null: judged before anything is read."""
+    rights = TIER_RIGHTS[tier]
+    advanced = q.min_volume > 1 or (bool(q.tiers) and len(set(q.tiers)) != 3)
+    basic = len(set(q.sources)) != len(ALL_SOURCES) or (bool(q.categories) and "all" not in q.categories)
+    if (basic and "filters" not in rights["features"]) or (advanced and "advanced" not in rights["features"]):
+        return "filters"
+    if q.search and "search" not in rights["features"]:
+        return "search"
+    return None if q.time_range in rights["ranges"] else "range"
+
+
+def parse(params: dict[str, str], now_ms: int) -> FeedQuery:
+    """A query from text parameters; a ValueError says what is wrong with them."""
+    number = lambda name: _number(params[name], name)
+    sides = [s for s in ("minLat", "maxLat", "minLng", "maxLng") if s in params]
+    if sides and len(sides) < 4:
+        raise ValueError("a window has four sides")
+    zoom = number("zoom") if params.get("zoom") else None
+    if zoom is not None and not 0 <= zoom <= 24:
+        raise ValueError("zoom is out of range")
+    box = geo.BBox(*[number(s) for s in sides], zoom) if sides else None
+    chosen = lambda name, every: tuple(sorted({v for v in params.get(name, ",".join(every)).split(",") if v}))
+    sources, tiers = chosen("sources", ALL_SOURCES), chosen("credibility", ("1", "2", "3"))
+    if set(sources) - set(ALL_SOURCES) or set(tiers) - {"1", "2", "3"}:
+        raise ValueError("a filter is unknown")
+    span = params.get("time_range") or "1d"
+    if span not in (*RANGE_MS, "custom"):
+        raise ValueError("time_range is unknown")
+    volume = _number(params.get("min_reports", "1"), "min_reports")
+    if volume != int(volume):
+        raise ValueError("min_reports is a whole number")
+    limit = max(1, min(MAX_ROWS, int(number("limit")))) if "limit" in params else None
+    since, until = (_instant(params.get(name), name) for name in ("since", "until"))
+    sort = "new" if params.get("sort") == "new" else "hot"
+    q = FeedQuery(now_ms, box, sources, chosen("categories", ("all",)), span, since, until, params.get("query", "").strip(), int(volume), tuple(int(t) for t in tiers), sort, limit)
+    return q.validated()
+
+
+def _number(raw: str, name: str) -> float:
+    try:
+        value = float(raw)
+    except ValueError:
+        raise ValueError(f"{name} is not a number") from None
+    if not math.isfinite(value):
+        raise ValueError(f"{name} is not finite")
+    return value
+
+
+def _instant(raw: str | None, name: str) -> int | None:
+    if not raw:
+        return None
+    try:
+        at = datetime.fromisoformat(raw.replace("Z", "+00:00"))
+    except ValueError:
+        raise ValueError(f"{name} is not a date") from None
+    return int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp() * 1000)
+
+
+def detail(stories: DataFrame, wanted: str) -> DataFrame:
+    """The story of an id, or of the original id."""
+    return stories.where((F.col("id") == wanted) | (F.col("original_id") == wanted)).orderBy((F.col("id") == wanted).desc(), "id").limit(1)
+
+
 def source_filter(source_type: Column, source: Column, chosen: tuple[str, ...]) -> Column:
     """Feeds, news interfaces and social platforms by choice; a platform shows in the source's name."""
     name = F.lower(source)
@@ -141,10 +230,15 @@ def with_cap(rows: DataFrame, sort: str, limit: int) -> DataFrame:
 
 
 def clusters(stories: DataFrame, zoom: int, cell: float) -> DataFrame:
-    """Stories in square cells: count, centre, greatest impact and its story, and an id of zoom, centre and count."""
+    """Stories in square cells: count, centre, greatest impact and its story, and an id of zoom, centre and count.
+
+    A row's ``story_count`` counts for as many stories, and a cell is hot if a row of it ``is_top_hot``.
+    """
     rows = stories.where(geo.usable(F.col("lat"), F.col("lon")))
+    own = F.coalesce("story_count", F.lit(1)) if "story_count" in stories.columns else F.lit(1)
+    hot = F.coalesce("is_top_hot", F.lit(False)) if "is_top_hot" in stories.columns else F.lit(False)
     grouped = rows.groupBy(F.floor(F.col("lat") / cell).alias("cell_y"), F.floor(F.col("lon") / cell).alias("cell_x")).agg(
-        F.count("*").alias("story_count"), F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"), F.max("impact").alias("max_impact"), F.max_by("id", F.struct("impact", "latest_ms", "id")).alias("top_id")
+        F.sum(own).cast("bigint").alias("story_count"), F.max(hot).alias("is_top_hot"), F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"), F.max("impact").alias("max_impact"), F.max_by("id", F.struct("impact", "latest_ms", "id")).alias("top_id")
     )
     return grouped.withColumn("cluster_id", F.format_string("cluster-z%d-%.4f-%.4f-%d", F.lit(zoom), "center_lat", "center_lon", "story_count"))
 

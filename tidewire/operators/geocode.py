@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from .shared import sized
 
 # A seed of places (key, name, type, country, region, lat, lon, population).
 SEED = [
@@ -59,7 +60,7 @@ def build(cities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     saints = named.where("key like 'saint %' or key like 'st. %'").withColumn("key", F.regexp_replace("key", r"^(?:saint|st\.) ", "st "))
     keys = named.unionByName(saints)
     if aliases is not None:
-        keys = keys.unionByName(named.join(F.broadcast(aliases.select(F.col("canonical").alias("key"), "alias")), "key").withColumn("key", F.col("alias")).drop("alias"))
+        keys = keys.unionByName(named.join(sized(aliases.select(F.col("canonical").alias("key"), "alias")), "key").withColumn("key", F.col("alias")).drop("alias"))
     best = Window.partitionBy("key", "country", "region").orderBy(F.col("population").desc(), "name")
     out = keys.where("length(key) > 2").withColumn("_r", F.row_number().over(best)).where("_r = 1")
     return out.select("key", "name", F.lit("city").alias("type"), "country", "region", "lat", "lon", "population")

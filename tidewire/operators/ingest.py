@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .shared import sized
 
 # Fixed values
 FINGERPRINT_CHARS = 24
@@ -87,6 +88,11 @@ def open_circuits(attempts: DataFrame, now_ms: int, needed: int = 3) -> DataFram
     return judged.where((F.col("n") == needed) & F.col("failed") & (F.col("cooldown") > 0) & (F.col("latest") + F.col("cooldown") > now_ms)).select("source_type", "source_name")
 
 
+def without_open(items: DataFrame, circuits: DataFrame) -> DataFrame:
+    """Items (source_type, source_name, ..) of sources whose circuit is not open."""
+    return items.join(circuits.select("source_type", "source_name").distinct(), ["source_type", "source_name"], "left_anti")
+
+
 def run_metrics(raw: DataFrame, prepared: DataFrame, accepted: DataFrame, new: DataFrame) -> DataFrame:
     """One row of an ingestion run's counts."""
     count = lambda df, name: df.agg(F.count("*").alias(name))
@@ -94,8 +100,8 @@ def run_metrics(raw: DataFrame, prepared: DataFrame, accepted: DataFrame, new: D
 
 
 def source_tiers(items: DataFrame, registry: DataFrame) -> DataFrame:
-    """Items with their source's credibility tier, 3 where it is unknown; the registry is a small table."""
-    return items.join(F.broadcast(registry.select(F.col("name").alias("source"), F.col("credibility_tier").alias("_t"))), "source", "left").withColumn("tier", F.coalesce("_t", F.lit(3))).drop("_t")
+    """Items with their source's credibility tier, 3 where it is unknown."""
+    return items.join(sized(registry.select(F.col("name").alias("source"), F.col("credibility_tier").alias("_t"))), "source", "left").withColumn("tier", F.coalesce("_t", F.lit(3))).drop("_t")
 
 
 def rate_windows(hits: DataFrame, key: str, at: str, seconds: int, limit: int) -> DataFrame:

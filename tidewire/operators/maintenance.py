@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from . import ingest
+from . import ingest, items
 from .shared import checkpoint_dir
 
 # Fixed values
@@ -24,13 +24,17 @@ def changed(before: DataFrame, after: DataFrame, key: str, fields: list[str]) ->
 
 
 def clean_archive(stories: DataFrame, removed_sources: list[str]) -> DataFrame:
-    """(id, action, description, impact) of stories that cleaning changes or, without corroboration, deletes."""
-    description = text.clean_description(F.col("description"))
-    alone = F.coalesce(F.size("sources"), F.lit(0)) <= 0
-    bad = F.col("source").isin(removed_sources) | text.reject_reason(F.col("source"), F.col("url"), F.col("title"), description).isNotNull()
-    score = scores.impact(F.col("tier"), F.col("independent"))
-    action = F.when(alone & bad, "delete").when(~description.eqNullSafe(F.col("description")) | ~score.eqNullSafe(F.col("impact")), "update")
-    return stories.withColumn("action", action).where("action is not null").select("id", "action", description.alias("description"), score.alias("impact"))
+    """(id, action, description, sources, impact) of stories that cleaning changes or, without corroboration, deletes.
+
+    Sources are normalised first, so a link to the story itself, or a repeated one, corroborates nothing.
+    """
+    listed, _ = items.normal_sources(F.col("url"), F.col("sources"))
+    rows = stories.withColumns({"_description": text.clean_description(F.col("description")), "_sources": listed})
+    bad = F.col("source").isin(removed_sources) | text.reject_reason(F.col("source"), F.col("url"), F.col("title"), F.col("_description")).isNotNull()
+    rows = rows.withColumns({"_bad": bad, "_impact": scores.impact(F.col("tier"), F.col("independent"))})
+    differs = ~F.col("_description").eqNullSafe(F.col("description")) | ~F.col("_sources").eqNullSafe(F.coalesce("sources", F.array().cast(items.SOURCES))) | ~F.col("_impact").eqNullSafe(F.col("impact"))
+    action = F.when((F.size("_sources") == 0) & F.col("_bad"), "delete").when(differs, "update")
+    return rows.withColumn("action", action).where("action is not null").select("id", "action", F.col("_description").alias("description"), F.col("_sources").alias("sources"), F.col("_impact").alias("impact"))
 
 
 def collapse_duplicates(stories: DataFrame, bookmarked: DataFrame, gap_ms: int = DUPLICATE_GAP_MS) -> DataFrame:

@@ -73,7 +73,49 @@ def exact_candidates(incoming: DataFrame, recent: DataFrame, now_ms: int) -> Dat
     return marked(incoming).select("seq", "fp").join(stories, "fp").select("seq", "story")
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int = TOP_K, block: int = 4096, digits: int = 6, earlier: bool = False) -> DataFrame:
+def _pack(frames: Iterator[pa.RecordBatch], block: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, embedding) as one row of bytes each: 64-bit ids, and a matrix of 64-bit numbers."""
+    for frame in frames:
+        for i in range(0, frame.num_rows, block):
+            part = frame.slice(i, block)
+            vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]), pa.array([vectors.tobytes()])], ["ids", "vectors"])
+
+
+def _met_blocks(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """Each block of ``base`` beside each of ``queries``: (b_ids, b, q_ids, q)."""
+    packed = lambda df: df.where("embedding is not null").select(F.col("id").cast("bigint"), "embedding").mapInArrow(_pack, "ids binary, vectors binary")
+    return packed(base).toDF("b_ids", "b").crossJoin(packed(queries).toDF("q_ids", "q"))
+
+
+def _similarities(frame: pa.RecordBatch, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, base ids, similarities) of each pair of blocks."""
+    for b_raw, b, q_raw, q in zip(*frame.columns, strict=True):
+        b_ids, q_ids = (np.frombuffer(x.as_buffer(), np.int64) for x in (b_raw, q_raw))
+        bs, qs = (np.frombuffer(x.as_buffer(), np.float64).reshape(len(ids), -1) for x, ids in ((b, b_ids), (q, q_ids)))
+        yield q_ids, b_ids, np.round(qs @ bs.T, digits)
+
+
+def _pairs_of(q_ids: np.ndarray, b_ids: np.ndarray, sims: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(b_ids[cols]), pa.array(sims[rows, cols])], ["query_id", "neighbour_id", "similarity"])
+
+
+def similar(queries: DataFrame, base: DataFrame, least: float, digits: int = 6) -> DataFrame:
+    """(query_id, neighbour_id, similarity): all other rows of ``base`` at least so similar to a row of ``queries``.
+
+    The exact form beside ``knn``, for where the nearest few are not enough; pairs below ``least`` are never rows.
+    """
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for q_ids, b_ids, sims in _similarities(frame, digits):
+                rows, cols = np.nonzero((sims >= least) & (q_ids[:, None] != b_ids[None, :]))
+                yield _pairs_of(q_ids, b_ids, sims, rows, cols)
+
+    return _met_blocks(queries, base).mapInArrow(run, "query_id bigint, neighbour_id bigint, similarity double")
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int = TOP_K, digits: int = 6, earlier: bool = False) -> DataFrame:
     """(query_id, neighbour_id, similarity, rank): the ``k`` nearest rows of ``base`` for each row of ``queries``.
 
     Both have (id, embedding); rows without a vector are left out.  Rows are packed where they are, a batch a row, and
@@ -81,33 +123,18 @@ def knn(queries: DataFrame, base: DataFrame, k: int = TOP_K, block: int = 4096,
     partial lists are merged by a window.  Nothing but the queries and the lists is shuffled, and no pair of vectors is
     ever a row.  With ``earlier``, neighbours have smaller ids.
     """
-    kind = "ids binary, vectors binary"
-
-    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for i in range(0, frame.num_rows, block):
-                part = frame.slice(i, block)
-                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]), pa.array([vectors.tobytes()])], ["ids", "vectors"])
-
-    packed = lambda df: df.where("embedding is not null").select(F.col("id").cast("bigint"), "embedding").mapInArrow(pack, kind)
-    pairs = packed(base).toDF("b_ids", "b").crossJoin(packed(queries).toDF("q_ids", "q"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for b_raw, b, q_raw, q in zip(*frame.columns, strict=True):
-                b_ids, q_ids = (np.frombuffer(x.as_buffer(), np.int64) for x in (b_raw, q_raw))
-                bs, qs = (np.frombuffer(x.as_buffer(), np.float64).reshape(len(ids), -1) for x, ids in ((b, b_ids), (q, q_ids)))
-                sims = np.round(qs @ bs.T, digits)
+            for q_ids, b_ids, sims in _similarities(frame, digits):
                 hidden = q_ids[:, None] <= b_ids[None, :] if earlier else q_ids[:, None] == b_ids[None, :]
                 sims[hidden] = -np.inf
                 order = np.lexsort((np.broadcast_to(b_ids, sims.shape), -sims), axis=1)[:, :k]
                 rows, cols = np.repeat(np.arange(len(q_ids)), order.shape[1]), order.ravel()
                 keep = sims[rows, cols] > -np.inf
-                rows, cols = rows[keep], cols[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(b_ids[cols]), pa.array(sims[rows, cols])], ["query_id", "neighbour_id", "similarity"])
+                yield _pairs_of(q_ids, b_ids, sims, rows[keep], cols[keep])
 
-    part = pairs.mapInArrow(run, "query_id bigint, neighbour_id bigint, similarity double")
+    part = _met_blocks(queries, base).mapInArrow(run, "query_id bigint, neighbour_id bigint, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "neighbour_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 

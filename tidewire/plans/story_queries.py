@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text
-from ..operators import geocode, maintenance
+from ..operators import geocode, items, maintenance, resolution
 from ..operators import stories as st
+from ..operators.shared import new_folder
 from ..sources import feeds, sinks
 from ..streaming import jobs
 
@@ -44,11 +45,11 @@ def knn_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.expanded(_knn(spark, sf_dir, st.EXPANDED_K), F.col("neighbour_id") % 7 == 0).select("query_id", "neighbour_id")
 
 
-POINTS = """pts AS (SELECT event_id AS id, CAST((user_id * 37 + event_id * 3) % 170 - 85 AS DOUBLE) AS lat, CAST((event_id * 53) % 360 - 180 AS DOUBLE) AS lon FROM events WHERE event_id % 5 = 0)"""
+POINTS = """pts AS (SELECT event_id AS id, CAST((user_id * 37 + event_id * 3) % 170 - 85 AS DOUBLE) AS lat, CAST((event_id * 53) % 360 - 180 AS DOUBLE) AS lon FROM events)"""
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("id"), ((F.col("user_id") * 37 + F.col("event_id") * 3) % 170 - 85).cast("double").alias("lat"), ((F.col("event_id") * 53) % 360 - 180).cast("double").alias("lon"))
 
 
@@ -105,11 +106,14 @@ def story_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def folded_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V6 V8 V9: reports folded into stories in order of arrival; the fold depends on its own state, so rows only."""
-    d = table(spark, sf_dir, "documents")
-    i = F.col("doc_id")
-    r = d.select((i % 200).alias("component"), i.alias("seq"), F.substring("text", 1, 40).alias("title"), F.substring("text", 41, 100).alias("description"), (1 + i % 3).cast("int").alias("tier"), (i * 977 % 100 * HOUR_MS).alias("at_ms"), F.concat(F.lit("r"), (i % 700).cast("string")).alias("identity"))
-    return st.fold(r)
+    """V6 V9: documents of equal titles folded in order of arrival; the fold depends on its own state, so tests hold it
+    to plain Python."""
+    i, none = F.col("doc_id"), F.lit(None).cast("bigint")
+    title = text.clean_title(F.substring_index("text", "\n", 1))
+    d = table(spark, sf_dir, "documents").select(i.alias("seq"), title.alias("title"), F.col("text").alias("description"), F.format_string("https://s.example/%d", i % 700).alias("url"), "source", (1 + i % 3).cast("int").alias("tier"), (i * 977 % 100 * HOUR_MS).alias("at_ms"))
+    d = d.withColumns({"story": text.fingerprint(F.col("title")), "latest_ms": F.col("at_ms"), "source_type": F.lit("rss"), "image_ms": none, "image_updated_ms": none, "description_ms": none, "description_tier": F.lit(None).cast("int"), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "location_name": F.lit(None).cast("string"), "image_url": F.lit(None).cast("string")})
+    again = F.row_number().over(Window.partitionBy("story", "url").orderBy("seq")) > 1
+    return resolution.fold(d.withColumn("repeated", again), NOW_MS).select("story", "title", "tier", "published_ms", "description_ms", "title_seq")
 
 
 @query()
@@ -150,7 +154,7 @@ def maintenance_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What cleaning changes or deletes; the fold over lines is beyond SQL, so rows only and tests."""
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
-    s = d.select(i.cast("string").alias("id"), "source", F.lit("https://a.example/x").alias("url"), text.clean_title(F.substring_index("text", "\n", 1)).alias("title"), F.col("text").alias("description"), F.lit(None).cast("array<string>").alias("sources"), (1 + i % 3).alias("tier"), F.lit(1).alias("independent"), F.lit(1.5).alias("impact"))
+    s = d.select(i.cast("string").alias("id"), "source", F.lit("https://a.example/x").alias("url"), text.clean_title(F.substring_index("text", "\n", 1)).alias("title"), F.col("text").alias("description"), F.lit(None).cast(items.SOURCES).alias("sources"), (1 + i % 3).alias("tier"), F.lit(1).alias("independent"), F.lit(1.5).alias("impact"))
     return maintenance.clean_archive(s, ["src3"])
 
 
@@ -182,10 +186,14 @@ def vector_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.union(lacking.where("vec_id % 3 <> 0").select("vec_id", F.lit(False)))
 
 
-@query("""WITH p AS (SELECT event_id - 1 - event_id % 3 AS a, event_id AS b FROM events WHERE event_id % 4 <> 0 AND event_id > 3), c AS (SELECT b AS absorbed, a AS "by" FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY a) AS r FROM p) WHERE r = 1)
-  SELECT absorbed, "by" FROM c WHERE "by" NOT IN (SELECT absorbed FROM c)""")
+RECLUSTER = """WITH RECURSIVE p AS (SELECT event_id - 1 - event_id % 3 AS a, event_id AS b FROM events WHERE event_id % 4 <> 0 AND event_id > 3),
+  step(b, absorbed) AS (SELECT event_id, false FROM events WHERE event_id NOT IN (SELECT b FROM p) UNION ALL SELECT p.b, NOT s.absorbed FROM step s JOIN p ON p.a = s.b)
+  SELECT p.b AS absorbed, p.a AS "by" FROM p JOIN step s ON s.b = p.b WHERE s.absorbed"""
+
+
+@query(RECLUSTER)
 def recluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3: greedy absorption by neighbours that are not absorbed themselves."""
+    """M3: greedy absorption by neighbours that are not absorbed themselves; each row here has one neighbour before it."""
     e = table(spark, sf_dir, "events").where("event_id % 4 <> 0 and event_id > 3")
     p = e.select((F.col("event_id") - 1 - F.col("event_id") % 3).alias("a"), F.col("event_id").alias("b"))
     return maintenance.recluster(p, F.col("a"))
@@ -204,17 +212,20 @@ def geocode_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(scores.outcome(F.col("want"), F.col("got"), key, key, F.col("km"), F.lit(None).cast("double")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-PLACED = """places(key, name, kind) AS (VALUES ('france', 'France', 'country'), ('tokyo', 'Tokyo', 'city'), ('new york', 'New York', 'city')),
-  docs AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(substr(text, 1, 60) || ' near ' || CASE doc_id % 4 WHEN 0 THEN 'Tokyo' WHEN 1 THEN 'New York' WHEN 2 THEN 'France' ELSE 'nowhere' END), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents)"""
+_KEYS = ", ".join(f"('{k}', '{n}')" for k, n in sorted({(r[0], r[1].replace("'", "''")) for r in geocode.SEED}))
+_DEMONYM = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in geocode.DEMONYMS.items()) + r" ELSE regexp_replace(x, '(?:''s)?[.''-]*$', '') END"
+PLACED = rf"""places(key, name) AS (VALUES {_KEYS}),
+  t AS (SELECT doc_id, text || ' near ' || CASE doc_id % 4 WHEN 0 THEN 'Tokyo' WHEN 1 THEN 'New York' WHEN 2 THEN 'French soil' ELSE 'nowhere' END AS t FROM documents),
+  docs AS (SELECT doc_id, ' ' || array_to_string(list_transform(list_filter(regexp_split_to_array(strip_accents(lower(t)), '[^\p{{L}}\p{{N}}''.-]+'), lambda x: x <> ''), lambda x: {_DEMONYM}), ' ') || ' ' AS t FROM t)"""
 
 
-@query(f"WITH {PLACED} SELECT doc_id AS id, name FROM docs JOIN places ON contains(t, ' ' || key || ' ')")
+@query(f"WITH {PLACED} SELECT DISTINCT doc_id AS id, name FROM docs JOIN places ON contains(t, ' ' || key || ' ')")
 def place_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place names in texts, by n-grams."""
+    """Place names in whole texts, by n-grams."""
     i = F.col("doc_id")
-    place = F.when(i % 4 == 0, "Tokyo").when(i % 4 == 1, "New York").when(i % 4 == 2, "France").otherwise("nowhere")
-    d = table(spark, sf_dir, "documents").select(i.alias("id"), F.concat(F.substring("text", 1, 60), F.lit(" near "), place).alias("text"))
-    return geocode.mentions(d, geocode.seed(spark).where("name in ('France', 'Tokyo', 'New York')")).select("id", "name")
+    place = F.when(i % 4 == 0, "Tokyo").when(i % 4 == 1, "New York").when(i % 4 == 2, "French soil").otherwise("nowhere")
+    d = table(spark, sf_dir, "documents").select(i.alias("id"), F.concat("text", F.lit(" near "), place).alias("text"))
+    return geocode.mentions(d, geocode.seed(spark)).select("id", "name").distinct()
 
 
 @query("SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'Tokyo' WHEN 1 THEN 'Paris, Texas' WHEN 2 THEN 'Paris' WHEN 3 THEN 'Eiffel Tower' END AS name, CASE doc_id % 5 WHEN 0 THEN 'unique' WHEN 1 THEN 'hierarchy' WHEN 2 THEN 'dominant' WHEN 3 THEN 'landmark' END AS rule FROM documents WHERE doc_id % 5 <> 4")
@@ -267,7 +278,7 @@ def enriched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY event_type")
 def streaming_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream deduplicated within its horizon and written by idempotent batches, read back."""
-    root = _folder(spark, "dedupe")
+    root = new_folder(spark, "dedupe")
     raw = table(spark, sf_dir, "events").select("event_type", "user_id", F.lit("2024-01-01").cast("timestamp").alias("ts"))
     raw.write.mode("overwrite").parquet(f"{root}/in")
     stream = jobs.deduplicated(jobs.landed(spark, f"{root}/in", raw.schema.simpleString()[7:-1].replace(":", " ")), ["event_type", "user_id"])
@@ -275,29 +286,31 @@ def streaming_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").groupBy("event_type").agg(F.count("*").alias("users"))
 
 
-@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS start_ms, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-25' GROUP BY 1, 2")
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS start_ms, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1, 2")
 def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts of a stream, finished by its watermark."""
-    root = _folder(spark, "windows")
+    """Hourly counts of a stream of several files; all windows that its watermark of two hours has finished."""
+    root = new_folder(spark, "windows")
     raw = table(spark, sf_dir, "events").select(F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("ts"), "event_type")
-    raw.coalesce(1).write.mode("overwrite").parquet(f"{root}/in")
-    counts = jobs.window_counts(jobs.landed(spark, f"{root}/in", "ts timestamp, event_type string"), "event_type")
+    raw.repartitionByRange(8, "ts").write.mode("overwrite").parquet(f"{root}/in")
+    jobs.land_in_order(spark, f"{root}/in")
+    counts = jobs.window_counts(jobs.landed(spark, f"{root}/in", "ts timestamp, event_type string", 1), "event_type")
     jobs.keyed_batches(counts, f"{root}/checkpoint", f"{root}/out", lambda b: b).start().awaitTermination()
-    ms = F.unix_millis("start")
+    last = raw.agg(F.max("ts").alias("last"))
     zone = F.unix_millis(F.lit("1970-01-01 00:00:00").cast("timestamp"))
-    return spark.read.parquet(f"{root}/out").select((ms - zone).alias("start_ms"), "event_type", "n").where(F.col("start_ms") < 1706140800000)
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder among those that all executors share."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    done = spark.read.parquet(f"{root}/out").crossJoin(last).where(F.expr("start + interval 3 hours <= last"))
+    return done.select((F.unix_millis("start") - zone).alias("start_ms"), "event_type", "n")
+
+
+@query("WITH e AS (SELECT event_id, user_id FROM events WHERE event_id % 2 = 0) SELECT user_id, count(*) AS n FROM e WHERE user_id % 5 <> 0 GROUP BY 1")
+def streaming_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream under its tier's watermark against what the stored stories have."""
+    root = new_folder(spark, "unseen")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    e.where("event_id % 2 = 0").write.mode("overwrite").parquet(f"{root}/in")
+    history = e.where("user_id % 5 = 0").select("user_id")
+    stream = jobs.unseen_against(jobs.on_time(jobs.landed(spark, f"{root}/in", "event_id bigint, user_id bigint, ts timestamp")), history, "user_id")
+    jobs.keyed_batches(stream, f"{root}/checkpoint", f"{root}/out", lambda b: b.select("event_id", "user_id")).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey % 7 AS batch, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS kept FROM orders GROUP BY 1")

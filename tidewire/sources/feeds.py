@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text
@@ -15,11 +15,17 @@ IMPORT_FEATURES, IMPORT_POINTS = 1000, 50_000
 
 
 def rss(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """(source, seq, title, url, description, published): the items of RSS files, or Atom with ``row_tag='entry'``."""
+    """(source, seq, title, url, description, published): the items of RSS files, or Atom with ``row_tag='entry'``.
+
+    ``source`` is the file, and ``seq`` an item's place in it: where its block of the file begins, then its row there,
+    so it follows the file however the read is partitioned.
+    """
     schema = "title string, link string, description string, summary string, pubDate string, published string, updated string, guid string"
     raw = spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(schema).load(path)
-    seq = F.monotonically_increasing_id()
-    return raw.select(F.input_file_name().alias("source"), seq.alias("seq"), text.clean_title(text.html_text(F.col("title"))).alias("title"), text.canonical_url(F.coalesce("link", "guid")).alias("url"), text.html_text(F.coalesce("description", "summary")).alias("description"), F.coalesce("pubDate", "published", "updated").alias("published"))
+    raw = raw.withColumns({"source": F.input_file_name(), "_row": F.monotonically_increasing_id()})
+    # row numbers of a partition grow with a file's blocks, which are read in order
+    seq = F.row_number().over(Window.partitionBy("source").orderBy("_row"))
+    return raw.select("source", seq.cast("bigint").alias("seq"), text.clean_title(text.html_text(F.col("title"))).alias("title"), text.canonical_url(F.coalesce("link", "guid")).alias("url"), text.html_text(F.coalesce("description", "summary")).alias("description"), F.coalesce("pubDate", "published", "updated").alias("published"))
 
 
 def news_json(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +37,8 @@ def news_json(spark: SparkSession, path: str) -> DataFrame:
 
 def messages(pages: DataFrame, html: str = "html") -> DataFrame:
     """(page columns.., seq, text, url, posted): the messages of channel pages, ten characters at least and 500 at most."""
-    blocks = F.slice(F.split(F.col(html), r"(?i)<div[^>]+class=\"[^\"]*\bmessage\b[^\"]*\"[^>]*>"), 2, 100_000)
+    every = F.split(F.col(html), r"(?i)<div[^>]+class=\"[^\"]*\bmessage\b[^\"]*\"[^>]*>")
+    blocks = F.slice(every, F.lit(2), F.size(every))
     rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(blocks).alias("seq", "_m"))
     body = F.substring(text.html_text(F.col("_m")), 1, MESSAGE_MOST)
     link = F.regexp_extract("_m", r"(?i)href=\"(https?://[^\"]+)\"", 1)
@@ -46,10 +53,15 @@ def timeline_posts(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.select(*[c for c in pages.columns if c != html], F.col("_e.id").alias("status_id"), F.col("_e.text").alias("text"), F.col("_e.created_at").alias("created_at"))
 
 
+def newest(items: DataFrame, key: str, now_ms: int, age_ms: int, limit: int) -> DataFrame:
+    """The newest items (key, published_ms, url) of each feed that are neither too old nor over five minutes ahead."""
+    fits = items.where(F.col("published_ms").between(now_ms - age_ms, now_ms + scores.FUTURE_SKEW_MS))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("published_ms").desc(), "url"))
+    return fits.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
+
+
 def normalise_posts(posts: DataFrame, now_ms: int) -> DataFrame:
     """The newest ten posts of each account (account, status_id, text, at_ms): dated, fresh, long enough, once each."""
-    from pyspark.sql import Window
-
     fits = posts.where((F.col("at_ms") > 0) & F.col("at_ms").between(now_ms - POST_AGE_MS, now_ms + scores.FUTURE_SKEW_MS) & (F.length("text") >= POST_LEAST))
     once = fits.dropDuplicates(["account", "status_id"])
     rank = F.row_number().over(Window.partitionBy("account").orderBy(F.col("at_ms").desc(), "status_id"))
@@ -65,10 +77,10 @@ def first_non_empty(*parts: DataFrame) -> DataFrame:
     return ranked.join(best, ["source", "_p"]).drop("_p")
 
 
-def fires(spark: SparkSession, path: str) -> DataFrame:
+def fires(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """(lat, lon, power, confidence, acquired) of fire detections in CSV: 13 columns, none of low confidence or power."""
     names = ["latitude", "longitude", "bright", "scan", "track", "acq_date", "acq_time", "satellite", "confidence", "version", "bright2", "frp", "daynight"]
-    rows = spark.read.option("header", True).schema(", ".join(f"{n} string" for n in names)).csv(path)
+    rows = spark.read.option("header", header).schema(", ".join(f"{n} string" for n in names)).csv(path)
     power = F.coalesce(F.expr("try_cast(frp as double)"), F.lit(0.0))
     out = rows.select(F.expr("try_cast(latitude as double)").alias("lat"), F.expr("try_cast(longitude as double)").alias("lon"), power.alias("power"), F.lower("confidence").alias("confidence"), F.concat_ws(" ", "acq_date", "acq_time").alias("acquired"), "daynight")
     return out.where(geo.usable(F.col("lat"), F.col("lon")) & (F.col("confidence") != "low") & (F.col("power") >= FIRE_POWER) & F.col("daynight").isNotNull()).drop("daynight")
@@ -89,6 +101,14 @@ def flights(rows: DataFrame) -> DataFrame:
     return rows.where(geo.usable(F.col("lat"), F.col("lon"))).select(label.alias("label"), "lat", "lon", zero("track"), zero("altitude"), zero("speed"), cell.alias("cell"))
 
 
+def imported_rings(geojson: Column) -> Column:
+    """The outer rings of a GeoJSON text's polygons, array<array<struct<lon, lat>>>; null if it can't be read."""
+    kind = "struct<features: array<struct<geometry: struct<type: string, coordinates: array<array<array<double>>>>>>>"
+    polygons = F.filter(F.from_json(geojson, kind)["features"], lambda f: f["geometry"]["type"] == "Polygon")
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat"))
+    return F.transform(polygons, lambda f: F.transform(F.get(f["geometry"]["coordinates"], F.lit(0)), point))
+
+
 def valid_import(features: Column) -> Column:
     """Whether imported rings, array<array<struct<lon, lat>>>, are few and short enough, in range, and closed."""
     in_range = lambda p: p["lon"].between(-180, 180) & p["lat"].between(-90, 90)

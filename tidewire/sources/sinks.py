@@ -30,6 +30,12 @@ def report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def snapshot(rows: DataFrame, predicted: list[str], path: str) -> None:
+    """Rows for a benchmark as JSON below ``path``: full, and blind without what was predicted of them."""
+    report(rows, f"{path}/full")
+    report(rows.drop(*predicted), f"{path}/blind")
+
+
 def dry_run(changes: DataFrame) -> DataFrame:
     """The change set alone, by kind of action."""
     return changes.groupBy("action").count()
