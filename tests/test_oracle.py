@@ -28,3 +28,13 @@ def test_entry_runs_without_the_corpus_subpackage(spark, monkeypatch):
     monkeypatch.setattr(entry, "_pipeline", None)
     assert set(entry.queries()) == set(registry.QUERIES) and set(entry.oracle_sql()) == set(registry.ORACLE_SQL)
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > len(e.oracle_sql()) > 100"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

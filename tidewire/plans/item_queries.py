@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text
@@ -13,7 +13,10 @@ from .base import HOUR_MS, NOW_MS, STORIES, query, stories, table
 from .ingest_queries import FP, TITLE
 
 MS = "(epoch_us(ts) // 1000)"
-LATER = F.lit("2030-01-01").cast("timestamp")
+
+
+def _later() -> Column:
+    return F.lit("2030-01-01").cast("timestamp")
 
 
 @query("""SELECT event_id AS n, event_type || ' report' AS title, 'https://n.example/' || CAST(event_id AS VARCHAR) AS url, CASE WHEN user_id % 9 < 3 THEN CAST(1 + user_id % 9 AS INTEGER) ELSE 3 END AS credibility_tier, 3.5 - CASE WHEN user_id % 9 < 3 THEN 1 + user_id % 9 ELSE 3 END AS impact_score,
@@ -33,7 +36,7 @@ def new_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one event type is a term of an event, so that its items stay
     rows = rows.withColumn("description", F.when(F.col("title").startswith("error"), F.concat("description", F.lit(" of an attack"))).otherwise(F.col("description")))
     registry = spark.createDataFrame([("src0", 1), ("src1", 2), ("src2", 3)], "name string, credibility_tier int")
-    made = items.to_stories(rows, registry, LATER)
+    made = items.to_stories(rows, registry, _later())
     return made.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("bigint").alias("n"), "title", "url", "credibility_tier", "impact_score", "image_url", "image_source_url", F.col("expires_at").isNotNull().alias("expires"))
 
 
@@ -123,7 +126,7 @@ def safe_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     forms = [F.date_format("ts", p) for p in ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "d MMM yyyy HH:mm:ss 'GMT'")]
     raw = F.when(i % 5 == 0, forms[0]).when(i % 5 == 1, forms[1]).when(i % 5 == 2, F.concat(F.lit("Tue, "), forms[2])).when(i % 5 == 3, forms[2]).otherwise("rubbish")
-    at = scores.safe_time(raw, LATER)
+    at = scores.safe_time(raw, _later())
     return table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(F.to_utc_timestamp(at, F.current_timezone())).alias("at_s"))
 
 
