@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import feed
+from ..operators import feed, items
 from ..operators.feed import FeedQuery
 from .base import HOUR_MS, NOW_MS, STORIES, query, stories, table
 
@@ -109,7 +109,7 @@ def feed_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT cell_y, cell_x, count(*) AS story_count, round(avg(lat), 6) AS center_lat, round(avg(lon), 6) AS center_lon, max(impact) AS max_impact,
   first(id ORDER BY impact DESC, latest_ms DESC, id DESC) AS top_id FROM c GROUP BY 1, 2""")
 def cluster_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stories in cells of twenty degrees."""
+    """Stories in cells of twenty degrees."""
     c = feed.clusters(stories(spark, sf_dir), 4, 20.0)
     return c.select("cell_y", "cell_x", "story_count", F.round("center_lat", 6).alias("center_lat"), F.round("center_lon", 6).alias("center_lon"), "max_impact", "top_id")
 
@@ -165,7 +165,7 @@ def headline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn = 0 ORDER BY turn DESC) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
   SELECT conv_id, turn, n > 3 AS is_restricted FROM r WHERE turn = 0 OR r <= 2""")
 def timeline_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first report and the newest two others of each story."""
+    """The first report and the newest two others of each story."""
     rows = table(spark, sf_dir, "conversations").withColumn("is_primary", F.col("turn") == 0)
     return feed.timeline(rows, "conv_id", F.col("turn"), 3).select("conv_id", "turn", "is_restricted")
 
@@ -173,7 +173,7 @@ def timeline_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {STORIES} SELECT coalesce(category, 'general') AS category, source_type, count(*) AS n, CAST(sum(CASE WHEN tier = 1 THEN 1 ELSE 0 END) AS BIGINT) AS first_tier, greatest(0, count(*) - 40) AS hidden
   FROM stories GROUP BY 1, 2""")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional counts by category."""
+    """Conditional counts by category."""
     rows = stories(spark, sf_dir).groupBy(F.coalesce("category", F.lit("general")).alias("category"), "source_type")
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("tier") == 1).alias("first_tier")).withColumn("hidden", F.greatest(F.lit(0), F.col("n") - 40))
 
@@ -181,11 +181,8 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {STORIES}, o AS (SELECT *, row_number() OVER (ORDER BY id = '000000000009' DESC, latest_ms DESC, id) AS place FROM stories) SELECT id, CAST(place AS BIGINT) AS place FROM o ORDER BY place LIMIT 20""")
 def selected_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selected story first, the others in order."""
-    from pyspark.sql import Window
-
-    order: list[Column] = [(F.col("id") == "000000000009").desc(), F.col("latest_ms").desc(), F.col("id")]
-    rows = stories(spark, sf_dir).select("id", "latest_ms").orderBy(*order).limit(20)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint")).select("id", "place")
+    rows = stories(spark, sf_dir).select("id", "latest_ms")
+    return items.selected_first(rows, "000000000009", F.col("latest_ms").desc(), F.col("id"), limit=20).select("id", "place")
 
 
 @query(f"""WITH {STORIES} SELECT id, round(lon * 111319.49079327358, 3) AS x, round(ln(tan(radians(lat) / 2 + pi() / 4)) * 6378137.0, 3) AS y FROM stories WHERE lat IS NOT NULL""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import corroboration, ingest
+from ..operators import corroboration, ingest, items
 from .base import HOUR_MS, NOW_MS, STORIES, query, stories, table
 
 MS = "(epoch_us(ts) // 1000)"
@@ -69,7 +69,7 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REPORTS} SELECT story, independent FROM counts")
 def independent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many publishers report each story independently."""
+    """A1: how many publishers report each story independently."""
     return corroboration.independent_sources(_reports(spark, sf_dir), ["story"], "seq")
 
 
@@ -263,7 +263,7 @@ def patched_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, CAST(coalesce(CASE WHEN substr(source, 4) IN ('1', '2', '3') THEN CAST(substr(source, 4) AS INTEGER) END, 3) AS INTEGER) AS tier, count(*) AS n FROM documents GROUP BY 1, 2")
 def source_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Credibility tiers by a broadcast lookup."""
+    """Credibility tiers by a broadcast lookup."""
     registry = spark.createDataFrame([("src1", 1), ("src2", 2), ("src3", 3)], "name string, credibility_tier int")
     return ingest.source_tiers(table(spark, sf_dir, "documents"), registry).groupBy("source", "tier").agg(F.count("*").alias("n"))
 
@@ -277,7 +277,7 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""SELECT doc_id, {FP.format("'Market recap ' || CASE doc_id % 4 WHEN 0 THEN 'Friday' WHEN 1 THEN '3 March 2024' WHEN 2 THEN 'May 4th, 2024' ELSE '2024-05-06' END || ' for ' || source").replace("|| CASE doc_id % 4 WHEN 0 THEN 'Friday' WHEN 1 THEN '3 March 2024' WHEN 2 THEN 'May 4th, 2024' ELSE '2024-05-06' END ", "")} AS template FROM documents""")
 def dated_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Editions of a series share a template without its dates."""
+    """Editions of a series share a template without its dates."""
     i = F.col("doc_id")
     date = F.when(i % 4 == 0, "Friday").when(i % 4 == 1, "3 March 2024").when(i % 4 == 2, "May 4th, 2024").otherwise("2024-05-06")
     title = F.concat(F.lit("Market recap "), date, F.lit(" for "), "source")
@@ -314,15 +314,15 @@ def low_signal_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, first(event_id ORDER BY ts DESC, event_id DESC) AS event_id FROM events WHERE event_type = 'purchase' AND value > 5 GROUP BY user_id""")
 def latest_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest active override of each user."""
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase' and value > 5")
-    return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    active = (F.col("event_type") == "purchase") & (F.col("value") > 5)
+    return items.latest_active(table(spark, sf_dir, "events"), "user_id", active, "ts", "event_id").select("user_id", "event_id")
 
 
 @query("SELECT source, CAST(round(avg(n_chars) / 10) AS BIGINT) AS latency, CASE WHEN round(avg(n_chars) / 10) > 300 THEN 'over 300' WHEN round(avg(n_chars) / 10) > 150 THEN 'over 150' ELSE 'fine' END AS band FROM documents GROUP BY source")
 def latency_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources by latency band."""
     l = table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.avg("n_chars") / 10).cast("bigint").alias("latency"))
-    return l.select("source", "latency", F.when(F.col("latency") > 300, "over 300").when(F.col("latency") > 150, "over 150").otherwise("fine").alias("band"))
+    return items.latency_bands(l, F.col("latency"), [(300, "over 300"), (150, "over 150")])
 
 
 @query("SELECT doc_id, CASE WHEN n_chars < 60 THEN CAST(n_chars AS VARCHAR) || 'm ago' WHEN n_chars < 1440 THEN CAST(n_chars // 60 AS VARCHAR) || 'h ago' ELSE CAST(n_chars // 1440 AS VARCHAR) || 'd ago' END AS ago, CAST(CASE WHEN n_chars <= 176 THEN 176 WHEN n_chars <= 640 THEN 640 ELSE 960 END AS INTEGER) AS width, floor((n_chars / 7.0 - 100) * 100 + 0.5) / 100 AS fixed FROM documents")
@@ -334,16 +334,16 @@ def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS id, CAST(max(l_linenumber) AS BIGINT) AS n, max(l_extendedprice) AS impact, bool_or(l_returnflag = 'R') AS flagged, min(l_shipmode_null) AS kept FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN l_linestatus END AS l_shipmode_null FROM lineitem) GROUP BY 1")
 def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities merged by key: greatest counts, any flag, what is there of the rest."""
-    l = table(spark, sf_dir, "lineitem")
+    """Entities merged by key: greatest counts, any flag, what is there of the rest."""
     kept = F.when(F.col("l_linenumber") == 1, F.col("l_linestatus"))
-    return l.groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_linenumber").cast("bigint").alias("n"), F.max("l_extendedprice").alias("impact"), F.bool_or(F.col("l_returnflag") == "R").alias("flagged"), F.min(kept).alias("kept"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("bigint").alias("n"), F.col("l_extendedprice").alias("impact"), (F.col("l_returnflag") == "R").alias("flagged"), kept.alias("kept"))
+    return items.merged_entities(l, "id", ["n", "impact"], ["flagged"], ["kept"])
 
 
 @query(f"WITH {STORIES}, r AS (SELECT id, row_number() OVER (ORDER BY tier = 1 DESC, latest_ms DESC, id) AS k FROM stories) SELECT id FROM r WHERE k <= 500")
 def pruned_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of bounded size keeps what is protected, then what was touched last."""
-    return stories(spark, sf_dir).orderBy((F.col("tier") == 1).desc(), F.col("latest_ms").desc(), "id").limit(500).select("id")
+    return items.pruned(stories(spark, sf_dir), F.col("tier") == 1, "latest_ms", 500).select("id")
 
 
 @query("SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM documents GROUP BY 1, 2) WHERE r = 1")

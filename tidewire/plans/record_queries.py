@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, records, scores
-from ..operators import feed, ingest
+from ..operators import feed, ingest, items
 from ..operators import stories as st
 from .base import NOW_MS, STORIES, query, stories, table
 
 
 @query("SELECT event_id, 'k ' || regexp_extract(props, '[0-9]+') || CASE event_id % 4 WHEN 0 THEN ' list' WHEN 1 THEN '' WHEN 2 THEN ' keyed' ELSE ' plain' END AS text FROM events WHERE event_id % 4 <> 1 UNION ALL SELECT event_id, '' FROM events WHERE event_id % 4 = 1")
 def coerced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text of lists, objects, scalars and junk."""
+    """The text of lists, objects, scalars and junk."""
     i, k = F.col("event_id"), F.regexp_extract("props", "[0-9]+", 0)
     raw = F.when(i % 4 == 0, F.concat(F.lit('["k", "'), k, F.lit('", "", "list"]'))).when(i % 4 == 1, F.lit("{broken")).when(i % 4 == 2, F.concat(F.lit('{"#text": "", "text": "k '), k, F.lit(' keyed"}'))).otherwise(F.concat(F.lit('"k '), k, F.lit(' plain"')))
     return table(spark, sf_dir, "events").select("event_id", records.coerced_text(raw).alias("text"))
@@ -36,7 +36,7 @@ def packed_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'rss,x' WHEN 1 THEN 'x' ELSE '' END AS sources, CAST(least(999, greatest(1, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE c_custkey * 2 - 50 END)) AS INTEGER) AS volume FROM customer")
 def clean_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Allowed values once each, numbers within bounds."""
+    """allowed values once each, numbers within bounds."""
     key = F.col("c_custkey")
     chosen = F.when(key % 3 == 0, F.array(F.lit("rss"), F.lit("bad"), F.lit("x"), F.lit("rss"))).when(key % 3 == 1, F.array(F.lit("x"))).otherwise(F.array(F.lit("other")))
     volume = F.when(key % 5 == 0, "junk").otherwise((key * 2 - 50).cast("string"))
@@ -76,17 +76,18 @@ def tessellated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", F.col("i").cast("bigint").alias("i"), F.round("p.x", 6).alias("x"))
 
 
-@query("SELECT printf('%.1f', floor(s_acctbal * 10 + 0.5) / 10) AS altitude, printf('%d', CAST(floor(s_acctbal) AS BIGINT)) AS speed, s_suppkey FROM supplier")
+@query("SELECT printf('%.1f', floor(s_acctbal * 10 + 0.5) / 10) AS altitude, printf('%d', CAST(floor(s_acctbal + 0.5) AS BIGINT)) AS speed, s_suppkey FROM supplier")
 def formatted_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers as text, with one decimal and with none."""
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string("%.1f", F.floor(F.col("s_acctbal") * 10 + 0.5) / 10).alias("altitude"), F.format_string("%d", F.floor("s_acctbal").cast("bigint")).alias("speed"))
+    altitude, speed = items.position_text(F.col("s_acctbal"), F.col("s_acctbal"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", altitude.alias("altitude"), speed.alias("speed"))
 
 
 @query("SELECT o_orderkey, coalesce(nullif(o_custkey % 4, 0), 1) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
 def candidate_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Details of candidates by a semi-join, zero counts as one."""
     wanted = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(wanted, "o_orderkey", "left_semi").select("o_orderkey", F.coalesce(F.nullif(F.col("o_custkey") % 4, F.lit(0)), F.lit(1)).alias("n"))
+    return items.details(wanted, table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("n")), "o_orderkey", "n")
 
 
 @query("SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.85 OR (list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.6 AND a.label = b.label) AS passes FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -103,7 +104,7 @@ def stratum_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U4: strata that are missing, and those that are too many, by set differences both ways."""
     want = table(spark, sf_dir, "documents").select("lang").distinct()
     got = want.where("lang <> 'fr'").union(spark.createDataFrame([("xx",)], "lang string"))
-    return want.exceptAll(got).withColumn("side", F.lit("missing")).union(got.exceptAll(want).withColumn("side", F.lit("extra")))
+    return items.coverage(want, got)
 
 
 @query("SELECT 'guest' AS tier, 10 AS rows UNION ALL SELECT 'free', 50 UNION ALL SELECT 'paid', 250")
@@ -115,9 +116,8 @@ def entitled_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS dedup_key, count(*) AS times, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms, max(value) AS worst FROM events WHERE value > 20 GROUP BY 1")
 def incident_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents counted by key, first and last seen."""
-    ms = scores.epoch_ms(F.col("ts"))
     e = table(spark, sf_dir, "events").where("value > 20")
-    return e.groupBy(F.col("event_type").alias("dedup_key")).agg(F.count("*").alias("times"), F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"), F.max("value").alias("worst"))
+    return items.incidents(e, F.col("event_type"), scores.epoch_ms(F.col("ts")), F.col("value"))
 
 
 @query("SELECT e.user_id, count(*) AS n FROM events e WHERE e.event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.value > 60) GROUP BY 1")
@@ -130,14 +130,14 @@ def guarded_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {STORIES}, s AS (SELECT id, source, published_ms FROM stories WHERE published_ms >= {records.since_ms(NOW_MS, 7 * 86_400_000)}) SELECT source, count(*) AS n FROM s GROUP BY source")
 def aligned_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range aligned to the minute."""
+    """X11: a range aligned to the minute."""
     s = stories(spark, sf_dir).where(F.col("published_ms") >= records.since_ms(NOW_MS, 7 * 86_400_000))
     return s.groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("WITH q AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id DESC) AS r FROM documents) SELECT doc_id, source FROM q WHERE r = 1")
 def best_image_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each story the target of the best priority, then the newest."""
+    """Of each story the target of the best priority, then the newest."""
     d = table(spark, sf_dir, "documents")
     return d.groupBy("source").agg(F.min_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"))
 
@@ -146,7 +146,7 @@ def best_image_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pick among what was not seen yet, by a hash instead of chance so that it can be repeated."""
     d = table(spark, sf_dir, "documents").select("doc_id")
-    return d.join(d.where("doc_id % 10 = 0"), "doc_id", "left_anti").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(1)
+    return items.pick(d, d.where("doc_id % 10 = 0"), "doc_id")
 
 
 @query("SELECT host, count(*) AS n FROM (SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages) GROUP BY host")

@@ -118,7 +118,7 @@ def folded_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def conflicting_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2 V3 V4: pairs that contradict each other; the patterns use what DuckDB's lack, so rows only and tests."""
+    """V4: pairs that contradict each other; the patterns use what DuckDB's lack, so rows only and tests."""
     s = stories(spark, sf_dir)
     n = F.col("id").cast("int")
     lead = F.when(n % 5 == 0, "Quiz: name the city").when(n % 5 == 1, "Men's football final won by hosts").when(n % 5 == 2, "Women's tennis final won by hosts").when(n % 5 == 3, "Fire at the hospital").otherwise("Explosion at the warehouse on Monday")
@@ -171,7 +171,7 @@ def regeocode_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {STORIES} SELECT id FROM stories WHERE tier = 1 AND published_ms >= {NOW_MS - 7 * 24 * HOUR_MS} AND (volume % 2 = 0 OR published_ms - 691200000 < {NOW_MS - 7 * 24 * HOUR_MS}) ORDER BY volume DESC, published_ms DESC, id LIMIT 250")
 def image_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest stories of the week without a picture."""
+    """M7: the largest stories of the week without a picture."""
     s = stories(spark, sf_dir).withColumns({"image": F.when(F.col("tier") != 1, "x"), "at_ms": F.col("published_ms"), "event_count": F.col("volume"), "checked_ms": F.when(F.col("volume") % 2 == 1, F.col("published_ms") - 691200000)})
     return maintenance.image_backfill(s, NOW_MS).select("id")
 
@@ -230,7 +230,7 @@ def place_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'Tokyo' WHEN 1 THEN 'Paris, Texas' WHEN 2 THEN 'Paris' WHEN 3 THEN 'Eiffel Tower' END AS name, CASE doc_id % 5 WHEN 0 THEN 'unique' WHEN 1 THEN 'hierarchy' WHEN 2 THEN 'dominant' WHEN 3 THEN 'landmark' END AS rule FROM documents WHERE doc_id % 5 <> 4")
 def resolved_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts located by the cascade of rules."""
+    """Texts located by the cascade of rules."""
     i = F.col("doc_id")
     t = F.when(i % 5 == 0, "Quake felt in Tokyo").when(i % 5 == 1, "Storm in Paris, Texas").when(i % 5 == 2, "Strike in Paris").when(i % 5 == 3, "Crowd at the Eiffel Tower").otherwise("Fire in Springfield")
     return geocode.resolve(table(spark, sf_dir, "documents").select(i.alias("id"), t.alias("text")), geocode.seed(spark)).select("id", "name", "rule")
@@ -261,7 +261,7 @@ def gazetteer_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'Paris' WHEN 1 THEN 'New York' END AS name FROM customer WHERE c_custkey % 3 <> 2")
 def geocoded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place names alone looked up."""
+    """Place names alone looked up."""
     i = F.col("c_custkey")
     names = table(spark, sf_dir, "customer").select(i.alias("id"), F.when(i % 3 == 0, " París's").when(i % 3 == 1, "NEW YORK,").otherwise("Atlantis").alias("place"))
     return geocode.geocode_name(names, geocode.seed(spark)).select("id", "name")
@@ -315,7 +315,7 @@ def streaming_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey % 7 AS batch, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS kept FROM orders GROUP BY 1")
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of sources united by name, a missing column null."""
+    """Families of sources united by name, a missing column null."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 7).alias("batch"))
     a, b = o.where("o_orderkey % 2 = 0").withColumn("kept", F.lit(1)), o.where("o_orderkey % 2 <> 0")
     return a.unionByName(b, allowMissingColumns=True).groupBy("batch").agg(F.count("*").alias("n"), F.count("kept").alias("kept"))
@@ -323,13 +323,13 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'delete' ELSE 'update' END AS action, count(*) AS count FROM orders GROUP BY 1")
 def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a change set would do."""
+    """What a change set would do."""
     return sinks.dry_run(table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, "delete").otherwise("update").alias("action")))
 
 
 @query("SELECT event_id AS status_id, user_id AS account FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id) AS r FROM events WHERE epoch_us(ts) // 1000 BETWEEN 1706313600000 AND 1706573100000) WHERE r <= 10")
 def normalised_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest posts of each account within three days."""
+    """The newest posts of each account within three days."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("account"), F.col("event_id").alias("status_id"), F.lit("a text that is long enough").alias("text"), scores.epoch_ms(F.col("ts")).alias("at_ms"))
     return feeds.normalise_posts(e, 1706572800000).select("status_id", "account")
 
