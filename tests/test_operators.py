@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import geo
-from tidewire.operators import corroboration, feed, geocode, ingest, maintenance, resolution
+from tidewire.operators import articles, corroboration, feed, geocode, ingest, maintenance, resolution
 from tidewire.operators import stories as st
 from tidewire.plans import story_queries
 
@@ -352,3 +352,29 @@ def test_requests_in_text():
     assert feed.gate(feed.parse({}, 7), "guest") is None and feed.gate(q, "pro") is None and feed.gate(q, "free") == "filters" and feed.gate(feed.parse({"time_range": "1w"}, 7), "free") == "range"
     assert not feed.clusters_apply(3, geo.BBox(-90, 90, -180, 180)) and feed.clusters_apply(None, geo.BBox(0, 1, 0, 1)) and not feed.clusters_apply(3, geo.BBox(0, 1, 0, 1), True)
     assert feed.AppliedLimit(None, 10, "guest", True).scope == "viewport"
+
+
+def test_articles_are_located_by_their_words(spark):
+    more = [("charlotte", "Charlotte", "city", "US", "NC", 35.2, -80.8, 870000), ("missouri", "Missouri", "admin1", "US", "MO", 38.5, -92.5, 6000000), ("washington", "Washington, DC", "city", "US", "DC", 38.9, -77.04, 700000), ("london", "London, Ontario", "city", "CA", "08", 42.98, -81.23, 400000), ("canada", "Canada", "country", "CA", None, 56.0, -106.0, 38000000)]
+    places = geocode.seed(spark).unionByName(spark.createDataFrame(more, geocode.SEED_SCHEMA))
+    cases = [
+        ("Fire in Springfield", "Officials in Missouri said", None, None, "Springfield, Missouri", "admin_context"),
+        ("Fire in Springfield", "", None, "US", None, None),
+        ("Charlotte Smith wins", "in Tokyo", None, None, "Tokyo", "unique"),
+        ("Talks resume", "Country: Nigeria. more", None, None, "Nigeria", "country"),
+        ("Mayor speaks in London", "", None, None, "London", "dominant"),
+        ("Mayor speaks in London", "", None, "ca", "London, Ontario", "source_country"),
+        ("Mayor speaks in London, Canada", "", None, None, "London, Ontario", "explicit_pair"),
+        ("Council votes - Lagos Times", "", "Lagos Times", None, None, None),
+        ("Quake felt at the old stadium", "crowd near lincoln memorial", None, None, "Washington, DC", "override"),
+        ("German minister speaks", "", None, None, "Germany", "actor_country"),
+        ("German minister speaks in Madrid", "", None, None, "Madrid", "unique"),
+        ("Planes from Madrid bomb a depot near Lagos", "", None, None, "Lagos", "unique"),
+        ("\U0001f525 Tokyo: fire", "", None, None, "Tokyo", "unique"),
+        (None, None, None, None, None, None),
+        ("A quiet day", "nothing here", None, None, None, None),
+    ]
+    frame = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "id int, title string, description string, source string, country string")
+    overrides = spark.createDataFrame([("lincoln memorial", "washington")], "needle string, key string")
+    got = {r["id"]: (r["name"], r["rule"]) for r in articles.resolve(frame, places, overrides=overrides).collect()}
+    assert [got.get(i, (None, None)) for i in range(len(cases))] == [c[4:] for c in cases]

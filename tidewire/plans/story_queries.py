@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text
-from ..operators import geocode, items, maintenance, resolution
+from ..operators import articles, geocode, items, maintenance, resolution
 from ..operators import stories as st
 from ..operators.shared import new_folder
 from ..sources import feeds, sinks
@@ -236,6 +236,30 @@ def resolved_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocode.resolve(table(spark, sf_dir, "documents").select(i.alias("id"), t.alias("text")), geocode.seed(spark)).select("id", "name", "rule")
 
 
+HEADLINES = [
+    ("Storm hits Tokyo, Japan", "Tokyo", "explicit_pair"),
+    ("Storm in Paris, Texas", "Paris, Texas", "explicit_pair"),
+    ("Strike in Paris", "Paris", "dominant"),
+    ("BERLIN (Reuters) - Talks resume", "Berlin", "unique"),
+    ("Madrid vs London match ends", None, None),
+    ("Attack strikes Japanese nuclear plants", "Japan", "country"),
+    ("White House says no", "United States", "actor_country"),
+    ("Texas state budget passes", "Texas", "state"),
+    ("Crowd at the Eiffel Tower", "Eiffel Tower", "landmark"),
+    ("Unrest across Europe", "Europe", "region"),
+    ("Fire in Springfield", None, None),
+]
+_CASE = lambda part: "CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{h[part]}'" for i, h in enumerate(HEADLINES) if h[part]) + " END"
+
+
+@query(f"SELECT doc_id AS id, {_CASE(1)} AS name, {_CASE(2)} AS rule FROM documents WHERE doc_id % 11 NOT IN (4, 10)")
+def located_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles, their whole texts behind a headline, located by what their words say."""
+    titles = F.array(*[F.lit(h[0]) for h in HEADLINES])
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.get(titles, (F.col("doc_id") % 11).cast("int")).alias("title"), F.col("text").alias("description"), "source")
+    return articles.resolve(d, geocode.seed(spark)).select("id", "name", "rule")
+
+
 @query("""WITH c AS (SELECT c_custkey AS id, c_name AS name, c_nationkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey % 5, c_nationkey ORDER BY CAST(round(c_acctbal * 100) AS BIGINT) DESC, c_name) AS r FROM customer)
   SELECT CAST(c_nationkey % 5 AS VARCHAR) AS country, CAST(c_nationkey AS VARCHAR) AS region, CAST(id % 180 - 90 AS DOUBLE) AS lat, CAST(id % 360 - 180 AS DOUBLE) AS lon FROM c WHERE r = 1""")
 def region_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
