@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few numbers each that a broadcast may hold (about 100 MB in memory).
 BROADCAST_ROWS = 2_000_000
+#: Rows of a table that ``lookup_join`` broadcasts whole (about 30 MB).
+LOOKUP_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,7 +57,7 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def lookup_join(rows: DataFrame, found: DataFrame, key: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(rows: DataFrame, found: DataFrame, key: str, how: str = "inner", limit: int = LOOKUP_ROWS) -> DataFrame:
     """``rows`` joined with ``found``, a written table in which each ``key`` stands once; no key makes a hot task.
 
     Up to ``limit`` rows of ``found`` are broadcast.  Of a larger table only those are whose key a thousandth of the

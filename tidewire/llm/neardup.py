@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import mix64, shingle_sets
-from .common import BROADCAST_ROWS, Scratch, column, lookup_join, sized, unused
+from .common import LOOKUP_ROWS, Scratch, column, lookup_join, sized, unused
 from .components import connected_components
 
 U32 = np.uint32
@@ -263,7 +263,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     ends = F.min("label").alias("low"), F.max("label").alias("high")
     drawn = labelled.groupBy("bucket").agg(*ends, *[pivot(i).alias(f"p{i}") for i in range(PIVOTS)]).where("low < high")
     drawn = scratch.save(drawn.select("bucket", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("drawn")), "drawn")
-    met = lookup_join(labelled, drawn, "bucket", limit=BROADCAST_ROWS // PIVOTS).select("node", "label", F.explode("drawn").alias("p")).where("p.a_label <> label")
+    met = lookup_join(labelled, drawn, "bucket", limit=LOOKUP_ROWS // PIVOTS).select("node", "label", F.explode("drawn").alias("p")).where("p.a_label <> label")
     met = met.select(F.col("p.a").alias("a"), F.col("node").alias("b"), F.col("p.a_label").alias("a_label")).distinct()
     met = met.join(y, "b").join(x, "a").where(close).groupBy("b", "a_label").agg(F.min("a").alias("a"))
     more = scratch.save(confirmed(scratch.save(met.select("a", "b"), "met"), sets, percent), "links-2")

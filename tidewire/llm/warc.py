@@ -55,7 +55,7 @@ def resolve(headers: DataFrame) -> DataFrame:
     """(page_id, payload_digest) with the digest's ``original``: the largest page_id that has this payload."""
     originals = headers.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
     originals = Scratch(headers.sparkSession, "warc").save(originals, "originals")
-    return lookup_join(headers.select("page_id", "payload_digest").distinct(), originals, "payload_digest", limit=1_000_000)
+    return lookup_join(headers.select("page_id", "payload_digest").distinct(), originals, "payload_digest")
 
 
 def as_records(pages: DataFrame, revisits: DataFrame, date: str | Column) -> DataFrame:
@@ -179,7 +179,7 @@ def resolve_revisits(heads: DataFrame) -> DataFrame:
     revisits = heads.where("record_type = 'revisit'")
     wanted = originals.join(revisits.select("refers_to_id").distinct(), "refers_to_id", "left_semi").dropDuplicates(["refers_to_id"])
     wanted = Scratch(heads.sparkSession, "warc").save(wanted, "wanted")
-    met = lookup_join(revisits.drop("payload_bytes"), wanted, "refers_to_id", "left", limit=1_000_000)
+    met = lookup_join(revisits.drop("payload_bytes"), wanted, "refers_to_id", "left")
     right = F.col("payload_digest") == F.col("o_digest")
     met = met.select(*common, F.when(right, F.col("o_bytes")).alias("payload_bytes"), F.when(right, F.col("refers_to")).alias("refers_to"))
     own = heads.where("record_type <> 'revisit'").select(*common, "payload_bytes", F.lit(None).cast("bigint").alias("refers_to"))
