@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, sized
+from .common import BROADCAST_ROWS, Scratch, column, sized, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -96,6 +96,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     bench = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text"))
     found, owners = hits(keyed, ["doc_id", "text_key"], bench, window, broadcast_rows)
     per = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "length")).alias("spans"), F.collect_set("window_id").alias("windows"))
+    per = Scratch(docs.sparkSession, "contamination").save(per, "found")  # read twice below, and far smaller than the texts
     covered = """aggregate(array_sort(spans), struct(0L as total, 0L as reached),
         (a, s) -> struct(a.total + greatest(0L, s.pos + s.length - greatest(a.reached, s.pos)) as total, greatest(a.reached, s.pos + s.length) as reached), a -> a.total)"""
     listed = per.select("doc_id", "text_key", F.explode("windows").alias("window_id")).join(owners, "window_id")
@@ -109,9 +110,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
-    """The rows of ``docs`` that share no window with ``items``, all columns as they came."""
-    marked = docs.withColumn("_text_key", F.xxhash64(F.col(text_col)))
-    found, _ = hits(docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("text")), ["_id", "_key"], items.select("item_id", "text"), window)
-    bad = found.select("_id", "_key").distinct()
-    return marked.join(bad, (F.col("_text_key") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").drop("_text_key")
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+    """The rows of ``docs`` that share no window with ``items``, all columns as they came, whatever their names.
+
+    A row goes if its own text holds a window; rows that share its id, or have none, are judged by their own texts.
+    Null and empty texts stay, an empty benchmark leaves all, and rows repeat as given.
+    """
+    id_, key, bad_id, bad_key = unused(docs, "_id", "_key", "_bad_id", "_bad_key")
+    text = column(text_col).cast("string")
+    marked = docs.withColumns({id_: column(id_col), key: F.xxhash64(text)})
+    bench = items.select(column(item_id_col).alias("item_id"), column(item_text_col).alias("text"))
+    found, _ = hits(docs.select(column(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")), ["doc_id", "text_key"], bench, window)
+    bad = found.select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+    bad = sized(Scratch(docs.sparkSession, "contamination").save(bad, "bad"))
+    return marked.join(bad, (F.col(key) == F.col(bad_key)) & F.col(id_).eqNullSafe(F.col(bad_id)), "left_anti").drop(id_, key)
