@@ -15,10 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bytes_np import BYTE_CODES, NOT_SPACE, Spans, pieces, text_bytes, words
-from .common import Scratch, crc_mod
+from .common import Scratch, column, crc_mod
 from .learning import Adam, labelled_sample, labels_of_fold, sigmoid
 
 #: Words of a passage.
@@ -175,19 +174,19 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text", out_col
     if isinstance(model, float):
         return docs.drop(out_col).withColumn(out_col, F.lit(model))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    @F.arrow_udf("double")
+    def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column_ in columns:
             out, bags, n = [], [], 0
-            for m in encode(batch.column(text_col)):
+            for m in encode(column_):
                 bags.append(m)
                 n += len(m)
                 if n > 4096:
                     out.append(model.scores(bags))
                     bags, n = [], 0
-            yield batch.append_column(out_col, pa.array(np.concatenate([*out, model.scores(bags)]), pa.float64()))
+            yield pa.array(np.concatenate([*out, model.scores(bags)]), pa.float64())
 
-    plain = docs.drop(out_col)
-    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField(out_col, DoubleType())]))
+    return docs.drop(out_col).withColumn(out_col, scores(column(text_col)))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,10 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bytes_np import BYTE_CODES, WORD_BYTES, Spans, ascii_lower, mix64, pieces, text_bytes, words
-from .common import Scratch, crc_mod
+from .common import Scratch, column, crc_mod
 from .learning import Adam, labelled_sample, labels_of_fold, sigmoid, thin
 
 #: Bytes of the word beginnings that are features beside the whole word.
@@ -166,13 +165,13 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col:
     if model is None:
         return docs.drop(out_col).withColumn(out_col, F.lit(0.0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = (summaries(batch.column(text_col), model.tokens, model.weights) - model.mean) / model.scale
-            yield batch.append_column(out_col, pa.array(sigmoid(np.hstack([s, np.ones((len(s), 1))]) @ model.coef), pa.float64()))
+    @F.arrow_udf("double")
+    def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column_ in columns:
+            s = (summaries(column_, model.tokens, model.weights) - model.mean) / model.scale
+            yield pa.array(sigmoid(np.hstack([s, np.ones((len(s), 1))]) @ model.coef), pa.float64())
 
-    plain = docs.drop(out_col)
-    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField(out_col, DoubleType())]))
+    return docs.drop(out_col).withColumn(out_col, scores(column(text_col)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
