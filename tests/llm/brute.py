@@ -1,6 +1,7 @@
 """Plain Python versions of the corpus operators, for small fixtures."""
 
 import itertools
+import math
 import re
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -73,3 +74,53 @@ def greedy_count(word, initial, inner):
             return -1
         at, n, own = end, n + 1, inner
     return n
+
+
+def attention_score(model, bag):
+    """A bag's score, passage by passage."""
+    w, b, v, u, a, c, c0 = model.params
+    hidden, energy = [], []
+    for x in (bag - model.mean) / model.scale:
+        h = [math.tanh(sum(x[i] * w[i, j] for i in range(len(x))) + b[j]) for j in range(len(b))]
+        gate = [math.tanh(sum(h[i] * v[i, j] for i in range(len(h)))) / (1 + math.exp(-sum(h[i] * u[i, j] for i in range(len(h))))) for j in range(len(a))]
+        hidden.append(h)
+        energy.append(math.exp(sum(g * y for g, y in zip(gate, a, strict=True))))
+    z = [sum(e * h[j] for e, h in zip(energy, hidden, strict=True)) / sum(energy) for j in range(len(b))]
+    return 1 / (1 + math.exp(-sum(x * y for x, y in zip(z, c, strict=True)) - c0[0]))
+
+
+def kd_shards(points, dims, shards, tie, row, value_tilt, group_tilt):
+    """Shard numbers of points (dicts with size, the dimensions, tie and row) by a tree grown in plain Python."""
+    whole = sum(p["size"] for p in points)
+    span = lambda own, d: max(p[d] for p in own) - min(p[d] for p in own)
+    wide = {d: max(1, span(points, d)) for d in dims}
+    out = {}
+
+    def split(own, first, n):
+        if n == 1 or not own:
+            out.update({id(p): first for p in own})
+            return
+        target = sum(p["size"] for p in own) * (n // 2) / n
+        left, tied = [], own
+        for name in (max(dims, key=lambda d: span(own, d) / wide[d]), tie, row):
+            done = 0
+            for value in sorted({p[name] for p in tied}):
+                at = sum(p["size"] for p in tied if p[name] == value)
+                if done + at > target:
+                    break
+                done += at
+            else:
+                done -= at
+            left += [p for p in tied if p[name] < value]
+            tied = [p for p in tied if p[name] == value]
+            tilt = min(abs(done + at - target), abs(done - target))
+            if name == row or tilt <= whole / shards * (group_tilt if name == tie else value_tilt):
+                left += tied if abs(done + at - target) <= abs(done - target) else []
+                break
+            target -= done
+        went = {id(p) for p in left}
+        split(left, first, n // 2)
+        split([p for p in own if id(p) not in went], first + n // 2, n - n // 2)
+
+    split(points, 0, shards)
+    return [out[id(p)] for p in points]

@@ -1,17 +1,19 @@
 import base64
+import gzip
 import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import contamination, near_duplicates
+from brute import attention_score, contamination, kd_shards, near_duplicates
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewire.llm import media, quality, sentencepieces, shards, toxicity, warc
+from tidewire.llm import learning, media, quality, sentencepieces, shards, toxicity, warc
 from tidewire.llm.common import Scratch, crc_mod
 from tidewire.llm.pieces import load
 from tidewire.llm.queries import ORACLE_SQL, QUERIES
@@ -97,6 +99,55 @@ def test_attention_gradient():
         assert abs((up - down) / (2 * eps) - g[at]) < 1e-6
 
 
+def test_scores_equal_plain_python(spark):
+    rng = np.random.default_rng(1)
+    bags = [rng.normal(size=(n, quality.DIM)) for n in (1, 4, 2, 3)]
+    model = quality.fit(bags, np.array([1.0, 0.0, 1.0, 0.0]), epochs=3)
+    texts = ["One. Two, three!", "x" * 5000, None, "", "word " * 500, "É🙂\n\n- a\n- b"]
+    got = quality.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA), model).collect()
+    for r in got:
+        assert abs(r["score"] - attention_score(model, next(iter(quality.encode(pa.array([r["text"]], pa.string())))))) < 1e-9
+
+
+def test_training_takes_long_texts_whole_and_repeated_ids_once(spark):
+    words = "alpha beta gamma delta " * 12
+    docs = spark.createDataFrame([(1, words * 300 + "THE END!!"), (2, words), *[(2, words)] * 50, (4, "X!! " * 60)], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(10)], "doc_id bigint, quality int, toxic int")
+    sample, counts = learning.labelled_sample(docs, learning.labels_of_fold(labels, "quality", 3, 9), 100, 1 << 30, Scratch(spark, "test"), "s")
+    assert sorted((r["doc_id"], len(r["text"])) for r in sample.collect()) == [(1, len(words) * 300 + 9), (2, len(words)), (4, 240)] and counts == {0: 5, 1: 5}
+    many = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(2000)], SCHEMA)
+    some = learning.labelled_sample(many, labels.crossJoin(spark.range(200)).selectExpr("doc_id + 10 * id as doc_id", "quality as y"), 5000, 30_000, Scratch(spark, "test"), "t")[0]
+    assert 30_000 < sum(len(r["text"]) for r in some.collect()) < 120_000
+
+
+def test_unlabelled_risk_gradient():
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (80, 3))
+    for prior in (0.1, 0.9):
+        first = toxicity.nnpu(p, u, prior, epochs=1)
+        start = np.array([0.1, 0.1, 0.1, 0.0])
+
+        def risk(c, prior=prior):
+            s = lambda x: 1 / (1 + np.exp(-(np.hstack([x, np.ones((len(x), 1))]) @ c)))
+            negative = s(u).mean() - prior * s(p).mean()
+            # below zero the negative part alone is taken back
+            return prior * (1 - s(p)).mean() + negative if negative >= 0 else -negative
+
+        slope = np.array([(risk(start + e) - risk(start - e)) / 2e-6 for e in 1e-6 * np.eye(4)])
+        assert np.array_equal(np.sign(first - start), -np.sign(slope + 1e-4 * np.append(start[:3], 0)))
+
+
+def test_summaries_equal_plain_python():
+    text = "Bad worse bad fine! wörter"
+    lower = [w.encode() for w in ("bad", "worse", "bad", "fine", "wörter")]
+    hashes = [h for _, h, _ in toxicity._features(pa.array([text]))][0]
+    assert len(hashes) == len(lower) and len({int(h) for h in hashes[:, 0]}) == 4
+    weights = {int(hashes[0, 0]): 5.0, int(hashes[1, 0]): 2.0}
+    tokens = np.array(sorted(weights), np.uint64)
+    got = toxicity.summaries(pa.array([text, None]), tokens, np.array([weights[int(t)] for t in tokens]))
+    assert np.allclose(got, [[5, 7, 7, np.log1p(1), np.log1p(2), np.log1p(5)], [0] * 6])
+
+
 def test_passages_of_rows_are_independent():
     texts = ["a b c", None, "X!! " * 200, " \n", "end", "q " * 48]
     together = list(quality.encode(pa.array(texts)))
@@ -119,11 +170,29 @@ def test_archives_round_trip(spark):
     assert Counter(tuple(r)[:5] for r in got) == want
     scratch = Scratch(spark, "test")
     warc.deduplicated(frame, scratch.path("w"))
+    files = list(Path(scratch.path("w")).glob("*.warc.gz"))
+    assert files and not list(Path(scratch.path("w")).glob("*.txt"))
+    members = []
+    for f in files:
+        raw = f.read_bytes()
+        while raw:
+            d = zlib.decompressobj(31)
+            members.append(d.decompress(raw))
+            raw = d.unused_data
+    assert len(members) == len(pages) and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
     bodies = warc.read_archives(spark, scratch.path("w")).where("record_type = 'response'").collect()
     assert {r["html"] for r in bodies} == {h or "" for _, _, h in pages}
     assert warc.archive_round_trip(frame.limit(0)).count() == 0
 
 
+def test_long_records_and_dates(spark):
+    frame = spark.createDataFrame([(1, "u", "x" * (17 << 20)), (2, "v", "y")], "page_id bigint, url string, html string")
+    path = Scratch(spark, "test").path("long")
+    warc.deduplicated(frame, path, "2024-05-06T07:08:09Z")
+    assert {r["page_id"]: len(r["html"]) for r in warc.read_archives(spark, path).collect()} == {1: 17 << 20, 2: 1}
+    assert all(b"WARC-Date: 2024-05-06T07:08:09Z\r\n" in gzip.decompress(f.read_bytes()) for f in Path(path).glob("*.warc.gz") if f.stat().st_size)
+
+
 def test_shards_are_near_equal_and_cut_few_groups(spark):
     rng = random.Random(1)
     rows = [(i, "x" * rng.randint(0, 200)) for i in range(2000)] + [(3000 + i, "copy of one text") for i in range(300)] + EDGE[:-2] + EDGE[-1:]
@@ -138,6 +207,22 @@ def test_shards_are_near_equal_and_cut_few_groups(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(len(s) > 1 for s in where.values()) <= 15
 
 
+def test_shards_equal_a_tree_in_plain_python(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["a", "bb", "ccc\n"]) for _ in range(rng.randint(0, 60)))) for i in range(500)] + [(600 + i, "copy of one text") for i in range(80)]
+    dims = ["log_size", "log_lines", "log_words", "text_crc32"]
+    got = {r["doc_id"]: r["shard"] for r in shards.shard_by_bytes(spark.createDataFrame(rows, SCHEMA), 6).collect()}
+    points = shards.metadata(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = kd_shards([r.asDict() for r in points], dims, 6, shards.TIE, shards.ROW, shards.VALUE_TILT, shards.GROUP_TILT)
+    assert got == {r["doc_id"]: s for r, s in zip(points, want, strict=True)}
+
+
+def test_equal_rows_each_have_a_slot(spark):
+    rows = [(None, None)] * 9000 + [(1, "x")] * 3 + [(2, "y")]
+    got = shards.number_rows(spark.createDataFrame(rows, SCHEMA).withColumn("s", F.lit(0)), "s", Scratch(spark, "test"), 1)
+    assert sorted(r["slot"] for r in got.collect()) == list(range(len(rows))) and Counter(tuple(r)[:2] for r in got.collect()) == Counter(rows)
+
+
 def test_a_group_larger_than_a_shard_is_cut(spark):
     got = shards.shard_by_bytes(spark.createDataFrame([(i, "same" if i % 3 else f"t{i}") for i in range(1600)], SCHEMA)).collect()
     count = Counter(r["shard"] for r in got)

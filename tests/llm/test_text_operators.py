@@ -3,12 +3,12 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import best_pieces, contamination, greedy_count, near_duplicates
+from brute import bench_words, best_pieces, contamination, greedy_count, near_duplicates
 from pyspark.sql import functions as F
 
 from tidewire.llm import decontaminate, licenses, neardup, sentencepieces, wordpieces
 from tidewire.llm.bytes_np import shingle_sets
-from tidewire.llm.common import Scratch
+from tidewire.llm.common import Scratch, lookup_join
 from tidewire.llm.components import connected_components
 from tidewire.llm.pieces import load
 
@@ -73,6 +73,35 @@ def test_rows_without_an_id_are_linked_and_told_apart(spark):
     assert sorted((r["component_id"] or 0, r["kept"]) for r in found) == [(0, True)] * 4 + [(1, False), (2, False), (5, False)]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(3, a), (7, a), (7, b), (7, None), (8, b), (8, b)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("own") for c in ("_id", "_key", "_gone_id", "text_key", "_key2")})
+    got = neardup.without_copies(docs)
+    assert got.columns == docs.columns and {r["_id"] for r in got.collect()} == {"own"}
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(3, a), (7, b), (7, None)], key=repr)
+
+
+def test_near_duplicates_where_the_smallest_node_is_linked_with_none(spark):
+    # one bucket for all: nodes 1.. are a chain of near copies, node 0 shares a third of each
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join([f"v{i}" for i in range(80)] + base[:60]))]
+    for i in range(1, 40):
+        own = [f"x{j}" if j % 3 == 0 and j < 4 * i else w for j, w in enumerate(base)]
+        rows.append((i, " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), k=2).collect()}
+    assert got == near_duplicates(rows, 2)
+
+
+@pytest.mark.parametrize("limit", [1000, 2])
+def test_lookup_join_equals_a_join(spark, limit):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, (F.col("id") % 50).cast("string")).alias("k"), "id")
+    found = Scratch(spark, "test").save(spark.createDataFrame([("hot", 1), *[(str(i), i) for i in range(30)]], "k string, v int"), "found")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a, b = (sorted(map(tuple, x.select(*sorted(x.columns)).collect()), key=repr) for x in (lookup_join(rows, found, "k", how, limit), rows.join(found, "k", how)))
+        assert a == b, how
+
+
 def test_parity_sketch_bounds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -127,6 +156,26 @@ def test_contamination_on_edges(spark):
     assert decontaminate.decontaminate(frame(spark, EDGE), items).count() == len(EDGE) - 4
 
 
+def test_decontamination_keeps_columns_of_any_name(spark):
+    names = ["_id", "_key", "_text_key", "_bad_id", "w", "kept", "a.b", "all"]
+    docs = spark.createDataFrame([*EDGE, (6, "clean text")], SCHEMA).withColumns({c: F.lit(c) for c in names})
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([("x", "a b c d e f", 1)], "key string, body string, item_id int"), item_id_col="key", item_text_col="body")
+    assert got.columns == docs.columns and got.count() == len(EDGE) - 2
+    assert {tuple(r[2:]) for r in got.collect()} == {tuple(names)}
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "not in any of them")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["_score", "score", "_id", "_key", "y", "a`b", "bands", "node"]
+    docs = spark.createDataFrame([(1, "one text of some words"), (2, None), (None, "another text")], SCHEMA).withColumns({c: F.lit(c) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and sorted(map(repr, got.collect())) == sorted(map(repr, docs.collect()))
+
+
 def test_viterbi_equals_plain_dynamic_programming():
     v = load()
     e = sentencepieces.Encoder(v)
@@ -149,7 +198,7 @@ def test_encoding_round_trips(spark):
 def test_cutting_loses_nothing():
     e = sentencepieces.Encoder(load())
     whole = sentencepieces.Encoder(load())
-    whole.cut = None
+    whole.cuts = False
     for text in ("a  b c\n d", "the end.\nThe beginning", "  x"):
         assert e.encode(text) == whole.encode(text)
 
@@ -185,3 +234,36 @@ def test_license_scan(spark):
     found = {r["doc_id"]: r["licenses"] for r in licenses.license_scan(frame(spark, rows)).collect()}
     assert found[20] == ["MIT"] and found[21] == ["MIT"] and found[22] == [] and found[23] == ["CC-BY-NC-4.0"]
     assert found[24] == found[25] == found[1] == [] and licenses.bands_for(0.6, 0.999) == 16
+
+
+def test_altered_notices_are_found_as_brute_force_finds_them():
+    k, least = 3, 0.8
+    index = licenses.Index(licenses.TEMPLATES, k, licenses.bands_for(0.75, 0.999), least)
+    rng = random.Random(8)
+    sets = {}
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            sets[name, text] = {tuple(w[i : i + k]) for w in (bench_words(text),) for i in range(len(w) - k + 1)}
+    for (name, text), base in sets.items():
+        w = bench_words(text)
+        made = []
+        for i in range(len(w) + 1):
+            made += [w[:i] + ["zzz"] + w[i:], w[:i] + w[i + 1 :], w[:i] + ["qqq"] + w[i + 1 :]]
+            made.append([x if rng.random() < 0.95 else "rrr" for x in w])
+        column = pa.array([" ".join(["aa", "bb", *x, "cc", "dd"]) for x in made])
+        found = [b for hashes, first in licenses.text_words(column) for b in index.scan(hashes, first, least)]
+        for x, got in zip(made, found, strict=True):
+            held = {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+            shares = {}
+            for (other, _), s in sets.items():
+                shares[other] = max(shares.get(other, 0), len(s & held) / len(s))
+            # what is found is held; what is held is found, unless another license's template there is held more fully
+            assert all(shares[n] >= least - 1e-9 for n in got)
+            if len(base & held) >= least * len(base) - 1e-9:
+                assert name in got or any(len(s & held) > len(base & held) for (other, _), s in sets.items() if other in got), (name, x)
+
+
+def test_templates_are_read_from_a_folder(spark, tmp_path):
+    (tmp_path / "My-License.txt").write_text("you may do with this work what you like\n")
+    found = licenses.license_scan(spark.createDataFrame([(1, "X. You may do with this work, what you like.")], SCHEMA), templates=licenses.read_templates(spark, str(tmp_path))).first()
+    assert found["licenses"] == ["My-License"] and found["containments"] == [1.0]
