@@ -6,67 +6,49 @@ Each stage works on all documents that the one before it kept, and is written an
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import decontaminate, neardup, quality, sentencepieces, toxicity
-from tidewire.llm.common import Scratch, table
+from tidewire.llm.common import Scratch, table, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Rows of an Arrow batch while the stages run: whole texts pass through Python, so fewer than Spark's own ten thousand.
-ARROW_ROWS = 1000
 
 
-def small_batches(stage: Stage) -> Stage:
-    """``stage`` with Arrow batches of ``ARROW_ROWS`` rows, which its result, written next, also needs."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 for toxicity, by a model of the labels outside the held-out fold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out_col="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    (score,) = unused(docs, "_score")
+    return toxicity.score(docs, model, out_col=score).where(F.col(score) < 0.5).drop(score)
 
 
-@small_batches
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more for quality, by a model of the labels outside the held-out fold."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out_col="_quality").where("_quality >= 0.5").select(*docs.columns)
+    (score,) = unused(docs, "_score")
+    return quality.score(docs, model, out_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
-@small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8).
 
-    Rows that repeat an id stay together; a row without an id goes only if one with an id is linked with it.
+    Rows that repeat an id and a text stay together; a row goes only if one with a smaller id is linked with its own
+    text, so a row without an id goes only if one with an id is.
     """
     return neardup.without_copies(docs, k=5, percent=80)
 
 
-@small_batches
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of ten words of a benchmark item, or a whole shorter item."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-@small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, a digest of the piece ids, whether they decode to the text, and the ids themselves."""
-    coded = sentencepieces.encode_column(docs.select("doc_id", "text"))
-    checked = sentencepieces.decode_column(coded)
+    coded = sentencepieces.encode_checked(docs)
     digest = F.sha2(F.array_join("token_ids", ",").cast("binary"), 256)
-    same = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return checked.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), same.alias("round_trip"), "token_ids")
+    return coded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), "round_trip", "token_ids")
 
 
 STAGES: list[tuple[str, Stage]] = [
