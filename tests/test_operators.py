@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.functions import geo
-from tidewire.operators import articles, corroboration, feed, geocode, ingest, maintenance, resolution
+from tidewire.functions import geo, scores
+from tidewire.operators import articles, corroboration, feed, geocode, ingest, items, maintenance, resolution
 from tidewire.operators import stories as st
 from tidewire.plans import story_queries
 
@@ -378,3 +378,49 @@ def test_articles_are_located_by_their_words(spark):
     overrides = spark.createDataFrame([("lincoln memorial", "washington")], "needle string, key string")
     got = {r["id"]: (r["name"], r["rule"]) for r in articles.resolve(frame, places, overrides=overrides).collect()}
     assert [got.get(i, (None, None)) for i in range(len(cases))] == [c[4:] for c in cases]
+
+
+def test_recluster_follows_neighbours_newest_first(spark):
+    rng = random.Random(12)
+    rows, day = [], 24 * HOUR
+    for i in range(60):
+        centre = i % 9
+        v = [rng.gauss(0, 0.1) + (j == centre) for j in range(12)]
+        size = math.sqrt(sum(x * x for x in v))
+        rows.append((i, f"Title {i}", "", f"https://e/{i}", rng.randint(0, 20) * day, None, None, None, [x / size for x in v]))
+    frame = spark.createDataFrame(rows, "id long, title string, description string, url string, at_ms long, lat double, lon double, location_name string, embedding array<double>")
+    near = {}
+    for r in rows:
+        sims = sorted(((-round(sum(x * y for x, y in zip(r[8], o[8], strict=True)), 6), o[0]) for o in rows if o[0] != r[0]))[:10]
+        near[r[0]] = {i for s, i in sims if -s >= 0.85}
+    at, gone = {r[0]: r[4] for r in rows}, {}
+    for keeper in sorted(at, key=lambda i: (-at[i], i)):
+        if keeper in gone:
+            continue
+        for other in near[keeper]:
+            if other not in gone and (-at[keeper], keeper) < (-at[other], other) and abs(at[keeper] - at[other]) <= 7 * day:
+                gone[other] = keeper
+    assert len(gone) > 10
+    assert {r["absorbed"]: r["by"] for r in maintenance.recluster_stories(frame, geocode.seed(spark)).collect()} == gone
+
+
+def test_archive_cleaning_looks_through_links_to_the_story_itself(spark):
+    one = lambda url: {"name": "s", "url": url, "source_type": "rss", "at_ms": 5}
+    long = "A description that says in twelve or more words what happened there and to whom, and so is kept."
+    rows = [
+        ("alone", "gone", "https://e/1", "Title", long, [one("https://E/1/?utm_source=x")], 2, 1, 1.5),
+        ("held", "gone", "https://e/2", "Title", long, [one("https://f/2")], 2, 1, 1.5),
+        ("twice", "kept", "https://e/3", "Title", long, [one("https://f/3"), one("https://f/3/")], 2, 1, 1.5),
+        ("same", "kept", "https://e/4", "Title", long, [one("https://f/4")], 2, 1, 1.5),
+        ("score", "kept", "https://e/5", "Title", long, [], 2, 1, 9.0),
+        ("thin", "Nature", "https://e/6", "Title", "too short", [], 2, 1, 1.5),
+    ]
+    frame = spark.createDataFrame(rows, f"id string, source string, url string, title string, description string, sources {items.SOURCES}, tier int, independent int, impact double")
+    got = {r["id"]: (r["action"], len(r["sources"])) for r in maintenance.clean_archive(frame, ["gone"]).collect()}
+    assert got == {"alone": ("delete", 0), "twice": ("update", 1), "score": ("update", 0), "thin": ("delete", 0)}
+
+
+def test_bounds_over_the_antimeridian(spark):
+    rows = spark.createDataFrame([(0.0, 179.0, True), (0.0, -179.0, True), (0.0, 0.0, False), (50.0, 179.0, False), (None, 179.0, False)], "lat double, lon double, want boolean")
+    sides = [F.lit(float(x)) for x in (-10, 10, 170, -170)]
+    assert all(r["want"] == r["got"] for r in rows.select("want", scores.within_bounds(F.col("lat"), F.col("lon"), *sides).alias("got")).collect())

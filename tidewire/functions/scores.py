@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import without_accents
+
 # Fixed values
 HOUR_MS = 3_600_000
 FUTURE_SKEW_MS = 300_000
@@ -22,6 +24,7 @@ FAST_ACCOUNTS = ["IDF (X)", "OSINTtechnical (X)", "ELINT News (X)", "OSINTdefend
 SLOW_CATEGORIES = ["business", "technology", "science", "health"]
 COOLDOWN_MS = {"hour": HOUR_MS, "quarter_day": 6 * HOUR_MS, "two_hours": 2 * HOUR_MS, "half_hour": HOUR_MS // 2}
 FAILURES = ["rate_limited", "provider_error", "parse_error"]
+PLACE_ALIASES = {"uk": "united kingdom", "usa": "united states", "u.s.": "united states", "america": "united states", "britain": "united kingdom", "kiev": "kyiv", "uae": "united arab emirates"}
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
 
@@ -108,13 +111,32 @@ def time_ago(minutes: Column) -> Column:
     return F.when(m < 60, F.concat(m.cast("string"), F.lit("m ago"))).when(m < 1440, F.concat(F.floor(m / 60).cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(m / 1440).cast("string"), F.lit("d ago")))
 
 
+def plain_place(name: Column) -> Column:
+    """A place name for comparison: without accents, in lower case, aliases in their common form; "null" is none."""
+    plain = F.lower(F.trim(without_accents(name)))
+    aliases = F.create_map(*[F.lit(x) for pair in PLACE_ALIASES.items() for x in pair])
+    return F.when(plain != "null", F.coalesce(F.try_element_at(aliases, plain), plain))
+
+
+def within_bounds(lat: Column, lon: Column, south: Column, north: Column, west: Column, east: Column) -> Column:
+    """Whether a point is within bounds; west beyond east means over the antimeridian."""
+    across = F.when(west <= east, lon.between(west, east)).otherwise((lon >= west) | (lon <= east))
+    return F.coalesce(lat.between(south, north) & across, F.lit(False))
+
+
+def accuracy(cases: DataFrame, kind: str = "outcome") -> DataFrame:
+    """(outcome, n, correct_share): cases by outcome, and the share of all that are right."""
+    right = F.sum(F.col(kind).endswith("correct").cast("int")) / F.count("*")
+    return cases.groupBy(kind).agg(F.count("*").alias("n")).crossJoin(cases.agg(F.round(right, 6).alias("correct_share")))
+
+
 def outcome(expected_name: Column, actual_name: Column, expected_key: Column, actual_key: Column, distance_km: Column, tolerance_km: Column) -> Column:
     """How a located text compares with what was expected of it."""
     return (
-        F.when(expected_name.isNull() & actual_name.isNull(), "unmapped-correct")
-        .when(expected_name.isNull(), "false-pin")
-        .when(actual_name.isNull(), "miss")
-        .when(F.lower(F.trim(expected_name)) != F.lower(F.trim(actual_name)), "wrong-place")
+        F.when(plain_place(expected_name).isNull() & plain_place(actual_name).isNull(), "unmapped-correct")
+        .when(plain_place(expected_name).isNull(), "false-pin")
+        .when(plain_place(actual_name).isNull(), "miss")
+        .when(plain_place(expected_name) != plain_place(actual_name), "wrong-place")
         .when(expected_key.isNotNull() & ~expected_key.eqNullSafe(actual_key), "wrong-identity")
         .when(distance_km > F.coalesce(tolerance_km, F.lit(25.0)), "wrong-coordinate")
         .otherwise("mapped-correct")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +112,32 @@ def rate_windows(hits: DataFrame, key: str, at: str, seconds: int, limit: int) -
     return hits.groupBy(key, F.window(at, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("hits")).select(key, F.col("w.start").alias("window_start"), "hits", (F.col("hits") > limit).alias("limited"))
 
 
+def first_hit_windows(hits: DataFrame, key: str, at: str, ms: int, limit: int) -> DataFrame:
+    """(key, start_ms, hits, limited): windows of so many milliseconds that begin with the first hit after the last one.
+
+    ``key`` is a bigint and ``at`` milliseconds.  A window's place depends on all before it, so rows stream by sorted
+    by key and time, and a task holds one window's count.
+    """
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[int] | None = None
+        for frame in frames:
+            done = []
+            for k, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
+                if now is not None and now[0] == k and t < now[1] + ms:
+                    now[2] += 1
+                    continue
+                done += [] if now is None else [now]
+                now = [k, t, 1]
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(3)], [key, "start_ms", "hits"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in now], [key, "start_ms", "hits"])
+
+    ordered = hits.select(F.col(key).cast("bigint"), F.col(at).cast("bigint")).where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    rows = ordered.repartition(key).sortWithinPartitions(key, at).mapInArrow(run, f"`{key}` bigint, start_ms bigint, hits bigint")
+    return rows.withColumn("limited", F.col("hits") > limit)
+
+
 def sessions(rows: DataFrame, key: list[str], at_ms: Column, gap_ms: int) -> DataFrame:
     """Rows numbered by session: a new one begins where more than ``gap_ms`` passed since the row before."""
     w = Window.partitionBy(*key).orderBy(at_ms, "seq")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from . import ingest, items
+from . import stories as st
 from .shared import checkpoint_dir
 
 # Fixed values
 DUPLICATE_CHARS, DUPLICATE_GAP_MS = 32, 72 * scores.HOUR_MS
+RECLUSTER_K, RECLUSTER_MS = 10, 7 * 24 * scores.HOUR_MS
 BACKFILL_DAYS, BACKFILL_ROWS, VECTOR_DAYS = 7, 250, 180
 
 
@@ -82,6 +84,26 @@ def image_backfill(stories: DataFrame, now_ms: int) -> DataFrame:
     return open_.orderBy(F.col("event_count").desc(), F.col("at_ms").desc(), "id").limit(BACKFILL_ROWS)
 
 
+def recluster_pairs(stories: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(a, b, order): stories (id bigint, .. as ``evidence``, embedding) of which the newer, a, may absorb b.
+
+    Of the ten nearest stories of each those at most seven days apart, near enough in meaning and without a
+    contradiction.  ``order`` ranks the keepers of a row: newest first, ids settle ties.
+    """
+    checkpoint_dir(stories.sparkSession)
+    e = st.evidence(st.named_countries(st.precise(stories, gazetteer), gazetteer)).checkpoint()
+    met = st.knn(e.select("id", "embedding"), e.select("id", "embedding"), RECLUSTER_K).join(e.alias("a"), F.col("query_id") == F.col("a.id")).join(e.alias("b"), F.col("neighbour_id") == F.col("b.id"))
+    near = st.geo.haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= st.MERGE_KM
+    fits = st.passes(F.col("similarity"), F.coalesce(F.col("a.precise") & F.col("b.precise") & near, F.lit(False))) & (F.abs(F.col("a.at_ms") - F.col("b.at_ms")) <= RECLUSTER_MS) & ~st.conflicts("a", "b")
+    newer = F.struct(-F.col("a.at_ms"), F.col("a.id")) < F.struct(-F.col("b.at_ms"), F.col("b.id"))
+    return met.where(fits & newer).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.struct((-F.col("a.at_ms")).alias("age"), F.col("a.id").alias("id")).alias("order"))
+
+
+def recluster_stories(stories: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(absorbed, by) of stored stories, newest first: each goes to the newest story that may absorb it and is not absorbed."""
+    return recluster(recluster_pairs(stories, gazetteer), F.col("order"))
+
+
 def recluster(pairs: DataFrame, order: Column) -> DataFrame:
     """(absorbed, by): of linked pairs (a, b) each row goes to the first neighbour before it that is not absorbed itself.
 

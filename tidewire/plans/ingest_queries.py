@@ -211,11 +211,19 @@ def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS start_ms, count(*) AS hits, count(*) > 2 AS limited FROM events GROUP BY 1, 2")
 def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests by user and hour, and whether they are too many."""
+    """Requests by user and hour, and whether they are too many."""
     w = ingest.rate_windows(table(spark, sf_dir, "events"), "user_id", "ts", 3600, 2)
     return w.select("user_id", scores.epoch_ms(F.col("window_start")).alias("start_ms"), "hits", "limited")
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, {MS} AS ms FROM events), w(user_id, start_ms) AS (SELECT user_id, min(ms) FROM e GROUP BY 1 UNION ALL SELECT * FROM (SELECT w.user_id, min(e.ms) AS start_ms FROM w JOIN e ON e.user_id = w.user_id AND e.ms >= w.start_ms + 21600000 GROUP BY w.user_id, w.start_ms))
+  SELECT w.user_id, start_ms, count(*) AS hits, count(*) > 2 AS limited FROM w JOIN e ON e.user_id = w.user_id AND e.ms >= start_ms AND e.ms < start_ms + 21600000 GROUP BY 1, 2""")
+def first_hit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by user in windows of six hours that begin with the first hit."""
+    e = table(spark, sf_dir, "events").select("user_id", scores.epoch_ms(F.col("ts")).alias("ms"))
+    return ingest.first_hit_windows(e, "user_id", "ms", 6 * HOUR_MS, 2)
+
+
 @query(f"""WITH {STORIES}, t AS (SELECT source, count(published_ms) AS items, max(published_ms) AS latest FROM stories GROUP BY source)
   SELECT source, items, latest AS latest_ms, CASE WHEN items = 0 THEN 'empty' WHEN {NOW_MS} - latest > {24 * HOUR_MS} + 6000000 OR {NOW_MS} - latest < -300000 THEN 'stale' ELSE 'healthy' END AS outcome FROM t""")
 def source_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
