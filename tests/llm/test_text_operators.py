@@ -187,6 +187,40 @@ def test_viterbi_equals_plain_dynamic_programming():
         assert sum(v.scores[p] if p >= 0 else e.unknown for _, p in path) == best_pieces(text, scores, e.unknown)
 
 
+def test_many_cuts_at_a_time_equal_one_by_one():
+    e = sentencepieces.encoder(load())
+    rng = random.Random(11)
+    cuts = ["".join(rng.choice("thequick brown日é🙂▁\u0300") for _ in range(rng.randint(1, 70))) for _ in range(400)] + ["a", " ", "\n", "x" * 5000]
+    flat, sizes = e.encode_cuts(cuts)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    assert [tuple(flat[i:j].tolist()) for i, j in zip(at[:-1], at[1:], strict=True)] == [e._segment(c) for c in cuts]
+    texts = pa.array(["a  b", None, "", "a  b\n\nc ", "é" * 3_000_000, " x"])
+    got = [ids[i:j].tolist() for ids, begin in e.encode_texts(texts) for i, j in zip(begin[:-1], begin[1:], strict=True)]
+    assert len(got) == len(texts) and got[:4] == [e.encode(t or "") for t in texts.to_pylist()[:4]] and e.decode(got[4]) == texts[4].as_py()
+
+
+def test_ranks_stand_for_frequencies():
+    from tidewire.llm.pieces import log_scores
+
+    assert log_scores([-0.5, -3.25]) == [-0.5, -3.25] and log_scores([]) == []
+    falling = log_scores([-2.0, -3.0, -31740.0])
+    assert falling == sorted(falling, reverse=True) and max(falling) < 0
+
+
+def test_encodings_come_near_to_the_library(sf_small):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    import pyarrow.parquet as pq
+    from collections import Counter
+
+    from tidewire.llm.pieces import PIECE_MODEL
+
+    library, e = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL), sentencepieces.encoder(load())
+    texts = [t or "" for t in pq.read_table(f"{sf_small}/documents.parquet").column("text").to_pylist()]
+    pairs = [(e.encode(t), library.encode(t)) for t in texts]
+    both = sum(sum((Counter(a) & Counter(b)).values()) for a, b in pairs)
+    assert both > 0.85 * sum(len(b) for _, b in pairs) and sum(len(a) for a, _ in pairs) < 1.01 * sum(len(b) for _, b in pairs)
+
+
 def test_encoding_round_trips(spark):
     texts = [*EDGE, (11, " lead"), (12, "trail \n\n x  "), (13, "▁"), (14, "<s>")]
     coded = sentencepieces.encode_column(frame(spark, texts).withColumn("token_ids", F.lit(0)))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import lru_cache
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Ranks are taken so much further down when they stand for frequencies.
+RANK_SHIFT = 100.0
 #: Stands for a space in pieces.
 SPACE = "▁"
 
@@ -20,16 +23,28 @@ class Vocabulary:
     byte_ids: tuple[int, ...]
 
 
+def log_scores(scores: list[float]) -> list[float]:
+    """Scores as they are; or, where they are merge ranks (whole numbers, none above zero), a guess at log-probabilities.
+
+    A piece of rank r counts as about as likely as 1 / (r + ``RANK_SHIFT``), as frequencies fall with ranks.  These are
+    rounded to 2**-20, so that sums of them are exact in any order.
+    """
+    ranked = all(s <= 0 and s == int(s) for s in scores) and min(scores, default=0.0) < -1
+    return [-round(math.log(RANK_SHIFT - s) * 2**20) / 2**20 for s in scores] if ranked else scores
+
+
 @lru_cache(maxsize=4)
 def load(path: str = PIECE_MODEL) -> Vocabulary:
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(p.get_piece_size())
+    ordinary = tuple(not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i)) for i in ids)
+    own = iter(log_scores([float(p.get_score(i)) for i in ids if ordinary[i]]))
     return Vocabulary(
         tuple(p.id_to_piece(i) for i in ids),
-        tuple(float(p.get_score(i)) for i in ids),
-        tuple(not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i)) for i in ids),
+        tuple(next(own) if o else 0.0 for o in ordinary),
+        ordinary,
         tuple(p.piece_to_id(f"<0x{b:02X}>") for b in range(256)),
     )
 
