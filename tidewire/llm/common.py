@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few numbers each that a broadcast may hold (about 100 MB in memory).
 BROADCAST_ROWS = 2_000_000
-#: Rows of a table that ``lookup_join`` broadcasts whole (about 30 MB).
-LOOKUP_ROWS = 200_000
+#: Rows of a table that ``lookup_join`` broadcasts whole (about 15 MB).
+LOOKUP_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -123,11 +123,15 @@ class Model:
 
 def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 64) -> Model:
     rng = np.random.default_rng(0)
-    all_ = np.concatenate(bags)
+    # one matrix of 32-bit numbers, standardised in place, of which the bags are views
+    ends = np.cumsum([len(b) for b in bags])
+    all_ = np.concatenate(bags, dtype=np.float32)
     shapes = [(DIM, HIDDEN), (HIDDEN,), (HIDDEN, GATE), (HIDDEN, GATE), (GATE,), (HIDDEN,), (1,)]
     params = [rng.normal(0, 0.1, s) if k not in (1, 6) else np.zeros(s) for k, s in enumerate(shapes)]
-    model = Model(all_.mean(0), all_.std(0) + 0.02, params)
-    bags = [(b - model.mean) / model.scale for b in bags]
+    model = Model(all_.mean(0, dtype=np.float64), all_.std(0, dtype=np.float64) + 0.02, params)
+    all_ -= model.mean.astype(np.float32)
+    all_ /= model.scale.astype(np.float32)
+    bags = np.split(all_, ends[:-1])
     adam = Adam(params, 0.005)
     for epoch in range(epochs):
         adam.rate = 0.005 * (1 - epoch / epochs) + 0.0005
@@ -139,7 +143,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 64
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3, held_out: int = 1, most: int = 2500, most_bytes: int = 24 << 20) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3, held_out: int = 1, most: int = 2500, most_bytes: int = 16 << 20) -> Model | float:
     """Fit on all passages of at most about ``most`` documents, or ``most_bytes`` of them, of each class.
 
     The documents are outside the held-out fold and taken whole.  With labels of one class only, that class is returned
@@ -161,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int =
     if rows["y"].nunique() < 2:
         return float(max(counts, key=counts.get))
     rows = rows.drop_duplicates("bag").sort_values(["doc_id", "bag"])  # the same order in every run
-    bags = [np.frombuffer(b, np.float32).reshape(-1, DIM).astype(float) for b in rows["bag"]]
+    bags = [np.frombuffer(b, np.float32).reshape(-1, DIM) for b in rows["bag"]]
     return fit(bags, rows["y"].to_numpy(float))
 
 
