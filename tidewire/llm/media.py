@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from .bytes_np import BYTE_CODES
 from .common import Scratch, column, lookup_join, sized
 
-#: Media whose features, about 300 bytes each, are broadcast; those of more are joined by a shuffle.
-FEATURE_ROWS = 100_000
 #: Payloads are padded with zero bytes to a positive multiple of this.
 BLOCK = 64
 #: Bits of the gear hash that are zero at a cut: chunks of 2 KB beyond the least size, on average.
@@ -169,7 +167,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     medias = rows.groupBy("media_key").agg(F.min(who).alias("owner"))
     owners = scratch.save(medias.select("media_key", "owner.id", "owner.text_key"), "owners")
     theirs = owners.select("media_key", F.col("id").alias("o_id"), F.col("text_key").alias("o_key"))
-    told = lookup_join(rows.select(who.alias("w"), "media_key"), theirs, "media_key").select("w.id", "w.text_key", "o_id", "o_key")
+    told = lookup_join(rows.select(who.alias("w"), "media_key"), theirs, "media_key", limit=0).select("w.id", "w.text_key", "o_id", "o_key")
     told = scratch.save(told.groupBy("id", "text_key", F.expr("id <> o_id or text_key <> o_key").alias("skip")).agg((F.count("*") > 1).alias("many")), "told")
     copies = told.where("skip").select("id", "text_key")
     lists = rows.select(who.alias("w"), "media_key", "chunks").select("w.id", "w.text_key", "media_key", "chunks").join(owners, ["id", "text_key", "media_key"], "left_semi")
@@ -202,5 +200,5 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mended = joined.select("media_key", F.expr("transform(p, x -> x.bytes)").alias("parts"))
     features = scratch.save(rebuild(whole).unionByName(rebuild(mended)).dropDuplicates(["media_key"]), "features")
     scratch.drop("owners", "told", "places", "notes", "lent", "lent-bytes")
-    out = lookup_join(rows.select(F.col("id").alias("doc_id"), "n_bytes", "media_key"), features, "media_key", limit=FEATURE_ROWS)
+    out = lookup_join(rows.select(F.col("id").alias("doc_id"), "n_bytes", "media_key"), features, "media_key", limit=0)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
