@@ -56,6 +56,21 @@ def image_kind(head: Column) -> Column:
     return out.when(text.startswith("52494646") & (F.substring(text, 17, 8) == "57454250"), "webp")
 
 
+def image_size(head: Column) -> Column:
+    """struct<width, height> of a PNG, GIF or extended WebP file by its first thirty bytes; null of others."""
+    text = F.hex(head)
+    big = lambda at, n: F.conv(F.substring(text, 2 * at + 1, 2 * n), 16, 10).cast("int")
+    little = lambda at, n: F.conv(F.concat(*[F.substring(text, 2 * (at + i) + 1, 2) for i in reversed(range(n))]), 16, 10).cast("int")
+    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    kind = image_kind(head)
+    extended = (kind == "webp") & (F.substring(text, 25, 8) == "56503858") & (F.length(text) >= 60)
+    return (
+        F.when((kind == "png") & (F.length(text) >= 48), size(big(16, 4), big(20, 4)))
+        .when((kind == "gif") & (F.length(text) >= 20), size(little(6, 2), little(8, 2)))
+        .when(extended, size(little(24, 3) + 1, little(27, 3) + 1))
+    )
+
+
 def good_image(width: Column, height: Column, size: Column) -> Column:
     """Large and square enough; of unknown dimensions, long enough."""
     known = width.isNotNull() & height.isNotNull()

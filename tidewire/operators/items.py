@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text
 from .shared import sized
+from .stories import image_wins
 
 # Fixed values
 IMAGE_TARGETS, STORE_ROWS, OTHER_LINKS = 8, 5000, 2
@@ -162,6 +163,20 @@ def image_targets(targets: DataFrame, rows: int = IMAGE_TARGETS) -> DataFrame:
     return one.orderBy("priority", F.col("published_ms").desc(), "tier", "story").limit(rows)
 
 
+def apply_images(stories: DataFrame, found: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """``stories`` (id, image_url, image_ms, image_updated_ms, published_ms, ..) with the pictures (id, url, at_ms) found
+    for them that they may take, one each, the newest; and how many were found, and taken."""
+    newest = found.where("url is not null").groupBy("id").agg(F.max_by("url", F.struct("at_ms", "url")).alias("_url"), F.max("at_ms").alias("_at"))
+    rows = stories.join(newest, "id", "left")
+    old = F.coalesce("image_ms", "published_ms", F.lit(0))
+    takes = F.col("_url").isNotNull() & image_wins(F.trim(F.coalesce("image_url", F.lit(""))) == "", old, F.coalesce("image_updated_ms", old), F.col("_at"), F.lit(now_ms))
+    rows = rows.withColumn("_takes", takes)
+    new = {"image_url": F.col("_url"), "image_ms": F.col("_at"), "image_updated_ms": F.lit(now_ms)}
+    kept = rows.select(*[F.when(F.col("_takes"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in stories.columns])
+    stats = rows.agg(F.count_if(F.col("_url").isNotNull()).alias("found"), F.count_if("_takes").alias("taken"))
+    return kept, stats
+
+
 def backfill_links(stories: DataFrame, others: int = OTHER_LINKS) -> DataFrame:
     """(id, place, url): where to look for a story's picture: its own address, then its newest other sources."""
     newest = F.array_sort(F.filter("sources", lambda x: x["url"] != F.col("url")), lambda a, b: F.coalesce(F.nullif(F.signum(b["at_ms"] - a["at_ms"]).cast("int"), F.lit(0)), F.when(a["url"] < b["url"], -1).otherwise(1)))

@@ -222,6 +222,20 @@ def image_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.image_targets(t).select("story", "url")
 
 
+APPLIED = f"""WITH s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN 'old' END AS image, o_orderkey % 100 * 3600000 AS ms FROM orders),
+  f AS (SELECT l_orderkey AS id, max('u' || lpad(CAST(l_linenumber AS VARCHAR), 3, '0')) AS url FROM lineitem GROUP BY 1)
+  SELECT id, CASE WHEN url IS NOT NULL AND (image IS NULL OR 180000000 >= ms + 43200000) THEN url ELSE image END AS image_url FROM s LEFT JOIN f USING (id)"""
+
+
+@query(APPLIED)
+def applied_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures found for stories, taken by those that may."""
+    o = F.col("o_orderkey")
+    s = table(spark, sf_dir, "orders").select(o.alias("id"), F.when(o % 3 != 0, "old").alias("image_url"), (o % 100 * 3_600_000).alias("image_ms"), F.lit(None).cast("bigint").alias("image_updated_ms"), F.lit(0).cast("bigint").alias("published_ms"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.format_string("u%03d", "l_linenumber").alias("url"), F.lit(180_000_000).cast("bigint").alias("at_ms"))
+    return items.apply_images(s, found, NOW_MS)[0].select("id", "image_url")
+
+
 @query("WITH r AS (SELECT l_orderkey AS id, 'u' || CAST(l_linenumber AS VARCHAR) AS url, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey DESC, l_linenumber) AS k FROM lineitem WHERE l_linenumber > 1) SELECT id, CAST(k AS INTEGER) AS place, url FROM r WHERE k <= 2 UNION ALL SELECT o_orderkey, 0, 'u1' FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def backfill_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where to look for a story's picture: its own address and its newest two others."""

@@ -17,14 +17,13 @@ IMPORT_FEATURES, IMPORT_POINTS = 1000, 50_000
 def rss(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """(source, seq, title, url, description, published): the items of RSS files, or Atom with ``row_tag='entry'``.
 
-    ``source`` is the file, and ``seq`` an item's place in it: where its block of the file begins, then its row there,
-    so it follows the file however the read is partitioned.
+    ``source`` is the file, and ``seq`` an item's place in it: by where its block of the file begins, then by its row
+    there, so it follows the file however the read is partitioned.
     """
     schema = "title string, link string, description string, summary string, pubDate string, published string, updated string, guid string"
     raw = spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(schema).load(path)
-    raw = raw.withColumns({"source": F.input_file_name(), "_row": F.monotonically_increasing_id()})
-    # row numbers of a partition grow with a file's blocks, which are read in order
-    seq = F.row_number().over(Window.partitionBy("source").orderBy("_row"))
+    raw = raw.withColumns({"source": F.input_file_name(), "_block": F.input_file_block_start(), "_row": F.monotonically_increasing_id()})
+    seq = F.row_number().over(Window.partitionBy("source").orderBy("_block", "_row"))
     return raw.select("source", seq.cast("bigint").alias("seq"), text.clean_title(text.html_text(F.col("title"))).alias("title"), text.canonical_url(F.coalesce("link", "guid")).alias("url"), text.html_text(F.coalesce("description", "summary")).alias("description"), F.coalesce("pubDate", "published", "updated").alias("published"))
 
 
