@@ -92,8 +92,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     empty benchmark leaves all clean.  Rows repeat as given, null ids included; rows that share an id but not a text
     are told apart.  An item whose id is null hits words but is not listed.  Only the named columns are read.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    bench = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    keyed = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    bench = items.select(column(item_id_col).alias("item_id"), column(item_text_col).alias("text"))
     found, owners = hits(keyed, ["doc_id", "text_key"], bench, window, broadcast_rows)
     per = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "length")).alias("spans"), F.collect_set("window_id").alias("windows"))
     per = Scratch(docs.sparkSession, "contamination").save(per, "found")  # read twice below, and far smaller than the texts
