@@ -132,9 +132,10 @@ def in_polygon(lat: Column, lon: Column, ring: Column) -> Column:
 def segment_metres(lat: Column, lon: Column, a: Column, b: Column) -> Column:
     """Metres from a point to a segment between two structs of lat and lon, on the plane that touches the earth there."""
     metres = math.radians(1) * EARTH_KM * 1000
-    plane = lambda p: (wrap_lon(p["lon"] - lon) * F.cos(F.radians(lat)) * metres, (p["lat"] - lat) * metres)
-    (ax, ay), (bx, by) = plane(a), plane(b)
-    dx, dy = bx - ax, by - ay
+    across = F.cos(F.radians(lat)) * metres
+    ax, ay = wrap_lon(a["lon"] - lon) * across, (a["lat"] - lat) * metres
+    # the segment goes the short way round the earth, whatever side of it the point is on
+    dx, dy = wrap_lon(b["lon"] - a["lon"]) * across, (b["lat"] - a["lat"]) * metres
     t = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
     return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
 

@@ -16,10 +16,10 @@ ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
 
 
 def landed(spark: SparkSession, name: str, lines: DataFrame, suffix: str = "") -> str:
-    """A new folder with ``lines`` (value, and maybe a folder's name) as text files."""
+    """A new folder with ``lines`` as text files; with a ``feed``, each line is a file of its own in that feed's folder."""
     path = new_folder(spark, name)
     writer = lines.write.option("lineSep", "\n")
-    (writer.partitionBy("feed") if "feed" in lines.columns else writer).text(path)
+    (writer.partitionBy("feed").option("maxRecordsPerFile", 1) if "feed" in lines.columns else writer).text(path)
     return path
 
 
@@ -31,7 +31,7 @@ def _items(spark: SparkSession, sf_dir: str, form: str) -> str:
     """Files of two thousand items or fewer for each of seven feeds."""
     e = table(spark, sf_dir, "events").select(F.format_string(form, "event_type", "event_id", "event_id", iso()).alias("item"), (F.col("user_id") % 7).alias("feed"), F.floor(F.col("event_id") / 2000).alias("part"))
     whole = F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("item"), ""), F.lit("</channel></rss>"))
-    return landed(spark, "feed", e.groupBy("feed", "part").agg(whole.alias("value")).select("feed", "value").repartition("feed", "value"))
+    return landed(spark, "feed", e.groupBy("feed", "part").agg(whole.alias("value")).select("feed", "value"))
 
 
 ITEM = "<item><title>%s &amp;amp; report %d</title><link>https://News.example/%d/?utm_source=f#top</link><description><![CDATA[<p>one<br>two</p>]]></description><pubDate>%s</pubDate></item>"
