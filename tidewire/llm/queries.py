@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, neardup, quality, sentencepieces, shards, sql, toxicity, warc, wordpieces
+from . import decontaminate, licenses, media, neardup, quality, sentencepieces, shards, sql, toxicity, warc, whitening, wordpieces
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` whitened on their sixteen leading components, by hierarchical SVD merging."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64)
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_media_columns": op10_media_columns,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 #: The others train models, run automata, or recurse on data; tests hold them to brute force, round trips or held-out labels.
