@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -63,3 +64,38 @@ class Memo(dict):
         if len(key) <= 64:
             self[key] = value
         return value
+
+
+class Known(dict):
+    """Results by word, found for many words at a time; of bounded size between runs of texts."""
+
+    def __init__(self, make: Callable[[list[str]], list], most: int = 500_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Make all of ``words`` known.  What was known goes when there is too much of it, and so do long words."""
+        words = set(words)
+        if len(self) > self.most:
+            self.clear()
+        else:
+            for w in self.long:
+                self.pop(w, None)
+        new = [w for w in words if w not in self]
+        self.long = [w for w in new if len(w) > 64]
+        self.update(zip(new, self.make(new), strict=True))
+
+    long: list[str] = []
+
+
+def runs(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
+    """``texts`` in order, in runs of about ``most`` characters; a longer text stands alone."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, neardup, quality, sentencepieces, shards, sql, toxicity, warc, whitening, wordpieces
+from . import decontaminate, licenses, media, neardup, packing, quality, sentencepieces, shards, sql, toxicity, warc, whitening, wordpieces
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").cast("bigint"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` packed into sequences of 4096 tokens by a grouping genetic algorithm on islands."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_media_columns": op10_media_columns,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 
 #: The others train models, run automata, or recurse on data; tests hold them to brute force, round trips or held-out labels.
