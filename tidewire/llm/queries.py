@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, neardup, packing, quality, sentencepieces, shards, sql, toxicity, warc, whitening, wordpieces
+from . import alignment, decontaminate, licenses, media, neardup, packing, quality, sentencepieces, shards, sql, toxicity, warc, whitening, wordpieces
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,13 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of ``documents`` by two tokenizers, aligned, with corpus-wide counts of linked pairs; a digest of the groups."""
+    found = alignment.align_documents(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op10_media_columns": op10_media_columns,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 #: The others train models, run automata, or recurse on data; tests hold them to brute force, round trips or held-out labels.
