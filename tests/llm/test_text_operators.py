@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import decontaminate, licenses, neardup, sentencepieces, wordpieces
 from tidewire.llm.bytes_np import shingle_sets
-from tidewire.llm.common import Scratch, lookup_join
+from tidewire.llm.common import Scratch, lookup_join, salted_join
 from tidewire.llm.components import connected_components
 from tidewire.llm.pieces import load
 
@@ -301,3 +301,41 @@ def test_templates_are_read_from_a_folder(spark, tmp_path):
     (tmp_path / "My-License.txt").write_text("you may do with this work what you like\n")
     found = licenses.license_scan(spark.createDataFrame([(1, "X. You may do with this work, what you like.")], SCHEMA), templates=licenses.read_templates(spark, str(tmp_path))).first()
     assert found["licenses"] == ["My-License"] and found["containments"] == [1.0]
+
+
+def test_texts_that_share_an_id_are_linked_by_what_each_of_them_is_like(spark):
+    rng = random.Random(4)
+    one, two = ([f"{c}{rng.randint(0, 999)}" for _ in range(80)] for c in "ab")
+    near = [*two[:40], "new", *two[41:]]
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (9, " ".join(near)), (7, " ".join([*one[:20], "other", *one[21:]])), (None, " ".join([*near, "end"]))]
+    for own in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(frame(spark, own), k=2).collect()}
+        assert got == {(5, 5, True), (9, 5, False), (7, 5, False), (None, 5, False)}
+        assert sorted(r["text"] for r in neardup.without_copies(frame(spark, own), k=2).collect()) == sorted([rows[0][1], rows[1][1]])
+
+
+@pytest.mark.parametrize("block", [2, 7, 256])
+def test_large_buckets_are_compared_group_by_group(spark, monkeypatch, block):
+    """Texts of one template that lie around the threshold, so that buckets stay torn after the drawn nodes."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    rng = random.Random(block)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for j in rng.sample(range(60), rng.choice([4, 5, 6, 7])):
+            w[j] = f"x{rng.randint(0, 5)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, rows), k=2).collect()}
+    assert got == near_duplicates(rows, 2)
+
+
+def test_hubs_are_dealt_out(spark):
+    pairs = spark.createDataFrame([(7, i) for i in range(3000)] + [(i, i + 1) for i in range(50)] + [(None, 1), (99_999, 2)], "a bigint, b bigint").repartition(3)
+    found = spark.createDataFrame([(i, "x" * 10) for i in range(60)], "a bigint, items string")
+    rows = Scratch(spark, "test").save(pairs, "pairs")
+    assert sorted(tuple(r) for r in salted_join(rows, found, "a").select("a", "b", "items").collect()) == sorted(tuple(r) for r in rows.join(found, "a").select("a", "b", "items").collect())
+    edges = spark.createDataFrame([(10_000, i) for i in range(4000)] + [(i, i + 20_000) for i in range(0, 4000, 2)] + [(50_000, 50_001)], "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in connected_components(edges, Scratch(spark, "test"), "hub").collect()}
+    assert len(got) == 6003 and {v for k, v in got.items() if k < 50_000} == {0} and got[50_001] == got[50_000] == 50_000

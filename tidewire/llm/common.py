@@ -76,6 +76,22 @@ def lookup_join(rows: DataFrame, found: DataFrame, key: str, how: str = "inner",
     return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how in ("left", "left_anti") else out
 
 
+def salted_join(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows``, a written table, joined with ``found``, in which each ``key`` stands once and whose rows may be long.
+
+    A key that a thousandth of the rows or more have is dealt out to several tasks, and its row of ``found`` copied to
+    each of them: about two thousand copies at most, whatever the sizes.
+    """
+    many = max(1000, rows.count() // 1000)
+    heavy = Scratch(rows.sparkSession, "salted").save(rows.groupBy(key).count().where(F.col("count") > many).select(key, F.ceil(F.col("count") / many).cast("int").alias("_salts")), "heavy")
+    if not heavy.limit(1).count():
+        return rows.join(found, key)
+    heavy, others = F.broadcast(heavy), [F.col(c) for c in rows.columns if c != key]
+    left = rows.join(heavy, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*others), F.col("_salts")).cast("int"))).drop("_salts")
+    right = found.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores behind it until no column of ``df`` is called so, in any case."""
     taken, out = {c.lower() for c in df.columns}, []

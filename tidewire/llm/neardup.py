@@ -7,8 +7,8 @@ bands a pair at similarity 0.8 goes unseen once in 2e7.
 
 Work stays linear in the size of a bucket: equal sets become one node first, each node of a bucket then meets the
 bucket's smallest node, then a few drawn ones of other components, and only nodes that are not connected by then meet
-each other.  Parity sketches, compared inside the join, rule out pairs that cannot be linked, and no others, before any
-set is read.
+each other: in small buckets as pairs, in large ones group by group inside a task, which emits new links alone.  Parity
+sketches rule out pairs that cannot be linked, and no others, before any set is read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import mix64, shingle_sets
-from .common import LOOKUP_ROWS, Scratch, column, lookup_join, sized, unused
+from .common import LOOKUP_ROWS, Scratch, column, lookup_join, salted_join, sized, unused
 from .components import connected_components
 
 U32 = np.uint32
@@ -31,8 +31,8 @@ ROWS_PER_BAND = 4
 PARITY_BITS = 4096
 #: Nodes of a bucket, drawn by a hash, that its others meet before any two of them do.
 PIVOTS = 8
-#: Nodes of sets that no row with an id has are numbered from here on, beyond all ids.
-BEYOND = "cast(9223372036854775808 as decimal(20,0))"
+#: Buckets of more nodes are split, so that no task compares more than about twice as many with each other.
+BLOCK = 256
 
 
 def permute32(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -123,23 +123,11 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
             for i in range(0, len(sets), 256):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), pa.array(sets[i : i + 256], pa.binary())], ["node", "items"])
 
-    return docs.mapInArrow(run, f"node {docs.schema['node'].dataType.simpleString()}, items binary")
-
-
-def with_set_key(docs: DataFrame, text_col: str, k: int) -> DataFrame:
-    """``docs`` with the digest of each text's set as ``_set_key``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pa.array([set_digest(s) for s in shingle_sets(batch.column(batch.num_columns - 1), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keys], [*batch.schema.names[:-1], "_set_key"])
-
-    schema = docs.withColumn("_set_key", F.lit(None).cast("binary")).schema
-    return docs.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, "node bigint, items binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b), a written table, whose full sets have 100 * intersection >= percent * union."""
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
 
@@ -153,9 +141,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "a_items", "b_items")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+    joined = salted_join(pairs, a, "a").join(b, "b").select("a", "b", "a_items", "b_items")
+    return joined.mapInArrow(run, "a bigint, b bigint")
 
 
 def _close(percent: int):
@@ -190,8 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or empty texts have no set and are linked with nothing.  A row whose id is null is linked like others, but
     never names a component: its component is null (and it is kept) if no row with an id can be reached from it.  Repeated rows
-    each return.  Ids are meant to be unique; where texts that differ share an id which is the smallest of both
-    their sets, that id links them.  Other columns are ignored.  One text must fit a task's memory about 40 times.
+    each return.  Texts that differ and share an id are each linked with what they are like, not with each other, and
+    the order of rows makes no difference.  Ids are cast to bigint.  Other columns are ignored.  One text must fit a task's memory about 40 times.
     """
     return grouped(docs, id_col, text_col, k, percent, bands).drop("text_key", "text_key2")
 
@@ -215,20 +202,11 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32) -> DataFrame:
     """``near_duplicates`` with each row's text_key and text_key2."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    rows = scratch.save(sketch(docs, id_col, text_col, k, bands), "sketch")
-    # a node for each different set: the smallest id, or a number beyond all ids where only rows without one have it
-    least = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    classes = scratch.save(least.withColumn("spare", F.when(F.col("least").isNull(), F.monotonically_increasing_id())), "classes")
-    nameless = classes.where("least is null").limit(1).count() > 0
-    node = F.coalesce(F.col("least").cast("decimal(20,0)"), F.expr(f"cast({BEYOND} + spare as decimal(20,0))")) if nameless else F.col("least")
-    classes = classes.select("set_key", "least", node.alias("node"))
-    # one row for each different set, in full
-    nodes = rows.join(classes.select(F.col("least").alias("doc_id"), "set_key", "node"), ["doc_id", "set_key"])
-    nodes = nodes.dropDuplicates(["doc_id"]).select("node", F.col("n_shingles").alias("n"), "bands", "parity")
-    if nameless:
-        spare = rows.where("doc_id is null").join(classes.where("least is null").select("set_key", "node"), "set_key")
-        nodes = nodes.union(spare.dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), "bands", "parity"))
-    nodes = scratch.save(nodes, "nodes")
+    rows = scratch.save(sketch(docs, id_col, text_col, k, bands).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    # a node for each different set, of which one row stands for all; ids come in at the end
+    classes = scratch.save(rows.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
+    nodes = rows.withColumnRenamed("row", "node").join(classes.select("node"), "node")
+    nodes = scratch.save(nodes.select("node", "doc_id", "text_key", "text_key2", F.col("n_shingles").alias("n"), "bands", "parity"), "nodes")
 
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
@@ -240,20 +218,11 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     x = traits.select(F.col("node").alias("a"), F.col("n").alias("x_n"), F.col("parity").alias("x_sig"))
     y = traits.select(F.col("node").alias("b"), F.col("n").alias("y_n"), F.col("parity").alias("y_sig"))
     close = _close(percent)
-    stars = members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(y, "b").join(x, "a").where(close).groupBy("b").agg(F.min("a").alias("a"))
+    stars = scratch.save(members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "hubs")
+    stars = salted_join(stars, x, "a").join(y, "b").where(close).groupBy("b").agg(F.min("a").alias("a"))
     stars = scratch.save(stars, "stars")
 
-    wanted = sized(scratch.save(members.select("node").distinct(), "wanted"))
-    texts = docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).cast("string").alias("text")).where("text <> ''")
-    texts = texts.select(F.col("doc_id").cast(wanted.schema["node"].dataType).alias("node"), "text")
-    sets = full_sets(texts.join(wanted, "node", "left_semi").select("node", "text"), k)
-    if nameless:
-        keyed = with_set_key(texts.where("node is null").select("text"), "text", k).dropDuplicates(["_set_key"])
-        keyed = keyed.join(classes.where("least is null").select(F.col("set_key").alias("_set_key"), "node"), "_set_key")
-        sets = sets.union(full_sets(keyed.join(wanted, "node", "left_semi").select("node", "text"), k))
-    sets = scratch.save(sets, "sets")
-
+    sets = scratch.save(_node_sets(docs, id_col, text_col, nodes, members, rows, k, scratch), "sets")
     links = scratch.save(confirmed(stars, sets, percent), "links-1")
     labels = scratch.save(connected_components(links, scratch, "first"), "labels-1")
 
@@ -264,29 +233,86 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     drawn = labelled.groupBy("bucket").agg(*ends, *[pivot(i).alias(f"p{i}") for i in range(PIVOTS)]).where("low < high")
     drawn = scratch.save(drawn.select("bucket", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("drawn")), "drawn")
     met = lookup_join(labelled, drawn, "bucket", limit=LOOKUP_ROWS // PIVOTS).select("node", "label", F.explode("drawn").alias("p")).where("p.a_label <> label")
-    met = met.select(F.col("p.a").alias("a"), F.col("node").alias("b"), F.col("p.a_label").alias("a_label")).distinct()
-    met = met.join(y, "b").join(x, "a").where(close).groupBy("b", "a_label").agg(F.min("a").alias("a"))
+    met = scratch.save(met.select(F.col("p.a").alias("a"), F.col("node").alias("b"), F.col("p.a_label").alias("a_label")).distinct(), "draws")
+    met = salted_join(met, x, "a").join(y, "b").where(close).groupBy("b", "a_label").agg(F.min("a").alias("a"))
     more = scratch.save(confirmed(scratch.save(met.select("a", "b"), "met"), sets, percent), "links-2")
     labels = scratch.save(_lifted(labels, more, links, scratch, "second"), "labels-2")
 
-    # last round: the pairs of a bucket that are close and not connected by then, each in the first bucket it shares
+    # last round: what is not connected by then
     labelled = _labelled(members, labels, scratch, "labelled-2")
-    torn = scratch.save(labelled.groupBy("bucket").agg(*ends).where("low < high").select("bucket"), "torn")
-    open_ = lookup_join(labelled, torn, "bucket").join(nodes.withColumnRenamed("bands", "all_bands"), "node")
-    open_ = scratch.save(open_, "open")
-    x = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("parity").alias("x_sig"), F.col("all_bands").alias("x_bands"))
-    y = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("parity").alias("y_sig"), F.col("all_bands").alias("y_bands"))
-    first_shared = F.expr("filter(zip_with(x_bands, y_bands, (p, q) -> if(p = q, p, null)), p -> p is not null)[0]") == x["bucket"]
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("x_label") != F.col("y_label")) & close & first_shared)
-    rest = scratch.save(rest.select("a", "b"), "rest")
-    last = scratch.save(confirmed(rest, sets, percent), "links-3")
+    torn = scratch.save(labelled.groupBy("bucket").agg(*ends, F.count("*").alias("held")).where("low < high").select("bucket", "held"), "torn")
+    open_ = scratch.save(lookup_join(labelled, torn, "bucket"), "open")
+    last = scratch.save(_in_small_buckets(open_, nodes, sets, percent, scratch).unionByName(_in_large_buckets(open_, sets, percent)), "links-3")
     final = scratch.save(_lifted(labels, last, links.union(more), scratch, "last"), "labels")
-    scratch.drop("shared", "members", "stars", "wanted", "sets", "links-1", "links-2", "links-3", "labels-1", "labels-2", "labelled-1", "labelled-2", "drawn", "met", "torn", "open", "rest", "nodes")
-
-    label = F.coalesce("component", "node")
-    label = F.when(label < F.expr(BEYOND), label).cast("bigint") if nameless else label
-    named = scratch.save(classes.join(final, "node", "left").select("set_key", label.alias("component")), "named")
-    scratch.drop("classes", "labels")
-    out = lookup_join(rows.drop("bands", "parity"), named, "set_key", "left")
+    scratch.drop("shared", "members", "hubs", "stars", "sets", "wanted", "links-1", "links-2", "links-3", "labels-1", "labels-2", "labelled-1", "labelled-2", "drawn", "draws", "met", "torn", "open", "rest", "nodes")
+
+    # the smallest id of each component, where a row with an id is in it
+    classes = scratch.save(classes.join(final, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component")), "parts")
+    firsts = scratch.save(classes.groupBy("component").agg(F.min("least").alias("first")), "firsts")
+    named = scratch.save(lookup_join(classes.drop("least"), firsts, "component").select("set_key", F.col("first").alias("component")), "named")
+    scratch.drop("classes", "labels", "parts", "firsts")
+    out = lookup_join(rows.drop("bands", "parity", "row"), named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", "text_key2").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _node_sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, members: DataFrame, rows: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(node, items) of the nodes that share a bucket, each once, from the texts as they are read again."""
+    wanted = scratch.save(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key", "text_key2"), "wanted")
+    one, two = text_keys(column(text_col).cast("string"))
+    texts = docs.select(column(id_col).cast("bigint").alias("t_id"), one.alias("t_key"), two.alias("t_key2"), column(text_col).cast("string").alias("text")).where("text <> ''")
+    rep = sized(wanted)
+    same = (F.col("t_key") == F.col("text_key")) & (F.col("t_key2") == F.col("text_key2")) & F.col("t_id").eqNullSafe(F.col("doc_id"))
+    sets = full_sets(texts.join(rep, same).select("node", "text"), k)
+    # rows that repeat both id and text bring a node more than once
+    twin = rows.select(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key"), F.col("text_key2").alias("t_key2"))
+    twice = twin.join(rep, same).groupBy("node").count().where("count > 1").limit(1).count() > 0
+    return sets.dropDuplicates(["node"]) if twice else sets
+
+
+def _in_small_buckets(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of close pairs that are not connected, in buckets of at most ``BLOCK`` nodes; each in the first bucket it shares."""
+    small = open_.where(F.col("held") <= BLOCK).join(nodes.select("node", "n", "parity", F.col("bands").alias("all_bands")), "node")
+    x = small.select("bucket", F.col("node").alias("a"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("parity").alias("x_sig"), F.col("all_bands").alias("x_bands"))
+    y = small.select("bucket", F.col("node").alias("b"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("parity").alias("y_sig"), F.col("all_bands").alias("y_bands"))
+    first_shared = F.expr("filter(zip_with(x_bands, y_bands, (p, q) -> if(p = q, p, null)), p -> p is not null)[0]") == x["bucket"]
+    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("x_label") != F.col("y_label")) & _close(percent) & first_shared)
+    return confirmed(scratch.save(rest.select("a", "b"), "rest"), sets, percent)
+
+
+def _in_large_buckets(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect nodes of buckets of more than ``BLOCK`` nodes.
+
+    A bucket is split into groups of about ``BLOCK`` nodes, and each two groups, with their sets, are the work of one
+    task, which compares them in place: only links that connect something new in it become rows.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"].combine_chunks()]
+        low, one = key[1].as_py() != key[2].as_py(), rows["part"].to_numpy()
+        n = np.array([len(x) for x in own])
+        bits = np.array([parity_sketch(x) for x in own]).view(np.uint64)
+        a_, b_ = [], []
+        for i in range(len(own)):
+            # the other group's nodes, or the later ones of the same group
+            fit = (one > one[i]) if low else np.arange(len(own)) > i
+            fit &= (label != label[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
+            at = np.flatnonzero(fit)
+            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64) * (100 + percent) <= (n[at] + n[i]) * (100 - percent)]
+            for j in at.tolist():
+                if label[i] == label[j]:
+                    continue  # connected meanwhile
+                both = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    a_.append(min(node[i], node[j]))
+                    b_.append(max(node[i], node[j]))
+                    label = np.where(label == label[j], label[i], label)
+        return pa.table({"a": pa.array(a_, pa.int64()), "b": pa.array(b_, pa.int64())})
+
+    parts = F.ceil(F.col("held") / BLOCK).cast("int")
+    large = open_.where(F.col("held") > BLOCK).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = large.select("bucket", "node", "label", "part", F.explode(others).alias("other"))
+    dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "label", "part")
+    return dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
