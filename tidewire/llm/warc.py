@@ -11,8 +11,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,10 +117,29 @@ def write_archives(records: DataFrame, path: str, rows: int, total_bytes: int) -
     spark = records.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.listStatus(folder):
-        found = status.getPath()
-        if found.getName().endswith(".txt"):
-            files.rename(found, spark._jvm.org.apache.hadoop.fs.Path(folder, found.getName().removesuffix(".txt") + ".warc.gz"))
+
+    def rename(name: str) -> None:
+        old, new = (spark._jvm.org.apache.hadoop.fs.Path(folder, x) for x in (name, name.removesuffix(".txt") + ".warc.gz"))
+        if not files.rename(old, new):
+            raise OSError(f"{path}/{name} could not be renamed")
+
+    names = [x.getPath().getName() for x in files.listStatus(folder)]
+    with ThreadPoolExecutor(32) as pool:  # calls to a store that wait for it most of the time
+        list(pool.map(rename, [x for x in names if x.endswith(".txt")]))
+
+
+def unpack(raw: bytes, step: int = 1 << 12) -> Iterator[bytes]:
+    """The contents of the gzip members of an archive one by one; what is left of a cut one is an error."""
+    at, view = 0, memoryview(raw)
+    while at < len(raw):
+        member, out = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(raw):
+                raise ValueError("an archive ends within a record")
+            out.append(member.decompress(view[at : at + step]))
+            at = min(len(raw), at + step)
+        at -= len(member.unused_data)  # of one step, and so as short as that however long the archive is
+        yield b"".join(out)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -147,7 +169,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
     def rows(raw: bytes) -> Iterator[tuple]:
-        for fields, block in parse(raw):
+        for fields, block in chain.from_iterable(map(parse, unpack(raw))):
             said = fields["warc-payload-digest"].removeprefix("sha1:")
             body = size = None
             if fields["warc-type"] == "response":
@@ -162,9 +184,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                found = list(rows(gzip.decompress(raw.as_py())))
-                for i in range(0, len(found), 512):
-                    columns = zip(*found[i : i + 512], strict=True)
+                records = rows(raw.as_py())
+                while found := list(islice(records, 512)):
+                    columns = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content").where("length(content) > 0")
