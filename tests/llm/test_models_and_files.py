@@ -288,3 +288,18 @@ def test_stages_return_the_columns_of_documents(spark, sf_small):
 def test_registered_names():
     assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 11)] == [1] * 10
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_a_class_of_few_huge_texts_is_not_lost(spark):
+    docs, labels = corpus(400)
+    huge = [(10_000 + i, " ".join([t.upper().replace(" ", "!! "), "grumblefoo snarkbar"] * 120)) for i, (_, t) in enumerate(docs[:3])]
+    frame = spark.createDataFrame([*docs, *huge], SCHEMA)
+    plain = [(i, 1, 0) for i, *_ in labels] + [(i, 0, 1) for i, _ in huge]
+    own = learning.labels_of_fold(spark.createDataFrame(plain, "doc_id bigint, quality int, toxic int"), "quality", 3, 9)
+    for most_bytes in (100, 4000, 1 << 14, 1 << 24):
+        sample, counts = learning.labelled_sample(frame, own, 100, most_bytes, Scratch(spark, "test"), f"s{most_bytes}")
+        held = Counter(r["y"] for r in sample.collect())
+        assert held[0] == 3 and held[1] >= learning.LEAST and counts == {0: 3, 1: len(labels)}
+    toxic = spark.createDataFrame(plain, "doc_id bigint, quality int, toxic int")
+    assert toxicity.train(frame, toxic, most_bytes=4000) is not None
+    assert len({r["score"] for r in quality.score(frame.limit(50), quality.train(frame, toxic, most_bytes=4000)).collect()}) > 1

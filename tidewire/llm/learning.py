@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, crc_mod
 
 _SCALE = 1 << 20
+#: Texts of each class that are taken however many bytes they have.
+LEAST = 20
 
 
 def labels_of_fold(labels: DataFrame, label: str, mod: int, held_out: int) -> DataFrame:
@@ -29,7 +31,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: i
     """Documents (doc_id, text) with y, and the classes' counts in all labels.
 
     Of each of ``classes`` at most about ``most`` different texts are taken, and so few that whole texts of about ``most_bytes``
-    are; ids that repeat in ``docs`` bring no more.  Rows are chosen by a hash, and none is cut.
+    are, but ``LEAST`` of them where there are that many: no class is lost.  Ids that repeat in ``docs`` bring no more.
+    Rows are chosen by a hash, and none is cut.
     """
     labels = scratch.save(labels, f"{name}-labels")
     counts = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -41,8 +44,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: i
     found = scratch.save(found.withColumn("_draw", F.xxhash64("text")), f"{name}-texts")
     held = found.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
     share = {r["y"]: max(r["n"] / (1.2 * most), r["size"] / most_bytes) for r in held}
-    kept = [thin(part, "_draw", round(share[y] * 1000), 1000, 13) if share[y] > 1 else part for y in share for part in (found.where(F.col("y") == y),)]
-    return (reduce(DataFrame.unionByName, kept) if kept else found).drop("_draw"), counts
+    number = {r["y"]: r["n"] for r in held}
+
+    def part(y: int) -> DataFrame:
+        own = found.where(F.col("y") == y)
+        if share[y] <= 1:
+            return own
+        if number[y] / share[y] < 2 * LEAST:  # so few that a share of them might be none
+            return own.orderBy(F.xxhash64("_draw"), "text").limit(LEAST)
+        return thin(own, "_draw", round(share[y] * 1000), 1000, 13)
+
+    return (reduce(DataFrame.unionByName, map(part, share)) if share else found).drop("_draw"), counts
 
 
 class Adam:
