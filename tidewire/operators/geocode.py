@@ -6,10 +6,12 @@ of public facts beside it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import geo, scan, text
 from .shared import sized
 
 # A seed of places (key, name, type, country, region, lat, lon, population).
@@ -42,6 +44,8 @@ PRECEDENCE = {"city": 1, "admin1": 2, "country": 3, "region": 4, "landmark": 5}
 PREPOSITIONS = ["in", "at", "near", "from", "outside", "across"]
 DOMINANT_POPULATION, DOMINANT_RATIO = 100_000, 5
 MAX_WORDS = 6
+#: Keys of a gazetteer that go to the tasks as one automaton (some tens of MB).
+SCANNED = 200_000
 CONFIDENCE = {"hierarchy": 1.0, "country": 0.9, "admin1": 0.9, "landmark": 0.95, "dominant": 0.75, "unique": 0.85, "region": 0.6}
 
 
@@ -80,16 +84,41 @@ def words(column: Column) -> Column:
     return F.array_remove(F.split(text.without_accents(F.lower(F.coalesce(column, F.lit("")))), r"[^\p{L}\p{N}'.-]+"), "")
 
 
+def _spellings(key: str) -> set[tuple[str, ...]]:
+    """The words of a key; a country that a demonym stands for may also be one of them."""
+    whole = {key}
+    for country in set(DEMONYMS.values()):
+        if " " in country:
+            whole |= {re.sub(rf"(?<!\S){re.escape(country)}(?!\S)", country.replace(" ", "\0"), k) for k in whole}
+    return {tuple(w.replace("\0", " ") for w in k.split(" ")) for k in whole if k}
+
+
+def n_grams(w: DataFrame, max_words: int) -> DataFrame:
+    """(id, pos, n, key, before): all runs of up to ``max_words`` of the words of (id, w)."""
+    grams = w.select("id", "w", F.posexplode("w").alias("pos", "first")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(max_words)))).where(F.col("pos") + F.col("n") <= F.size("w"))
+    return grams.select("id", "pos", "n", F.array_join(F.slice("w", F.col("pos") + 1, F.col("n")), " ").alias("key"), F.when(F.col("pos") > 0, F.get("w", F.col("pos") - 1)).alias("before"))
+
+
+def key_hits(w: DataFrame, keys: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """(id, pos, n, key, before): each run of words of (id, w: array) that is one of the ``keys`` (key), and the word before it."""
+    known = [r["key"] for r in keys.where("key is not null").distinct().limit(SCANNED + 1).collect()]
+    if len(known) > SCANNED:
+        return n_grams(w, max_words).join(keys.distinct(), "key")
+    hits = w.withColumn("_h", scan.phrases_in(F.col("w"), [p for k in known for p in _spellings(k) if len(p) <= max_words]))
+    before = F.when(F.col("_h.pos") > 0, F.get("w", F.col("_h.pos") - 1))
+    return hits.select("id", "w", F.explode("_h").alias("_h")).select("id", "_h.*", before.alias("before"))
+
+
 def mentions(texts: DataFrame, gazetteer: DataFrame, text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
-    """(id, pos, n, cue, key, name, type, ..): places whose names texts (id, text) hold, as n-grams of up to six words.
+    """(id, pos, n, cue, key, name, type, ..): places whose names texts (id, text) hold, of up to six words.
 
-    ``cue`` is the preposition before a mention, if any.  Mentions inside a longer one are dropped.  The gazetteer is
-    joined by its keys; only n-grams meet it, never pairs of texts and places.
+    ``cue`` is the preposition before a mention, if any.  Mentions inside a longer one are dropped.  Up to ``SCANNED``
+    keys go to the tasks as one automaton, which finds them in one pass over a text's words; a larger gazetteer is
+    joined by its keys with the n-grams of the texts, which gives the same.
     """
     demonym = F.create_map(*[F.lit(x) for p in DEMONYMS.items() for x in p])
     w = texts.select("id", F.transform(words(F.col(text_col)), lambda x: F.coalesce(F.try_element_at(demonym, x), F.regexp_replace(x, r"(?:'s)?[.'-]*$", ""))).alias("w"))
-    grams = w.select("id", "w", F.posexplode("w").alias("pos", "first")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(max_words)))).where(F.col("pos") + F.col("n") <= F.size("w"))
-    grams = grams.select("id", "pos", "n", F.array_join(F.slice("w", F.col("pos") + 1, F.col("n")), " ").alias("key"), F.when(F.col("pos") > 0, F.get("w", F.col("pos") - 1)).alias("before"))
+    grams = key_hits(w, gazetteer.select("key"), max_words)
     cue = F.when(F.col("before").isin(PREPOSITIONS), F.col("before"))
     met = grams.join(gazetteer, "key").withColumn("cue", cue).drop("before")
     spans = met.select("id", F.struct("pos", "n").alias("s")).distinct().groupBy("id").agg(F.collect_list("s").alias("spans"))
