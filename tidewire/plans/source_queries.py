@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import scores, text
 from ..operators import ingest
 from ..operators.shared import new_folder
 from ..sources import feeds, sinks
+from ..sources.replies import FeedReplies
 from .base import HOUR_MS, NOW_MS, query, table
 
 MS = "(epoch_us(ts) // 1000)"
@@ -46,6 +47,42 @@ def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", "title", "description", F.unix_timestamp(F.to_utc_timestamp(at, F.current_timezone())).alias("at_s"))
 
 
+#: Replies of seven feeds, one for each two thousand events: some not modified, one broken, some refused.
+_REPLIES = f"""e AS (SELECT user_id % 7 AS feed, event_id // 2000 AS part, event_id, {MS} // 1000 AS s FROM events),
+  r AS (SELECT feed, part, CASE (feed + part) % 5 WHEN 1 THEN 304 WHEN 2 THEN 503 ELSE 200 END AS status, (feed + part) % 5 = 3 AS broken, max(s) AS last_s, count(*) AS held, count(*) FILTER (s * 1000 >= {NOW_MS - 240 * HOUR_MS}) AS fresh, max(s) FILTER (s * 1000 >= {NOW_MS - 240 * HOUR_MS}) AS fresh_s FROM e GROUP BY 1, 2)"""
+
+
+def _replies(spark: SparkSession, sf_dir: str, rows: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.format_string(ITEM, "event_type", "event_id", "event_id", iso()).alias("item"), (F.col("user_id") % 7).alias("feed"), F.floor(F.col("event_id") / 2000).alias("part"), F.unix_seconds(F.to_utc_timestamp(F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), F.current_timezone())).alias("s"))
+    whole = e.groupBy("feed", "part").agg(F.array_join(F.collect_list("item"), "").alias("items"), F.max("s").alias("s"))
+    kind = (F.col("feed") + F.col("part")) % 5
+    body = F.concat(F.lit("<rss><channel>"), "items", F.when(kind == 3, "</rss>").otherwise("</channel></rss>"))
+    known = F.when(F.col("part") % 2 == 0, F.col("s") * 1000)
+    source = F.concat(F.lit("feed "), F.col("feed").cast("string"), F.lit("/"), F.col("part").cast("string"))
+    status = F.when(kind == 1, 304).when(kind == 2, 503).otherwise(200)
+    path = new_folder(spark, "replies")
+    whole.select("feed", source.alias("source"), F.lit("https://feed.example/").alias("url"), status.alias("status"), F.concat(F.lit("v"), F.col("part").cast("string")).alias("etag"), body.alias("body"), F.lit("news").alias("category"), F.lit("NO").alias("country"), known.alias("known_ms")).write.partitionBy("feed").json(path)
+    spark.dataSource.register(FeedReplies)
+    return spark.read.format("feed_replies").options(path=path, rows=rows, now_ms=NOW_MS, age_ms=240 * HOUR_MS).load()
+
+
+@query(f"""WITH {_REPLIES} SELECT 'feed ' || CAST(feed AS VARCHAR) || '/' || CAST(part AS VARCHAR) AS source, CAST(status AS INTEGER) AS status,
+  CASE WHEN status = 503 THEN 'provider_error' WHEN status = 304 THEN CASE WHEN part % 2 = 1 THEN 'empty' WHEN last_s * 1000 >= {NOW_MS - 240 * HOUR_MS} THEN 'healthy' ELSE 'stale' END WHEN broken THEN 'parse_error' WHEN fresh > 0 THEN 'healthy' ELSE 'empty' END AS outcome,
+  CASE WHEN status = 503 THEN 'http_503' WHEN status = 304 AND part % 2 = 1 THEN 'freshness_unknown' WHEN status = 200 AND broken THEN 'invalid_xml' END AS error_code,
+  CAST(CASE WHEN status = 200 AND NOT broken THEN held ELSE 0 END AS INTEGER) AS fetched, CAST(CASE WHEN status = 200 AND NOT broken THEN fresh ELSE 0 END AS INTEGER) AS accepted,
+  CASE WHEN status = 304 AND part % 2 = 0 THEN last_s * 1000 WHEN status = 200 AND NOT broken THEN fresh_s * 1000 END AS latest_ms, 'v' || CAST(part AS VARCHAR) AS etag FROM r""")
+def feed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attempt row for each landed reply, by a data source; one that was not modified is judged by what was known."""
+    return _replies(spark, sf_dir, "attempts").select("source", "status", "outcome", "error_code", "fetched", "accepted", "latest_ms", "etag")
+
+
+@query(f"""WITH {_REPLIES} SELECT 'feed ' || CAST(e.feed AS VARCHAR) || '/' || CAST(e.part AS VARCHAR) AS source, 'https://news.example/' || CAST(event_id AS VARCHAR) AS url, s * 1000 AS published_ms, 'news' AS category, 'NO' AS country
+  FROM e JOIN r ON e.feed = r.feed AND e.part = r.part WHERE status = 200 AND NOT broken AND s * 1000 >= {NOW_MS - 240 * HOUR_MS}""")
+def feed_reply_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fresh items of landed replies with their sources' category and country; 304 and errors have none."""
+    return _replies(spark, sf_dir, "items").select("source", text.canonical_url(F.col("url")).alias("url"), "published_ms", "category", "country")
+
+
 @query(f"""WITH f AS (SELECT user_id % 7 AS feed, event_id, {MS} // 1000 * 1000 AS ms FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY ms DESC, 'https://news.example/' || CAST(event_id AS VARCHAR)) AS k FROM f WHERE ms BETWEEN {NOW_MS - 72 * HOUR_MS} AND {NOW_MS + 300000})
   SELECT feed, 'https://news.example/' || CAST(event_id AS VARCHAR) AS url FROM r WHERE k <= 5""")
 def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

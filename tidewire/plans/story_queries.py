@@ -229,6 +229,22 @@ def place_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocode.mentions(d, geocode.seed(spark)).select("id", "name").distinct()
 
 
+_WORDS_SQL = r"list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}''.-]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH i AS (SELECT {_WORDS_SQL.format('text')} AS w FROM benchmark),
+  k AS (SELECT DISTINCT array_to_string(w[p + 1:p + n], ' ') AS key, n FROM i, (VALUES (1), (2), (3)) s(n), unnest(range(0, len(w) - n + 1)) AS u(p)),
+  d AS (SELECT doc_id, {_WORDS_SQL.format('text')} AS w FROM documents),
+  g AS (SELECT doc_id, n, array_to_string(w[p + 1:p + n], ' ') AS key FROM d, (VALUES (1), (2), (3)) s(n), unnest(range(0, len(w) - n + 1)) AS u(p))
+  SELECT doc_id AS id, count(*) AS hits, count(DISTINCT key) AS keys, CAST(sum(g.n) AS BIGINT) AS words FROM g JOIN k USING (key, n) GROUP BY doc_id""")
+def scanned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of keys, all runs of three words or fewer of ``benchmark``, found in whole ``documents`` by one automaton."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), geocode.words(F.col("text")).alias("w"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), geocode.words(F.col("text")).alias("w"))
+    found = geocode.key_hits(docs, geocode.n_grams(items, 3).select("key"), 3)
+    return found.groupBy("id").agg(F.count("*").alias("hits"), F.count_distinct("key").alias("keys"), F.sum("n").alias("words"))
+
+
 @query("SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'Tokyo' WHEN 1 THEN 'Paris, Texas' WHEN 2 THEN 'Paris' WHEN 3 THEN 'Eiffel Tower' END AS name, CASE doc_id % 5 WHEN 0 THEN 'unique' WHEN 1 THEN 'hierarchy' WHEN 2 THEN 'dominant' WHEN 3 THEN 'landmark' END AS rule FROM documents WHERE doc_id % 5 <> 4")
 def resolved_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts located by the cascade of rules."""
@@ -338,6 +354,21 @@ def streaming_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query("""WITH e AS (SELECT event_id, event_type || CAST(user_id AS VARCHAR) AS key, ts, lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS before FROM events),
+  c AS (SELECT *, count(*) FILTER (before IS NULL OR ts - before > INTERVAL 48 HOUR) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS chain FROM e)
+  SELECT event_id, first(event_id) OVER (PARTITION BY key, chain ORDER BY ts, event_id) AS story FROM c""")
+def streaming_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream in eight batches matched with what its state still holds: stories that had a report within 48 hours."""
+    root = new_folder(spark, "matches")
+    raw = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.col("user_id").cast("string")).alias("key"), F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("ts"))
+    raw.repartitionByRange(8, "ts").write.mode("overwrite").parquet(f"{root}/in")
+    jobs.land_in_order(spark, f"{root}/in")
+    jobs.use_rocksdb(spark)
+    found = jobs.matched(jobs.landed(spark, f"{root}/in", "event_id bigint, key string, ts timestamp", 1), "key", "event_id")
+    jobs.keyed_batches(found, f"{root}/checkpoint", f"{root}/out", lambda b: b).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(F.col("id").alias("event_id"), "story")
+
+
 @query("SELECT o_orderkey % 7 AS batch, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS kept FROM orders GROUP BY 1")
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families of sources united by name, a missing column null."""

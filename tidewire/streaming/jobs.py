@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import scores
 
@@ -53,6 +54,56 @@ def unseen_against(events: DataFrame, history: DataFrame, key: str) -> DataFrame
     return events.join(history.select(key).distinct(), key, "left_anti")
 
 
+class _Chain(StatefulProcessor):
+    """Keeps the story and time of a key's last report, until nothing came for longer than the horizon."""
+
+    def __init__(self, horizon_ms: int):
+        self.horizon_ms = horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "story bigint, at_us bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["at_us", "id"])
+        story, before = self.last.get() if self.last.exists() else (None, None)
+        found = []
+        for i, at in zip(frame["id"].tolist(), frame["at_us"].tolist(), strict=True):
+            if before is None or at - before > self.horizon_ms * 1000:
+                story = i
+            before = at
+            found.append(story)
+        self.last.update((story, before))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(before // 1000 + self.horizon_ms + 1)
+        yield pd.DataFrame({"key": key[0], "id": frame["id"].tolist(), "story": found})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype=object), "id": pd.Series([], dtype="int64"), "story": pd.Series([], dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def matched(reports: DataFrame, key: str, id_col: str, ts: str = "ts", horizon: str = "48 hours", late: str = "1 hour") -> DataFrame:
+    """(key, id, story) of a stream of reports: the story of the key's last report if that is not older than the horizon, else a new one.
+
+    A story is named by its first report.  State is one row for each key that had a report within the horizon: an
+    event-time timer clears it after that, so it does not grow with history.  Reports of one key in one batch are taken by time,
+    then by id; what is later than ``late`` is dropped.  The state store has to be RocksDB (``use_rocksdb``).
+    """
+    hours = int(horizon.split()[0])
+    own = reports.withWatermark(ts, late).select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("bigint").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"), F.col(ts).alias("ts"))
+    return own.groupBy("key").transformWithStateInPandas(_Chain(hours * scores.HOUR_MS), "key string, id bigint, story bigint", "Append", "EventTime")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep streams' state in RocksDB, which keyed state with timers needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def keyed_batches(events: DataFrame, checkpoint: str, path: str, step: Callable[[DataFrame], DataFrame]) -> DataStreamWriter:
     """A writer that runs ``step`` on each micro-batch and writes it to a folder of the batch's number.
 
