@@ -283,11 +283,18 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.run_metrics(d, *[d.where(f"doc_id % {n} = 0") for n in (2, 4, 8)])
 
 
-@query(rf"""SELECT doc_id, {FP.format("'Market recap ' || CASE doc_id % 4 WHEN 0 THEN 'Friday' WHEN 1 THEN '3 March 2024' WHEN 2 THEN 'May 4th, 2024' ELSE '2024-05-06' END || ' for ' || source").replace("|| CASE doc_id % 4 WHEN 0 THEN 'Friday' WHEN 1 THEN '3 March 2024' WHEN 2 THEN 'May 4th, 2024' ELSE '2024-05-06' END ", "")} AS template FROM documents""")
+DATES = ["Friday", "3 March 2024", "May 4th, 2024", "2024-05-06", "Sept 5", "Sept. 5th, 2024", "5 Sept", "Sep 5", "September 5", "Jan. 1", "1st January 2024", "Dec 31", "today", "2024/1/2", "Tonight", "11 Nov."]
+#: Not dates, as numbers or days are missing.
+UNDATED = ["Septic", "May", "5 Marches", "Mond"]
+
+
+@query(f"""WITH u(k, w) AS (VALUES {', '.join(f"({len(DATES) + i}, '{w.lower()}')" for i, w in enumerate(UNDATED))}),
+  d AS (SELECT doc_id, {FP.format("'Market recap for ' || source")} AS template, doc_id % {len(DATES) + len(UNDATED)} AS k FROM documents)
+  SELECT doc_id, CASE WHEN w IS NULL THEN template ELSE replace(template, 'recap for', 'recap ' || w || ' for') END AS template FROM d LEFT JOIN u USING (k)""")
 def dated_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Editions of a series share a template without its dates."""
-    i = F.col("doc_id")
-    date = F.when(i % 4 == 0, "Friday").when(i % 4 == 1, "3 March 2024").when(i % 4 == 2, "May 4th, 2024").otherwise("2024-05-06")
+    """Editions of a series share a template without its dates, in sixteen forms; words that are like dates stay."""
+    every = F.array(*[F.lit(x) for x in DATES + UNDATED])
+    date = F.get(every, (F.col("doc_id") % len(DATES + UNDATED)).cast("int"))
     title = F.concat(F.lit("Market recap "), date, F.lit(" for "), "source")
     return table(spark, sf_dir, "documents").select("doc_id", text.template_fingerprint(title).alias("template"))
 
@@ -301,10 +308,35 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_text(title).alias("title"))
 
 
-@query()
+_GONE = "regexp_replace({0}, '(?is)<{1}[^>]*>.*?</{1}\\s*>', '', 'g')"
+_BARE = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+for _tag in ("script", "style", "noscript", "template"):
+    _BARE = _GONE.format(_BARE, _tag)
+_BARE = f"regexp_replace(regexp_replace({_BARE}, '(?i)<(br|/p|/div|/li|/h[1-6]|/section|/article|/tr|/title)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')"
+for _name, _mark in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&eacute;", "chr(233)"), ("&#8217;", "chr(8217)"), ("&#x2014;", "chr(8212)"), ("&hellip;", "chr(8230)"), ("&amp;", "'&'")):
+    _BARE = f"replace({_BARE}, '{_name}', {_mark})"
+_CASE = "CASE page_id % 4 WHEN 0 THEN '<p title=\"a\">caf&eacute; &#8217;s &#x2014; it&hellip;</p>' WHEN 1 THEN '<!-- x > y --><b>bold</b>' WHEN 2 THEN '<style>p > a {}</style>&copy; x' ELSE '' END"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_BARE.replace('html', '(' + _CASE + ' || html)')}, '{text.SPACES}+', ' ', 'g')) AS text FROM pages")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole pages as text; scripts are matched by a back-reference, which DuckDB's patterns lack."""
-    return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"), text.page_image(F.col("html")).alias("image"))
+    """Whole pages, with some more marks and character references before them, as text; the SQL takes tags out by patterns instead."""
+    i = F.col("page_id") % 4
+    more = F.when(i == 0, '<p title="a">caf&eacute; &#8217;s &#x2014; it&hellip;</p>').when(i == 1, "<!-- x > y --><b>bold</b>").when(i == 2, "<style>p > a {}</style>&copy; x").otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.concat(more, F.coalesce("html", F.lit("")))).alias("text"))
+
+
+@query("SELECT page_id, 'https://img.example/' || CAST(page_id AS VARCHAR) || CASE page_id % 3 WHEN 0 THEN '?a=1&b=2' ELSE '' END AS image FROM pages WHERE page_id % 5 <> 4 UNION ALL SELECT page_id, NULL FROM pages WHERE page_id % 5 = 4")
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The picture that a page names, attributes in any order and quotes of either kind."""
+    i = F.col("page_id")
+    address = F.concat(F.lit("https://img.example/"), i.cast("string"), F.when(i % 3 == 0, "?a=1&amp;b=2").otherwise(""))
+    forms = {0: '<meta property="og:image" content="%s">', 1: "<META content='%s' name='twitter:image'/>", 2: '<link href="%s" rel="icon image_src">', 3: '<!-- <meta property="og:image" content="no"> --><meta data-x="a > b" property=og:image content="%s">'}
+    tag = F.lit("<script>var a = '<meta property=og:image content=no>'</script>")
+    for k, form in forms.items():
+        tag = F.when(i % 5 == k, F.format_string(form, address)).otherwise(tag)
+    html = F.concat(F.lit("<html><head>"), tag, F.lit("</head>"), F.coalesce("html", F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", text.page_image(html).alias("image"))
 
 
 EXPIRING = f"{TITLE} || CASE WHEN doc_id % 3 = 0 THEN ' analysis' ELSE '' END || CASE WHEN doc_id % 6 = 0 THEN ' of an attack' ELSE '' END || ' ' || text"
