@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text
-from .shared import checkpoint_dir, sized
+from .shared import checkpoint_dir, dealt_join, sized
 
 # Fixed values
 STRICT, NEAR = 0.85, 0.60
@@ -70,7 +70,7 @@ def exact_candidates(incoming: DataFrame, recent: DataFrame, now_ms: int) -> Dat
     """(seq, story) of incoming items and recent stories with equal title fingerprints of 24 or more."""
     marked = lambda df: df.withColumn("fp", text.fingerprint(F.col("title"))).where("length(fp) >= 24")
     stories = marked(recent.where(F.col("published_ms") >= now_ms - HORIZON_MS)).select("fp", F.col("id").alias("story"))
-    return marked(incoming).select("seq", "fp").join(stories, "fp").select("seq", "story")
+    return dealt_join(marked(incoming).select("seq", "fp"), stories, ["fp"]).select("seq", "story")
 
 
 def _pack(frames: Iterator[pa.RecordBatch], block: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def within_km(left: DataFrame, right: DataFrame, km: float, ms: int | None = Non
         keys.append("_t")
         a = a.withColumn("_t", F.explode(F.array(*[F.floor(F.col("a_ms") / ms) + d for d in (-1, 0, 1)])))
         b = b.withColumn("_t", F.floor(F.col("b_ms") / ms))
-    met = a.join(b, keys)
+    met = dealt_join(a, b, keys)
     if ms is not None:
         met = met.where(F.abs(F.col("a_ms") - F.col("b_ms")) <= ms)
     met = met.withColumn("km", geo.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
@@ -189,7 +189,7 @@ def within_time(left: DataFrame, right: DataFrame, keys: list[str], ms: int) ->
     """Pairs (id, at_ms, keys..) with equal keys at most ``ms`` apart, by an equi-join of time buckets."""
     a = left.select(F.col("id").alias("a_id"), F.col("at_ms").alias("a_ms"), *keys).withColumn("_t", F.explode(F.array(*[F.floor(F.col("a_ms") / ms) + d for d in (-1, 0, 1)])))
     b = right.select(F.col("id").alias("b_id"), F.col("at_ms").alias("b_ms"), *keys).withColumn("_t", F.floor(F.col("b_ms") / ms))
-    return a.join(b, ["_t", *keys]).where(F.abs(F.col("a_ms") - F.col("b_ms")) <= ms).drop("_t")
+    return dealt_join(a, b, ["_t", *keys]).where(F.abs(F.col("a_ms") - F.col("b_ms")) <= ms).drop("_t")
 
 
 def _bits(title: Column, patterns: list[str]) -> Column:
@@ -286,7 +286,7 @@ def conflict_candidates(stories: DataFrame) -> DataFrame:
     pairs = [within_km(placed, placed, MERGE_KM, HORIZON_MS).where("a_id < b_id").select("a_id", "b_id")]
     for mark, rows in (("fp", stories.where("fp <> ''")), ("template", stories.where("dated and template <> ''"))):
         a, b = (rows.select(F.col("id").alias(f"{p}_id"), mark) for p in "ab")
-        pairs.append(a.join(b, mark).where("a_id < b_id").select("a_id", "b_id"))
+        pairs.append(dealt_join(a, b, [mark]).where("a_id < b_id").select("a_id", "b_id"))
     return reduce(DataFrame.union, pairs).distinct()
 
 
