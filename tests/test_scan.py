@@ -58,3 +58,18 @@ def test_automaton_and_n_gram_join_agree_on_documents(spark, sf_small, monkeypat
 def test_names_behind_cues(spark, text, wanted):
     row = spark.createDataFrame([(text,)], "t string").select(scan.names_behind(F.col("t"), articles.CUES, articles.NAME).alias("n")).first()
     assert [tuple(x) for x in row["n"]] == wanted
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("Oregon-based firm in L.A. and St. Paul", "Oregon firm in Los Angeles and Saint Paul"),
+        ("Kazakhstan-EU talks, N. Korea's test", "Kazakhstan EU talks, North Korea's test"),
+        ("The Liberal party and #UKRAINE #USNavy", "The party and Navy"),
+        ("El Niño conditions in Peru. Follow us on Telegram", "conditions in Peru."),
+        ("Cold War films; Los Angeles Lakers win", "films; Lakers win"),
+        ("Turkey recipes and U.S.'s plan", "poultry recipes and U.S. plan"),
+    ],
+)
+def test_rewrites(spark, text, wanted):
+    assert spark.createDataFrame([(text,)], "t string").select(articles.cleaned(F.col("t")).alias("c")).first()["c"] == wanted
