@@ -73,3 +73,10 @@ def test_names_behind_cues(spark, text, wanted):
 )
 def test_rewrites(spark, text, wanted):
     assert spark.createDataFrame([(text,)], "t string").select(articles.cleaned(F.col("t")).alias("c")).first()["c"] == wanted
+
+
+def test_nations_by_their_adjectives(spark):
+    said = lambda t: spark.createDataFrame([(t,)], "t string").select(geocode.place_words(F.col("t")).alias("w")).first()["w"]
+    assert said("Ukrainian troops, Germans and the Saudi king's men") == ["ukraine", "troops", "germany", "and", "the", "saudi arabia", "king", "men"]
+    assert said("Mark Cuban met Cuban doctors") == ["mark", "cuban", "met", "cuba", "doctors"] and said("cuban") == ["cuba"]
+    assert said("Congolese") == ["democratic republic of the congo"] and said("") == [] and said(None) == []

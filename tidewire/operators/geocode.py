@@ -7,6 +7,7 @@ of public facts beside it.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,7 +40,24 @@ SEED = [
     ("africa", "Africa", "region", None, None, -8.7832, 34.5085, 0),
 ]
 SEED_SCHEMA = "key string, name string, type string, country string, region string, lat double, lon double, population bigint"
-DEMONYMS = {"french": "france", "german": "germany", "spanish": "spain", "japanese": "japan", "american": "united states", "nigerian": "nigeria"}
+DEMONYMS = {
+    "american": "united states", "chinese": "china", "russian": "russia", "indian": "india", "japanese": "japan", "german": "germany", "deutschland": "germany", "french": "france",
+    "british": "united kingdom", "canadian": "canada", "brazilian": "brazil", "australian": "australia", "tasmanian": "australia", "mexican": "mexico", "italian": "italy", "spanish": "spain",
+    "korean": "south korea", "iranian": "iran", "iraqi": "iraq", "syrian": "syria", "turkish": "turkey", "israeli": "israel", "palestinian": "palestine", "egyptian": "egypt", "saudi": "saudi arabia",
+    "pakistani": "pakistan", "afghan": "afghanistan", "nigerian": "nigeria", "kenyan": "kenya", "ethiopian": "ethiopia", "sudanese": "sudan", "somali": "somalia", "libyan": "libya", "yemeni": "yemen",
+    "lebanese": "lebanon", "jordanian": "jordan", "polish": "poland", "dutch": "netherlands", "belgian": "belgium", "swedish": "sweden", "norwegian": "norway", "danish": "denmark", "finnish": "finland",
+    "greek": "greece", "portuguese": "portugal", "swiss": "switzerland", "austrian": "austria", "romanian": "romania", "hungarian": "hungary", "czech": "czech republic", "indonesian": "indonesia",
+    "filipino": "philippines", "vietnamese": "vietnam", "thai": "thailand", "taiwanese": "taiwan", "malaysian": "malaysia", "singaporean": "singapore", "argentinian": "argentina", "colombian": "colombia",
+    "chilean": "chile", "venezuelan": "venezuela", "peruvian": "peru", "cuban": "cuba", "irish": "ireland", "scottish": "scotland", "welsh": "wales", "moroccan": "morocco", "tunisian": "tunisia",
+    "algerian": "algeria", "ecuadorian": "ecuador", "bolivian": "bolivia", "ukrainian": "ukraine", "georgian": "georgia", "armenian": "armenia", "uruguayan": "uruguay", "paraguayan": "paraguay",
+    "bahraini": "bahrain", "qatari": "qatar", "kuwaiti": "kuwait", "omani": "oman", "congolese": "democratic republic of the congo", "tanzanian": "tanzania", "ugandan": "uganda", "rwandan": "rwanda",
+    "cameroonian": "cameroon", "senegalese": "senegal", "ghanaian": "ghana", "ivorian": "ivory coast", "mozambican": "mozambique", "zimbabwean": "zimbabwe", "zambian": "zambia", "namibian": "namibia",
+    "botswanan": "botswana", "malawian": "malawi", "nepalese": "nepal", "burmese": "myanmar", "cambodian": "cambodia", "laotian": "laos", "siberian": "siberia", "crimean": "crimea", "arctic": "arctic",
+    "antarctic": "antarctica", "caribbean": "caribbean", "balkan": "balkans", "scandinavian": "scandinavia", "bavarian": "germany", "catalan": "spain", "tibetan": "china", "asian": "asia",
+    "european": "europe", "african": "africa",
+}
+#: Persons whose name is a demonym, by the word before it.
+NO_DEMONYM = {"cuban": "mark"}
 PRECEDENCE = {"city": 1, "admin1": 2, "country": 3, "region": 4, "landmark": 5}
 PREPOSITIONS = ["in", "at", "near", "from", "outside", "across"]
 DOMINANT_POPULATION, DOMINANT_RATIO = 100_000, 5
@@ -109,6 +127,21 @@ def key_hits(w: DataFrame, keys: DataFrame, max_words: int = MAX_WORDS) -> DataF
     return hits.select("id", "w", F.explode("_h").alias("_h")).select("id", "_h.*", before.alias("before"))
 
 
+def demonyms() -> dict[str, str]:
+    """Countries by the adjective of their people, and by its plural."""
+    return {f"{k}s": v for k, v in DEMONYMS.items()} | DEMONYMS
+
+
+def place_words(column: Column) -> Column:
+    """The words of a text, a nation's adjective as its country, others without possessives and marks at their ends."""
+    nations = demonyms()
+    country = F.create_map(*[F.lit(x) for p in nations.items() for x in p])
+    w = words(column)
+    # the words before are looked at, and the map is searched, for words in them alone
+    person = lambda x, i: reduce(lambda a, b: a | b, [(x == k) & F.coalesce(F.get(w, i - 1) == before, F.lit(False)) for k, before in NO_DEMONYM.items()])
+    return F.transform(w, lambda x, i: F.when(x.isin(*nations) & ~person(x, i), F.try_element_at(country, x)).otherwise(F.regexp_replace(x, r"(?:'s)?[.'-]*$", "")))
+
+
 def mentions(texts: DataFrame, gazetteer: DataFrame, text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """(id, pos, n, cue, key, name, type, ..): places whose names texts (id, text) hold, of up to six words.
 
@@ -116,8 +149,7 @@ def mentions(texts: DataFrame, gazetteer: DataFrame, text_col: str = "text", max
     keys go to the tasks as one automaton, which finds them in one pass over a text's words; a larger gazetteer is
     joined by its keys with the n-grams of the texts, which gives the same.
     """
-    demonym = F.create_map(*[F.lit(x) for p in DEMONYMS.items() for x in p])
-    w = texts.select("id", F.transform(words(F.col(text_col)), lambda x: F.coalesce(F.try_element_at(demonym, x), F.regexp_replace(x, r"(?:'s)?[.'-]*$", ""))).alias("w"))
+    w = texts.select("id", place_words(F.col(text_col)).alias("w"))
     grams = key_hits(w, gazetteer.select("key"), max_words)
     cue = F.when(F.col("before").isin(PREPOSITIONS), F.col("before"))
     met = grams.join(gazetteer, "key").withColumn("cue", cue).drop("before")

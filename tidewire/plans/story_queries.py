@@ -214,7 +214,7 @@ def geocode_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEYS = ", ".join(f"('{k}', '{n}')" for k, n in sorted({(r[0], r[1].replace("'", "''")) for r in geocode.SEED}))
-_DEMONYM = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in geocode.DEMONYMS.items()) + r" ELSE regexp_replace(x, '(?:''s)?[.''-]*$', '') END"
+_DEMONYM = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in geocode.demonyms().items()) + r" ELSE regexp_replace(x, '(?:''s)?[.''-]*$', '') END"
 PLACED = rf"""places(key, name) AS (VALUES {_KEYS}),
   t AS (SELECT doc_id, text || ' near ' || CASE doc_id % 4 WHEN 0 THEN 'Tokyo' WHEN 1 THEN 'New York' WHEN 2 THEN 'French soil' ELSE 'nowhere' END AS t FROM documents),
   docs AS (SELECT doc_id, ' ' || array_to_string(list_transform(list_filter(regexp_split_to_array(strip_accents(lower(t)), '[^\p{{L}}\p{{N}}''.-]+'), lambda x: x <> ''), lambda x: {_DEMONYM}), ' ') || ' ' AS t FROM t)"""
