@@ -11,7 +11,9 @@ other blocks, so the last sequence of the whole table is the only one that need
 from __future__ import annotations
 
 import os
+import re
 import sys
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -27,11 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, column
-from .pieces import Known, runs
+from .pieces import Known, byte_alphabet, runs
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: One in so many sequences of a block, the least filled ones, is packed again with those of other blocks.
 LOOSE = 8
+#: The tokenizer's own parts of texts in small letters, for characters below U+0180.
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
+#: Characters beyond, those that count as white space here alone, and special tokens, which the tokenizer takes out first.
+_ODD = re.compile("[^\\x00-\\x1b\\x20-\\x7e\xa0-\u017f]|<\\|")
+#: Characters that byte-level vocabularies do not spell by themselves.
+_UNLIKE = re.compile(r"[^!-~\n]")
+#: The characters that byte-level vocabularies spell bytes with.
+_SPELLING = str.maketrans({b: c for c, b in byte_alphabet().items()})
 #: Ends each document.
 END_ID = 1
 
@@ -53,35 +64,59 @@ def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def spelled(words: list[str]) -> list[str]:
+    """Words as byte-level vocabularies spell them: UTF-8 bytes by one character each; words hold no line breaks."""
+    text = "\n".join(words)
+    return words if not _UNLIKE.search(text) else text.encode().decode("latin-1").translate(_SPELLING).split(_SPELLING[10])
+
+
+@dataclass
+class Encoder:
+    """The ids of texts, as the tokenizer gives them.
+
+    The tokenizer's own rules part texts in small letters into runs of letters, single digits, and runs of other marks,
+    and each part is encoded by itself.  Texts of characters below U+0180 are parted here and the parts remembered;
+    others go to the tokenizer word by word.
+    """
+
+    parts: Known
+    words: Known
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        end = END_ID.to_bytes(4, sys.byteorder)
+        for run in runs(texts):
+            split: list[tuple[Known, list[str]]] = []
+            for t in run:
+                if _ODD.search(t) or not unicodedata.is_normalized("NFC", t):
+                    # cut at white space alone, which no word of the tokenizer holds
+                    split.append((self.words, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+                else:
+                    split.append((self.parts, _PARTS.findall(t.lower())))
+            for known in (self.parts, self.words):
+                known.learn(chain.from_iterable(own for k, own in split if k is known))
+            for known, own in split:
+                yield b"".join(map(known.__getitem__, own)) + end
+
+
 @lru_cache(maxsize=2)
-def word_codes(path: str) -> Known:
-    """The ids of words without white space as little-endian 32-bit numbers."""
+def encoder(path: str) -> Encoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    return Known(lambda words: [array("I", e.ids).tobytes() for e in own.encode_batch_fast(words, add_special_tokens=False)])
-
-
-def encode(texts: list[str], codes: Known) -> Iterator[bytes]:
-    """The ids of each whole text, as the tokenizer gives them, and the end's."""
-    end = END_ID.to_bytes(4, sys.byteorder)
-    for run in runs(texts):
-        # texts are cut at white space alone, which no word of the tokenizer holds
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in run]
-        codes.learn(chain.from_iterable(split))
-        for words in split:
-            yield b"".join(map(codes.__getitem__, words)) + end
+    whole = Tokenizer.from_file(path)
+    bare = Tokenizer(whole.model)  # the same merges, for what the rules before them leave as it is
+    ids = lambda own, words: [array("I", e.ids).tobytes() for e in own.encode_batch_fast(words, add_special_tokens=False)]
+    return Encoder(Known(lambda words: ids(bare, spelled(words)), 1_000_000), Known(lambda words: ids(whole, words), 100_000))
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's tokens, cut only where they are more than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = word_codes(path)
+        encode = encoder(path)
         for batch in batches:
             at, found = [], []
-            for i, ids in enumerate(encode(batch.column(1).fill_null("").to_pylist(), codes)):
+            for i, ids in enumerate(encode(batch.column(1).fill_null("").to_pylist())):
                 for k, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     at.append(i)
@@ -201,7 +236,7 @@ def _evolved(state: DataFrame, capacity: int, effort: Effort, level: int, epoch:
     return done.select("block", "island", "sizes", "least", F.col("_e.population").alias("population"), F.col("_e.bins").alias("bins"))
 
 
-def _solved(blocks: DataFrame, capacity: int, effort: Effort, level: int, scratch: Scratch) -> DataFrame:
+def _solved(blocks: DataFrame, number: int, capacity: int, effort: Effort, level: int, scratch: Scratch) -> DataFrame:
     """(block, best): the bin of each item of each block, by islands that evolve apart and pass on elites in a ring."""
 
     @F.pandas_udf("int")
@@ -210,9 +245,9 @@ def _solved(blocks: DataFrame, capacity: int, effort: Effort, level: int, scratc
 
     start = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(effort.islands - 1))).alias("island"), "sizes", bound("sizes").alias("least"))
     state = start.withColumn("population", F.lit(None).cast("array<array<int>>")).withColumn("population", F.coalesce("population", F.array().cast("array<array<int>>")))
-    solved = None
+    solved, tasks = None, -(-number * effort.islands // 8)  # said here, as few bytes may be much work
     for epoch in range(effort.epochs):
-        state = scratch.save(_evolved(state.repartition("block", "island"), capacity, effort, level, epoch), f"islands-{level}-{epoch}")
+        state = scratch.save(_evolved(state.repartition(tasks, "block", "island"), capacity, effort, level, epoch), f"islands-{level}-{epoch}")
         ranked = state.groupBy("block").agg(F.min_by(F.col("population")[0], F.struct("bins", "island")).alias("best"), (F.min("bins") <= F.first("least")).alias("settled"))
         last = epoch == effort.epochs - 1
         own = ranked if last else ranked.where("settled")
@@ -268,7 +303,7 @@ def pack(rows: DataFrame, capacity: int, effort: Effort, scratch: Scratch) -> Da
         item = F.struct("length", "row", *[c for c in rows.columns if c not in ("length", "row")])
         dealt = left.withColumn("block", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(blocks))).groupBy("block").agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
         dealt = scratch.save(dealt.withColumn("sizes", F.transform("items.length", lambda x: x.cast("int"))), f"blocks-{level}")
-        solved = _solved(dealt.select("block", "sizes"), capacity, effort, level, scratch)
+        solved = _solved(dealt.select("block", "sizes"), blocks, capacity, effort, level, scratch)
         placed = _laid_out(dealt.join(solved, "block"), capacity, alone)
         zipped = F.arrays_zip("items", F.col("_p.bin").alias("bin"), F.col("_p.offset").alias("offset"), F.col("_p.again").alias("again"))
         placed = placed.select("block", F.explode(zipped).alias("z")).select("block", "z.items.*", "z.bin", F.col("z.offset").alias("offset"), "z.again")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -50,6 +51,13 @@ def load(path: str = PIECE_MODEL) -> Vocabulary:
     )
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 ones themselves, the others from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Memo(dict):
     """A memory of results by word, of bounded size: emptied when full."""
 
@@ -83,7 +91,13 @@ class Known(dict):
                 self.pop(w, None)
         new = [w for w in words if w not in self]
         self.long = [w for w in new if len(w) > 64]
-        self.update(zip(new, self.make(new), strict=True))
+        collects = gc.isenabled()
+        gc.disable()  # many small objects come and go, none of them in a cycle
+        try:
+            self.update(zip(new, self.make(new), strict=True))
+        finally:
+            if collects:
+                gc.enable()
 
     long: list[str] = []
 
