@@ -93,13 +93,19 @@ def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.newest(rows, "feed", NOW_MS, 72 * HOUR_MS, 5).select("feed", "url")
 
 
-@query(f"SELECT event_id, user_id AS channel, event_type || ' number ' || CAST(event_id AS VARCHAR) AS text, 'https://t.example/' || CAST(event_id AS VARCHAR) AS url, {ISO} AS posted FROM events")
+@query(f"""SELECT event_id, user_id AS channel, event_type || ' number ' || CAST(event_id AS VARCHAR) AS text, 'https://t.example/' || CAST(event_id AS VARCHAR) AS url, {ISO} AS posted,
+  CASE event_id % 3 WHEN 0 THEN 'https://t.example/' || CAST(event_id AS VARCHAR) ELSE 'https://t.example/' || CAST(event_id AS VARCHAR) || ' https://other.example/' END AS links,
+  CASE WHEN event_id % 4 < 3 THEN 'https://img.example/' || CAST(event_id AS VARCHAR) || '.jpg' END AS image FROM events""")
 def channel_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of channel pages, one page for each channel."""
-    block = F.format_string('<div class="tg message js"><p>%s number %d</p><a href="https://t.example/%d"></a><time datetime="%s"></time></div><div class="message">no</div>', "event_type", "event_id", "event_id", iso())
+    """Messages of channel pages, one page for each channel, with their links and pictures."""
+    i = F.col("event_id")
+    more = F.when(i % 3 == 1, '<a href="tg://resolve?domain=x">open</a><a href="https://other.example/">').when(i % 3 == 2, '<a href="https://other.example/">').otherwise('<a href="TG:join">')
+    address = F.concat(F.lit("https://img.example/"), i.cast("string"), F.lit(".jpg"))
+    style = F.when(i % 4 == 0, F.concat(F.lit("width:1px;background-image:url('"), address, F.lit("')"))).when(i % 4 == 1, F.concat(F.lit("background-image: url("), address, F.lit(")"))).when(i % 4 == 2, F.concat(F.lit("background-image:url(&quot;"), address, F.lit("&quot;)"))).otherwise("background-image:url('data:image/png;base64,xx')")
+    block = F.format_string('<div class="tg message js"><i style="%s"></i><p>%s number %d</p><a href="https://t.example/%d"></a><span>%s</a></span><time datetime="%s"></time></div><div class="message">no</div>', style, "event_type", "event_id", "event_id", F.regexp_replace(more, "open", ""), iso())
     pages = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("channel")).agg(F.array_join(F.collect_list(block), "").alias("html"))
     m = feeds.messages(pages)
-    return m.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("bigint").alias("event_id"), "channel", "text", "url", "posted")
+    return m.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("bigint").alias("event_id"), "channel", "text", "url", "posted", F.array_join("links", " ").alias("links"), "image")
 
 
 @query("""WITH f AS (SELECT user_id % 11 AS source, event_id % 3 AS strategy, event_id FROM events WHERE NOT (event_id % 3 = 0 AND user_id % 2 = 0)), b AS (SELECT source, min(strategy) AS strategy FROM f GROUP BY source)

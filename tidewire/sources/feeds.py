@@ -35,13 +35,19 @@ def news_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def messages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(page columns.., seq, text, url, posted): the messages of channel pages, ten characters at least and 500 at most."""
+    """(page columns.., seq, text, url, posted, links, image): the messages of channel pages, ten characters at least and 500 at most.
+
+    ``links`` are all addresses in a message but those that only open the messenger (tg:), ``url`` the first on the web,
+    and ``image`` is the picture or preview that stands behind it, if that is on the web.
+    """
     every = F.split(F.col(html), r"(?i)<div[^>]+class=\"[^\"]*\bmessage\b[^\"]*\"[^>]*>")
     blocks = F.slice(every, F.lit(2), F.size(every))
     rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(blocks).alias("seq", "_m"))
     body = F.substring(text.html_text(F.col("_m")), 1, MESSAGE_MOST)
     link = F.regexp_extract("_m", r"(?i)href=\"(https?://[^\"]+)\"", 1)
-    return rows.withColumns({"text": body, "url": F.nullif(link, F.lit("")), "posted": F.nullif(F.regexp_extract("_m", r"datetime=\"([^\"]+)\"", 1), F.lit(""))}).where(F.length("text") >= MESSAGE_LEAST).drop("_m")
+    links = F.filter(F.regexp_extract_all("_m", F.lit(r"(?i)href=\"([^\"]+)\""), F.lit(1)), lambda x: ~F.lower(x).startswith("tg:"))
+    image = F.regexp_extract("_m", r"(?i)background-image:\s*url\(\s*(?:&quot;|['\"])?(https?://[^'\")&\s]+)", 1)
+    return rows.withColumns({"links": links, "image": F.nullif(image, F.lit("")), "text": body, "url": F.nullif(link, F.lit("")), "posted": F.nullif(F.regexp_extract("_m", r"datetime=\"([^\"]+)\"", 1), F.lit(""))}).where(F.length("text") >= MESSAGE_LEAST).drop("_m")
 
 
 def timeline_posts(pages: DataFrame, html: str = "html") -> DataFrame:
