@@ -6,7 +6,7 @@ import pytest
 from brute import bench_words, best_pieces, contamination, greedy_count, near_duplicates
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, licenses, neardup, sentencepieces, wordpieces
+from tidewire.llm import common, components, decontaminate, licenses, neardup, sentencepieces, wordpieces
 from tidewire.llm.bytes_np import shingle_sets
 from tidewire.llm.common import Scratch, lookup_join, salted_join
 from tidewire.llm.components import connected_components
@@ -331,7 +331,10 @@ def test_large_buckets_are_compared_group_by_group(spark, monkeypatch, block):
     assert got == near_duplicates(rows, 2)
 
 
-def test_hubs_are_dealt_out(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_hubs_are_dealt_out(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "SALTED_ROWS", few)
+    monkeypatch.setattr(components, "HUB_EDGES", few)
     pairs = spark.createDataFrame([(7, i) for i in range(3000)] + [(i, i + 1) for i in range(50)] + [(None, 1), (99_999, 2)], "a bigint, b bigint").repartition(3)
     found = spark.createDataFrame([(i, "x" * 10) for i in range(60)], "a bigint, items string")
     rows = Scratch(spark, "test").save(pairs, "pairs")

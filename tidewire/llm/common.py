@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 #: Rows of a table that ``lookup_join`` broadcasts whole (about 15 MB).
 LOOKUP_ROWS = 100_000
+#: Rows that a join deals out by their keys alone, since one task may take them all.
+SALTED_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,9 +82,12 @@ def salted_join(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """``rows``, a written table, joined with ``found``, in which each ``key`` stands once and whose rows may be long.
 
     A key that a thousandth of the rows or more have is dealt out to several tasks, and its row of ``found`` copied to
-    each of them: about two thousand copies at most, whatever the sizes.
+    each of them: about two thousand copies at most, whatever the sizes.  Up to ``SALTED_ROWS`` rows are joined as they are.
     """
-    many = max(1000, rows.count() // 1000)
+    n = rows.count()
+    if n <= SALTED_ROWS:
+        return rows.join(found, key)
+    many = max(1000, n // 1000)
     heavy = Scratch(rows.sparkSession, "salted").save(rows.groupBy(key).count().where(F.col("count") > many).select(key, F.ceil(F.col("count") / many).cast("int").alias("_salts")), "heavy")
     if not heavy.limit(1).count():
         return rows.join(found, key)
