@@ -286,7 +286,7 @@ def test_stages_return_the_columns_of_documents(spark, sf_small):
 
 
 def test_registered_names():
-    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 14)] == [1] * 13
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
