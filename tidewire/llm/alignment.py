@@ -6,8 +6,8 @@ key, and runs of equal keys summed, which gives globally sorted shards of (key,
 shared folder as plain arrays, and the tasks that describe documents map them into memory and look keys up by
 ``searchsorted``; nothing of them passes through the driver but one row for each shard.
 
-Texts are cut where both tokenizers always end a token, before a space between two other characters, and the groups and
-links of each such part are found once for many texts.
+Texts are cut where both tokenizers always end a token, before a space between two other characters, and the tokens of
+each such part are found once for many texts.  Groups and links come from the tokens' ends, in numpy, for many texts at a time.
 """
 
 from __future__ import annotations
@@ -27,55 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytes_np import pieces
 from .common import Scratch, column, shared_dir
-from .pieces import SPACE, Known, runs
+from .pieces import SPACE, Known, byte_alphabet, runs
 
 BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Distinct keys that a task holds before it hands on its partial counts.
-KEYS = 1 << 22
+KEYS = 1 << 20
 #: Parts of a text, each with the space before it.  White space here is more than either tokenizer takes for it.
 _PARTS = re.compile(r"(?<=\S)(?= \S)")
-_SHIFT, _LOW = 32, (1 << 32) - 1
-
-
-class Part(NamedTuple):
-    """What a part of a text adds: tokens of both kinds, groups, the groups in writing, and the links' keys as bytes."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: bytes
-
-
-def byte_alphabet() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 ones themselves, the others from U+0100 on."""
-    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def align(text: bytes, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> Part | None:
-    """The groups and links of a part; none if either tokens' bytes are not the text."""
-    if b"".join([a_bytes[i] for i in a]) != text or b"".join([b_bytes[i] for i in b]) != text:
-        return None
-    groups, links = [], array("q")
-    i = j = first_i = first_j = 0
-    end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-    while True:
-        links.append(a[i] << _SHIFT | b[j])
-        on_a, on_b = end_a <= end_b, end_b <= end_a
-        i, j = i + on_a, j + on_b
-        if on_a and on_b:
-            groups.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
-            first_i, first_j = i, j
-            if i == len(a):
-                break
-        if on_a:
-            end_a += len(a_bytes[a[i]])
-        if on_b:
-            end_b += len(b_bytes[b[j]])
-    return Part(len(a), len(b), len(groups), ";".join(groups), links.tobytes())
+_SHIFT = 32
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -84,9 +45,18 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)
 
 
+class Tokens(NamedTuple):
+    """What both tokenizers say: ids by parts of texts, bytes by id, and ids in writing with what may stand behind them."""
+
+    codes: Known
+    a_sizes: np.ndarray
+    b_sizes: np.ndarray
+    written: list[str]
+
+
 @lru_cache(maxsize=2)
-def part_codes(byte_path: str, piece_path: str) -> Known:
-    """The alignment of parts of texts, each of which begins with a space."""
+def tokens(byte_path: str, piece_path: str) -> Tokens:
+    """The tokens of parts of texts, each of which begins with a space, as 32-bit ids; none for a part that they don't spell."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
     import sentencepiece
     from tokenizers import Tokenizer
@@ -95,59 +65,128 @@ def part_codes(byte_path: str, piece_path: str) -> Known:
     one.encode_special_tokens = True
     two = sentencepiece.SentencePieceProcessor(model_file=piece_path)
     alphabet = byte_alphabet()
+    names = [two.id_to_piece(i) for i in range(two.get_piece_size())]
     a_bytes = [bytes(alphabet.get(c, 63) for c in one.id_to_token(i) or "") for i in range(one.get_vocab_size())]
-    b_bytes = [bytes([int(p[3:5], 16)]) if two.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(two.id_to_piece(i) for i in range(two.get_piece_size()))]
-    if any(re.search(f"[^{SPACE}]{SPACE}", two.id_to_piece(i)) for i in range(two.get_piece_size())):
+    b_bytes = [bytes([int(p[3:5], 16)]) if two.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
+    if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in names):
         raise ValueError("pieces that go on behind a space: texts can't be cut before spaces")
 
-    def make(parts: list[str]) -> list[Part | None]:
-        a = one.encode_batch_fast(parts, add_special_tokens=False)
-        b = two.encode([p[1:] for p in parts], num_threads=1)  # which puts the space before them
-        return [align(p.encode(), x.ids, y, a_bytes, b_bytes) for p, x, y in zip(parts, a, b, strict=True)]
+    a_sizes, b_sizes = (np.array([len(x) for x in own]) for own in (a_bytes, b_bytes))
+
+    def packed(ids: list[list[int]], own: list[bytes], sizes: np.ndarray, raw: list[bytes]) -> list[bytes | None]:
+        """The ids of each part as bytes; none where they don't spell it."""
+        counts = np.array([len(x) for x in ids], np.int64)
+        ends = np.cumsum(counts)
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) if len(ends) else 0)
+        data, cuts = flat.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
+        out: list[bytes | None] = [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        spans = np.diff(np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], ends])])
+        if (spans != [len(x) for x in raw]).any() or b"".join(map(own.__getitem__, flat.tolist())) != b"".join(raw):
+            out = [x if b"".join([own[i] for i in y]) == r else None for x, y, r in zip(out, ids, raw, strict=True)]
+        return out
 
-    return Known(make, 300_000)
+    def make(parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        raw = [p.encode() for p in parts]
+        a = packed([e.ids for e in one.encode_batch_fast(parts, add_special_tokens=False)], a_bytes, a_sizes, raw)
+        b = packed(two.encode([p[1:] for p in parts], num_threads=1), b_bytes, b_sizes, raw)  # it puts the space before them
+        return [None if x is None or y is None else (x, y) for x, y in zip(a, b, strict=True)]
+
+    written = [f"{i}{end}" for size, ends in ((len(a_bytes), ",|"), (len(b_bytes), ",;")) for end in ends for i in range(size)]
+    return Tokens(Known(make, 120_000), a_sizes, b_sizes, written)
+
+
+class Aligned(NamedTuple):
+    """Of texts: the numbers of tokens and groups, the groups in writing, the numbers of links, and all their keys."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    groups: list[str]
+    n_links: np.ndarray
+    keys: np.ndarray
+
+
+def align(texts: list[str], own: Tokens) -> Aligned:
+    """Groups and links of ``texts``, all at once: their bytes are laid end to end, and so are both tokenizers' tokens."""
+    split = [_PARTS.split(" " + t) if t else [] for t in texts]
+    own.codes.learn(chain.from_iterable(split))
+    ids: tuple[list[bytes], list[bytes]] = [], []
+    for parts in split:
+        found = [own.codes[p] for p in parts]
+        if None in found:
+            found = []
+        for k in (0, 1):
+            ids[k].append(b"".join([x[k] for x in found]))
+    n_a, n_b = (np.array([len(x) // 4 for x in k], np.int64) for k in ids)
+    a, b = (np.frombuffer(b"".join(k), np.uint32).astype(np.int64) for k in ids)
+    end_a, end_b = np.cumsum(own.a_sizes[a]), np.cumsum(own.b_sizes[b])
+    # between two neighbouring ends, of whichever tokens, lies one overlap of one pair
+    ends = np.concatenate([end_a, end_b])
+    ends.sort(kind="stable")
+    ends = ends[np.concatenate([ends[1:] != ends[:-1], [True]])] if len(ends) else ends
+    at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    keys = a[at_a] << _SHIFT | b[at_b]
+    shared = ends[(end_a[at_a] == ends) & (end_b[at_b] == ends)]
+    text_end = np.concatenate([[0], end_a])[np.cumsum(n_a)]
+    count = lambda of: np.diff(np.concatenate([[0], np.searchsorted(of, text_end, "right")]))
+    # in writing: A's ids of a group, then B's
+    group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+    last_a, last_b = (np.concatenate([g[1:] != g[:-1], np.ones(min(1, len(g)), bool)]) for g in (group_a, group_b))
+    order = np.empty(len(a) + len(b), np.int64)
+    order[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + np.where(last_a, len(own.a_sizes), 0)
+    order[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b + 2 * len(own.a_sizes) + np.where(last_b, len(own.b_sizes), 0)
+    listed, cuts = [own.written[i] for i in order.tolist()], np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+    groups = ["".join(listed[i:j])[:-1] for i, j in zip(cuts, cuts[1:], strict=False)]
+    return Aligned(n_a, n_b, count(shared), groups, count(ends), keys)
+
+
+def links(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """(id, n_a, n_b, n_groups, n_links, groups, keys) of ``docs`` (id, text): the keys of all links of a text in order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokens(*paths)
+        for batch in batches:
+            at = 0
+            slices = (batch.column(1).slice(i, 200).fill_null("").to_pylist() for i in range(0, batch.num_rows, 200))
+            for texts in chain.from_iterable(runs(x, 1 << 18) for x in slices):
+                x = align(texts, own)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(x.n_links)]).astype(np.int32))
+                columns = [batch.column(0).slice(at, len(texts)), *[pa.array(n) for n in (x.n_a, x.n_b, x.n_groups, x.n_links)], pa.array(x.groups, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(x.keys))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "keys"])
+                at += len(texts)
 
-def aligned(texts: list[str | None], codes: Known) -> Iterator[list[Part] | None]:
-    """The parts of each text with a space before it; none for a text without tokens."""
-    for run in runs([t or "" for t in texts]):
-        split = [_PARTS.split(" " + t) if t else [] for t in run]
-        codes.learn(chain.from_iterable(split))
-        for parts in split:
-            own = [codes[p] for p in parts]
-            yield own if own and None not in own else None
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, keys array<bigint>")
 
 
-def _keys(parts: list[Part]) -> np.ndarray:
-    return np.frombuffer(b"".join([p.links for p in parts]), np.int64)
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of an array of lists, and where each list ends."""
+    return lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
 
 
-def partial_counts(texts: DataFrame, paths: tuple[str, str], most: int = KEYS) -> DataFrame:
-    """(key, n): of each partition of the text column, in how many of its texts each key is a link."""
+def partial_counts(keys: DataFrame, most: int = KEYS) -> DataFrame:
+    """(key, n): of each partition of the column of lists, in how many of them each key is."""
 
-    def batch(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["key", "n"])
+    def batch(found: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(found), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = part_codes(*paths)
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         new: list[np.ndarray] = []
-        held = 0
         for b in batches:
-            for parts in aligned(b.column(0).to_pylist(), codes):
-                if parts:
-                    new.append(np.unique(_keys(parts)))
-                    held += len(new[-1])
-                if held > most // 4:
-                    keys, n = _summed(keys, n, new)
-                    new, held = [], 0
-                    if len(keys) > most:
-                        yield from batch(keys, n)
-                        keys, n = keys[:0], n[:0]
-        yield from batch(*_summed(keys, n, new))
+            flat, ends = _flat(b.column(0))
+            for own in np.split(flat, ends[:-1]):
+                new.append(np.unique(own))
+                if len(new) >= 500:
+                    found, n = _summed(found, n, new)
+                    new = []
+                    if len(found) > most:
+                        yield from batch(found, n)
+                        found, n = found[:0], n[:0]
+        yield from batch(*_summed(found, n, new))
 
-    return texts.mapInArrow(run, "key bigint, n bigint")
+    return keys.mapInArrow(run, "key bigint, n bigint")
 
 
 def _summed(keys: np.ndarray, n: np.ndarray, new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,45 +309,27 @@ def align_documents(
     be one that executors can open; they hold 16 bytes for each pair of ids that occurs, whatever the corpus holds.
     """
     spark = docs.sparkSession
-    paths = paths or tokenizer_paths()
     scratch = Scratch(spark, "alignment")
     folder = f"{shards_dir or local_folder(spark)}/{os.path.basename(scratch.root)}-shards"
     os.makedirs(folder)
     own = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
-    shards, best = write_shards(scratch.save(partial_counts(own.select("text"), paths), "partial"), folder)
+    found = scratch.save(links(own, paths or tokenizer_paths()), "links")
+    shards, best = write_shards(scratch.save(partial_counts(found.select("keys")), "partial"), folder)
     scratch.drop("partial")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = part_codes(*paths), Counts(shards)
-        for b in batches:
-            at = 0
-            for block in _chunks(aligned(b.column(1).to_pylist(), codes)):
-                links = [_keys(parts or []) for parts in block]
-                keys, back = np.unique(np.concatenate(links), return_inverse=True)
-                count = counts(keys)
-                is_best = count == best[keys >> _SHIFT] if len(keys) else np.zeros(0, bool)
-                each, most = count[back], is_best[back].astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in links])])
-                sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[ends]) for x in (most, each)]
-                numbers = [[sum(p[i] for p in parts or []) for parts in block] for i in range(3)]
-                groups = [";".join([p.groups for p in parts or []]) for parts in block]
-                columns = [b.column(0).slice(at, len(block)), *[pa.array(x, pa.int64()) for x in numbers], pa.array(np.diff(ends)), *[pa.array(x) for x in sums], pa.array(groups, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
-                at += len(block)
-
-    kind = own.schema["id"].dataType.simpleString()
-    out = own.mapInArrow(run, f"id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string")
-    return out.withColumnRenamed("id", id_col)
-
-
-def _chunks(texts: Iterator[list[Part] | None], most: int = 20_000) -> Iterator[list[list[Part] | None]]:
-    """Texts in runs of about ``most`` parts."""
-    run, size = [], 0
-    for parts in texts:
-        run.append(parts)
-        size += len(parts or [])
-        if size >= most or len(run) >= 1000:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+    counts = Counts(shards)
+
+    @F.arrow_udf("n_best bigint, count_sum bigint")
+    def judged(lists: pa.Array) -> pa.Array:
+        most, total = (np.zeros(len(lists), np.int64) for _ in range(2))
+        offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+        for i, j in pieces(offsets, 1 << 18):  # a batch may hold millions of links
+            flat, ends = _flat(lists.slice(i, j - i))
+            keys, back = np.unique(flat, return_inverse=True)
+            count = counts(keys)
+            best_of = (count == best[keys >> _SHIFT]).astype(np.int64) if len(keys) else keys
+            for out, x in ((most, best_of), (total, count)):
+                out[i:j] = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(x[back])])[ends]]))
+        return pa.StructArray.from_arrays([pa.array(most), pa.array(total)], ["n_best", "count_sum"])
+
+    out = found.withColumn("_j", judged("keys"))
+    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "_j.n_best", "_j.count_sum", "groups")
