@@ -240,7 +240,9 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     # last round: what is not connected by then
     labelled = _labelled(members, labels, scratch, "labelled-2")
-    torn = scratch.save(labelled.groupBy("bucket").agg(*ends, F.count("*").alias("held")).where("low < high").select("bucket", "held"), "torn")
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    torn = sizes.groupBy("bucket").agg(F.sum("size").alias("held"), F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    torn = scratch.save(torn.select("bucket", "held", F.col("most.label").alias("major"), (F.col("held") - F.col("most.size")).alias("others")), "torn")
     open_ = scratch.save(lookup_join(labelled, torn, "bucket"), "open")
     last = scratch.save(_in_small_buckets(open_, nodes, sets, percent, scratch).unionByName(_in_large_buckets(open_, sets, percent)), "links-3")
     final = scratch.save(_lifted(labels, last, links.union(more), scratch, "last"), "labels")
@@ -283,22 +285,19 @@ def _in_small_buckets(open_: DataFrame, nodes: DataFrame, sets: DataFrame, perce
 def _in_large_buckets(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect nodes of buckets of more than ``BLOCK`` nodes.
 
-    A bucket is split into groups of about ``BLOCK`` nodes, and each two groups, with their sets, are the work of one
-    task, which compares them in place: only links that connect something new in it become rows.
+    Of a bucket, only nodes outside its largest component have to meet all nodes.  Both are split into groups of
+    about ``BLOCK``, and two groups, with their sets, are the work of one task, which compares them in place: only links that
+    connect something new in it become rows.
     """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
+        node, label, asks = rows["node"].to_numpy(), rows["label"].to_numpy(), rows["asks"].to_numpy(zero_copy_only=False)
         own = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"].combine_chunks()]
-        low, one = key[1].as_py() != key[2].as_py(), rows["part"].to_numpy()
         n = np.array([len(x) for x in own])
         bits = np.array([parity_sketch(x) for x in own]).view(np.uint64)
         a_, b_ = [], []
-        for i in range(len(own)):
-            # the other group's nodes, or the later ones of the same group
-            fit = (one > one[i]) if low else np.arange(len(own)) > i
-            fit &= (label != label[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
-            at = np.flatnonzero(fit)
+        for i in np.flatnonzero(asks).tolist():
+            at = np.flatnonzero(~asks & (label != label[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent))
             at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64) * (100 + percent) <= (n[at] + n[i]) * (100 - percent)]
             for j in at.tolist():
                 if label[i] == label[j]:
@@ -310,9 +309,10 @@ def _in_large_buckets(open_: DataFrame, sets: DataFrame, percent: int) -> DataFr
                     label = np.where(label == label[j], label[i], label)
         return pa.table({"a": pa.array(a_, pa.int64()), "b": pa.array(b_, pa.int64())})
 
-    parts = F.ceil(F.col("held") / BLOCK).cast("int")
-    large = open_.where(F.col("held") > BLOCK).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    dealt = large.select("bucket", "node", "label", "part", F.explode(others).alias("other"))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "label", "part")
-    return dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    groups = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    large = open_.where(F.col("held") > BLOCK).withColumns({"few": groups("others"), "all": groups("held")})
+    group = lambda of: F.pmod(F.xxhash64("node", F.lit(of)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asking = large.where("label <> major").select("bucket", "node", "label", group("few").alias("i"), every("all").alias("j"), F.lit(True).alias("asks"))
+    asked = large.select("bucket", "node", "label", every("few").alias("i"), group("all").alias("j"), F.lit(False).alias("asks"))
+    return asking.union(asked).join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
