@@ -44,3 +44,10 @@ def test_a_dense_city_and_a_frequent_title(spark, monkeypatch):
     assert sorted(map(tuple, st.within_km(frame, frame, 50.0, 48 * 3_600_000).select("a_id", "b_id").collect())) == sorted(map(tuple, soon.collect()))
     titled = frame.select(F.col("id").alias("seq"), "id", F.lit("A title that is long enough to be told").alias("title"), F.lit(10).alias("published_ms"))
     assert st.exact_candidates(titled, titled, 10).count() == 250_000
+
+
+def test_conflicting_pairs_find_evidence_once(spark, sf_small):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["conflicting_pairs"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper() and "parquet" not in plan.lower()

@@ -123,7 +123,8 @@ def conflicting_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("id").cast("int")
     lead = F.when(n % 5 == 0, "Quiz: name the city").when(n % 5 == 1, "Men's football final won by hosts").when(n % 5 == 2, "Women's tennis final won by hosts").when(n % 5 == 3, "Fire at the hospital").otherwise("Explosion at the warehouse on Monday")
     s = s.withColumns({"title": F.concat(lead, F.lit(" - "), "title"), "url": F.concat(F.lit("https://a.example/"), "id"), "at_ms": F.col("latest_ms"), "precise": F.col("lat").isNotNull()})
-    e = st.evidence(s)
+    st.checkpoint_dir(spark)
+    e = st.evidence(s).checkpoint()  # found once; the joins below read it seven times
     met = st.conflict_candidates(e).join(e.alias("a"), F.col("a_id") == F.col("a.id")).join(e.alias("b"), F.col("b_id") == F.col("b.id"))
     return met.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), st.conflicts("a", "b").alias("conflict"))
 
