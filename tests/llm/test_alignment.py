@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -95,3 +96,16 @@ def test_query_hides_no_groups(spark, tmp_path):
     spark.createDataFrame([(1, "one two", "x", 0.0, 1), (2, None, "x", 0.0, 1)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in QUERIES["op13_cross_tokenizer_alignment"](spark, str(tmp_path)).collect()}
     assert got[1]["groups_sha256"] == hashlib.sha256(brute(["one two"])[0][-1].encode()).hexdigest() and got[2]["groups_sha256"] == ""
+
+
+def test_links_are_kept_in_half_the_bytes_and_come_back(spark):
+    keys = np.array([0, 1 << 32 | 65535, 65535 << 32 | 7, 65535 << 32 | 65535], np.int64)
+    for narrow, width in ((True, 4), (False, 8)):
+        codes = alignment.codes_of(keys, narrow)
+        assert codes.itemsize == width and alignment.keys_of(codes).tolist() == keys.tolist() and (np.diff(codes.astype(np.int64)) > 0).all()
+        packed, counts = pa.array([b"", codes[:3].tobytes(), b"", codes[3:].tobytes()]), pa.array([0, 3, 0, 1])
+        for i in range(4):
+            flat, ends = alignment._flat(counts.slice(i), packed.slice(i))
+            assert alignment.keys_of(flat).tolist() == keys[0 if i < 2 else 3 :].tolist() and ends.tolist() == np.cumsum(counts.to_pylist()[i:]).tolist()
+    docs = spark.createDataFrame([(1, "some text of words"), (2, None)], "id int, text string")
+    assert [len(r["links"]) == 4 * r["n_links"] for r in alignment.links(docs, alignment.tokenizer_paths()).collect()] == [True, True]

@@ -1,6 +1,7 @@
 """Alignment of two tokenizers over a corpus: groups of tokens that end together, and counts of linked token pairs.
 
-A link is a pair of token occurrences whose byte ranges overlap; its key packs both ids into one 64-bit number.  Each
+A link is a pair of token occurrences whose byte ranges overlap; its key packs both ids into one 64-bit number.  Between
+tasks a text's links are bytes, of 32-bit numbers where both vocabularies have at most 65536 ids.  Each
 partition counts the documents of its keys by ``np.unique``; the partial counts are range-partitioned and sorted by
 key, and runs of equal keys summed, which gives globally sorted shards of (key, count).  The shards are written to the
 shared folder as plain arrays, and the tasks that describe documents map them into memory and look keys up by
@@ -37,6 +38,8 @@ KEYS = 1 << 20
 #: Parts of a text, each with the space before it.  White space here is more than either tokenizer takes for it.
 _PARTS = re.compile(r"(?<=\S)(?= \S)")
 _SHIFT = 32
+#: Ids that half of a 32-bit number can tell apart.
+_NARROW = 1 << 16
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -140,32 +143,53 @@ def align(texts: list[str], own: Tokens) -> Aligned:
     return Aligned(n_a, n_b, count(shared), groups, count(ends), keys)
 
 
+def codes_of(keys: np.ndarray, narrow: bool) -> np.ndarray:
+    """Keys as they are kept: 32-bit numbers in the same order if both ids are ``narrow``, else unchanged."""
+    return (keys >> _SHIFT << 16 | keys & 0xFFFF).astype(np.uint32) if narrow else keys
+
+
+def keys_of(codes: np.ndarray) -> np.ndarray:
+    """What ``codes_of`` was made of."""
+    wide = codes.astype(np.int64)
+    return wide >> 16 << _SHIFT | wide & 0xFFFF if codes.dtype == np.uint32 else wide
+
+
+def _flat(counts: pa.Array, packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of an array of bytes, ``counts`` of them in each, and where each one's end."""
+    ends = np.cumsum(counts.to_numpy())
+    packed = packed.cast(pa.large_binary())
+    total = int(ends[-1]) if len(ends) else 0
+    if not total:
+        return np.zeros(0, np.uint32), ends
+    _, offsets, data = packed.buffers()
+    first, last = np.frombuffer(offsets, np.int64)[[packed.offset, packed.offset + len(packed)]].tolist()
+    return np.frombuffer(data, np.uint8)[first:last].view(np.uint32 if last - first == 4 * total else np.int64), ends
+
+
 def links(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """(id, n_a, n_b, n_groups, n_links, groups, keys) of ``docs`` (id, text): the keys of all links of a text in order."""
+    """(id, n_a, n_b, n_groups, n_links, groups, links) of ``docs`` (id, text): the codes of all links of a text in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens(*paths)
+        narrow = max(len(own.a_sizes), len(own.b_sizes)) <= _NARROW
         for batch in batches:
             at = 0
             slices = (batch.column(1).slice(i, 200).fill_null("").to_pylist() for i in range(0, batch.num_rows, 200))
             for texts in chain.from_iterable(runs(x, 1 << 18) for x in slices):
                 x = align(texts, own)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(x.n_links)]).astype(np.int32))
-                columns = [batch.column(0).slice(at, len(texts)), *[pa.array(n) for n in (x.n_a, x.n_b, x.n_groups, x.n_links)], pa.array(x.groups, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(x.keys))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "keys"])
+                codes = codes_of(x.keys, narrow)
+                offsets = (np.concatenate([[0], np.cumsum(x.n_links)]) * codes.itemsize).astype(np.int32)
+                own_links = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(codes)])
+                columns = [batch.column(0).slice(at, len(texts)), *[pa.array(n) for n in (x.n_a, x.n_b, x.n_groups, x.n_links)], pa.array(x.groups, pa.string()), own_links]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
                 at += len(texts)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, keys array<bigint>")
-
-
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of an array of lists, and where each list ends."""
-    return lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+    return docs.mapInArrow(run, f"id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, links binary")
 
 
-def partial_counts(keys: DataFrame, most: int = KEYS) -> DataFrame:
-    """(key, n): of each partition of the column of lists, in how many of them each key is."""
+def partial_counts(rows: DataFrame, most: int = KEYS) -> DataFrame:
+    """(key, n): of each partition of ``rows`` (n_links, links), in how many rows each key is."""
 
     def batch(found: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(found), 1 << 16):
@@ -175,7 +199,7 @@ def partial_counts(keys: DataFrame, most: int = KEYS) -> DataFrame:
         found, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         new: list[np.ndarray] = []
         for b in batches:
-            flat, ends = _flat(b.column(0))
+            flat, ends = _flat(b.column(0), b.column(1))
             for own in np.split(flat, ends[:-1]):
                 new.append(np.unique(own))
                 if len(new) >= 500:
@@ -186,13 +210,13 @@ def partial_counts(keys: DataFrame, most: int = KEYS) -> DataFrame:
                         found, n = found[:0], n[:0]
         yield from batch(*_summed(found, n, new))
 
-    return keys.mapInArrow(run, "key bigint, n bigint")
+    return rows.mapInArrow(run, "key bigint, n bigint")
 
 
 def _summed(keys: np.ndarray, n: np.ndarray, new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by key with one more for each key of each array of ``new``."""
-    own, count = np.unique(np.concatenate([*new, keys[:0]]), return_counts=True)
-    return run_sums(np.concatenate([keys, own]), np.concatenate([n, count]))
+    """Counts by key with one more for each code of each array of ``new``."""
+    own, count = np.unique(np.concatenate(new or [keys[:0]]), return_counts=True)
+    return run_sums(np.concatenate([keys, keys_of(own)]), np.concatenate([n, count]))
 
 
 def run_sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,22 +338,23 @@ def align_documents(
     os.makedirs(folder)
     own = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     found = scratch.save(links(own, paths or tokenizer_paths()), "links")
-    shards, best = write_shards(scratch.save(partial_counts(found.select("keys")), "partial"), folder)
+    shards, best = write_shards(scratch.save(partial_counts(found.select("n_links", "links")), "partial"), folder)
     scratch.drop("partial")
     counts = Counts(shards)
 
     @F.arrow_udf("n_best bigint, count_sum bigint")
-    def judged(lists: pa.Array) -> pa.Array:
-        most, total = (np.zeros(len(lists), np.int64) for _ in range(2))
-        offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+    def judged(n_links: pa.Array, packed: pa.Array) -> pa.Array:
+        most, total = (np.zeros(len(packed), np.int64) for _ in range(2))
+        offsets = np.concatenate([[0], np.cumsum(n_links.to_numpy())])
         for i, j in pieces(offsets, 1 << 18):  # a batch may hold millions of links
-            flat, ends = _flat(lists.slice(i, j - i))
-            keys, back = np.unique(flat, return_inverse=True)
+            flat, ends = _flat(n_links.slice(i, j - i), packed.slice(i, j - i))
+            codes, back = np.unique(flat, return_inverse=True)
+            keys = keys_of(codes)
             count = counts(keys)
             best_of = (count == best[keys >> _SHIFT]).astype(np.int64) if len(keys) else keys
             for out, x in ((most, best_of), (total, count)):
                 out[i:j] = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(x[back])])[ends]]))
         return pa.StructArray.from_arrays([pa.array(most), pa.array(total)], ["n_best", "count_sum"])
 
-    out = found.withColumn("_j", judged("keys"))
+    out = found.withColumn("_j", judged("n_links", "links"))
     return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "_j.n_best", "_j.count_sum", "groups")
