@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -380,6 +382,19 @@ def test_articles_are_located_by_their_words(spark):
     assert [got.get(i, (None, None)) for i in range(len(cases))] == [c[4:] for c in cases]
 
 
+def test_neighbours_are_found_some_queries_at_a_time():
+    rng = np.random.default_rng(3)
+    for n, k in ((40, 5), (3, 5), (5, 5), (0, 5)):
+        sims, ids = np.round(rng.random((30, n)), 1), rng.permutation(n) * 7
+        sims[rng.random((30, n)) < 0.3] = -np.inf
+        rows, cols = st._nearest(sims, ids, k)
+        wanted = [(i, c) for i in range(30) for _, _, c in sorted((-v, ids[c], c) for c, v in enumerate(sims[i]) if v > -np.inf)[:k]]
+        assert list(zip(rows.tolist(), cols.tolist(), strict=True)) == wanted
+    block = pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (np.arange(4096), rng.random((4096, 8)), np.arange(4000), rng.random((4000, 8)))], ["b_ids", "b", "q_ids", "q"])
+    parts = list(st._similarities(block, 6))
+    assert max(s.size for _, _, s in parts) <= st.SIMILARITIES and np.concatenate([q for q, _, _ in parts]).tolist() == list(range(4000))
+
+
 def test_articles_are_cleaned_once(spark, monkeypatch):
     cleaned, made = articles.cleaned, spark.sparkContext.accumulator(0)
 
