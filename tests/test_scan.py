@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,17 @@ def test_nations_by_their_adjectives(spark):
     assert said("Ukrainian troops, Germans and the Saudi king's men") == ["ukraine", "troops", "germany", "and", "the", "saudi arabia", "king", "men"]
     assert said("Mark Cuban met Cuban doctors") == ["mark", "cuban", "met", "cuba", "doctors"] and said("cuban") == ["cuba"]
     assert said("Congolese") == ["democratic republic of the congo"] and said("") == [] and said(None) == []
+
+
+def test_lists_are_searched_some_words_at_a_time(monkeypatch):
+    automaton = scan.Phrases([("a",), ("a", "b"), ("c", "a")])
+    lists = pa.array([["a", "b"], None, [], ["c", "a", "b"] * 5, ["x"], ["c"], ["a"], None], pa.list_(pa.string()))
+    whole = automaton.in_lists(lists).to_pylist()
+    sizes, some = [], automaton._in_some
+    monkeypatch.setattr(automaton, "_in_some", lambda x: sizes.append(len(x.flatten())) or some(x))
+    for most in (1, 2, 4, 100):
+        monkeypatch.setattr(scan, "WORDS", most)
+        sizes.clear()
+        assert automaton.in_lists(lists).to_pylist() == whole and len(automaton.in_lists(lists[1:])) == 7
+        assert max(sizes) <= max(most, 15)
+    assert [h["key"] for h in whole[3]] == ["c a", "a", "a b"] * 5 and whole[5] == [] and automaton.in_lists(lists[:0]).to_pylist() == []

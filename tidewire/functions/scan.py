@@ -16,6 +16,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Words that are searched at once; a longer list stands alone.
+WORDS = 1 << 17
+
+
 class Phrases:
     """An automaton over word numbers that tells every phrase, a tuple of words, which ends at a word."""
 
@@ -68,6 +72,16 @@ class Phrases:
     def in_lists(self, lists: pa.Array) -> pa.Array:
         """For each list of words the phrases in it: their place, number of words, and words joined by spaces."""
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        # some lists at a time, as each hit is an object on the way
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+        parts, at = [], 0
+        while at < len(lists):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right")))
+            parts.append(self._in_some(lists.slice(at, to - at)))
+            at = to
+        return pa.concat_arrays(parts) if parts else self._in_some(lists)
+
+    def _in_some(self, lists: pa.Array) -> pa.Array:
         flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy()
         begin = np.concatenate([[0], np.cumsum(sizes)])
         numbers = pc.index_in(flat, pa.array(self.words, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
