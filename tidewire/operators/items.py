@@ -27,8 +27,9 @@ def first_of(items: Column, key: Callable[[Column], Column]) -> Column:
 
 def corroborators(primary_url: Column, sources: Column) -> Column:
     """A story's sources once for each report identity, the first of each, without the primary report."""
-    identity = lambda x: text.report_identity(x["url"])
-    return F.filter(first_of(sources, identity), lambda x: ~identity(x).eqNullSafe(text.report_identity(primary_url)))
+    keyed = F.transform(sources, lambda x: F.struct(text.report_identity(x["url"], listed=True).alias("k"), x.alias("v")))
+    others = lambda own: F.filter(first_of(keyed, lambda x: x["k"]), lambda x: ~x["k"].eqNullSafe(own))
+    return F.transform(text.bound(text.report_identity(primary_url), others), lambda x: x["v"])
 
 
 def timeline_sources(primary: Column, sources: Column) -> Column:
