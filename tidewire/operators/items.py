@@ -40,10 +40,11 @@ def timeline_sources(primary: Column, sources: Column) -> Column:
 
 def normal_sources(url: Column, sources: Column) -> tuple[Column, Column]:
     """(sources, at_ms): canonical addresses once each, without the story's own, and the first time of that one, if any."""
-    own = text.canonical_url(url)
-    clean = F.filter(F.transform(F.coalesce(sources, F.array().cast(SOURCES)), lambda x: x.withField("url", text.canonical_url(x["url"]))), lambda x: x["url"] != "")
-    self_at = F.get(F.filter(clean, lambda x: x["url"] == own), F.lit(0))["at_ms"]
-    return first_of(F.filter(clean, lambda x: x["url"] != own), lambda x: x["url"]), self_at
+    clean = F.filter(F.transform(F.coalesce(sources, F.array().cast(SOURCES)), lambda x: x.withField("url", text.canonical_url(x["url"], listed=True))), lambda x: x["url"] != "")
+    # the own address and the clean list are each found once
+    told = F.struct(text.canonical_url(url).alias("own"), clean.alias("l"))
+    both = text.bound(told, lambda t: F.struct(first_of(F.filter(t["l"], lambda x: x["url"] != t["own"]), lambda x: x["url"]).alias("rest"), F.get(F.filter(t["l"], lambda x: x["url"] == t["own"]), F.lit(0))["at_ms"].alias("at")))
+    return both["rest"], both["at"]
 
 
 def to_stories(items: DataFrame, registry: DataFrame, now: Column) -> DataFrame:
