@@ -67,3 +67,19 @@ def test_stream_matches_end_with_the_horizon(spark):
     assert got == wanted and len(set(wanted.values())) > 10
     held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
     assert len(held) >= n and held[-1] <= 2  # the other keys' timers have cleared them
+
+
+def test_stream_matches_keep_state_by_groups(spark):
+    """Thousands of keys, one of them null, make no more rows of state than there are groups; equal keys still go on."""
+    start, root = datetime(2024, 1, 1), new_folder(spark, "test-groups")
+    for b in range(2):
+        rows = [(b * 5000 + i, None if i == 7 else f"k{i}", start + timedelta(hours=b)) for i in range(2000)]
+        spark.createDataFrame(rows, "id bigint, k string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    jobs.use_rocksdb(spark)
+    stream = jobs.matched(spark.readStream.schema("id bigint, k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), "k", "id")
+    run = jobs.keyed_batches(stream, f"{root}/checkpoint", f"{root}/out", lambda x: x).start()
+    run.awaitTermination()
+    got = {r["id"]: r["story"] for r in spark.read.parquet(f"{root}/out").collect()}
+    assert got == {b * 5000 + i: i for b in range(2) for i in range(2000)}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert held and max(held) <= 3 * jobs.GROUPS

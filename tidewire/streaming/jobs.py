@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,30 +55,50 @@ def unseen_against(events: DataFrame, history: DataFrame, key: str) -> DataFrame
     return events.join(history.select(key).distinct(), key, "left_anti")
 
 
+#: Groups of keys that a stream's state is kept by.
+GROUPS = 256
+
+
 class _Chain(StatefulProcessor):
-    """Keeps the story and time of a key's last report, until nothing came for longer than the horizon."""
+    """Keeps the story and time of the last report of each key of a group, until nothing came for longer than the horizon."""
 
     def __init__(self, horizon_ms: int):
         self.horizon_ms = horizon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "story bigint, at_us bigint")
+        self.last = handle.getValueState("last", "keys array<string>, stories array<bigint>, at_us array<bigint>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at_us", "id"])
-        story, before = self.last.get() if self.last.exists() else (None, None)
-        found = []
-        for i, at in zip(frame["id"].tolist(), frame["at_us"].tolist(), strict=True):
-            if before is None or at - before > self.horizon_ms * 1000:
-                story = i
-            before = at
-            found.append(story)
-        self.last.update((story, before))
+        frame = pd.concat([f[["key", "id", "at_us"]] for f in rows])
+        code, keys = pd.factorize(frame["key"], use_na_sentinel=False)
+        order = np.lexsort((frame["id"].to_numpy(), frame["at_us"].to_numpy(), code))
+        code, ids, at = code[order], frame["id"].to_numpy()[order], frame["at_us"].to_numpy()[order]
+        names = [None if pd.isna(k) else k for k in keys]
+        held = {k: (s, t) for k, s, t in zip(*self.last.get(), strict=True)} if self.last.exists() else {}
+        first = np.concatenate([[True], code[1:] != code[:-1]])
+        before = np.concatenate([at[:1], at[:-1]])
+        known = [held.get(k) for k in names]
+        has = np.array([x is not None for x in known])
+        before[first] = [at_ if x is None else x[1] for x, at_ in zip(known, at[first], strict=True)]
+        begins = (at - before > self.horizon_ms * 1000) | (first & ~has[code])
+        # what goes on at a key's first row is the story that the state holds
+        goes_on = first & ~begins
+        named = np.where(goes_on, np.array([0 if x is None else x[0] for x in known], np.int64)[code], ids)
+        story = named[np.maximum.accumulate(np.where(begins | goes_on, np.arange(len(ids)), 0))]
+        last = np.concatenate([np.flatnonzero(first)[1:] - 1, [len(ids) - 1]])
+        held |= {names[c]: (s, t) for c, s, t in zip(code[last].tolist(), story[last].tolist(), at[last].tolist(), strict=True)}
+        # keys that no report can reach any more go
+        gone = (timerValues.getCurrentWatermarkInMs() - self.horizon_ms) * 1000
+        held = {k: x for k, x in held.items() if x[1] >= gone}
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(before // 1000 + self.horizon_ms + 1)
-        yield pd.DataFrame({"key": key[0], "id": frame["id"].tolist(), "story": found})
+        if held:
+            self.last.update((list(held), [x[0] for x in held.values()], [x[1] for x in held.values()]))
+            self.handle.registerTimer(max(x[1] for x in held.values()) // 1000 + self.horizon_ms + 1)
+        else:
+            self.last.clear()
+        yield pd.DataFrame({"key": pd.Series([names[c] for c in code], dtype=object), "id": ids, "story": story})
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -90,13 +111,14 @@ class _Chain(StatefulProcessor):
 def matched(reports: DataFrame, key: str, id_col: str, ts: str = "ts", horizon: str = "48 hours", late: str = "1 hour") -> DataFrame:
     """(key, id, story) of a stream of reports: the story of the key's last report if that is not older than the horizon, else a new one.
 
-    A story is named by its first report.  State is one row for each key that had a report within the horizon: an
-    event-time timer clears it after that, so it does not grow with history.  Reports of one key in one batch are taken by time,
+    A story is named by its first report.  State has an entry for each key that had a report within the horizon, and is kept
+    by groups of keys, so that a batch reads and writes it once a group: entries go with the group's next report, or by
+    an event-time timer, so it does not grow with history.  Reports of one key in one batch are taken by time,
     then by id; what is later than ``late`` is dropped.  The state store has to be RocksDB (``use_rocksdb``).
     """
     hours = int(horizon.split()[0])
     own = reports.withWatermark(ts, late).select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("bigint").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"), F.col(ts).alias("ts"))
-    return own.groupBy("key").transformWithStateInPandas(_Chain(hours * scores.HOUR_MS), "key string, id bigint, story bigint", "Append", "EventTime")
+    return own.withColumn("_group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int")).groupBy("_group").transformWithStateInPandas(_Chain(hours * scores.HOUR_MS), "key string, id bigint, story bigint", "Append", "EventTime")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
