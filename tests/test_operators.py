@@ -456,3 +456,17 @@ def test_bounds_over_the_antimeridian(spark):
     rows = spark.createDataFrame([(0.0, 179.0, True), (0.0, -179.0, True), (0.0, 0.0, False), (50.0, 179.0, False), (None, 179.0, False)], "lat double, lon double, want boolean")
     sides = [F.lit(float(x)) for x in (-10, 10, 170, -170)]
     assert all(r["want"] == r["got"] for r in rows.select("want", scores.within_bounds(F.col("lat"), F.col("lon"), *sides).alias("got")).collect())
+
+
+def test_equal_titles_meet_by_classes(spark):
+    """Every report gets the smallest story of its title that does not contradict it, as if each met each, by few rows."""
+    leads = ["Fire at the hospital in the old town", "Fire at the school and the hospital, update", "Shares close lower on wall street today"]
+    rows = [(i, leads[i % 3], ["", "The fire broke out on Monday.", "The blaze struck on Friday."][i // 3 % 3], f"https://e.example/{i % 17}", i * 7 % 5 * 20 * HOUR, float(i % 2 * 40), 1.0, i % 4 == 0, "x" if i % 5 else None) for i in range(240)]
+    frame = spark.createDataFrame(rows, "id bigint, title string, description string, url string, at_ms bigint, lat double, lon double, precise boolean, location_name string")
+    e = st.evidence(frame.withColumn("countries", F.lit(None).cast("array<string>"))).localCheckpoint()
+    a, b = e.where("id % 2 = 0"), e.where("id % 2 = 1")
+    pairs = a.select(F.col("id").alias("seq"), "fp").join(b.select("id", "fp"), "fp").select("seq", "id", F.lit(2.0).alias("score"))
+    wanted = resolution.judged(pairs, a, b).groupBy("seq").agg(F.min(pairs["id"]).alias("story"))
+    got = resolution.titled(a, b)
+    assert sorted(map(tuple, got.select("seq", "story").collect())) == sorted(map(tuple, wanted.collect()))
+    assert pairs.count() > got.count() > 0
