@@ -109,3 +109,18 @@ def test_links_are_kept_in_half_the_bytes_and_come_back(spark):
             assert alignment.keys_of(flat).tolist() == keys[0 if i < 2 else 3 :].tolist() and ends.tolist() == np.cumsum(counts.to_pylist()[i:]).tolist()
     docs = spark.createDataFrame([(1, "some text of words"), (2, None)], "id int, text string")
     assert [len(r["links"]) == 4 * r["n_links"] for r in alignment.links(docs, alignment.tokenizer_paths()).collect()] == [True, True]
+
+
+def test_parts_are_read_together_and_only_new_ones_are_aligned():
+    own = alignment.tokens.__wrapped__(*alignment.tokenizer_paths())
+    made, make = [], own.parts.make
+    own.parts.make, own.parts.most = lambda words: made.extend(words) or make(words), 20
+    first = alignment.align(["the same words of a text", "a▁b", " lead and the trail ", ""], own)
+    assert (first.n_a[1], first.n_links[1], first.groups[1], first.groups[3]) == (0, 0, "", "") and len(set(made)) == len(made)
+    again = alignment.align(["the same words of a text"], own)
+    assert [x[0] for x in again] == [x[0] for x in first] and len(set(made)) == len(made)
+    # what one run alone had goes first
+    alignment.align([" ".join(f"w{i}" for i in range(30))], own)
+    alignment.align(["other"], own)
+    assert {" the", " same", " text", " other"} <= set(own.parts) and not {" w1", " lead"} & set(own.parts)
+    assert [x[0] for x in alignment.align(["the same words of a text"], own)] == [x[0] for x in first]

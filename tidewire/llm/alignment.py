@@ -7,8 +7,9 @@ key, and runs of equal keys summed, which gives globally sorted shards of (key,
 shared folder as plain arrays, and the tasks that describe documents map them into memory and look keys up by
 ``searchsorted``; nothing of them passes through the driver but one row for each shard.
 
-Texts are cut where both tokenizers always end a token, before a space between two other characters, and the tokens of
-each such part are found once for many texts.  Groups and links come from the tokens' ends, in numpy, for many texts at a time.
+Texts are cut where both tokenizers always end a token, before a space between two other characters.  A group ends there
+too and no link reaches over it, so the groups and links of each such part are found once for many texts: from the tokens'
+ends, in numpy, for many parts at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 from typing import NamedTuple
 from urllib.parse import unquote, urlparse
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytes_np import pieces
 from .common import Scratch, column, shared_dir
-from .pieces import SPACE, Known, byte_alphabet, runs
+from .pieces import SPACE, Proven, byte_alphabet, runs
 
 BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Distinct keys that a task holds before it hands on its partial counts.
@@ -38,6 +39,8 @@ KEYS = 1 << 20
 #: Parts of a text, each with the space before it.  White space here is more than either tokenizer takes for it.
 _PARTS = re.compile(r"(?<=\S)(?= \S)")
 _SHIFT = 32
+#: Parts that are read at a time.
+_TOGETHER = 100
 #: Ids that half of a 32-bit number can tell apart.
 _NARROW = 1 << 16
 
@@ -48,18 +51,20 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)
 
 
+#: Of a part of a text: the codes of its links as bytes, its groups in writing, and how many tokens of A and B and groups it has.
+Part = tuple[bytes, str, int, int, int]
+
+
 class Tokens(NamedTuple):
-    """What both tokenizers say: ids by parts of texts, bytes by id, and ids in writing with what may stand behind them."""
+    """What both tokenizers say: parts of texts by their writing, and the room that a link's code takes."""
 
-    codes: Known
-    a_sizes: np.ndarray
-    b_sizes: np.ndarray
-    written: list[str]
+    parts: Proven
+    width: int
 
 
 @lru_cache(maxsize=2)
 def tokens(byte_path: str, piece_path: str) -> Tokens:
-    """The tokens of parts of texts, each of which begins with a space, as 32-bit ids; none for a part that they don't spell."""
+    """Parts of texts, each of which begins with a space; none for a part that the tokens don't spell."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
     import sentencepiece
     from tokenizers import Tokenizer
@@ -76,71 +81,96 @@ def tokens(byte_path: str, piece_path: str) -> Tokens:
 
     a_sizes, b_sizes = (np.array([len(x) for x in own]) for own in (a_bytes, b_bytes))
 
-    def packed(ids: list[list[int]], own: list[bytes], sizes: np.ndarray, raw: list[bytes]) -> list[bytes | None]:
-        """The ids of each part as bytes; none where they don't spell it."""
+    narrow = max(len(a_sizes), len(b_sizes)) <= _NARROW
+    written = [f"{i}{end}" for size, ends in ((len(a_bytes), ",|"), (len(b_bytes), ",;")) for end in ends for i in range(size)]
+    lengths = np.array([len(x) for x in written])
+
+    def spelled(ids: np.ndarray, counts: np.ndarray, own: list[bytes], sizes: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Whether the bytes of each part's ids are those of ``raw``, one by one only where they differ as a whole."""
+        said, ends = [own[i] for i in ids.tolist()], np.cumsum(counts)
+        spans = np.concatenate([[0], np.cumsum(sizes[ids])])[ends]
+        if b"".join(said) == b"".join(raw) and (spans == np.cumsum([len(r) for r in raw])).all():
+            return np.ones(len(raw), bool)
+        cuts = np.concatenate([[0], ends]).tolist()
+        return np.array([b"".join(said[i:j]) == r for i, j, r in zip(cuts, cuts[1:], raw, strict=False)])
+
+    def laid(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.array([len(x) for x in ids], np.int64)
-        ends = np.cumsum(counts)
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) if len(ends) else 0)
-        data, cuts = flat.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
-        out: list[bytes | None] = [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-        spans = np.diff(np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], ends])])
-        if (spans != [len(x) for x in raw]).any() or b"".join(map(own.__getitem__, flat.tolist())) != b"".join(raw):
-            out = [x if b"".join([own[i] for i in y]) == r else None for x, y, r in zip(out, ids, raw, strict=True)]
-        return out
-
-    def make(parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum())), counts
+
+    def read(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in one.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(parts: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of parts between which a text would be cut, many of them read at once; one by one should that not fit."""
+        ids, _ = laid(read(["".join(parts[i : i + _TOGETHER]) for i in range(0, len(parts), _TOGETHER)]))
+        ends, wanted = np.cumsum(a_sizes[ids]), np.cumsum([len(r) for r in raw])
+        at = np.searchsorted(ends, wanted)
+        if len(parts) and at[-1] == len(ids) - 1 and (ends[at] == wanted).all():
+            return ids, np.diff(np.concatenate([[-1], at]))
+        return laid(read(parts))
+
+    def make(parts: list[str]) -> dict[str, Part | None]:
+        plain = [len(p) > 1 and not p[1].isspace() and not p[-1].isspace() for p in parts]
+        n, parts = sum(plain), [*compress(parts, plain), *[p for p, x in zip(parts, plain, strict=True) if not x]]
         raw = [p.encode() for p in parts]
-        a = packed([e.ids for e in one.encode_batch_fast(parts, add_special_tokens=False)], a_bytes, a_sizes, raw)
-        b = packed(two.encode([p[1:] for p in parts], num_threads=1), b_bytes, b_sizes, raw)  # it puts the space before them
-        return [None if x is None or y is None else (x, y) for x, y in zip(a, b, strict=True)]
-
-    written = [f"{i}{end}" for size, ends in ((len(a_bytes), ",|"), (len(b_bytes), ",;")) for end in ends for i in range(size)]
-    return Tokens(Known(make, 120_000), a_sizes, b_sizes, written)
-
-
-class Aligned(NamedTuple):
-    """Of texts: the numbers of tokens and groups, the groups in writing, the numbers of links, and all their keys."""
+        a, n_a = (np.concatenate(x) for x in zip(together(parts[:n], raw[:n]), laid(read(parts[n:])), strict=True))
+        b, n_b = laid(two.encode([p[1:] for p in parts], num_threads=1))  # it puts the space before them
+        good = spelled(a, n_a, a_bytes, a_sizes, raw) & spelled(b, n_b, b_bytes, b_sizes, raw)
+        found = _aligned(a[np.repeat(good, n_a)], n_a[good], b[np.repeat(good, n_b)], n_b[good], a_sizes, b_sizes, written, lengths, narrow)
+        return dict.fromkeys(parts) | dict(zip(compress(parts, good.tolist()), found, strict=True))
 
-    n_a: np.ndarray
-    n_b: np.ndarray
-    n_groups: np.ndarray
-    groups: list[str]
-    n_links: np.ndarray
-    keys: np.ndarray
+    return Tokens(Proven(make, 120_000), 4 if narrow else 8)
 
 
-def align(texts: list[str], own: Tokens) -> Aligned:
-    """Groups and links of ``texts``, all at once: their bytes are laid end to end, and so are both tokenizers' tokens."""
-    split = [_PARTS.split(" " + t) if t else [] for t in texts]
-    own.codes.learn(chain.from_iterable(split))
-    ids: tuple[list[bytes], list[bytes]] = [], []
-    for parts in split:
-        found = [own.codes[p] for p in parts]
-        if None in found:
-            found = []
-        for k in (0, 1):
-            ids[k].append(b"".join([x[k] for x in found]))
-    n_a, n_b = (np.array([len(x) // 4 for x in k], np.int64) for k in ids)
-    a, b = (np.frombuffer(b"".join(k), np.uint32).astype(np.int64) for k in ids)
-    end_a, end_b = np.cumsum(own.a_sizes[a]), np.cumsum(own.b_sizes[b])
+def _aligned(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, written: list[str], lengths: np.ndarray, narrow: bool) -> Iterator[Part]:
+    """Groups and links of parts, all at once: their bytes are laid end to end, and so are both tokenizers' tokens."""
+    end_a, end_b = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
     # between two neighbouring ends, of whichever tokens, lies one overlap of one pair
     ends = np.concatenate([end_a, end_b])
     ends.sort(kind="stable")
     ends = ends[np.concatenate([ends[1:] != ends[:-1], [True]])] if len(ends) else ends
     at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-    keys = a[at_a] << _SHIFT | b[at_b]
+    links = codes_of(a[at_a] << _SHIFT | b[at_b], narrow)
     shared = ends[(end_a[at_a] == ends) & (end_b[at_b] == ends)]
-    text_end = np.concatenate([[0], end_a])[np.cumsum(n_a)]
-    count = lambda of: np.diff(np.concatenate([[0], np.searchsorted(of, text_end, "right")]))
+    part_end = np.concatenate([[0], end_a])[np.cumsum(n_a)]
+    cuts = lambda of: np.concatenate([[0], np.searchsorted(of, part_end, "right")])
     # in writing: A's ids of a group, then B's
     group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
     last_a, last_b = (np.concatenate([g[1:] != g[:-1], np.ones(min(1, len(g)), bool)]) for g in (group_a, group_b))
     order = np.empty(len(a) + len(b), np.int64)
-    order[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + np.where(last_a, len(own.a_sizes), 0)
-    order[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b + 2 * len(own.a_sizes) + np.where(last_b, len(own.b_sizes), 0)
-    listed, cuts = [own.written[i] for i in order.tolist()], np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
-    groups = ["".join(listed[i:j])[:-1] for i, j in zip(cuts, cuts[1:], strict=False)]
-    return Aligned(n_a, n_b, count(shared), groups, count(ends), keys)
+    order[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + np.where(last_a, len(a_sizes), 0)
+    order[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b + 2 * len(a_sizes) + np.where(last_b, len(b_sizes), 0)
+    data, text = links.tobytes(), "".join([written[i] for i in order.tolist()])
+    at_link, at_char = (cuts(ends) * links.itemsize).tolist(), np.concatenate([[0], np.cumsum(lengths[order])])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+    counts = n_a.tolist(), n_b.tolist(), np.diff(cuts(shared)).tolist()
+    for i, j, k, m, x, y, n in zip(at_link, at_link[1:], at_char, at_char[1:], *counts, strict=False):
+        yield data[i:j], text[k : m - 1], x, y, n
+
+
+class Aligned(NamedTuple):
+    """Of texts: the codes of all links in order as bytes, the groups in writing, and the numbers of tokens, groups and links."""
+
+    links: list[bytes]
+    groups: list[str]
+    n_a: list[int]
+    n_b: list[int]
+    n_groups: list[int]
+    n_links: list[int]
+
+
+def align(texts: list[str], own: Tokens) -> Aligned:
+    """Groups and links of ``texts``: both tokenizers end a token where a text is cut, so those of its parts follow each other."""
+    split = [_PARTS.split(" " + t) if t else [] for t in texts]
+    own.parts.learn(chain.from_iterable(split))
+    out = Aligned([], [], [], [], [], [])
+    for parts in split:
+        found = [*map(own.parts.__getitem__, parts)]
+        links, groups, *counts = zip(*found, strict=True) if found and None not in found else ((), (), (), (), ())
+        data = b"".join(links)
+        for column_, value in zip(out, (data, ";".join(groups), *map(sum, counts), len(data) // own.width), strict=True):
+            column_.append(value)
+    return out
 
 
 def codes_of(keys: np.ndarray, narrow: bool) -> np.ndarray:
@@ -171,16 +201,12 @@ def links(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens(*paths)
-        narrow = max(len(own.a_sizes), len(own.b_sizes)) <= _NARROW
         for batch in batches:
             at = 0
             slices = (batch.column(1).slice(i, 200).fill_null("").to_pylist() for i in range(0, batch.num_rows, 200))
             for texts in chain.from_iterable(runs(x, 1 << 18) for x in slices):
                 x = align(texts, own)
-                codes = codes_of(x.keys, narrow)
-                offsets = (np.concatenate([[0], np.cumsum(x.n_links)]) * codes.itemsize).astype(np.int32)
-                own_links = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(codes)])
-                columns = [batch.column(0).slice(at, len(texts)), *[pa.array(n) for n in (x.n_a, x.n_b, x.n_groups, x.n_links)], pa.array(x.groups, pa.string()), own_links]
+                columns = [batch.column(0).slice(at, len(texts)), *[pa.array(n, pa.int64()) for n in (x.n_a, x.n_b, x.n_groups, x.n_links)], pa.array(x.groups, pa.string()), pa.array(x.links, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
                 at += len(texts)
 

@@ -102,6 +102,38 @@ class Known(dict):
     long: list[str] = []
 
 
+class Proven(dict):
+    """Results by word, found for many words at a time; what only one run of texts had goes first where there is too much."""
+
+    def __init__(self, make: Callable[[list[str]], dict], most: int = 120_000):
+        super().__init__()
+        self.make, self.most, self.again = make, most, set()
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Make all of ``words`` known.  Once there are too many, those stay that a run met again since the last time; long words go."""
+        words = set(words)
+        if len(self) > self.most:
+            kept = {w: self[w] for w in self.again if len(w) <= 64 and w in self} if len(self.again) <= self.most // 2 else {}
+            self.clear()
+            self.update(kept)
+            self.again.clear()
+        else:
+            for w in self.long:
+                self.pop(w, None)
+        new = words.difference(self)
+        self.again |= words - new
+        self.long = [w for w in new if len(w) > 64]
+        collects = gc.isenabled()
+        gc.disable()  # many small objects come and go, none of them in a cycle
+        try:
+            self.update(self.make([*new]))
+        finally:
+            if collects:
+                gc.enable()
+
+    long: list[str] = []
+
+
 def runs(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
     """``texts`` in order, in runs of about ``most`` characters; a longer text stands alone."""
     run, size = [], 0
