@@ -51,3 +51,24 @@ def test_conflicting_pairs_find_evidence_once(spark, sf_small):
 
     plan = entry.queries()["conflicting_pairs"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan.upper() and "parquet" not in plan.lower()
+
+
+def test_equal_points_meet_as_places(spark, monkeypatch):
+    met, real = [], st.dealt_join
+
+    def dealt(left, right, keys):
+        met.append((left.count(), right.count()))
+        return real(left, right, keys)
+
+    monkeypatch.setattr(st, "dealt_join", dealt)
+    monkeypatch.setattr(st, "BLOCK", 50)
+    places = [(10.0, 20.0), (10.25, 20.0), (0.0, 180.0), (-0.0, -180.0), (None, 3.0), (60.0, 60.0)]
+    rows = [(i, *places[i % 6]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id bigint, lat double, lon double")
+    few = frame.where("id < 60")
+    got = st.within_km(frame, few, 50.0, digits=3)
+    assert met[0][0] <= 5 * 9 and met[0][1] == 5
+    a, b = frame.alias("a"), few.alias("b")
+    far = st.geo.haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
+    every = a.crossJoin(b).where(far <= 50).select("a.id", "b.id", F.round(far, 3))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))

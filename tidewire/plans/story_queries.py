@@ -55,9 +55,9 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {POINTS} SELECT a.id AS a_id, b.id AS b_id, round({_haversine('a.', 'b.')}, 6) AS km FROM pts a JOIN pts b ON a.id < b.id AND {_haversine('a.', 'b.')} <= 50")
 def distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of points within fifty kilometres, by grid cells."""
+    """Pairs of points within fifty kilometres, by places and grid cells."""
     p = _points(spark, sf_dir)
-    return st.within_km(p, p, 50.0).where("a_id < b_id").select("a_id", "b_id", F.round("km", 6).alias("km"))
+    return st.within_km(p, p, 50.0, digits=6).where("a_id < b_id")
 
 
 @query("SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(epoch_us(a.ts) // 1000 - epoch_us(b.ts) // 1000) <= 3600000")
