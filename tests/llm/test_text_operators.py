@@ -342,3 +342,24 @@ def test_hubs_are_dealt_out(spark, monkeypatch, few):
     edges = spark.createDataFrame([(10_000, i) for i in range(4000)] + [(i, i + 20_000) for i in range(0, 4000, 2)] + [(50_000, 50_001)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in connected_components(edges, Scratch(spark, "test"), "hub").collect()}
     assert len(got) == 6003 and {v for k, v in got.items() if k < 50_000} == {0} and got[50_001] == got[50_000] == 50_000
+
+
+def test_only_nodes_that_share_a_bucket_go_further(spark, monkeypatch):
+    saved, real = {}, common.Scratch.save
+
+    def save(self, df, name):
+        out = real(self, df, name)
+        saved[name] = sorted(tuple(r) for r in out.select("node").collect()) if "node" in out.columns else None
+        return out
+
+    monkeypatch.setattr(common.Scratch, "save", save)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "end"])), *[(10 + n, " ".join(f"x{n}y{i}" for i in range(50))) for n in range(20)]]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 1 if i < 3 else i for i, _ in rows}
+    assert len(saved["alike"]) == 2 and len(saved["nodes"]) == 22 and saved["sets"] == saved["alike"]
+    # counts that are known already are not found again
+    many = spark.createDataFrame([(i % 3 if i < 2900 else i, i) for i in range(3000)], "k bigint, v bigint")
+    found = many.groupBy("k").agg(F.count("*").alias("n"))
+    told, counted = (sorted(map(tuple, common.lookup_join(many, found, "k", limit=0, held=h).select("k", "v", "n").collect())) for h in ("n", None))
+    assert told == counted and len(told) == 3000

@@ -59,19 +59,21 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def lookup_join(rows: DataFrame, found: DataFrame, key: str, how: str = "inner", limit: int = LOOKUP_ROWS) -> DataFrame:
+def lookup_join(rows: DataFrame, found: DataFrame, key: str, how: str = "inner", limit: int = LOOKUP_ROWS, held: str | None = None) -> DataFrame:
     """``rows`` joined with ``found``, a written table in which each ``key`` stands once; no key makes a hot task.
 
     Up to ``limit`` rows of ``found`` are broadcast.  Of a larger table only those are whose key a thousandth of the
     rows or more have, which can be no more than a thousand; the others are joined by a shuffle.  ``how`` is inner,
-    left, left_semi or left_anti; rows without a key meet nothing.
+    left, left_semi or left_anti; rows without a key meet nothing.  ``held`` names a column of ``found`` that tells how
+    many rows have its key, if it is known.
     """
     if found.limit(limit + 1).count() <= limit:
         return rows.join(F.broadcast(found), key, how)
     scratch = Scratch(rows.sparkSession, "lookup")
     keyed = rows.where(F.col(key).isNotNull())
     many = max(1000, keyed.count() // 1000)
-    heavy = scratch.save(keyed.groupBy(key).count().where(F.col("count") > many).select(key), "heavy")
+    counts = found.select(key, F.col(held).alias("count")) if held else keyed.groupBy(key).count()
+    heavy = scratch.save(counts.where(F.col("count") > many).select(key), "heavy")
     hot = scratch.save(found.join(F.broadcast(heavy), key, "left_semi"), "hot")
     cold = keyed.join(F.broadcast(heavy), key, "left_anti").join(found, key, how)
     out = keyed.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(hot), key, how).unionByName(cold)

@@ -126,10 +126,11 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, items binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b), a written table, whose full sets have 100 * intersection >= percent * union."""
-    a = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
-    b = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
+    # sets are long: only those of the pairs are dealt out
+    ends = lambda c: sets.toDF(c, f"{c}_items").join(sized(scratch.save(pairs.select(c).distinct(), f"{name}-{c}")), c, "left_semi")
+    a, b = ends("a"), ends("b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,9 +210,13 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     nodes = scratch.save(nodes.select("node", "doc_id", "text_key", "text_key2", F.col("n_shingles").alias("n"), "bands", "parity"), "nodes")
 
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("held")).where("least < most")
     shared = scratch.save(shared.drop("most"), "shared")
-    members = scratch.save(lookup_join(members, shared, "bucket"), "members")
+    members = scratch.save(lookup_join(members, shared, "bucket", held="held").drop("held"), "members")
+    # the others are linked with nothing, so what is long of them goes no further
+    met_ids = scratch.save(members.select("node").distinct(), "met-ids")
+    nodes = scratch.save(nodes.join(sized(met_ids), "node", "left_semi"), "alike")
+    scratch.drop("nodes", "met-ids")
 
     # first round: each node and the smallest node of its buckets that looks most alike
     traits = nodes.select("node", "n", "parity")
@@ -222,8 +227,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     stars = salted_join(stars, x, "a").join(y, "b").where(close).groupBy("b").agg(F.min("a").alias("a"))
     stars = scratch.save(stars, "stars")
 
-    sets = scratch.save(_node_sets(docs, id_col, text_col, nodes, members, rows, k, scratch), "sets")
-    links = scratch.save(confirmed(stars, sets, percent), "links-1")
+    sets = scratch.save(_node_sets(docs, id_col, text_col, nodes, rows, k, scratch), "sets")
+    links = scratch.save(confirmed(stars, sets, percent, scratch, "ends-1"), "links-1")
     labels = scratch.save(connected_components(links, scratch, "first"), "labels-1")
 
     # second round: nodes of buckets that are still torn meet a few nodes of the bucket, drawn by a hash
@@ -235,7 +240,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     met = lookup_join(labelled, drawn, "bucket", limit=LOOKUP_ROWS // PIVOTS).select("node", "label", F.explode("drawn").alias("p")).where("p.a_label <> label")
     met = scratch.save(met.select(F.col("p.a").alias("a"), F.col("node").alias("b"), F.col("p.a_label").alias("a_label")).distinct(), "draws")
     met = salted_join(met, x, "a").join(y, "b").where(close).groupBy("b", "a_label").agg(F.min("a").alias("a"))
-    more = scratch.save(confirmed(scratch.save(met.select("a", "b"), "met"), sets, percent), "links-2")
+    more = scratch.save(confirmed(scratch.save(met.select("a", "b"), "met"), sets, percent, scratch, "ends-2"), "links-2")
     labels = scratch.save(_lifted(labels, more, links, scratch, "second"), "labels-2")
 
     # last round: what is not connected by then
@@ -246,7 +251,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     open_ = scratch.save(lookup_join(labelled, torn, "bucket"), "open")
     last = scratch.save(_in_small_buckets(open_, nodes, sets, percent, scratch).unionByName(_in_large_buckets(open_, sets, percent)), "links-3")
     final = scratch.save(_lifted(labels, last, links.union(more), scratch, "last"), "labels")
-    scratch.drop("shared", "members", "hubs", "stars", "sets", "wanted", "links-1", "links-2", "links-3", "labels-1", "labels-2", "labelled-1", "labelled-2", "drawn", "draws", "met", "torn", "open", "rest", "nodes")
+    scratch.drop("shared", "members", "hubs", "stars", "sets", "wanted", "links-1", "links-2", "links-3", "labels-1", "labels-2", "labelled-1", "labelled-2", "drawn", "draws", "met", "torn", "open", "rest", "alike", "small-ids", "ends-1-a", "ends-1-b", "ends-2-a", "ends-2-b", "ends-3-a", "ends-3-b")
 
     # the smallest id of each component, where a row with an id is in it
     classes = scratch.save(classes.join(final, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component")), "parts")
@@ -258,9 +263,9 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", "text_key2").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _node_sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, members: DataFrame, rows: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(node, items) of the nodes that share a bucket, each once, from the texts as they are read again."""
-    wanted = scratch.save(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key", "text_key2"), "wanted")
+def _node_sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, rows: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(node, items) of ``nodes``, each once, from the texts as they are read again."""
+    wanted = scratch.save(nodes.select("node", "doc_id", "text_key", "text_key2"), "wanted")
     one, two = text_keys(column(text_col).cast("string"))
     texts = docs.select(column(id_col).cast("bigint").alias("t_id"), one.alias("t_key"), two.alias("t_key2"), column(text_col).cast("string").alias("text")).where("text <> ''")
     rep = sized(wanted)
@@ -274,12 +279,14 @@ def _node_sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, me
 
 def _in_small_buckets(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) of close pairs that are not connected, in buckets of at most ``BLOCK`` nodes; each in the first bucket it shares."""
-    small = open_.where(F.col("held") <= BLOCK).join(nodes.select("node", "n", "parity", F.col("bands").alias("all_bands")), "node")
+    small = open_.where(F.col("held") <= BLOCK)
+    nodes = nodes.join(sized(scratch.save(small.select("node").distinct(), "small-ids")), "node", "left_semi")
+    small = small.join(nodes.select("node", "n", "parity", F.col("bands").alias("all_bands")), "node")
     x = small.select("bucket", F.col("node").alias("a"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("parity").alias("x_sig"), F.col("all_bands").alias("x_bands"))
     y = small.select("bucket", F.col("node").alias("b"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("parity").alias("y_sig"), F.col("all_bands").alias("y_bands"))
     first_shared = F.expr("filter(zip_with(x_bands, y_bands, (p, q) -> if(p = q, p, null)), p -> p is not null)[0]") == x["bucket"]
     rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("x_label") != F.col("y_label")) & _close(percent) & first_shared)
-    return confirmed(scratch.save(rest.select("a", "b"), "rest"), sets, percent)
+    return confirmed(scratch.save(rest.select("a", "b"), "rest"), sets, percent, scratch, "ends-3")
 
 
 def _in_large_buckets(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
