@@ -363,3 +363,33 @@ def test_only_nodes_that_share_a_bucket_go_further(spark, monkeypatch):
     found = many.groupBy("k").agg(F.count("*").alias("n"))
     told, counted = (sorted(map(tuple, common.lookup_join(many, found, "k", limit=0, held=h).select("k", "v", "n").collect())) for h in ("n", None))
     assert told == counted and len(told) == 3000
+
+
+def test_long_rows_are_not_dealt_out_to_find_nodes_and_members(spark, monkeypatch):
+    """Nodes are found without a shuffle of sketches, members by one shuffle of two numbers, sets of large buckets alone move."""
+    plans, real = {}, common.Scratch.save
+
+    def save(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(self, df, name)
+
+    monkeypatch.setattr(common.Scratch, "save", save)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [*mutated(3, 60), (100, "a b c d"), (101, "A b c d"), (102, None)]
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, rows), k=2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == near_duplicates(rows, 2)
+    assert "hashpartitioning" not in plans["nodes"]
+    assert plans["members"].count("hashpartitioning") == 1 and "Join" not in plans["members"]
+    assert "bands" not in plans["rest"]
+
+
+def test_near_duplicates_without_broadcasts(spark, monkeypatch):
+    """Copies, nodes and sets that are too many for a broadcast are joined by a shuffle, with the same result."""
+    monkeypatch.setattr(neardup, "sized", lambda df: df)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rows = [*mutated(4, 60), *[(200 + i, "the same text as all of these") for i in range(20)], (300, "")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, rows), k=2).collect()}
+    assert got == near_duplicates(rows, 2)

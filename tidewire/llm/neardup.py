@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytes_np import mix64, shingle_sets
@@ -205,18 +205,21 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = scratch.save(sketch(docs, id_col, text_col, k, bands).withColumn("row", F.monotonically_increasing_id()), "sketch")
     # a node for each different set, of which one row stands for all; ids come in at the end
-    classes = scratch.save(rows.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
-    nodes = rows.withColumnRenamed("row", "node").join(classes.select("node"), "node")
+    classes = scratch.save(rows.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("held")), "classes")
+    # nodes are what is left without the other rows of a set: rows are long and these are few, so no row is dealt out
+    twice = classes.where("held > 1").select("set_key", "node", "held")
+    repeats = scratch.save(lookup_join(rows.select("set_key", "row"), twice, "set_key", held="held").where("row <> node").select("row"), "repeats")
+    nodes = rows.where("set_key is not null").join(sized(repeats), "row", "left_anti").withColumnRenamed("row", "node")
     nodes = scratch.save(nodes.select("node", "doc_id", "text_key", "text_key2", F.col("n_shingles").alias("n"), "bands", "parity"), "nodes")
 
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("held")).where("least < most")
-    shared = scratch.save(shared.drop("most"), "shared")
-    members = scratch.save(lookup_join(members, shared, "bucket", held="held").drop("held"), "members")
+    # members are dealt out once, as two numbers; no bucket has more than one in ``bands`` of them
+    of = Window.partitionBy("bucket")
+    members = nodes.select("node", F.explode("bands").alias("bucket")).withColumns({"least": F.min("node").over(of), "most": F.max("node").over(of)})
+    members = scratch.save(members.where("least < most").select("bucket", "node", "least"), "members")
     # the others are linked with nothing, so what is long of them goes no further
     met_ids = scratch.save(members.select("node").distinct(), "met-ids")
-    nodes = scratch.save(nodes.join(sized(met_ids), "node", "left_semi"), "alike")
-    scratch.drop("nodes", "met-ids")
+    nodes = scratch.save(nodes.drop("bands").join(sized(met_ids), "node", "left_semi"), "alike")
+    scratch.drop("repeats", "nodes", "met-ids")
 
     # first round: each node and the smallest node of its buckets that looks most alike
     traits = nodes.select("node", "n", "parity")
@@ -249,9 +252,9 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     torn = sizes.groupBy("bucket").agg(F.sum("size").alias("held"), F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     torn = scratch.save(torn.select("bucket", "held", F.col("most.label").alias("major"), (F.col("held") - F.col("most.size")).alias("others")), "torn")
     open_ = scratch.save(lookup_join(labelled, torn, "bucket"), "open")
-    last = scratch.save(_in_small_buckets(open_, nodes, sets, percent, scratch).unionByName(_in_large_buckets(open_, sets, percent)), "links-3")
+    last = scratch.save(_in_small_buckets(open_, nodes, sets, percent, scratch).unionByName(_in_large_buckets(open_, sets, percent, scratch)), "links-3")
     final = scratch.save(_lifted(labels, last, links.union(more), scratch, "last"), "labels")
-    scratch.drop("shared", "members", "hubs", "stars", "sets", "wanted", "links-1", "links-2", "links-3", "labels-1", "labels-2", "labelled-1", "labelled-2", "drawn", "draws", "met", "torn", "open", "rest", "alike", "small-ids", "ends-1-a", "ends-1-b", "ends-2-a", "ends-2-b", "ends-3-a", "ends-3-b")
+    scratch.drop("members", "hubs", "stars", "sets", "wanted", "links-1", "links-2", "links-3", "labels-1", "labels-2", "labelled-1", "labelled-2", "drawn", "draws", "met", "torn", "open", "rest", "alike", "small", "large-ids", "ends-1-a", "ends-1-b", "ends-2-a", "ends-2-b", "ends-3-a", "ends-3-b")
 
     # the smallest id of each component, where a row with an id is in it
     classes = scratch.save(classes.join(final, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component")), "parts")
@@ -279,17 +282,19 @@ def _node_sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, ro
 
 def _in_small_buckets(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) of close pairs that are not connected, in buckets of at most ``BLOCK`` nodes; each in the first bucket it shares."""
-    small = open_.where(F.col("held") <= BLOCK)
-    nodes = nodes.join(sized(scratch.save(small.select("node").distinct(), "small-ids")), "node", "left_semi")
-    small = small.join(nodes.select("node", "n", "parity", F.col("bands").alias("all_bands")), "node")
-    x = small.select("bucket", F.col("node").alias("a"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("parity").alias("x_sig"), F.col("all_bands").alias("x_bands"))
-    y = small.select("bucket", F.col("node").alias("b"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("parity").alias("y_sig"), F.col("all_bands").alias("y_bands"))
-    first_shared = F.expr("filter(zip_with(x_bands, y_bands, (p, q) -> if(p = q, p, null)), p -> p is not null)[0]") == x["bucket"]
+    # pairs meet in these buckets alone, so of a node's others nothing has to be known
+    small = open_.where(F.col("held") <= BLOCK).groupBy("node").agg(F.min("label").alias("label"), F.collect_set("bucket").alias("within"))
+    small = scratch.save(small, "small")
+    nodes = nodes.join(sized(small.select("node")), "node", "left_semi")
+    small = small.join(nodes.select("node", "n", "parity"), "node").withColumn("bucket", F.explode("within"))
+    x = small.select("bucket", F.col("node").alias("a"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("parity").alias("x_sig"), F.col("within").alias("x_within"))
+    y = small.select("bucket", F.col("node").alias("b"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("parity").alias("y_sig"), F.col("within").alias("y_within"))
+    first_shared = F.array_min(F.array_intersect("x_within", "y_within")) == x["bucket"]
     rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("x_label") != F.col("y_label")) & _close(percent) & first_shared)
     return confirmed(scratch.save(rest.select("a", "b"), "rest"), sets, percent, scratch, "ends-3")
 
 
-def _in_large_buckets(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_large_buckets(open_: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect nodes of buckets of more than ``BLOCK`` nodes.
 
     Of a bucket, only nodes outside its largest component have to meet all nodes.  Both are split into groups of
@@ -318,6 +323,7 @@ def _in_large_buckets(open_: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
     groups = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
     large = open_.where(F.col("held") > BLOCK).withColumns({"few": groups("others"), "all": groups("held")})
+    sets = sets.join(sized(scratch.save(large.select("node").distinct(), "large-ids")), "node", "left_semi")
     group = lambda of: F.pmod(F.xxhash64("node", F.lit(of)), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     asking = large.where("label <> major").select("bucket", "node", "label", group("few").alias("i"), every("all").alias("j"), F.lit(True).alias("asks"))
