@@ -53,6 +53,28 @@ def test_conflicting_pairs_find_evidence_once(spark, sf_small):
     assert "RLIKE" not in plan.upper() and "parquet" not in plan.lower()
 
 
+def test_no_side_of_conflicting_pairs_is_broadcast(spark, sf_small, monkeypatch):
+    import __spark_entry__ as entry
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    kind, kept = type(spark.range(0)), []
+    real = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a: kept.append(plan(self)) or real(self, *a))
+    pairs = entry.queries()["conflicting_pairs"](spark, sf_small)
+    # what tells frequent keys has a join too, for places, titles and templates
+    assert sum("Join" in p for p in kept) == 3 and "Generate explode" in plan(pairs)
+    for p in (*kept, plan(pairs)):
+        assert "Broadcast" not in p
+
+
+def test_frequent_keys_are_not_broadcast_with_their_rows(spark):
+    left = spark.range(400).select("id", F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("k"))
+    met = shared.dealt_join(left, left.withColumnRenamed("id", "n"), ["k"], 100)
+    # a side's rows meet the hot keys, which are counted, by a broadcast; the sides meet each other by a shuffle
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 1 and met.count() == 360 * 360 + 40 * 40
+
+
 def test_equal_points_meet_as_places(spark, monkeypatch):
     met, real = [], st.dealt_join
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, scores, text
 from ..operators import articles, geocode, items, maintenance, resolution
 from ..operators import stories as st
-from ..operators.shared import new_folder
+from ..operators.shared import new_folder, shuffled
 from ..sources import feeds, sinks
 from ..streaming import jobs
 
@@ -125,7 +125,7 @@ def conflicting_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumns({"title": F.concat(lead, F.lit(" - "), "title"), "url": F.concat(F.lit("https://a.example/"), "id"), "at_ms": F.col("latest_ms"), "precise": F.col("lat").isNotNull()})
     st.checkpoint_dir(spark)
     e = st.evidence(s).checkpoint()  # found once; the joins below read it seven times
-    met = st.conflict_candidates(e).join(e.alias("a"), F.col("a_id") == F.col("a.id")).join(e.alias("b"), F.col("b_id") == F.col("b.id"))
+    met = st.conflict_candidates(e).join(shuffled(e.alias("a")), F.col("a_id") == F.col("a.id")).join(shuffled(e.alias("b")), F.col("b_id") == F.col("b.id"))
     return met.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), st.conflicts("a", "b").alias("conflict"))
 
 
